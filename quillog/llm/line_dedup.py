@@ -5,9 +5,9 @@ by hash with a secondary sort by document and position, and the first occurrence
 streamed along. The result is one compressed bitmap per document, not text: 63 positions to a long,
 and only longs in which something is dropped.
 
-Very frequent lines (the ``hot_keys`` most frequent, a fixed number) are known beforehand from an
-aggregate that is combined before its shuffle; they are dealt over many ranges by a salt, and their
-first document comes from a broadcast of that bounded table.
+Very frequent lines (each over one part in ``hot_parts`` of all lines, hence at most ``hot_parts`` of
+them) are known beforehand from an aggregate that is combined before its shuffle; they are dealt
+over many ranges by a salt, and their first document comes from a broadcast of that bounded table.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ def drop_bitmaps(
     id_col: str = "doc_id",
     text_col: str = "text",
     min_chars: int = 10,
-    hot_keys: int = 10_000,
+    hot_parts: int = 10_000,
     hot_rows: int = 64,
     salts: int = 256,
 ) -> DataFrame:
@@ -59,12 +59,11 @@ def drop_bitmaps(
     Repeated ids are one document. Rows with a null id are left out: they neither count nor lose lines.
     """
     lines = line_hashes(docs, id_col, text_col, min_chars)
+    total = docs.agg(F.coalesce(F.sum(F.size(lines_of(F.col(text_col))).cast("bigint")), F.lit(0))).first()[0]
     hot = (
         lines.groupBy("_h1", "_h2")
         .agg(F.count("*").alias("_n"), F.min("_id").alias("_hot_first"))
-        .where(F.col("_n") >= hot_rows)
-        .orderBy(F.desc("_n"), "_h1", "_h2")
-        .limit(hot_keys)
+        .where(F.col("_n") > max(hot_rows, total // hot_parts))
         .select("_h1", "_h2", "_hot_first")
     )
     salted = lines.join(F.broadcast(hot), ["_h1", "_h2"], "left").withColumn(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillog.session import table
 
-from . import line_dedup, sharding
+from . import decontam, licence_scan, line_dedup, sharding, url_filter
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,26 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    flagged = decontam.flag(docs, table(spark, sf_dir, "benchmark"))
+    return flagged.select(
+        "doc_id",
+        F.col("_contaminated").alias("contaminated"),
+        F.coalesce("_items", F.array().cast("array<bigint>")).alias("item_ids"),
+        F.coalesce("_coverage", F.lit(0.0)).alias("coverage"),
+        F.coalesce(~F.col("_same_slots"), F.lit(False)).alias("reparameterised"),
+    )
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan.scan(table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -45,7 +65,10 @@ FROM marked GROUP BY doc_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op5_decontamination": op5_decontamination,
+    "op6_url_filter": op6_url_filter,
     "op8_line_dedup": op8_line_dedup,
+    "op9_licence_scan": op9_licence_scan,
 }
 
 ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL}

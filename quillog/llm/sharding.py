@@ -64,20 +64,17 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
-def sample_splitters(keys: DataFrame, ranges: int, per_range: int, seed: int = 1) -> Splitters:
-    """Boundaries at the quantiles of ``ranges * per_range`` keys drawn in proportion to size.
+def sample_splitters(keys: DataFrame, ranges: int, per_range: int, total: int, seed: int = 1) -> Splitters:
+    """Boundaries at the quantiles of about ``ranges * per_range`` keys drawn in proportion to size.
 
-    The draw is without replacement by exponential clocks of rate ``_size``; each clock is a hash of
-    the key and the seed, so a rerun draws the same keys. The driver receives just the sample.
+    A record of ``_size`` bytes is drawn ``_size * wanted / total`` times on average: its whole part
+    always, and the fraction if a hash of key and seed falls below it, so a rerun draws the same
+    keys. The driver receives that sample and nothing more, however many tasks there are.
     """
     uniform = (F.xxhash64(F.lit(seed), "_h", "_g").bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / float(1 << 52)
-    drawn = (
-        keys.select("_h", "_g", (-F.log(uniform) / F.col("_size")).alias("_clock"))
-        .orderBy("_clock", "_h", "_g")
-        .limit(ranges * per_range)
-        .select("_h", "_g")
-    )
-    sample = sorted((r["_h"], r["_g"]) for r in drawn.collect())
+    draws = F.floor(F.col("_size") * (ranges * per_range / max(1, total)) + uniform).cast("int")
+    drawn = keys.select("_h", "_g", draws.alias("_draws")).where(F.col("_draws") > 0)
+    sample = sorted(key for h, g, n in drawn.collect() for key in [(h, g)] * n)
     at = [sample[len(sample) * k // ranges] for k in range(1, ranges)] if sample else []
     return Splitters(sorted(set(at)))
 
@@ -106,7 +103,7 @@ def shard_by_size(
     keys = keyed(docs, id_col, text_col)
     total, rows = keys.agg(F.coalesce(F.sum("_size"), F.lit(0)), F.count("*")).first()
     ranges = max(1, min(max(n_shards * ranges_per_shard, -(-total // range_bytes)), rows))
-    placed = keys.withColumn("_r", sample_splitters(keys, ranges, sample_per_range, seed).range_of(F.col("_h"), F.col("_g")))
+    placed = keys.withColumn("_r", sample_splitters(keys, ranges, sample_per_range, total, seed).range_of(F.col("_h"), F.col("_g")))
 
     # Overfull ranges are cut into strips by a hash of the key.
     wanted = max(1, total // ranges)
