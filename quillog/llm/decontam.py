@@ -62,18 +62,19 @@ def windows(rows: DataFrame, *, keys: list[str], text_col: str, width: int, min_
     ``_slots`` holds (type, value) of its placeholders, null where it has none.
     """
     raw, tokens = template_tokens(F.col(text_col))
-    read = rows.select(*keys, raw.alias("_raw")).where(F.size("_raw") >= width).withColumn("_tok", tokens).drop("_raw")
+    read = rows.select(*keys, raw.alias("_raw")).select(*keys, tokens.alias("_tok"))
     codes = F.transform("_tok", lambda x: F.xxhash64(x["t"]))
-    read = read.where(F.size("_tok") >= width).select(
-        *keys, F.col("_tok").alias("_tok"), codes.alias("_code"), F.exists("_tok", lambda x: x["v"].isNotNull()).alias("_slotted")
-    )
+    read = read.select(*keys, "_tok", codes.alias("_code"), F.exists("_tok", lambda x: x["v"].isNotNull()).alias("_slotted"))
 
     def window(i: Column) -> Column:
         slots = F.when(F.col("_slotted"), F.filter(F.slice("_tok", i + 1, F.lit(width)), lambda x: x["v"].isNotNull()))
         return F.struct(F.xxhash64(F.slice("_code", i + 1, F.lit(width))).alias("h"), F.when(F.size(slots) > 0, slots).alias("s"))
 
-    spread = read.select(*keys, F.posexplode(F.transform(F.sequence(F.lit(0), F.size("_tok") - width), window)).alias("_pos", "_w"))
-    return spread.where(width - F.coalesce(F.size("_w.s"), F.lit(0)) >= min_literals).select(
+    # The outer form spares a filter that would compute the array once more for its size.
+    spread = read.select(
+        *keys, F.posexplode_outer(F.when(F.size("_tok") >= width, F.transform(F.sequence(F.lit(0), F.size("_tok") - width), window))).alias("_pos", "_w")
+    )
+    return spread.where(F.col("_w").isNotNull() & (width - F.coalesce(F.size("_w.s"), F.lit(0)) >= min_literals)).select(
         *keys, "_pos", F.col("_w.h").alias("_hash"), F.col("_w.s").alias("_slots")
     )
 

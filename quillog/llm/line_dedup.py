@@ -36,7 +36,7 @@ def line_key(line: Column) -> Column:
 
 def line_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
     """(_id, _th, _pos, _h1, _h2) of every line whose key has at least ``min_chars`` code points."""
-    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.posexplode(lines_of(F.col(text_col))).alias("_pos", "_line"))
+    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), F.posexplode_outer(lines_of(F.col(text_col))).alias("_pos", "_line"))
     return (
         own.withColumn("_key", line_key(F.col("_line")))
         .where(F.char_length("_key") >= min_chars)
