@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillog.session import table
 
-from . import decontam, licence_scan, line_dedup, sharding, url_filter
+from . import decontam, licence_scan, line_dedup, minhash_icws, sharding, url_filter
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,11 @@ def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = minhash_icws.near_duplicates(table(spark, sf_dir, "documents"))
+    return groups.withColumn("kept", F.col("doc_id") == F.col("group_id"))
+
+
 OP8_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_url_filter": op6_url_filter,
     "op8_line_dedup": op8_line_dedup,
     "op9_licence_scan": op9_licence_scan,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL}
