@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillog.session import table
 
-from . import decontam, licence_scan, line_dedup, minhash_icws, sharding, url_filter
+from . import decontam, lang_crf, licence_scan, line_dedup, minhash_icws, piece_codec, sharding, url_filter
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,16 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = lang_crf.learn(docs.where(F.col("doc_id").isNotNull() & ~held_out))
+    tagged = lang_crf.predict(docs.select("doc_id", "text"), model)
+    return tagged.select(
+        "doc_id", held_out.alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"), F.col("_n_words").alias("n_words")
+    )
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs).select(
@@ -27,6 +37,19 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = docs.withColumn("piece_ids", piece_codec.encode(F.col("text"), F.xxhash64("doc_id")))
+    back = coded.withColumn("decoded", piece_codec.decode(F.col("piece_ids")))
+    return back.select(
+        "doc_id",
+        F.size("piece_ids").alias("n_pieces"),
+        "piece_ids",
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"),
+    )
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     flagged = decontam.flag(docs, table(spark, sf_dir, "benchmark"))
@@ -70,8 +93,10 @@ FROM marked GROUP BY doc_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op3_pieces": op3_pieces,
     "op5_decontamination": op5_decontamination,
     "op6_url_filter": op6_url_filter,
+    "op7_language_id": op7_language_id,
     "op8_line_dedup": op8_line_dedup,
     "op9_licence_scan": op9_licence_scan,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
