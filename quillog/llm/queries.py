@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillog.session import table
 
-from . import decontam, lang_crf, licence_scan, line_dedup, minhash_icws, piece_codec, sharding, url_filter
+from . import decontam, lang_crf, licence_scan, line_dedup, minhash_icws, piece_codec, sharding, url_filter, vector_dedup
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,11 @@ def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = vector_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return linked.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     flagged = decontam.flag(docs, table(spark, sf_dir, "benchmark"))
@@ -94,6 +99,7 @@ FROM marked GROUP BY doc_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op3_pieces": op3_pieces,
+    "op4_vector_near_dedup": op4_vector_near_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_url_filter": op6_url_filter,
     "op7_language_id": op7_language_id,
