@@ -1,13 +1,77 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: language, lines, near-duplicates, benchmark leaks, then pieces.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the last return the
+columns of ``docs``. ``run`` applies them to ``documents``, writing each stage's rows to the shared
+checkpoint folder before the next one reads them.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillog.llm import decontam, lang_crf, line_dedup, minhash_icws, piece_codec
+from quillog.session import durable, table
+
+#: A document is rejected where its likeliest language has less than this share of its words.
+MIN_LANGUAGE_SCORE = 0.3
+
+#: SQL can't express the stages: a fitted model, keyed sampling and a tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def _like(docs: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
+    """``columns`` of ``docs``, with n_chars (where there is one) following the text."""
+    if "n_chars" in columns:
+        docs = docs.withColumn("n_chars", F.char_length(text).cast("bigint"))
+    return docs.select(*columns)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in a learned language; those without a letter or of no one language go."""
+    tagged = lang_crf.predict(docs, lang_crf.learn(docs))
+    return tagged.where((F.col("_lang_pred") != lang_crf.UNKNOWN) & (F.col("_score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines stay only in the smallest document; documents left without text go."""
+    left = line_dedup.dedup_lines(docs)
+    return _like(left.where(F.col("_n_dropped").eqNullSafe(0) | F.col("text").rlike(r"\S")), docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, that of the smallest id."""
+    groups = minhash_icws.near_duplicates(docs.select("doc_id", "text"))
+    gone = groups.where(F.col("doc_id") != F.col("group_id")).select("doc_id")
+    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        docs = docs.dropDuplicates(["doc_id", "text"])
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, re-parameterised or not, go."""
+    flagged = decontam.flag(docs, table(spark, sf_dir, "benchmark"))
+    return flagged.where(~F.col("_contaminated")).select(*docs.columns)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of each remaining text, and whether they decode to it."""
+    ids = docs.select("doc_id", "text", piece_codec.encode(F.col("text"), F.xxhash64("doc_id")).alias("piece_ids"))
+    back = ids.withColumn("decoded", piece_codec.decode(F.col("piece_ids")))
+    return back.select("doc_id", F.size("piece_ids").alias("n_pieces"), "piece_ids", F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", drop_repeated_lines),
+    ("minhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontaminate),
+    ("sentencepiece", encode_pieces),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

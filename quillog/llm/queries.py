@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillog.session import table
 
-from . import decontam, lang_crf, licence_scan, line_dedup, minhash_icws, piece_codec, sharding, url_filter, vector_dedup
+from . import decontam, html_extract, lang_crf, licence_scan, line_dedup, minhash_icws, piece_codec, sharding, url_filter, vector_dedup
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +37,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", html_extract.extract(F.col("html")).alias("text"))
+    return pages.withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = docs.withColumn("piece_ids", piece_codec.encode(F.col("text"), F.xxhash64("doc_id")))
@@ -98,6 +103,7 @@ FROM marked GROUP BY doc_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_html_extraction": op2_html_extraction,
     "op3_pieces": op3_pieces,
     "op4_vector_near_dedup": op4_vector_near_dedup,
     "op5_decontamination": op5_decontamination,
