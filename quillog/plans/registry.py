@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("scalar_queries",)
+MODULES = ("scalar_queries", "check_queries", "split_queries")
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
