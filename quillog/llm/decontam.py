@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillog.session import durable
+
 # Words and signs that measure a number beside them.
 UNITS = (
     "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers "
@@ -25,58 +27,59 @@ TOKEN = r"\p{N}+(?:[.,]\p{N}+)*|[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*|[%$€£°
 NUMBER, NAME, UNIT = "<num>", "<name>", "<unit>"
 
 
-def template_tokens(text: Column) -> tuple[Column, Column]:
-    """The raw tokens, to be named ``_raw``, and from that column array<struct<t, v>>: template
-    word, and the slot's value where it is a placeholder.
+ENDS = (".", "!", "?", "\n")
+
+
+def _template(word: Column, before: Column, after: Column) -> Column:
+    """The template word that ``word`` becomes between its neighbours.
 
     A number is a run of digits; a unit is one of ``UNITS`` or ``SIGNS`` next to a number; a name is
     a capitalised word that doesn't begin a sentence or a line.
     """
-    raw = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-
-    def is_number(word: Column) -> Column:
-        first = F.ascii(word)
-        return (first >= 48) & (first <= 57)
-
-    def typed(i: Column) -> Column:
-        word = F.get(F.col("_raw"), i)
-        before, after = F.get(F.col("_raw"), i - 1), F.get(F.col("_raw"), i + 1)
-        low = F.lower(word)
-        beside = F.coalesce(is_number(before), F.lit(False)) | F.coalesce(is_number(after), F.lit(False))
-        opens = before.isNull() | F.substring(before, 1, 1).isin(".", "!", "?", "\n")
-        kind = (
-            F.when(is_number(word), F.lit(NUMBER))
-            .when(low.isin(UNITS + SIGNS) & beside, F.lit(UNIT))
-            .when((low != word) & ~opens, F.lit(NAME))
-        )
-        return F.struct(F.coalesce(kind, low).alias("t"), F.when(kind.isNotNull(), low).alias("v"))
-
-    ends = F.col("_raw")
-    whole = F.transform(F.filter(F.sequence(F.lit(0), F.size(ends) - 1), lambda i: ~F.substring(F.get(ends, i), 1, 1).isin(".", "!", "?", "\n")), typed)
-    return raw, F.when(F.size(ends) > 0, whole).otherwise(F.array().cast("array<struct<t:string,v:string>>"))
-
-
-def windows(rows: DataFrame, *, keys: list[str], text_col: str, width: int, min_literals: int) -> DataFrame:
-    """``keys``, _pos, _hash, _slots for every window with at least ``min_literals`` plain words.
-
-    ``_slots`` holds (type, value) of its placeholders, null where it has none.
+
+    def is_number(token: Column) -> Column:
+        return F.coalesce(F.ascii(token).between(48, 57), F.lit(False))
+
+    low = F.lower(word)
+    opens = before.isNull() | F.substring(before, 1, 1).isin(*ENDS)
+    return (
+        F.when(is_number(word), F.lit(NUMBER))
+        .when((is_number(before) | is_number(after)) & low.isin(UNITS + SIGNS), F.lit(UNIT))
+        .when(~opens & (low != word), F.lit(NAME))
+        .otherwise(low)
+    )
+
+
+def windows(rows: DataFrame, *, keys: list[str], text_col: str, width: int, slots: bool) -> DataFrame:
+    """``keys``, _pos and _hash of every window of ``width`` template words, by position.
+
+    With ``slots`` also _slots, the (type, value) of its placeholders in order. Only the benchmark
+    and the few windows that have met it need them, so the main pass goes without.
     """
-    raw, tokens = template_tokens(F.col(text_col))
-    read = rows.select(*keys, raw.alias("_raw")).select(*keys, tokens.alias("_tok"))
-    codes = F.transform("_tok", lambda x: F.xxhash64(x["t"]))
-    read = read.select(*keys, "_tok", codes.alias("_code"), F.exists("_tok", lambda x: x["v"].isNotNull()).alias("_slotted"))
+    read = rows.select(*keys, F.regexp_extract_all(F.col(text_col), F.lit(TOKEN), F.lit(0)).alias("_raw"))
+    at = F.col("_raw")
+    words = F.filter(F.sequence(F.lit(0), F.size(at) - 1), lambda i: ~F.substring(F.get(at, i), 1, 1).isin(*ENDS))
+    word = lambda i: _template(F.get(at, i), F.get(at, i - 1), F.get(at, i + 1))
+    if slots:
+        tokens = F.transform(words, lambda i: F.struct(word(i).alias("t"), F.lower(F.get(at, i)).alias("v")))
+        read = read.select(*keys, F.when(F.size(at) > 0, tokens).alias("_tok"))
+        read = read.select(*keys, "_tok", F.transform("_tok", lambda x: F.xxhash64(x["t"])).alias("_code"))
+    else:
+        read = read.select(*keys, F.when(F.size(at) > 0, F.transform(words, lambda i: F.xxhash64(word(i)))).alias("_code"))
 
     def window(i: Column) -> Column:
-        slots = F.when(F.col("_slotted"), F.filter(F.slice("_tok", i + 1, F.lit(width)), lambda x: x["v"].isNotNull()))
-        return F.struct(F.xxhash64(F.slice("_code", i + 1, F.lit(width))).alias("h"), F.when(F.size(slots) > 0, slots).alias("s"))
+        code = F.xxhash64(F.slice("_code", i + 1, F.lit(width)))
+        if not slots:
+            return code
+        held = F.filter(F.slice("_tok", i + 1, F.lit(width)), lambda x: x["t"].isin(NUMBER, NAME, UNIT))
+        return F.struct(code.alias("h"), held.alias("s"))
 
+    every = F.transform(F.sequence(F.lit(0), F.size("_code") - width), window)
     # The outer form spares a filter that would compute the array once more for its size.
-    spread = read.select(
-        *keys, F.posexplode_outer(F.when(F.size("_tok") >= width, F.transform(F.sequence(F.lit(0), F.size("_tok") - width), window))).alias("_pos", "_w")
-    )
-    return spread.where(F.col("_w").isNotNull() & (width - F.coalesce(F.size("_w.s"), F.lit(0)) >= min_literals)).select(
-        *keys, "_pos", F.col("_w.h").alias("_hash"), F.col("_w.s").alias("_slots")
-    )
+    spread = read.select(*keys, F.posexplode_outer(F.when(F.size("_code") >= width, every)).alias("_pos", "_w")).where(F.col("_w").isNotNull())
+    if slots:
+        return spread.select(*keys, "_pos", F.col("_w.h").alias("_hash"), F.col("_w.s").alias("_slots"))
+    return spread.withColumnRenamed("_w", "_hash")
 
 
 def leaks(
@@ -98,21 +101,26 @@ def leaks(
     (under 100 bytes each); beyond that Spark joins by shuffle.
     """
     items = benchmark.where(F.col(item_text_col).isNotNull()).select(F.col(item_col).alias("_item"), F.col(item_text_col).alias("_text")).distinct()
-    own = windows(items, keys=["_item"], text_col="_text", width=width, min_literals=min_literals).select(
-        "_item", F.col("_pos").alias("_ipos"), "_hash", F.col("_slots").alias("_islots")
-    )
+    own = windows(items, keys=["_item"], text_col="_text", width=width, slots=True).where(width - F.size("_slots") >= min_literals)
+    own = own.select("_item", F.col("_pos").alias("_ipos"), "_hash", F.col("_slots").alias("_islots"))
     per_item = own.groupBy("_item").agg(F.count_distinct("_ipos").alias("_total"))
     own = own.join(per_item, "_item")
-    if own.count() <= broadcast_rows:
-        own = F.broadcast(own)
+    bounded = own.count() <= broadcast_rows
     rows = docs.select(F.xxhash64(id_col, text_col).alias("_k1"), F.xxhash64(F.lit(11), text_col, id_col).alias("_k2"), F.col(text_col).alias("_text"))
     rows = rows.where(F.col("_text").isNotNull())
-    met = windows(rows, keys=["_k1", "_k2"], text_col="_text", width=width, min_literals=min_literals).join(own, "_hash")
+    plain = windows(rows, keys=["_k1", "_k2"], text_col="_text", width=width, slots=False)
+    met = durable(plain.join(F.broadcast(own) if bounded else own, "_hash").drop("_hash"))
+
+    # Slots of the documents in which a window with placeholders was met, read a second time.
+    slotted = met.where(F.size("_islots") > 0).select("_k1", "_k2", "_pos").distinct()
+    again = rows.join(slotted.select("_k1", "_k2").distinct(), ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
+    filled = windows(again, keys=["_k1", "_k2"], text_col="_text", width=width, slots=True).select("_k1", "_k2", "_pos", "_slots")
+    met = met.join(filled.join(slotted, ["_k1", "_k2", "_pos"], "left_semi"), ["_k1", "_k2", "_pos"], "left")
 
     # One alignment of an item within a document: the slots of its windows must map one to one.
     pairs = F.zip_with("_islots", "_slots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     aligned = met.groupBy("_k1", "_k2", "_item", "_total", (F.col("_pos") - F.col("_ipos")).alias("_shift")).agg(
-        F.collect_set("_ipos").alias("_at"), F.array_distinct(F.flatten(F.collect_set(F.when(F.col("_slots").isNotNull(), pairs)))).alias("_map")
+        F.collect_set("_ipos").alias("_at"), F.array_distinct(F.flatten(F.collect_set(F.when(F.size("_islots") > 0, pairs)))).alias("_map")
     )
     left = F.size(F.array_distinct(F.transform("_map", lambda x: x["a"])))
     right = F.size(F.array_distinct(F.transform("_map", lambda x: x["b"])))
