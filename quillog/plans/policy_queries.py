@@ -53,7 +53,7 @@ _VALUES = ", ".join(f"({t!r}::double)" for t in _GRID)
 
 
 @query("prob_temperature_grid", TRAIN_SQL + f""", v AS (SELECT decision_id, chosen, base_logit - max(base_logit) OVER {D} AS s FROM cs WHERE split = 'validation'),
-  per AS (SELECT decision_id, t, ln(sum(exp(s / t))) - (max(s) FILTER (chosen)) / t AS loss FROM v CROSS JOIN (VALUES {_VALUES}) g(t) GROUP BY ALL) SELECT round(t, 9) AS temperature, round(avg(least(loss, 34.538776394910684)), 7) AS nll FROM per GROUP BY t""")
+  per AS (SELECT decision_id, t, ln(sum(exp(s / t))) - max(CASE WHEN chosen THEN s END) / t AS loss FROM v CROSS JOIN (VALUES {_VALUES}) g(t) GROUP BY decision_id, t) SELECT round(t, 9) AS temperature, round(avg(least(loss, 34.538776394910684)), 7) AS nll FROM per GROUP BY t""")
 def prob_temperature_grid(spark, sf_dir):
     g = pol.grid_losses(with_split(spark, sf_dir).where("split = 'validation'"), "base_logit", _GRID)
     return g.select(R9("temperature").alias("temperature"), F.round("nll", 7).alias("nll"))
