@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("scalar_queries", "check_queries", "split_queries", "history_queries", "policy_queries", "metric_queries", "compare_queries", "learn_queries")
+MODULES = ("source_queries", "scalar_queries", "check_queries", "split_queries", "history_queries", "policy_queries", "metric_queries", "compare_queries", "learn_queries", "stream_queries")
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
