@@ -56,9 +56,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each remaining text, and whether they decode to it."""
-    ids = docs.select("doc_id", "text", piece_codec.encode(F.col("text"), F.xxhash64("doc_id")).alias("piece_ids"))
-    back = ids.withColumn("decoded", piece_codec.decode(F.col("piece_ids")))
-    return back.select("doc_id", F.size("piece_ids").alias("n_pieces"), "piece_ids", F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+    return piece_codec.encode_table(docs)
 
 
 STAGES = [

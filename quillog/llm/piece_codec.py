@@ -9,6 +9,7 @@ its occurrences takes one by a hash of seed, row key and position.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 from collections.abc import Iterator
@@ -17,9 +18,10 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import sentencepiece
 import xxhash
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -103,7 +105,7 @@ UNITS = re.compile(f" *[^ \n{SPACE}]+| +|\n|{SPACE}")
 class Encoder:
     """Segmentations of units, kept up to ``held`` of them for each variant."""
 
-    def __init__(self, path: str, dropout: float, seed: int, variants: int, held: int = 60_000):
+    def __init__(self, path: str, dropout: float, seed: int, variants: int, held: int = 25_000):
         self.table, self.dropout, self.seed = pieces(path), dropout, seed
         self.variants = variants if dropout else 1
         self.held = held
@@ -160,6 +162,39 @@ def encode(text: Column, row_key: Column, *, model: str = MODEL, dropout: float
     return run(text, F.coalesce(row_key.cast("bigint"), F.lit(0)))
 
 
+def encode_table(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, dropout: float = 0.1, seed: int = 1, variants: int = 8, slab: int = 256
+) -> DataFrame:
+    """(id, n_pieces, piece_ids, decoded_sha256, lossless) of every row: encoded, decoded and compared.
+
+    Both directions run in one pass. Rows go through in slabs of ``slab``, so what a task holds
+    beside Spark's own batch is bounded by the longest texts of one slab. Null texts give nulls and
+    are lossless; null ids and repeated rows are rows like others. Other columns are ignored.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _encoder(model, dropout, seed, variants)
+        for batch in batches:
+            for at in range(0, batch.num_rows, slab):
+                part = batch.slice(at, slab)
+                texts = part.column(1).to_pylist()
+                coded = [None if t is None else own.encode(t, k) for t, k in zip(texts, part.column(2).to_pylist(), strict=True)]
+                sizes = [None if c is None else len(c) for c in coded]
+                decoded = [None if c is None else own.decode(c.tolist()) for c in coded]
+                gone = np.array([c is None for c in coded])
+                ends = np.cumsum([0, *(n or 0 for n in sizes)], dtype=np.int32)
+                values = np.concatenate([np.zeros(0, dtype=np.int32), *(c for c in coded if c is not None)])
+                ids = pa.ListArray.from_arrays(ends, values, mask=pa.array(gone))
+                digests = [None if d is None else hashlib.sha256(d.encode()).hexdigest() for d in decoded]
+                same = [d == t for d, t in zip(decoded, texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int32()), ids, pa.array(digests, pa.string()), pa.array(same)], ["_id", "n", "ids", "sha", "same"])
+
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(id_col).alias("_key"))
+    coded = rows.mapInArrow(run, f"_id {kind}, n int, ids array<int>, sha string, same boolean")
+    return coded.toDF(id_col, "n_pieces", "piece_ids", "decoded_sha256", "lossless")
+
+
 def decode(ids: Column, *, model: str = MODEL) -> Column:
     """The text of piece ids; null gives null."""
 

@@ -43,16 +43,7 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = docs.withColumn("piece_ids", piece_codec.encode(F.col("text"), F.xxhash64("doc_id")))
-    back = coded.withColumn("decoded", piece_codec.decode(F.col("piece_ids")))
-    return back.select(
-        "doc_id",
-        F.size("piece_ids").alias("n_pieces"),
-        "piece_ids",
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
-        F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"),
-    )
+    return piece_codec.encode_table(table(spark, sf_dir, "documents"))
 
 
 def op4_vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
