@@ -1,12 +1,13 @@
 """Near-duplicate documents by improved consistent weighted sampling.
 
-Shingles are five consecutive words, weighted by damped TF-IDF. Each document is sampled by ICWS:
-two documents agree in one sample with a probability equal to their weighted Jaccard similarity.
-Samples are banded; documents that share a band are compared with a few centres of their bucket
-rather than with one another, and each comparison computes the weighted Jaccard similarity exactly
-from the whole texts. Buckets whose members end up in different components are gone through again
-with further centres until every member outside the bucket's largest component has been compared
-with all members of other components, so no link between components is lost.
+Shingles are five consecutive words, weighted by TF-IDF with a damped idf, so that copies which
+thousands share aren't pulled apart by their few own words. Each document is sampled by ICWS: two
+documents agree in one sample with a probability equal to their weighted Jaccard similarity.
+Samples are banded; the members of a bucket are first compared with one centre, another in each
+band, which joins groups of copies without looking at their pairs. Buckets that still hold several
+components are gone through block by block: longer sketches of their members are compared as
+matrices, and pairs of different components whose sketches allow the threshold are compared too.
+A comparison computes the weighted Jaccard similarity exactly from the whole texts.
 
 Inside a task the work is arithmetic on numpy arrays; Spark partitions, shuffles and joins it.
 """
@@ -21,7 +22,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillog.session import durable
 
@@ -33,6 +33,7 @@ BASE = U(0x100000001B3)
 BASE_INV = U(pow(0x100000001B3, -1, 1 << 64))
 DOC_BITS = 12
 CHUNK_BYTES = 1 << 20
+CACHED = 2_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -119,24 +120,23 @@ class Weights:
     """Damped TF-IDF. Document frequencies are held in ``depth`` hashed rows of fixed width, so the
     table doesn't grow with the corpus; an estimate is the least of its cells less their mean.
 
-    ``damping`` bounds the ratio of two shingles' idf factors: within 1 and 1 + damping.
+    A shingle's idf factor lies between 1 (in all documents) and 1 + strength (in one).
     """
 
     counts: np.ndarray
     documents: int
-    damping: float
 
     @staticmethod
     def cells(code: np.ndarray, depth: int, width: int) -> np.ndarray:
         return np.stack([(mix(code + U((d + 1) * int(ODD) & (1 << 64) - 1)) % U(width)).astype(np.int64) + d * width for d in range(depth)])
 
-    def of(self, found: Shingles) -> np.ndarray:
+    def of(self, found: Shingles, strength: float) -> np.ndarray:
         depth, width = self.counts.shape
         noise = self.counts.sum(1, keepdims=True) / width
         held = self.counts.reshape(-1)[self.cells(found.code, depth, width)]
         df = np.clip((held - noise).min(0), 1, self.documents)
         idf = np.log((self.documents + 1) / (df + 1)) / np.log(self.documents + 2)
-        return (1 + np.log(found.tf)) * (1 + self.damping * np.maximum(idf, 0))
+        return (1 + np.log(found.tf)) * (1 + strength * np.maximum(idf, 0))
 
 
 def count_cells(depth: int, width: int, shingle_words: int):
@@ -189,7 +189,7 @@ def icws(found: Shingles, weights: np.ndarray, samples: int, seed: int) -> np.nd
 SIGNED = "_id {id}, _c1 bigint, _c2 bigint, _bands array<bigint>"
 
 
-def sign(weights, shingle_words: int, bands: int, rows: int, seed: int):
+def sign(weights, strength: float, shingle_words: int, bands: int, rows: int, seed: int):
     """Class key (two hashes of the shingles with their counts) and band hashes of each text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -200,7 +200,7 @@ def sign(weights, shingle_words: int, bands: int, rows: int, seed: int):
                 own = ids.iloc[begin : begin + len(texts)].iloc[found.owners]
                 if not len(own):
                     continue
-                drawn = icws(found, weights.value.of(found), bands * rows, seed).reshape(len(own), bands, rows)
+                drawn = icws(found, weights.value.of(found, strength), bands * rows, seed).reshape(len(own), bands, rows)
                 band = np.zeros((len(own), bands), dtype=U)
                 for k in range(rows):
                     band = mix(band * ODD + drawn[:, :, k])
@@ -211,6 +211,57 @@ def sign(weights, shingle_words: int, bands: int, rows: int, seed: int):
     return run
 
 
+def sketches(weights, strength: float, shingle_words: int, samples: int, seed: int):
+    """Sixteen bits of each of ``samples`` samples per text; the first ones are those of the bands."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ids = batch["_id"]
+            for begin, texts in chunks(batch["_text"].tolist()):
+                found = shingles(texts, shingle_words)
+                own = ids.iloc[begin : begin + len(texts)].iloc[found.owners]
+                if len(own):
+                    drawn = icws(found, weights.value.of(found, strength), samples, seed).astype(np.uint16)
+                    yield pd.DataFrame({"_rep": own.to_numpy(), "_sketch": [row.tobytes() for row in drawn]})
+
+    return run
+
+
+def likely_pairs(threshold: float, coarse: int, samples: int, deviations: float, slab: int = 128):
+    """Pairs of two blocks of a bucket (or within one) from different components, unless their
+    sketches fall short of the threshold by ``deviations`` standard deviations."""
+
+    def least(n: int) -> float:
+        return n * threshold - deviations * (n * threshold * (1 - threshold)) ** 0.5
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        low, high = key[2], key[3]
+        rows = rows.drop_duplicates("_rep")
+        held = np.frombuffer(b"".join(rows["_sketch"]), dtype=np.uint16).reshape(len(rows), samples)
+        ids, block = rows["_rep"].to_numpy(), rows["_block"].to_numpy()
+        comp = pd.factorize(rows["_comp"])[0]
+        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        out = []
+        for at in range(0, len(left), slab):
+            some = left[at : at + slab]
+            apart = comp[some][:, None] != comp[right][None, :]
+            if low == high:
+                apart &= right[None, :] > some[:, None]
+            if not apart.any():
+                continue
+            same = np.zeros(apart.shape, dtype=np.uint16)
+            for k in range(coarse):
+                same += held[some, k][:, None] == held[right, k][None, :]
+            i, j = np.nonzero(apart & (same >= least(coarse)))
+            for part in np.array_split(np.arange(len(i)), max(1, len(i) // 20_000)):
+                a, b = some[i[part]], right[j[part]]
+                near = (held[a] == held[b]).sum(1) >= least(samples)
+                out.append(pd.DataFrame({"a": ids[a[near]], "b": ids[b[near]]}))
+        return pd.concat(out) if out else pd.DataFrame({"a": ids[:0], "b": ids[:0]})
+
+    return run
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two (codes ascending, weights)."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
@@ -218,20 +269,28 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(shared / (a[1].sum() + b[1].sum() - shared))
 
 
-def verify(weights, shingle_words: int, threshold: float):
-    def read(text: str) -> tuple[np.ndarray, np.ndarray]:
-        found = shingles([text], shingle_words)
-        return found.code, weights.value.of(found)
+def verify(weights, strength: float, shingle_words: int, threshold: float):
+    known: dict = {}
+    held = 0
+
+    def read(key, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Shingles of a text; those read last are kept, up to ``CACHED`` shingles."""
+        nonlocal held
+        found = known.get(key)
+        if found is None:
+            own = shingles([text], shingle_words)
+            found = own.code, weights.value.of(own, strength)
+            if held + len(own.code) > CACHED:
+                known.clear()
+                held = 0
+            known[key] = found
+            held += len(own.code)
+        return found
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, centre = None, None
         for batch in batches:
-            linked = []
-            for a, text_a, text_b in zip(batch["a"], batch["_ta"], batch["_tb"], strict=True):
-                if a != held:
-                    held, centre = a, read(text_a)
-                linked.append(similarity(centre, read(text_b)) >= threshold)
-            yield batch.loc[linked, ["a", "b"]]
+            rows = zip(batch["a"], batch["b"], batch["_ta"], batch["_tb"], strict=True)
+            yield batch.loc[[similarity(read(a, ta), read(b, tb)) >= threshold for a, b, ta, tb in rows], ["a", "b"]]
 
     return run
 
@@ -245,10 +304,12 @@ def near_duplicates(
     threshold: float = 0.8,
     bands: int = 16,
     rows: int = 4,
-    damping: float = 0.1,
+    idf_strength: float = 0.1,
     idf_width: int = 1 << 17,
     idf_depth: int = 2,
-    centres: int = 8,
+    sketch: int = 512,
+    deviations: float = 3.5,
+    block_rows: int = 1_024,
     broadcast_ids: int = 2_000_000,
     seed: int = 1,
 ) -> DataFrame:
@@ -260,8 +321,9 @@ def near_duplicates(
     one document: of its texts any that has words counts. Rows with a null id are left out. Other
     columns are ignored. An empty table gives an empty result.
 
-    Two documents of similarity ``threshold`` share a band with probability
-    ``1 - (1 - threshold ** rows) ** bands`` (0.9998 at the defaults).
+    Two documents of similarity s share a band with probability ``1 - (1 - s ** rows) ** bands``
+    (0.9998 for 0.8 at the defaults). A pair across components is passed over only if its sketches
+    lie ``deviations`` standard deviations below the threshold, with a probability under 0.0003.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
@@ -270,11 +332,11 @@ def near_duplicates(
 
     cells = full.select("_text").mapInPandas(count_cells(idf_depth, idf_width, shingle_words), "_cell bigint, _n bigint")
     counts = np.zeros(idf_depth * idf_width)
-    for r in cells.groupBy("_cell").agg(F.sum("_n").alias("_n")).collect():  # a table of fixed size
-        counts[r["_cell"]] = r["_n"]
-    weights = spark.sparkContext.broadcast(Weights(counts.reshape(idf_depth, idf_width), max(1, full.count()), damping))
+    held = cells.groupBy("_cell").agg(F.sum("_n").alias("_n")).toArrow()  # a table of fixed size
+    counts[held["_cell"].to_numpy()] = held["_n"].to_numpy()
+    weights = spark.sparkContext.broadcast(Weights(counts.reshape(idf_depth, idf_width), max(1, full.count())))
 
-    signed = durable(full.mapInPandas(sign(weights, shingle_words, bands, rows, seed), SIGNED.format(id=kind)))
+    signed = durable(full.mapInPandas(sign(weights, idf_strength, shingle_words, bands, rows, seed), SIGNED.format(id=kind)))
     classes = signed.groupBy("_c1", "_c2").agg(F.min("_id").alias("_rep"))
     members = durable(signed.select("_id", "_c1", "_c2").join(classes, ["_c1", "_c2"]).groupBy("_id").agg(F.min("_rep").alias("_rep")))
     reps = signed.join(classes, ["_c1", "_c2"]).where(F.col("_id") == F.col("_rep")).dropDuplicates(["_rep", "_c1", "_c2"])
@@ -292,29 +354,26 @@ def near_duplicates(
         held = full.join(needed, "_id", "left_semi")
         joined = pairs.join(held.select(F.col("_id").alias("b"), F.col("_text").alias("_tb")), "b")
         joined = joined.join(held.select(F.col("_id").alias("a"), F.col("_text").alias("_ta")), "a")
-        return durable(joined.mapInPandas(verify(weights, shingle_words, threshold), f"a {kind}, b {kind}"))
+        return durable(joined.mapInPandas(verify(weights, idf_strength, shingle_words, threshold), f"a {kind}, b {kind}"))
 
     # First every member with one centre of each bucket: another in each band, so that a document
     # some edits away from one centre is likely to meet a nearer one.
     order = F.xxhash64("_rep", "_band")
     first = buckets.groupBy("_band", "_hash").agg(F.min_by("_rep", order).alias("a"))
     links = compare(buckets.join(first, ["_band", "_hash"]).select("a", F.col("_rep").alias("b")))
-    used = durable(first.select("_band", "_hash", F.col("a").alias("_rep")))
-    while True:
-        components = connected(links)
-        placed = buckets.join(components.select(F.col("node").alias("_rep"), "component"), "_rep", "left").withColumn("_comp", F.coalesce("component", "_rep"))
-        mixed = placed.groupBy("_band", "_hash", "_comp").agg(F.count("*").alias("_n"))
-        largest = mixed.groupBy("_band", "_hash").agg(F.count("*").alias("_comps"), F.max_by("_comp", F.struct("_n", "_comp")).alias("_main")).where("_comps > 1")
-        open_ = durable(placed.join(largest.select("_band", "_hash", "_main"), ["_band", "_hash"]).select("_band", "_hash", "_rep", "_comp", "_main"))
-        outside = open_.where(F.col("_comp") != F.col("_main")).join(used, ["_band", "_hash", "_rep"], "left_anti")
-        # Of each bucket the next few: a bounded heap per key, combined before the shuffle.
-        ranked = Window.partitionBy("_band", "_hash").orderBy(order, "_rep")
-        chosen = durable(outside.withColumn("_k", F.row_number().over(ranked)).where(F.col("_k") <= centres).select("_band", "_hash", F.col("_rep").alias("a"), F.col("_comp").alias("_own")))
-        if chosen.isEmpty():
-            break
-        against = open_.join(chosen, ["_band", "_hash"]).where(F.col("_comp") != F.col("_own"))
-        links = durable(links.union(compare(against.select("a", F.col("_rep").alias("b")))))
-        used = durable(used.union(chosen.select("_band", "_hash", F.col("a").alias("_rep"))))
+    components = connected(links)
+    placed = buckets.join(components.select(F.col("node").alias("_rep"), "component"), "_rep", "left").withColumn("_comp", F.coalesce("component", "_rep")).drop("component")
+    mixed = placed.groupBy("_band", "_hash").agg(F.count("*").alias("_n"), F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).where("_lo <> _hi")
+    mixed = mixed.select("_band", "_hash", F.ceil(F.col("_n") / block_rows).cast("int").alias("_blocks"))
+    open_ = durable(placed.join(mixed, ["_band", "_hash"]))
+    some = full.join(open_.select(F.col("_rep").alias("_id")).distinct(), "_id", "left_semi")
+    fine = durable(some.mapInPandas(sketches(weights, idf_strength, shingle_words, sketch, seed), f"_rep {kind}, _sketch binary"))
+    own = open_.join(fine, "_rep").withColumn("_block", F.pmod(F.xxhash64("_rep"), F.col("_blocks")).cast("int"))
+    paired = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(
+        "_band", "_hash", F.least("_block", "_other").alias("_low"), F.greatest("_block", "_other").alias("_high"), "_block", "_rep", "_comp", "_sketch"
+    )
+    likely = paired.groupBy("_band", "_hash", "_low", "_high").applyInPandas(likely_pairs(threshold, bands * rows, sketch, deviations), f"a {kind}, b {kind}")
+    components = connected(durable(links.union(compare(likely))))
 
     grouped = members.join(components.select(F.col("node").alias("_rep"), "component"), "_rep", "left")
     ids = texts.select("_id").distinct()
