@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -92,6 +93,41 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(gone::int) AS BIGINT) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _starts(phrase: str) -> str:
+    want = phrase.split()
+    fits = " AND ".join(f"ws[i + {k}] = '{w}'" for k, w in enumerate(want))
+    return f"[i - 1 FOR i IN range(1, len(ws) + 1) IF {fits}]"
+
+
+def _op9_sql() -> str:
+    rows = []
+    for label, text in licence_scan.TEMPLATES:
+        words = sorted(set(licence_scan._words(text)))
+        rows.append(f"('{label}', {words!r}, {len(words)}, {math.ceil(0.8 * len(words) - 1e-9)})")
+    starts = ", ".join(f"{_starts(p)} AS s{k}" for k, (p, _) in enumerate(licence_scan.PHRASES))
+    base = ", ".join(f"CASE WHEN len(s{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(licence_scan.PHRASES))
+    every = ", ".join(f"s{k}" for k in range(len(licence_scan.PHRASES)))
+    return f"""
+WITH d AS (SELECT doc_id, {_LOWER} AS t FROM documents),
+w AS (SELECT doc_id, {_WORDS.format("t")} AS ws FROM d),
+s AS (SELECT doc_id, len(ws) AS n_words, {starts} FROM w),
+b AS (SELECT doc_id, n_words, flatten([{every}]) AS places, [x FOR x IN [{base}] IF x IS NOT NULL] AS base FROM s),
+blocks AS (SELECT doc_id, list_distinct({_WORDS.format("unnest(string_split(regexp_replace(t, '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(10), 'g'), chr(10)))")}) AS ws FROM d),
+tpl(label, own, n, need) AS (VALUES {", ".join(rows)}),
+met AS (SELECT doc_id, label, len(list_intersect(ws, own)) / n AS c FROM blocks JOIN tpl ON len(list_intersect(ws, own)) >= need),
+more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(c) AS best FROM met GROUP BY 1)
+SELECT b.doc_id, n_words, len(places)::bigint AS n_base, list_min(places)::bigint AS first_word, list_max(places)::bigint AS last_word,
+       array_to_string(list_sort(list_distinct(base)), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(base, coalesce(labels, [])))), ',') AS labels,
+       CASE WHEN len(places) > 0 THEN 1.0 ELSE coalesce(best, 0) END AS score
+FROM b LEFT JOIN more USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_html_extraction": op2_html_extraction,
@@ -105,4 +141,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL}
+ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL, "op9_licence_scan": _op9_sql()}
