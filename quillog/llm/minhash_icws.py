@@ -227,9 +227,11 @@ def sketches(weights, strength: float, shingle_words: int, samples: int, seed: i
     return run
 
 
-def likely_pairs(threshold: float, coarse: int, samples: int, deviations: float, slab: int = 128):
+def likely_pairs(threshold: float, bands: int, per_band: int, samples: int, deviations: float, slab: int = 128):
     """Pairs of two blocks of a bucket (or within one) from different components, unless their
-    sketches fall short of the threshold by ``deviations`` standard deviations."""
+    sketches fall short of the threshold by ``deviations`` standard deviations. A pair that shares
+    several buckets is looked at in that of its first band only."""
+    coarse = bands * per_band
 
     def least(n: int) -> float:
         return n * threshold - deviations * (n * threshold * (1 - threshold)) ** 0.5
@@ -255,7 +257,9 @@ def likely_pairs(threshold: float, coarse: int, samples: int, deviations: float,
             i, j = np.nonzero(apart & (same >= least(coarse)))
             for part in np.array_split(np.arange(len(i)), max(1, len(i) // 20_000)):
                 a, b = some[i[part]], right[j[part]]
-                near = (held[a] == held[b]).sum(1) >= least(samples)
+                equal = held[a] == held[b]
+                first = equal[:, :coarse].reshape(-1, bands, per_band).all(2).argmax(1) == key[0]
+                near = first & (equal.sum(1) >= least(samples))
                 out.append(pd.DataFrame({"a": ids[a[near]], "b": ids[b[near]]}))
         return pd.concat(out) if out else pd.DataFrame({"a": ids[:0], "b": ids[:0]})
 
@@ -372,7 +376,7 @@ def near_duplicates(
     paired = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).select(
         "_band", "_hash", F.least("_block", "_other").alias("_low"), F.greatest("_block", "_other").alias("_high"), "_block", "_rep", "_comp", "_sketch"
     )
-    likely = paired.groupBy("_band", "_hash", "_low", "_high").applyInPandas(likely_pairs(threshold, bands * rows, sketch, deviations), f"a {kind}, b {kind}")
+    likely = paired.groupBy("_band", "_hash", "_low", "_high").applyInPandas(likely_pairs(threshold, bands, rows, sketch, deviations), f"a {kind}, b {kind}")
     components = connected(durable(links.union(compare(likely))))
 
     grouped = members.join(components.select(F.col("node").alias("_rep"), "component"), "_rep", "left")
