@@ -1,7 +1,7 @@
 """SentencePiece encoding with seeded merge-dropout, and lossless decoding.
 
 Merges run from an agenda, best piece first and leftmost among equals. A popped merge is skipped
-when a keyed hash of its unit, place and piece falls below the dropout rate, so one seed always
+when a keyed hash of its unit, place and rank falls below the dropout rate, so one seed always
 gives one segmentation and other seeds give others. A space starts a unit and nothing but spaces
 joins units, so each unit is segmented by itself; a unit has ``variants`` segmentations and each of
 its occurrences takes one by a hash of seed, row key and position.
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 MASK = (1 << 64) - 1
+NEVER = 1 << 40
 
 
 class Pieces:
@@ -37,7 +38,9 @@ class Pieces:
         n = model.get_piece_size()
         plain = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i))]
         self.ids = {model.id_to_piece(i): i for i in plain}
-        self.rank = {model.id_to_piece(i): (-model.get_score(i), i) for i in plain}
+        scores = sorted({model.get_score(i) for i in plain}, reverse=True)
+        order = {score: k for k, score in enumerate(scores)}
+        self.rank = {model.id_to_piece(i): order[model.get_score(i)] for i in plain}
         self.bytes = {int(model.id_to_piece(i)[3:5], 16): i for i in range(n) if model.is_byte(i)}
         self.surface = [b""] * n
         for piece, i in self.ids.items():
@@ -48,9 +51,13 @@ class Pieces:
             raise ValueError("the model has no byte fallback, so decoding could lose characters")
         if any(re.search(f"[^{SPACE}]{SPACE}|\n", piece) for piece in self.ids):
             raise ValueError("pieces run over the ends of units")
+        if any(re.search(r"[^\W_²][\W_²]", piece) for piece in self.ids):
+            raise ValueError("a piece goes on after a word")
 
     def segment(self, unit: str, dropout: float, key: int) -> list[int]:
         """Piece ids of one unit; with ``dropout`` 0 the plain BPE segmentation."""
+        if len(unit) <= SHORT:
+            return self._segment_short(unit, dropout, key)
         symbols = list(unit)
         n = len(symbols)
         follow, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -59,16 +66,16 @@ class Pieces:
 
         def offer(left: int, right: int) -> None:
             known = rank.get(symbols[left] + symbols[right])
-            if known:
-                heapq.heappush(agenda, (known[0], left, known[1], right, len(symbols[left]), len(symbols[right])))
+            if known is not None:
+                heapq.heappush(agenda, (known, left, right, len(symbols[left]), len(symbols[right])))
 
         for i in range(n - 1):
             offer(i, i + 1)
         while agenda:
-            _, left, piece, right, a, b = heapq.heappop(agenda)
+            place, left, right, a, b = heapq.heappop(agenda)
             if len(symbols[left]) != a or len(symbols[right]) != b or follow[left] != right:
                 continue
-            if bound and _skipped(key, left, piece, bound):
+            if bound and _skipped(key, left, place, bound):
                 continue
             symbols[left] += symbols[right]
             symbols[right] = ""
@@ -78,19 +85,44 @@ class Pieces:
                 offer(left, follow[left])
             if before[left] >= 0:
                 offer(before[left], left)
+        return self._numbers(s for s in symbols if s)
+
+    def _segment_short(self, unit: str, dropout: float, key: int) -> list[int]:
+        """The same agenda as a plain list: the best of a few candidates is found fastest by looking."""
+        symbols = list(unit)
+        places = list(range(len(symbols)))
+        rank, bound = self.rank, int(dropout * (1 << 32))
+        agenda = [rank.get(a + b, NEVER) for a, b in zip(symbols, symbols[1:], strict=False)]
+        while agenda:
+            best = min(agenda)
+            if best == NEVER:
+                break
+            i = agenda.index(best)
+            if bound and _skipped(key, places[i], best, bound):
+                agenda[i] = NEVER
+                continue
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            del places[i + 1], agenda[i]
+            if i < len(agenda):
+                agenda[i] = rank.get(symbols[i] + symbols[i + 1], NEVER)
+            if i:
+                agenda[i - 1] = rank.get(symbols[i - 1] + symbols[i], NEVER)
+        return self._numbers(symbols)
+
+    def _numbers(self, symbols) -> list[int]:
         out: list[int] = []
         for s in symbols:
-            if s:
-                known = self.ids.get(s)
-                out.extend([known] if known is not None else [self.bytes[b] for b in s.encode()])
+            known = self.ids.get(s)
+            if known is not None:
+                out.append(known)
+            else:
+                out.extend([self.bytes[b] for b in s.encode()])
         return out
 
 
-def _skipped(key: int, left: int, piece: int, bound: int) -> bool:
-    x = (key ^ (left * 0x9E3779B97F4A7C15) ^ (piece * 0xC2B2AE3D27D4EB4F)) & MASK
-    x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & MASK
-    x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & MASK
-    return (x >> 32) < bound
+def _skipped(key: int, left: int, place: int, bound: int) -> bool:
+    """``key`` is itself a hash of unit, seed and variant; one multiplication spreads place and merge over it."""
+    return (((key ^ (left << 24) ^ place) * 0x9E3779B97F4A7C15 & MASK) >> 32) < bound
 
 
 @cache
@@ -98,17 +130,19 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-#: Spaces belong to the unit after them; line breaks and the space mark itself stand alone.
-UNITS = re.compile(f" *[^ \n{SPACE}]+| +|\n|{SPACE}")
+#: A unit is the spaces before it, marks, and then letters and digits, after which no piece goes on;
+#: line breaks and the space mark itself stand alone.
+UNITS = re.compile(rf" *(?:[^\w \n{SPACE}]|[_²])*[^\W_²]+| *(?:[^\w \n{SPACE}]|[_²])+| +|\n|{SPACE}")
+SHORT = 48
 
 
 class Encoder:
-    """Segmentations of units, kept up to ``held`` of them for each variant."""
+    """Segmentations of units, of which up to ``held`` are kept."""
 
-    def __init__(self, path: str, dropout: float, seed: int, variants: int, held: int = 25_000):
+    def __init__(self, path: str, dropout: float, seed: int, variants: int, held: int = 1_000_000):
         self.table, self.dropout, self.seed = pieces(path), dropout, seed
         self.variants = variants if dropout else 1
-        self.held = held
+        self.held = held // self.variants
         self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
 
     def unit(self, unit: str, variant: int) -> bytes:
@@ -146,7 +180,7 @@ def _encoder(path: str, dropout: float, seed: int, variants: int) -> Encoder:
     return Encoder(path, dropout, seed, variants)
 
 
-def encode(text: Column, row_key: Column, *, model: str = MODEL, dropout: float = 0.1, seed: int = 1, variants: int = 8) -> Column:
+def encode(text: Column, row_key: Column, *, model: str = MODEL, dropout: float = 0.1, seed: int = 1, variants: int = 4) -> Column:
     """Piece ids of ``text``. ``row_key`` (a bigint, such as a hash of the id) chooses among variants.
 
     Null gives null, an empty text no ids. Any other text, however long and whatever its characters,
@@ -163,7 +197,7 @@ def encode(text: Column, row_key: Column, *, model: str = MODEL, dropout: float
 
 
 def encode_table(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, dropout: float = 0.1, seed: int = 1, variants: int = 8, slab: int = 256
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, dropout: float = 0.1, seed: int = 1, variants: int = 4, slab: int = 256
 ) -> DataFrame:
     """(id, n_pieces, piece_ids, decoded_sha256, lossless) of every row: encoded, decoded and compared.
 
