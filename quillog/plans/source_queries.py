@@ -86,7 +86,7 @@ def src_epoch_millis(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(_K, ingest.epoch_millis(text).alias("millis"))
 
 
-@query("src_movetext_plies", "SELECT o_orderkey, ply::int AS ply, CASE WHEN ply % 2 = 1 THEN 'white' ELSE 'black' END AS color, ['e4', 'e5', 'Nf3', 'Nc6', 'O-O'][ply] AS san, CASE ply WHEN 1 THEN 300.0 WHEN 2 THEN 240.0 + o_orderkey % 60 END AS clock FROM orders, range(1, 6) t(ply)")
+@query("src_movetext_plies", "SELECT o_orderkey, ply::int AS ply, CASE WHEN ply % 2 = 1 THEN 'white' ELSE 'black' END AS color, ['e4', 'e5', 'Nf3', 'Nc6', 'O-O'][ply] AS san, (CASE ply WHEN 1 THEN 300 WHEN 2 THEN 240 + o_orderkey % 60 END)::double AS clock FROM orders, range(1, 6) t(ply)")
 def src_movetext_plies(spark, sf_dir):
     own = texts(spark, sf_dir).withColumn("pgn", F.concat(F.lit('[GameId "'), F.col(_K).cast("string"), F.lit('"]\n'), F.col("pgn")))
     return ingest.plies(own).select(F.col("game_id").cast("bigint").alias(_K), "ply", "color", "san", "clock")
