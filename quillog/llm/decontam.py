@@ -2,8 +2,8 @@
 
 Texts become word templates: numbers, names and units turn into typed placeholders, all else is
 lower-cased. Windows of eight template words are joined by hash with those of the benchmark, so a
-question whose numbers or names were changed still meets its source. Within one alignment of a
-document and an item the slots must agree: each value of the item stands for one value in the
+question whose numbers or names were changed still meets its source. A second, case-blind template
+keeps the names as words, so a copy in another case meets it too. Within one alignment of a document and an item the slots must agree: each value of the item stands for one value in the
 document and the other way round. What remains is counted as the share of the item's windows.
 """
 
@@ -53,33 +53,40 @@ def _template(word: Column, before: Column, after: Column) -> Column:
 def windows(rows: DataFrame, *, keys: list[str], text_col: str, width: int, slots: bool) -> DataFrame:
     """``keys``, _pos and _hash of every window of ``width`` template words, by position.
 
-    With ``slots`` also _slots, the (type, value) of its placeholders in order. Only the benchmark
-    and the few windows that have met it need them, so the main pass goes without.
+    A window whose case-blind template (names are words, all words folded) differs has a second row
+    with that hash. With ``slots`` also _slots, the (type, value) of the placeholders of that view in
+    order, and _main, false for the second row. Only the benchmark and the few windows that have met
+    it need them, so the main pass goes without.
     """
     read = rows.select(*keys, F.regexp_extract_all(F.col(text_col), F.lit(TOKEN), F.lit(0)).alias("_raw"))
     at = F.col("_raw")
     words = F.filter(F.sequence(F.lit(0), F.size(at) - 1), lambda i: ~F.substring(F.get(at, i), 1, 1).isin(*ENDS))
     word = lambda i: _template(F.get(at, i), F.get(at, i - 1), F.get(at, i + 1))
-    if slots:
-        tokens = F.transform(words, lambda i: F.struct(word(i).alias("t"), F.lower(F.get(at, i)).alias("v")))
-        read = read.select(*keys, F.when(F.size(at) > 0, tokens).alias("_tok"))
-        read = read.select(*keys, "_tok", F.transform("_tok", lambda x: F.xxhash64(x["t"])).alias("_code"))
-    else:
-        read = read.select(*keys, F.when(F.size(at) > 0, F.transform(words, lambda i: F.xxhash64(word(i)))).alias("_code"))
+    tokens = F.transform(words, lambda i: F.struct(word(i).alias("t"), F.get(at, i).alias("w")))
+    read = read.select(*keys, F.when(F.size(at) > 0, tokens).alias("_tok"))
+    # Upper before lower, since some letters (ß) have no upper case of their own; the concatenation
+    # keeps the optimizer from taking the inner one away.
+    blind = lambda x: F.when(x["t"].isin(NUMBER, UNIT), x["t"]).otherwise(F.lower(F.concat(F.upper(x["w"]), F.lit(""))))
+    codes = [F.transform("_tok", lambda x: F.xxhash64(x["t"])).alias("_code"), F.transform("_tok", lambda x: F.xxhash64(blind(x))).alias("_blind")]
+    read = read.select(*keys, *(["_tok"] if slots else []), *codes)
 
     def window(i: Column) -> Column:
-        code = F.xxhash64(F.slice("_code", i + 1, F.lit(width)))
+        hashes = [F.xxhash64(F.slice(code, i + 1, F.lit(width))).alias(code) for code in ("_code", "_blind")]
         if not slots:
-            return code
+            return F.struct(*hashes)
         held = F.filter(F.slice("_tok", i + 1, F.lit(width)), lambda x: x["t"].isin(NUMBER, NAME, UNIT))
-        return F.struct(code.alias("h"), held.alias("s"))
+        return F.struct(*hashes, F.transform(held, lambda x: F.struct(x["t"].alias("t"), F.lower(x["w"]).alias("v"))).alias("s"))
 
     every = F.transform(F.sequence(F.lit(0), F.size("_code") - width), window)
     # The outer form spares a filter that would compute the array once more for its size.
     spread = read.select(*keys, F.posexplode_outer(F.when(F.size("_code") >= width, every)).alias("_pos", "_w")).where(F.col("_w").isNotNull())
-    if slots:
-        return spread.select(*keys, "_pos", F.col("_w.h").alias("_hash"), F.col("_w.s").alias("_slots"))
-    return spread.withColumnRenamed("_w", "_hash")
+    main, other = F.col("_w._code"), F.col("_w._blind")
+    if not slots:
+        return spread.select(*keys, "_pos", F.explode(F.when(main == other, F.array(main)).otherwise(F.array(main, other))).alias("_hash"))
+    first = F.struct(main.alias("h"), F.col("_w.s").alias("s"), F.lit(True).alias("m"))
+    second = F.struct(other.alias("h"), F.filter("_w.s", lambda x: x["t"] != NAME).alias("s"), F.lit(False).alias("m"))
+    spread = spread.select(*keys, "_pos", F.explode(F.when(main == other, F.array(first)).otherwise(F.array(first, second))).alias("_v"))
+    return spread.select(*keys, "_pos", F.col("_v.h").alias("_hash"), F.col("_v.s").alias("_slots"), F.col("_v.m").alias("_main"))
 
 
 def leaks(
@@ -97,39 +104,44 @@ def leaks(
 ) -> DataFrame:
     """_k1, _k2 (hashes of id and text), item, coverage, same_slots for each leak found.
 
+    Coverage is the share of the item's windows met through its main template, or of all its windows
+    met through either template, whichever is larger.
+
     The benchmark's windows are counted first and broadcast only up to ``broadcast_rows`` of them
     (under 100 bytes each); beyond that Spark joins by shuffle.
     """
     items = benchmark.where(F.col(item_text_col).isNotNull()).select(F.col(item_col).alias("_item"), F.col(item_text_col).alias("_text")).distinct()
     own = windows(items, keys=["_item"], text_col="_text", width=width, slots=True).where(width - F.size("_slots") >= min_literals)
-    own = own.select("_item", F.col("_pos").alias("_ipos"), "_hash", F.col("_slots").alias("_islots"))
-    per_item = own.groupBy("_item").agg(F.count_distinct("_ipos").alias("_total"))
+    own = own.select("_item", F.col("_pos").alias("_ipos"), "_hash", F.col("_slots").alias("_islots"), "_main")
+    per_item = own.groupBy("_item").agg(F.count_distinct(F.when(F.col("_main"), F.col("_ipos"))).alias("_total"), F.count_distinct("_ipos").alias("_either"))
     own = own.join(per_item, "_item")
     bounded = own.count() <= broadcast_rows
     rows = docs.select(F.xxhash64(id_col, text_col).alias("_k1"), F.xxhash64(F.lit(11), text_col, id_col).alias("_k2"), F.col(text_col).alias("_text"))
     rows = rows.where(F.col("_text").isNotNull())
     plain = windows(rows, keys=["_k1", "_k2"], text_col="_text", width=width, slots=False)
-    met = durable(plain.join(F.broadcast(own) if bounded else own, "_hash").drop("_hash"))
+    met = durable(plain.join(F.broadcast(own) if bounded else own, "_hash"))
 
     # Slots of the documents in which a window with placeholders was met, read a second time.
-    slotted = met.where(F.size("_islots") > 0).select("_k1", "_k2", "_pos").distinct()
+    slotted = met.where(F.size("_islots") > 0).select("_k1", "_k2", "_pos", "_hash").distinct()
     again = rows.join(slotted.select("_k1", "_k2").distinct(), ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
-    filled = windows(again, keys=["_k1", "_k2"], text_col="_text", width=width, slots=True).select("_k1", "_k2", "_pos", "_slots")
-    met = met.join(filled.join(slotted, ["_k1", "_k2", "_pos"], "left_semi"), ["_k1", "_k2", "_pos"], "left")
+    filled = windows(again, keys=["_k1", "_k2"], text_col="_text", width=width, slots=True).drop("_main")
+    met = met.join(filled.join(slotted, ["_k1", "_k2", "_pos", "_hash"], "left_semi"), ["_k1", "_k2", "_pos", "_hash"], "left")
 
     # One alignment of an item within a document: the slots of its windows must map one to one.
     pairs = F.zip_with("_islots", "_slots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    aligned = met.groupBy("_k1", "_k2", "_item", "_total", (F.col("_pos") - F.col("_ipos")).alias("_shift")).agg(
-        F.collect_set("_ipos").alias("_at"), F.array_distinct(F.flatten(F.collect_set(F.when(F.size("_islots") > 0, pairs)))).alias("_map")
+    aligned = met.groupBy("_k1", "_k2", "_item", "_total", "_either", (F.col("_pos") - F.col("_ipos")).alias("_shift")).agg(
+        F.collect_set(F.when(F.col("_main"), F.col("_ipos"))).alias("_at"),
+        F.collect_set("_ipos").alias("_any"),
+        F.array_distinct(F.flatten(F.collect_set(F.when(F.size("_islots") > 0, pairs)))).alias("_map"),
     )
     left = F.size(F.array_distinct(F.transform("_map", lambda x: x["a"])))
     right = F.size(F.array_distinct(F.transform("_map", lambda x: x["b"])))
     agreed = aligned.where((left == F.size("_map")) & (right == F.size("_map")))
     same = F.forall("_map", lambda x: x["a"]["v"] == x["b"]["v"])
-    found = agreed.groupBy("_k1", "_k2", "_item", "_total").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set("_at")))).alias("_n"), F.bool_and(same).alias("_same")
-    )
-    return found.select("_k1", "_k2", "_item", (F.col("_n") / F.col("_total")).alias("_coverage"), F.col("_same").alias("_same")).where(F.col("_coverage") >= min_coverage)
+    spots = lambda name: F.size(F.array_distinct(F.flatten(F.collect_set(name))))
+    found = agreed.groupBy("_k1", "_k2", "_item", "_total", "_either").agg(spots("_at").alias("_n"), spots("_any").alias("_m"), F.bool_and(same).alias("_same"))
+    coverage = F.greatest(F.when(F.col("_total") > 0, F.col("_n") / F.col("_total")), F.col("_m") / F.col("_either"))
+    return found.select("_k1", "_k2", "_item", coverage.alias("_coverage"), "_same").where(F.col("_coverage") >= min_coverage)
 
 
 def flag(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -152,6 +152,18 @@ def test_leaks_and_reparameterised_leaks(spark):
     assert not any(r._contaminated for r in decontam.flag(docs, bench.limit(0)).collect())
 
 
+def test_leaks_in_another_case(spark):
+    item = "A train from Paris leaves at 9 and covers 120 km before it reaches the old bridge in Lyon at 11 exactly."
+    street = "Die Straße nach Weiß ist im Winter sehr glatt und die Füße werden dabei schnell nass und kalt"
+    copies = [item.upper(), item.lower(), item.swapcase(), street.upper(), street.lower(), item.upper().replace("120", "250"), " ".join(prose(4, 40)).upper()]
+    docs = spark.createDataFrame([(i, f"Intro. {t}") for i, t in enumerate(copies)], "doc_id int, text string")
+    bench = spark.createDataFrame([(7, item), (8, street)], "item_id int, text string")
+    got = {r.doc_id: r for r in decontam.flag(docs, bench).collect()}
+    assert [got[i]._items for i in range(7)] == [[7], [7], [7], [8], [8], [7], None]
+    assert [got[i]._same_slots for i in range(6)] == [True, True, True, True, True, False]
+    assert all(got[i]._coverage == 1 for i in range(6))
+
+
 def test_slots_must_agree(spark):
     item = "First take 5 apples then add 7 pears then count 5 apples again and again until the whole basket is full"
     bad = "First take 3 apples then add 4 pears then count 8 apples again and again until the whole basket is full"
