@@ -1,20 +1,23 @@
 """SentencePiece encoding with seeded merge-dropout, and lossless decoding.
 
 Merges run from an agenda, best piece first and leftmost among equals. A popped merge is skipped
-when a keyed hash of its unit, place and rank falls below the dropout rate, so one seed always
-gives one segmentation and other seeds give others. A space starts a unit and nothing but spaces
-joins units, so each unit is segmented by itself; a unit has ``variants`` segmentations and each of
-its occurrences takes one by a hash of seed, row key and position.
+with the dropout rate, drawn afresh in every occurrence of a unit by a hash of seed, row key and
+position, so one seed always gives one segmentation and other seeds give others. A space starts a
+unit and nothing but spaces joins units, so each unit is segmented by itself.
+
+What is drawn is the number of merges up to the next skip, which is geometric. The skips alone decide
+the segmentation, so segmentations are kept in a tree by unit and skips, and an occurrence without a
+skip needs one look.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -54,15 +57,17 @@ class Pieces:
         if any(re.search(r"[^\W_²][\W_²]", piece) for piece in self.ids):
             raise ValueError("a piece goes on after a word")
 
-    def segment(self, unit: str, dropout: float, key: int) -> list[int]:
-        """Piece ids of one unit; with ``dropout`` 0 the plain BPE segmentation."""
+    def segment(self, unit: str, skips: Iterable[int] = ()) -> tuple[list[int], int]:
+        """Piece ids of one unit, and how many merges were popped. ``skips`` are the numbers (from 0,
+        ascending) of the pops to skip; without any it is the plain BPE segmentation."""
         if len(unit) <= SHORT:
-            return self._segment_short(unit, dropout, key)
+            return self._segment_short(unit, skips)
         symbols = list(unit)
         n = len(symbols)
         follow, before = list(range(1, n + 1)), list(range(-1, n - 1))
         rank, agenda = self.rank, []
-        bound = int(dropout * (1 << 32))
+        coming, pops = iter(skips), 0
+        skip = next(coming, NEVER)
 
         def offer(left: int, right: int) -> None:
             known = rank.get(symbols[left] + symbols[right])
@@ -72,10 +77,12 @@ class Pieces:
         for i in range(n - 1):
             offer(i, i + 1)
         while agenda:
-            place, left, right, a, b = heapq.heappop(agenda)
+            _, left, right, a, b = heapq.heappop(agenda)
             if len(symbols[left]) != a or len(symbols[right]) != b or follow[left] != right:
                 continue
-            if bound and _skipped(key, left, place, bound):
+            pops += 1
+            if pops > skip:
+                skip = next(coming, NEVER)
                 continue
             symbols[left] += symbols[right]
             symbols[right] = ""
@@ -85,29 +92,31 @@ class Pieces:
                 offer(left, follow[left])
             if before[left] >= 0:
                 offer(before[left], left)
-        return self._numbers(s for s in symbols if s)
+        return self._numbers(s for s in symbols if s), pops
 
-    def _segment_short(self, unit: str, dropout: float, key: int) -> list[int]:
+    def _segment_short(self, unit: str, skips: Iterable[int]) -> tuple[list[int], int]:
         """The same agenda as a plain list: the best of a few candidates is found fastest by looking."""
-        symbols = list(unit)
-        places = list(range(len(symbols)))
-        rank, bound = self.rank, int(dropout * (1 << 32))
+        symbols, rank = list(unit), self.rank
+        coming, pops = iter(skips), 0
+        skip = next(coming, NEVER)
         agenda = [rank.get(a + b, NEVER) for a, b in zip(symbols, symbols[1:], strict=False)]
         while agenda:
             best = min(agenda)
             if best == NEVER:
                 break
             i = agenda.index(best)
-            if bound and _skipped(key, places[i], best, bound):
+            pops += 1
+            if pops > skip:
+                skip = next(coming, NEVER)
                 agenda[i] = NEVER
                 continue
             symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
-            del places[i + 1], agenda[i]
+            del agenda[i]
             if i < len(agenda):
                 agenda[i] = rank.get(symbols[i] + symbols[i + 1], NEVER)
             if i:
                 agenda[i - 1] = rank.get(symbols[i - 1] + symbols[i], NEVER)
-        return self._numbers(symbols)
+        return self._numbers(symbols), pops
 
     def _numbers(self, symbols) -> list[int]:
         out: list[int] = []
@@ -120,9 +129,15 @@ class Pieces:
         return out
 
 
-def _skipped(key: int, left: int, place: int, bound: int) -> bool:
-    """``key`` is itself a hash of unit, seed and variant; one multiplication spreads place and merge over it."""
-    return (((key ^ (left << 24) ^ place) * 0x9E3779B97F4A7C15 & MASK) >> 32) < bound
+def _mixed(x):
+    """A 64-bit number, or an array of them, spread over all bits."""
+    if isinstance(x, int):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & MASK
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & MASK
+        return x ^ x >> 31
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 @cache
@@ -134,41 +149,77 @@ def pieces(path: str) -> Pieces:
 #: line breaks and the space mark itself stand alone.
 UNITS = re.compile(rf" *(?:[^\w \n{SPACE}]|[_²])*[^\W_²]+| *(?:[^\w \n{SPACE}]|[_²])+| +|\n|{SPACE}")
 SHORT = 48
+KEPT = 16  # longer units have too many ways to be skipped to keep them
 
 
 class Encoder:
-    """Segmentations of units, of which up to ``held`` are kept."""
+    """Segmentations of units, of which up to ``held`` are kept.
+
+    A node is [ids, pops, nodes by their next skip]; the root of a unit is its plain segmentation.
+    """
 
-    def __init__(self, path: str, dropout: float, seed: int, variants: int, held: int = 1_000_000):
-        self.table, self.dropout, self.seed = pieces(path), dropout, seed
-        self.variants = variants if dropout else 1
-        self.held = held // self.variants
-        self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+    def __init__(self, path: str, dropout: float, seed: int, held: int = 600_000):
+        self.table, self.dropout, self.seed, self.held = pieces(path), dropout, seed, held
+        self.known: dict[str, list] = {}
+        self.size = 0
+        self.scale = 0.0 if dropout <= 0 else 1 / math.log1p(-dropout) if dropout < 1 else -0.0
 
-    def unit(self, unit: str, variant: int) -> bytes:
+    def _node(self, unit: str, skips: Iterable[int] = ()) -> list:
         if unit == SPACE:
-            found = [self.table.bytes[b] for b in SPACE.encode()]
+            found, pops = [self.table.bytes[b] for b in SPACE.encode()], 0
         else:
-            key = xxhash.xxh64_intdigest(unit.encode(), seed=(self.seed * 1_000_003 + variant) & MASK)
-            found = self.table.segment(unit.replace(" ", SPACE), self.dropout, key)
-        out = np.array(found, dtype=np.int32).tobytes()
-        known = self.known[variant]
-        if len(known) < self.held:  # frequent units come early and stay
-            known[unit] = out
-        return out
+            found, pops = self.table.segment(unit.replace(" ", SPACE), skips)
+        return [np.array(found, dtype=np.int32).tobytes(), pops, None]
+
+    def plain(self, unit: str) -> list:
+        node = self._node(unit)
+        if self.size < self.held:  # frequent units come early and stay
+            self.known[unit] = node
+            self.size += 1
+        return node
+
+    def _skips(self, first: int, draw: int) -> Iterator[int]:
+        """The numbers of the skipped pops of one occurrence, without end."""
+        skip = first
+        while True:
+            yield skip
+            draw = draw + 0x9E3779B97F4A7C15 & MASK
+            skip += 1 + int(math.log1p(-(_mixed(draw) >> 11) / (1 << 53)) * self.scale)
+
+    def dropped(self, unit: str, node: list, first: int, draw: int) -> bytes:
+        """The ids of an occurrence whose first skipped pop is ``first``."""
+        skips = self._skips(first, draw)
+        if len(unit) > KEPT:
+            return self._node(unit, skips)[0]
+        gone: list[int] = []
+        for skip in skips:
+            if skip >= node[1]:
+                break
+            gone.append(skip)
+            found = node[2].get(skip) if node[2] else None
+            if found is None:
+                found = self._node(unit, gone)
+                if self.size < self.held:
+                    if node[2] is None:
+                        node[2] = {}
+                    node[2][skip] = found
+                    self.size += 1
+            node = found
+        return node[0]
 
     def encode(self, text: str, row_key: int) -> np.ndarray:
         if not text:
             return np.zeros(0, dtype=np.int32)
         units = UNITS.findall(" " + text)
-        if self.variants == 1:
-            takes = repeat(0)
-        else:
-            x = np.arange(len(units), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64((row_key ^ self.seed * 0xC2B2AE3D27D4EB4F) & MASK)
-            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-            takes = ((x >> np.uint64(33)) % np.uint64(self.variants)).tolist()
-        known = self.known
-        return np.frombuffer(b"".join([known[k].get(u) or self.unit(u, k) for u, k in zip(units, takes, strict=False)]), dtype=np.int32)
+        get, plain = self.known.get, self.plain
+        if self.dropout <= 0:
+            return np.frombuffer(b"".join([(get(u) or plain(u))[0] for u in units]), dtype=np.int32)
+        base = xxhash.xxh64_intdigest((row_key & MASK).to_bytes(8, "little"), seed=self.seed & MASK)
+        draws = _mixed(np.arange(len(units), dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(base))
+        firsts = (np.log1p(-(_mixed(draws) >> np.uint64(11)).astype(np.float64) / (1 << 53)) * self.scale).astype(np.int64).tolist()
+        dropped = self.dropped
+        found = [n[0] if g >= (n := get(u) or plain(u))[1] else dropped(u, n, g, int(draws[i])) for i, (u, g) in enumerate(zip(units, firsts, strict=True))]
+        return np.frombuffer(b"".join(found), dtype=np.int32)
 
     def decode(self, ids) -> str:
         whole = b"".join([self.table.surface[i] for i in ids])
@@ -176,12 +227,12 @@ class Encoder:
 
 
 @cache
-def _encoder(path: str, dropout: float, seed: int, variants: int) -> Encoder:
-    return Encoder(path, dropout, seed, variants)
+def _encoder(path: str, dropout: float, seed: int) -> Encoder:
+    return Encoder(path, dropout, seed)
 
 
-def encode(text: Column, row_key: Column, *, model: str = MODEL, dropout: float = 0.1, seed: int = 1, variants: int = 4) -> Column:
-    """Piece ids of ``text``. ``row_key`` (a bigint, such as a hash of the id) chooses among variants.
+def encode(text: Column, row_key: Column, *, model: str = MODEL, dropout: float = 0.1, seed: int = 1) -> Column:
+    """Piece ids of ``text``. ``row_key`` (a bigint, such as a hash of the id) keys the dropout.
 
     Null gives null, an empty text no ids. Any other text, however long and whatever its characters,
     decodes to itself; what the vocabulary lacks becomes bytes. Equal text and key give equal ids.
@@ -189,7 +240,7 @@ def encode(text: Column, row_key: Column, *, model: str = MODEL, dropout: float
 
     @F.pandas_udf("array<int>")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        own = _encoder(model, dropout, seed, variants)
+        own = _encoder(model, dropout, seed)
         for texts, keys in batches:
             yield pd.Series([None if t is None else own.encode(t, int(k)) for t, k in zip(texts, keys, strict=True)], dtype=object)
 
@@ -197,7 +248,7 @@ def encode(text: Column, row_key: Column, *, model: str = MODEL, dropout: float
 
 
 def encode_table(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, dropout: float = 0.1, seed: int = 1, variants: int = 4, slab: int = 256
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, dropout: float = 0.1, seed: int = 1, slab: int = 256
 ) -> DataFrame:
     """(id, n_pieces, piece_ids, decoded_sha256, lossless) of every row: encoded, decoded and compared.
 
@@ -208,7 +259,7 @@ def encode_table(
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _encoder(model, dropout, seed, variants)
+        own = _encoder(model, dropout, seed)
         for batch in batches:
             for at in range(0, batch.num_rows, slab):
                 part = batch.slice(at, slab)
@@ -234,7 +285,7 @@ def decode(ids: Column, *, model: str = MODEL) -> Column:
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = _encoder(model, 0.0, 0, 1)
+        own = _encoder(model, 0.0, 0)
         for some in batches:
             yield pd.Series([None if x is None else own.decode(x.tolist()) for x in some], dtype=object)
 

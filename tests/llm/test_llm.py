@@ -104,6 +104,22 @@ def test_pieces_round_trip_and_vary():
     assert a.encode(texts[5], 5).tolist() != b.encode(texts[5], 5).tolist()
 
 
+def test_dropout_is_drawn_per_occurrence(spark):
+    n = 20_000
+    words = "consideration " * 500
+    docs = spark.createDataFrame([(1, "e " * n), (2, words)], DOCS.rsplit(",", 1)[0])
+    got = {r.doc_id: r for r in piece_codec.encode_table(docs).collect()}
+    assert abs(got[1].n_pieces / n - 1.1) < 0.01  # one merge in each word
+    surface = piece_codec.pieces(piece_codec.MODEL).surface
+    ways = "".join(f"{' ' if surface[i].startswith(b' ') else '|'}{i}" for i in got[2].piece_ids).split()
+    assert got[1].lossless and got[2].lossless and len(set(ways)) > 10
+
+
+def test_full_dropout_leaves_characters():
+    text = "consideration " + "y" * 80
+    assert len(piece_codec.Encoder(piece_codec.MODEL, 1.0, 1, 4).encode(text, 3)) == len(" " + text)
+
+
 def test_piece_table_edges(edge, empty):
     got = {(r.doc_id, r.n_pieces, r.lossless) for r in piece_codec.encode_table(edge).select("doc_id", "n_pieces", "lossless").collect()}
     assert (1, None, True) in got and (2, 0, True) in got and all(x[2] for x in got)
