@@ -54,8 +54,8 @@ def windows(rows: DataFrame, *, keys: list[str], text_col: str, width: int, slot
     """``keys``, _pos and _hash of every window of ``width`` template words, by position.
 
     A window whose case-blind template (names are words, all words folded) differs has a second row
-    with that hash. With ``slots`` also _slots, the (type, value) of the placeholders of that view in
-    order, and _main, false for the second row. Only the benchmark and the few windows that have met
+    with that hash. With ``slots`` also _slots, the (type, value, place) of the placeholders of that
+    view in order, and _main, false for the second row. Only the benchmark and the few windows that have met
     it need them, so the main pass goes without.
     """
     read = rows.select(*keys, F.regexp_extract_all(F.col(text_col), F.lit(TOKEN), F.lit(0)).alias("_raw"))
@@ -74,8 +74,8 @@ def windows(rows: DataFrame, *, keys: list[str], text_col: str, width: int, slot
         hashes = [F.xxhash64(F.slice(code, i + 1, F.lit(width))).alias(code) for code in ("_code", "_blind")]
         if not slots:
             return F.struct(*hashes)
-        held = F.filter(F.slice("_tok", i + 1, F.lit(width)), lambda x: x["t"].isin(NUMBER, NAME, UNIT))
-        return F.struct(*hashes, F.transform(held, lambda x: F.struct(x["t"].alias("t"), F.lower(x["w"]).alias("v"))).alias("s"))
+        near = F.transform(F.slice("_tok", i + 1, F.lit(width)), lambda x, k: F.struct(x["t"].alias("t"), F.lower(x["w"]).alias("v"), (i + k).alias("p")))
+        return F.struct(*hashes, F.filter(near, lambda x: x["t"].isin(NUMBER, NAME, UNIT)).alias("s"))
 
     every = F.transform(F.sequence(F.lit(0), F.size("_code") - width), window)
     # The outer form spares a filter that would compute the array once more for its size.
@@ -127,19 +127,30 @@ def leaks(
     filled = windows(again, keys=["_k1", "_k2"], text_col="_text", width=width, slots=True).drop("_main")
     met = met.join(filled.join(slotted, ["_k1", "_k2", "_pos", "_hash"], "left_semi"), ["_k1", "_k2", "_pos", "_hash"], "left")
 
-    # One alignment of an item within a document: the slots of its windows must map one to one.
-    pairs = F.zip_with("_islots", "_slots", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    aligned = met.groupBy("_k1", "_k2", "_item", "_total", "_either", (F.col("_pos") - F.col("_ipos")).alias("_shift")).agg(
-        F.collect_set(F.when(F.col("_main"), F.col("_ipos"))).alias("_at"),
-        F.collect_set("_ipos").alias("_any"),
-        F.array_distinct(F.flatten(F.collect_set(F.when(F.size("_islots") > 0, pairs)))).alias("_map"),
+    # One alignment of an item within a document: a value stands for what most of its places have, on
+    # a tie for itself, else for nothing.
+    line = ["_k1", "_k2", "_item", "_shift"]
+    met = met.withColumn("_shift", F.col("_pos") - F.col("_ipos"))
+    pair = F.explode(F.zip_with("_islots", "_slots", lambda a, b: F.struct(a["p"].alias("p"), F.struct(a["t"], a["v"]).alias("a"), b["v"].alias("b"))))
+    pairs = met.where(F.size("_islots") > 0).select(*line, "_ipos", "_hash", pair.alias("_pair")).select(*line, "_ipos", "_hash", "_pair.*")
+    counted = pairs.groupBy(*line, "a", "b").agg(F.count_distinct("p").alias("_n"))
+    rivals = F.sort_array(F.collect_list(F.struct("_n", (F.col("b") == F.col("a.v")).alias("_own"), "b")), asc=False)
+    best, next_best = F.get("_r", F.lit(0)), F.get("_r", F.lit(1))
+    won = counted.groupBy(*line, "a").agg(rivals.alias("_r"))
+    tied = F.coalesce((best["_n"] == next_best["_n"]) & (best["_own"] == next_best["_own"]), F.lit(False))
+    won = won.select(*line, "a", F.when(~tied, best["b"]).alias("_won"))
+    lost = pairs.join(won, [*line, "a"]).where(~F.col("b").eqNullSafe(F.col("_won"))).select(*line, "_ipos", "_hash").distinct()
+    held = met.join(lost.withColumn("_lost", F.lit(True)), [*line, "_ipos", "_hash"], "left")
+    stays = F.col("_lost").isNull()
+    same = F.coalesce(F.forall(F.zip_with("_islots", "_slots", lambda a, b: a["v"] == b["v"]), lambda x: x), F.lit(True))
+    aligned = held.groupBy("_k1", "_k2", "_item", "_total", "_either", "_shift").agg(
+        F.collect_set(F.when(stays & F.col("_main"), F.col("_ipos"))).alias("_at"),
+        F.collect_set(F.when(stays, F.col("_ipos"))).alias("_any"),
+        F.bool_and(same).alias("_alike"),
     )
-    left = F.size(F.array_distinct(F.transform("_map", lambda x: x["a"])))
-    right = F.size(F.array_distinct(F.transform("_map", lambda x: x["b"])))
-    agreed = aligned.where((left == F.size("_map")) & (right == F.size("_map")))
-    same = F.forall("_map", lambda x: x["a"]["v"] == x["b"]["v"])
+    agreed = aligned.where(F.size("_any") > 0)
     spots = lambda name: F.size(F.array_distinct(F.flatten(F.collect_set(name))))
-    found = agreed.groupBy("_k1", "_k2", "_item", "_total", "_either").agg(spots("_at").alias("_n"), spots("_any").alias("_m"), F.bool_and(same).alias("_same"))
+    found = agreed.groupBy("_k1", "_k2", "_item", "_total", "_either").agg(spots("_at").alias("_n"), spots("_any").alias("_m"), F.bool_and("_alike").alias("_same"))
     coverage = F.greatest(F.when(F.col("_total") > 0, F.col("_n") / F.col("_total")), F.col("_m") / F.col("_either"))
     return found.select("_k1", "_k2", "_item", coverage.alias("_coverage"), "_same").where(F.col("_coverage") >= min_coverage)
 

@@ -188,6 +188,20 @@ def test_slots_must_agree(spark):
     assert not decontam.flag(docs, bench).first()._contaminated
 
 
+def test_one_altered_repeat_and_coinciding_values(spark):
+    trip = "A train from Paris goes over the hills and through the long valley until it comes back again to Paris after many quiet hours on the old line"
+    fruit = "First take 5 apples then add 7 pears and stir the whole bowl again and again until it is full to the brim"
+    copies = [trip, trip.replace("to Paris", "to London"), fruit.replace("5", "6").replace("7", "6"), trip.replace("from Paris", "from Rome").replace("to Paris", "to London")]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(copies)], "doc_id int, text string")
+    bench = spark.createDataFrame([(1, trip), (2, fruit)], "item_id int, text string")
+    got = {r.doc_id: r for r in decontam.flag(docs, bench).collect()}
+    assert [got[i]._items for i in range(3)] == [[1], [1], [2]]
+    assert [got[i]._same_slots for i in range(3)] == [True, False, False]
+    # Windows 13 to 20 of 21 hold the second place: only those are lost.
+    assert got[0]._coverage == 1 and abs(got[1]._coverage - 13 / 21) < 1e-9 and got[2]._coverage == 1
+    assert not got[3]._contaminated  # neither place speaks for the other
+
+
 # --- 6 urls ----------------------------------------------------------------------------------
 
 
