@@ -78,6 +78,9 @@ def parse(html: str) -> Node:
     links, at, skip = 0, 0, None
 
     def text(raw: str) -> None:
+        nonlocal node
+        if node.name == "head" and raw.strip():  # </head> may be left out
+            node = node.parent
         if raw and not node.dropped:
             node.parts.append((unescape(raw), links > 0))
 
@@ -102,6 +105,8 @@ def parse(html: str) -> Node:
             text("\n")
         elif name in BLOCKS or name in DROPPED:
             if opening:
+                if node.name == "head" and name not in VOID - {"hr"}:  # what may stand in a head is raw or void
+                    node = node.parent
                 if name in BLOCKS and node.name == "p":
                     node = node.parent
                 if name in IMPLIED_END:

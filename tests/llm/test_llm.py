@@ -80,6 +80,12 @@ def test_main_text(html, text):
     assert html_extract.main_text(html) == text
 
 
+@pytest.mark.parametrize("rest", ["<body><p>one<p>two", "<p>one<p>two</p></body>", "<div><p>one</p><p>two</p></div>", "</head><body><p>one<p>two"])
+def test_head_without_end_tag(rest):
+    assert html_extract.main_text(f"<html><head><meta charset=x><title>T</title><link href=y><style>s</style>\n{rest}") == "one\ntwo"
+    assert html_extract.main_text("<head><title>T</title>plain <b>text</b>") == "plain text"
+
+
 def test_extract_column(spark):
     df = spark.createDataFrame([(1, None), (2, "<p>a</p>")], "page_id int, html string")
     assert [r[0] for r in df.select(html_extract.extract(F.col("html"))).collect()] == ["", "a"]
