@@ -12,20 +12,30 @@ three languages, which is where transitions between languages are learned from.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cache
+from itertools import count, islice
 
 import numpy as np
 import pandas as pd
+import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORD = re.compile(r"[^\W\d_]+")
+from .names import free_prefix
+
+#: A letter and the letters and combining marks after it; numbers of any kind aren't letters.
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 UNKNOWN = "und"
+U = np.uint64
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A scramble of 64-bit integers."""
+    x = (x ^ (x >> U(32))) * U(0xD6E8FEB86659FD93)
+    return x ^ (x >> U(29))
 
 
 @dataclass
@@ -38,19 +48,38 @@ class Model:
     bits: int
     key: str = field(default="")
 
-    def features(self, word: str) -> list[int]:
-        marked = f"<{word}>"
-        n = len(marked)
-        own = {f"p{marked[:k]}" for k in range(2, min(5, n))} | {f"s{marked[-k:]}" for k in range(2, min(5, n))}
-        own |= {marked[i : i + k] for k in (2, 3) for i in range(n - k + 1)}
-        mask = (1 << self.bits) - 1
-        out = [xxhash.xxh32_intdigest(x) & mask for x in own]
-        top = 1 << self.bits
-        out += [top + i for i, lexicon in enumerate(self.lexicons) if word in lexicon]
-        return [*out, top + len(self.lexicons)]
-
-    def scores(self, word: str) -> np.ndarray:
-        return self.emit[self.features(word)].sum(0)
+    def features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Features of all words, word after word, and how many each has: runs of two and three
+        characters of the marked word, its prefixes and suffixes of up to three, lexicons and a bias."""
+        points = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le"), dtype=np.uint32).astype(U)
+        size = np.array([len(w) + 2 for w in words], dtype=np.int64)
+        start = np.cumsum(size) - size
+        word = np.repeat(np.arange(len(words)), size)
+        left = np.repeat(start + size, size) - np.arange(len(points))  # characters from here to the end
+        run = mix(points + U(1))
+        owner, code = [], []
+        for k in (2, 3, 4):
+            inside = np.flatnonzero(left >= k)
+            longer = np.zeros_like(run)
+            longer[inside] = mix(run[inside] * U(0x9E3779B97F4A7C15) + points[inside + k - 1])
+            run = longer
+            if k < 4:
+                owner.append(word[inside])
+                code.append(run[inside])
+            some = np.flatnonzero(size > k)
+            owner += [some, some]
+            code += [mix(run[start[some]] + U(k)), mix(run[start[some] + size[some] - k] + U(16 + k))]
+        mask, top = U((1 << self.bits) - 1), 1 << self.bits
+        known = [(i, top + k) for i, w in enumerate(words) for k, lexicon in enumerate(self.lexicons) if w in lexicon]
+        flat = [(c & mask).astype(np.int64) for c in code]
+        owner += [np.array([i for i, _ in known], dtype=np.int64), np.arange(len(words))]
+        flat += [np.array([k for _, k in known], dtype=np.int64), np.full(len(words), top + len(self.lexicons))]
+        owners = np.concatenate(owner)
+        return np.concatenate(flat)[np.argsort(owners, kind="stable")], np.bincount(owners, minlength=len(words))
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        flat, sizes = self.features(words)
+        return np.add.reduceat(self.emit[flat], np.cumsum(sizes) - sizes)
 
 
 def forward_backward(scores: np.ndarray, lengths: np.ndarray, move: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,27 +115,57 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, move: np.ndarray,
     return gamma, moves
 
 
-def label_mass(scores: np.ndarray, lengths: np.ndarray, move: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Sum over words of the label distributions, documents x labels (no expected moves)."""
-    docs, time, labels = scores.shape
-    step = np.exp(move - move.max()).astype(scores.dtype)
-    local = np.exp(scores - scores.max(2, keepdims=True)).transpose(1, 0, 2).copy()
+def label_mass(scores: np.ndarray, lengths: np.ndarray, move: np.ndarray, begin: np.ndarray, run: int = 64) -> np.ndarray:
+    """Sum over words of the label distributions, documents x labels.
+
+    ``scores`` holds the words of all documents, one after another; each document has a word at least.
+    Documents are cut into runs of ``run`` words. The product of a run's steps carries a document's
+    distribution over it, so all runs are walked side by side and only the steps from run to run of
+    one document, forward and back, go one by one: the result is that of one walk over each document.
+    """
+    labels = scores.shape[1]
+    pieces = -(-lengths // run)
+    n, first = int(pieces.sum()), np.cumsum(pieces) - pieces
+    place = np.arange(len(scores)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    row = np.repeat(first, lengths) + place // run
+    on = np.zeros((run, n), dtype=bool)
+    on[place % run, row] = True
+    local = np.ones((run, n, labels))
+    local[place % run, row] = np.exp(scores - scores.max(1, keepdims=True))
+    step = np.exp(move - move.max())
+    enter = np.broadcast_to(step, (n, labels, labels)).copy()  # into the first word of each run
+    enter[first] = np.exp(begin - begin.max())[None, None, :]
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        return x / x.sum(-1, keepdims=True)
+
+    product = enter * local[0][:, None, :]
+    for t in range(1, run):
+        live = np.flatnonzero(on[t])
+        product[live] = (product[live].reshape(-1, labels) @ step).reshape(-1, labels, labels) * local[t][live][:, None, :]
+        if t % 16 == 0:
+            product /= product.sum((1, 2), keepdims=True)
+    product /= product.sum((1, 2), keepdims=True)
+
+    before, after = np.full((n, labels), 1 / labels), np.ones((n, labels))
+    longest_first = np.argsort(-pieces, kind="stable")
+    has = np.searchsorted(-pieces[longest_first], -np.arange(1, pieces.max() + 1), side="right")
+    for k in range(1, int(pieces.max())):
+        own = first[longest_first[: has[k]]] + k
+        before[own] = unit(np.einsum("di,dij->dj", before[own - 1], product[own - 1]))
+    for k in range(int(pieces.max()) - 1, 0, -1):
+        own = first[longest_first[: has[k]]] + k
+        after[own - 1] = unit(np.einsum("dij,dj->di", product[own], after[own]))
+
     alpha = np.empty_like(local)
-    now = local[0] * np.exp(begin - begin.max()).astype(scores.dtype)
-    alpha[0] = now / now.sum(1, keepdims=True)
-    for t in range(1, time):
-        now = (alpha[t - 1] @ step) * local[t]
-        alpha[t] = now / now.sum(1, keepdims=True)
-    mass = np.zeros((docs, labels))
-    beta = np.ones((docs, labels), dtype=scores.dtype)
-    back = step.T.copy()
-    for t in range(time - 1, -1, -1):
-        on = lengths > t
-        now = alpha[t] * beta
-        mass[on] += (now / now.sum(1, keepdims=True))[on]
-        ahead = (local[t] * beta) @ back
-        beta = np.where(on[:, None], ahead / ahead.sum(1, keepdims=True), beta)
-    return mass
+    alpha[0] = unit(np.einsum("di,dij->dj", before, enter) * local[0])
+    for t in range(1, run):
+        alpha[t] = np.where(on[t][:, None], unit((alpha[t - 1] @ step) * local[t]), alpha[t - 1])
+    mass, beta = np.zeros((n, labels)), after
+    for t in range(run - 1, -1, -1):
+        mass += unit(alpha[t] * beta) * on[t][:, None]
+        beta = np.where(on[t][:, None], unit((local[t] * beta) @ step.T), beta)
+    return np.add.reduceat(mass, first)
 
 
 def fit(passages: dict[str, list[str]], *, bits: int, lexicon_words: int, sequences: int, epochs: int, seed: int) -> Model:
@@ -132,7 +191,8 @@ def fit(passages: dict[str, list[str]], *, bits: int, lexicon_words: int, sequen
         spliced.append((own, tags))
     vocabulary = sorted({w for own, _ in spliced for w in own})
     place = {w: i for i, w in enumerate(vocabulary)}
-    features = [model.features(w) for w in vocabulary]
+    every, sizes = model.features(vocabulary)
+    features = np.split(every, np.cumsum(sizes)[:-1])
     grads = [np.zeros_like(x) for x in (model.emit, model.move, model.begin)]
     for epoch in range(epochs):
         order = draw.permutation(len(spliced))
@@ -180,21 +240,22 @@ def learn(
     """Fit on rows of ``docs`` with a text and a language; these are the labelled rows, all of them.
 
     What the driver receives are about ``docs_per_lang`` passages of ``passage`` characters for each
-    language, however many rows there are: each row is drawn with the same probability by a hash.
+    language, however many rows there are: each distinct text is drawn with the same probability by
+    a hash, and once, however often it is repeated; a language of fewer texts gives them all.
     """
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
-    sizes = {r["_lang"]: r["count"] for r in labelled.groupBy("_lang").count().collect()}
+    labelled = labelled.withColumn("_code", F.xxhash64(F.lit(seed), "_text"))
+    sizes = {r["_lang"]: r["count"] for r in labelled.select("_lang", "_code").distinct().groupBy("_lang").count().collect()}
     if not sizes:
         return Model([], np.zeros((1, 0)), np.zeros((0, 0)), np.zeros(0), [], 0)
     share = F.lit(0.0)
-    for lang, count in sizes.items():
-        share = F.when(F.col("_lang") == lang, F.lit(docs_per_lang / count)).otherwise(share)
-    code = F.xxhash64(F.lit(seed), "_text")
-    uniform = code.bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)
+    for lang, distinct in sizes.items():
+        share = F.when(F.col("_lang") == lang, F.lit(docs_per_lang / distinct)).otherwise(share)
+    uniform = F.col("_code").bitwiseAND(F.lit((1 << 40) - 1)) / float(1 << 40)
     start = F.pmod(F.xxhash64(F.lit(seed + 1), "_text"), F.greatest(F.lit(1), F.char_length("_text") - passage + 1))
-    drawn = labelled.where(uniform < share).select("_lang", F.substring("_text", (start + 1).cast("int"), F.lit(passage)).alias("_passage"))
+    drawn = labelled.where(uniform < share).select("_lang", "_code", F.substring("_text", (start + 1).cast("int"), F.lit(passage)).alias("_passage"))
     passages: dict[str, list[str]] = {lang: [] for lang in sizes}
-    for r in drawn.collect():
+    for r in drawn.groupBy("_lang", "_code").agg(F.min("_passage").alias("_passage")).collect():
         passages[r["_lang"]].append(r["_passage"])
     return fit({k: sorted(v) for k, v in passages.items()}, bits=bits, lexicon_words=lexicon_words, sequences=sequences, epochs=epochs, seed=seed)
 
@@ -209,42 +270,42 @@ class Tagger:
 
     def rows(self, words: list[str]) -> np.ndarray:
         """words x labels scores."""
-        get, fresh, extra = self.place.get, {}, []
-        at = np.empty(len(words), dtype=np.int64)
-        for i, w in enumerate(words):
-            k = get(w)
-            if k is None:
-                k = fresh.get(w)
-                if k is None:
-                    score = self.model.scores(w)
-                    if len(self.place) < self.held:
-                        k = self.place[w] = len(self.place)
-                        self.table[k] = score
-                    else:
-                        k = fresh[w] = self.held + len(extra)
-                        extra.append(score)
-            at[i] = k
-        if not extra:
+        get = self.place.get
+        at = np.array([get(w, -1) for w in words], dtype=np.int64)
+        missing = np.flatnonzero(at < 0)
+        if not len(missing):
             return self.table[at]
-        out = self.table[np.minimum(at, self.held - 1)]
-        beyond = at >= self.held
-        out[beyond] = np.array(extra, dtype=np.float32)[at[beyond] - self.held]
+        fresh = {w: k for k, w in enumerate(dict.fromkeys(words[i] for i in missing))}
+        scores = self.model.scores(list(fresh)).astype(np.float32)
+        out = self.table[at]
+        out[missing] = scores[[fresh[words[i]] for i in missing]]
+        kept = min(len(fresh), self.held - len(self.place))
+        self.table[len(self.place) : len(self.place) + kept] = scores[:kept]
+        self.place.update(zip(islice(fresh, kept), count(len(self.place)), strict=False))
         return out
 
-    def masses(self, texts: list[str | None], cells: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
-        """Label mass of each text, and its number of words."""
-        labels = len(self.model.labels)
+    def masses(self, texts: list[str | None], slab: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+        """Label mass of each text, and its number of words.
+
+        Texts go through in slabs of about ``slab`` characters (at least one text), so the words held
+        at once are bounded by the longest text, not by the rows of a batch.
+        """
+        mass, counts = np.zeros((len(texts), len(self.model.labels))), np.zeros(len(texts), dtype=np.int64)
+        begin, size = 0, 0
+        for end, text in enumerate([*texts, None]):
+            if end == len(texts) or end > begin and size + len(text or "") > slab:
+                mass[begin:end], counts[begin:end] = self._slab(texts[begin:end])
+                begin, size = end, 0
+            size += len(text or "")
+        return mass, counts
+
+    def _slab(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         words = [WORD.findall(t.lower()) if t else [] for t in texts]
-        counts = np.array([len(w) for w in words])
-        mass = np.zeros((len(texts), labels))
-        order = np.argsort(-counts, kind="stable")
-        order = order[counts[order] > 0]
-        while len(order) and labels:
-            longest = counts[order[0]]
-            some, order = order[: max(1, cells // longest)], order[max(1, cells // longest) :]
-            scores = np.zeros((len(some), longest, labels), dtype=np.float32)
-            for r, i in enumerate(some):
-                scores[r, : counts[i]] = self.rows(words[i])
+        counts = np.array([len(w) for w in words], dtype=np.int64)
+        mass = np.zeros((len(texts), len(self.model.labels)))
+        some = np.flatnonzero(counts)
+        if len(some) and self.model.labels:
+            scores = self.rows([w for own in words for w in own])
             mass[some] = label_mass(scores, counts[some], self.model.move, self.model.begin)
         return mass, counts
 
@@ -252,11 +313,13 @@ class Tagger:
 _TAGGERS: dict[str, Tagger] = {}
 
 
-def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
-    """Every row of ``docs`` with _lang_pred, _score and _n_words.
+def predict(docs: DataFrame, model: Model, *, text_col: str = "text", prefix: str = "_") -> DataFrame:
+    """Every row of ``docs`` with lang_pred, score and n_words, their names after ``prefix``.
 
     Null texts, and texts without a letter, are ``und`` with score 0, as is everything where no
-    language was learned. All words of a text count, however many. Other columns pass unchanged.
+    language was learned. All words of a text count, however many; repeated rows get equal results; an
+    empty table gives an empty result. Other columns pass unchanged, but columns of ``docs`` that have
+    a result's name are replaced by it; ``free_prefix`` gives a prefix that meets none.
     """
     model.key = xxhash.xxh64_hexdigest(model.emit.tobytes() + "|".join(model.labels).encode())
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -277,5 +340,6 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFra
             score = np.where(known, mass.max(1) / np.maximum(counts, 1), 0.0)
             yield pd.DataFrame({"lang": names[best], "score": np.clip(score, 0, 1), "n_words": counts})
 
-    tagged = docs.withColumn("_tagged", run(F.col(text_col)))
-    return tagged.withColumns({"_lang_pred": F.col("_tagged.lang"), "_score": F.col("_tagged.score"), "_n_words": F.col("_tagged.n_words")}).drop("_tagged")
+    tagged = f"{free_prefix(docs)}tagged"
+    out = docs.withColumn(tagged, run(F.col(text_col)))
+    return out.withColumns({f"{prefix}{name}": F.col(tagged)[field] for name, field in (("lang_pred", "lang"), ("score", "score"), ("n_words", "n_words"))}).drop(tagged)
