@@ -96,25 +96,35 @@ def frozen_tendencies(train: DataFrame, rows: DataFrame, *, pieces: list[str], f
     ).withColumnRenamed("h_total", "observations").drop(*[c for c in counts if c != "h_total"])
 
 
-def rank_history(cand: DataFrame, *, ranks: int, strength: float = 10.0, opening_min: int = 30, per: str = "player") -> DataFrame:
+def rank_history(
+    cand: DataFrame, *, ranks: int, pieces: list[str] = (), flags: tuple[str, ...] = (), strength: float = 10.0, opening_min: int = 30, per: str = "player"
+) -> DataFrame:
     """Smoothed probabilities of a candidate's rank from earlier choices: overall, and within the
     decision's phase, pressure and opening, each backed off to the overall one (openings only from
-    ``opening_min`` observations on)."""
+    ``opening_min`` observations on); and of its piece and flags, from the overall counts.
+
+    The chosen rows are dealt by player once; all four running states are windows over that deal.
+    """
     values = list(range(1, ranks + 1))
+    contexts = ("phase", "pressure", "opening")
     chosen = cand.where("chosen").withColumn("rank_seen", F.least("engine_rank", F.lit(ranks)))
     hot = one_hot("r", values, "rank_seen")
-    state = _running(chosen, [per], ORDER, {"n": F.lit(1).cast("bigint"), **hot})
-    keep = ["decision_id", "n", *hot]
-    out = state.select(*keep)
-    for name in ("phase", "pressure", "opening"):
-        own = {f"{name}_n": F.lit(1).cast("bigint"), **{f"{name}_{k}": c for k, c in hot.items()}}
-        out = out.join(_running(chosen, [per, name], ORDER, own).select("decision_id", *own), "decision_id")
-    rows = cand.withColumn("rank_seen", F.least("engine_rank", F.lit(ranks))).join(out, "decision_id")
+    one = F.lit(1).cast("bigint")
+    counts = {"n": one, **hot, **one_hot("pc", list(pieces), "piece"), **{f"f_{f}": F.col(f).cast("bigint") for f in flags}}
+    state = _running(chosen.repartition(per).select("decision_id", per, *ORDER, "rank_seen", "piece", *flags, *contexts), [per], ORDER, counts)
+    for name in contexts:
+        own = {f"{name}_n": one, **{f"{name}_{k}": c for k, c in hot.items()}}
+        state = _running(state, [per, name], ORDER, own)
+    kept = [*counts, *[f"{name}_{k}" for name in contexts for k in ("n", *hot)]]
+    rows = cand.withColumn("rank_seen", F.least("engine_rank", F.lit(ranks))).join(state.select("decision_id", *kept), "decision_id")
     overall = smoothed(pick("r", values, "rank_seen"), F.col("n"), 1 / ranks, strength)
-    within = {name: smoothed(pick(f"{name}_r", values, "rank_seen"), F.col(f"{name}_n"), overall, strength) for name in ("phase", "pressure", "opening")}
+    within = {name: smoothed(pick(f"{name}_r", values, "rank_seen"), F.col(f"{name}_n"), overall, strength) for name in contexts}
+    more = [smoothed(pick("pc", list(pieces), "piece"), F.col("n"), 1 / len(pieces), strength).alias("piece_probability")] if pieces else []
+    more += [match(F.col(f"f_{f}"), F.col("n"), F.col(f), strength).alias(f"{f}_match") for f in flags]
     return rows.select(
-        *cand.columns, F.col("n").alias("observations"), overall.alias("rank_probability"), within["phase"].alias("phase_probability"), within["pressure"].alias("pressure_probability"),
-        F.when(F.col("opening_n") >= opening_min, within["opening"]).otherwise(overall).alias("opening_probability"),
+        *cand.columns, F.col("n").alias("observations"), *[F.col(f"{name}_n").alias(f"{name}_observations") for name in contexts],
+        overall.alias("rank_probability"), within["phase"].alias("phase_probability"), within["pressure"].alias("pressure_probability"),
+        F.when(F.col("opening_n") >= opening_min, within["opening"]).otherwise(overall).alias("opening_probability"), *more,
     )
 
 

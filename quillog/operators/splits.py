@@ -18,10 +18,16 @@ def chronological(games: DataFrame, *, player: str = "player", at: str = "played
 
 
 def newest_blocks(games: DataFrame, blocks: list[tuple[str, int]], *, player: str = "player", at: str = "played_at", game: str = "game_id") -> DataFrame:
-    """The newest games cut into named blocks, the last named block being the newest; others drop."""
+    """The newest games cut into named blocks, the last named block being the newest; others drop.
+
+    A player is left out whose oldest taken game shares its time with the first game that isn't taken, as
+    no order of time says which of the two belongs to the blocks.
+    """
     total = sum(n for _, n in blocks)
     own = Window.partitionBy(player).orderBy(F.desc(at), F.desc(game))
-    ranked = games.withColumn("_i", F.row_number().over(own)).where(F.col("_i") <= total)
+    ranked = games.withColumns({"_i": F.row_number().over(own), "_next": F.lead(at).over(own)})
+    tied = F.max((F.col("_i") == total) & F.col("_next").isNotNull() & (F.col("_next") == F.col(at))).over(Window.partitionBy(player))
+    ranked = ranked.withColumn("_tied", tied).where(F.col("_i") <= total).where(~F.col("_tied")).drop("_next", "_tied")
     name, below = F.lit(None).cast("string"), 0
     for label, n in reversed(blocks):
         name = F.when((F.col("_i") > below) & (F.col("_i") <= below + n), F.lit(label)).otherwise(name)

@@ -49,13 +49,23 @@ def flt_reject_reason(spark, sf_dir):
     return decisions(spark, sf_dir).groupBy("player", reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-ROLES = {"inference": ["phase", "time_control", "rating", "opening"], "observed": ["capture", "check", "trade", "castle", "piece"], "diagnostic": ["score_cp", "engine_rank"]}
+ROLES = {
+    "inference": ["phase", "time_control", "rating", "opening", "engine_rank", "score_cp", "base_logit"],
+    "observed": ["move", "piece", "wing", "capture", "check", "trade", "castle", "pressure"],
+    "diagnostic": ["chosen_rank", "chosen_cp", "behind_best", "in_top_3"],
+}
+_ROLE = lambda cs: "{" + ", ".join(f"'{c}': \"{c}\"" for c in cs) + "}"
 
 
-@query("prj_feature_roles", LOG_SQL + "SELECT decision_id, engine_rank, phase, time_control, rating, opening FROM cand")
+@query("prj_feature_roles", LOG_SQL + ", f AS (SELECT *, max(engine_rank) FILTER (chosen) OVER w AS chosen_rank, max(score_cp) FILTER (chosen) OVER w AS chosen_cp, max(score_cp) OVER w - score_cp AS behind_best, max(engine_rank) FILTER (chosen) OVER w <= 3 AS in_top_3 FROM cand WINDOW w AS (PARTITION BY decision_id)) SELECT decision_id, " + ", ".join(f'"{c}"' for cs in ROLES.values() for c in cs) + " FROM f WHERE chosen")
 def prj_feature_roles(spark, sf_dir):
+    """One row per decision in three projections: what is known before it, what was seen, what it is judged by."""
+    w = Window.partitionBy("decision_id")
+    cand = candidates(spark, sf_dir)
+    rank, cp = F.max(F.when(F.col("chosen"), F.col("engine_rank"))).over(w), F.max(F.when(F.col("chosen"), F.col("score_cp"))).over(w)
+    full = cand.withColumns({"chosen_rank": rank, "chosen_cp": cp, "behind_best": F.max("score_cp").over(w) - F.col("score_cp"), "in_top_3": rank <= 3}).where("chosen")
     checks.require_no_leakage(ROLES["inference"])
-    return candidates(spark, sf_dir).select("decision_id", "engine_rank", *ROLES["inference"])
+    return full.select("decision_id", *[c for role in ROLES.values() for c in role])
 
 
 @query("flt_cohort_subset", LOG_SQL + """SELECT count(*) AS n, count_if(player NOT IN ('Player1', 'Player2')) AS unseen, count_if(player NOT IN ('Player1', 'Player2') AND played_at > TIMESTAMP '1999-01-01') AS unseen_fresh,
@@ -65,13 +75,14 @@ def flt_cohort_subset(spark, sf_dir):
     return decisions(spark, sf_dir).agg(F.count("*").alias("n"), F.count_if(~known).alias("unseen"), F.count_if(~known & fresh).alias("unseen_fresh"), F.count_if(known & fresh).alias("known_fresh"))
 
 
-@query("chk_leakage_fields", LOG_SQL + "SELECT field, true AS leaked FROM (VALUES ('chosen')) t(field) WHERE EXISTS (SELECT 1 FROM cand)")
+@query("chk_leakage_fields", LOG_SQL + "SELECT 'chosen' AS field, count(chosen) AS filled FROM cand UNION ALL SELECT 'is_capture', count(capture) FROM cand UNION ALL SELECT 'is_check', count(\"check\") FROM cand UNION ALL SELECT 'is_castle', count(castle) FROM cand UNION ALL SELECT 'is_queen_trade', count(trade) FROM cand UNION ALL SELECT 'piece_moved', count(piece) FROM cand UNION ALL SELECT 'time_pressure', count(pressure) FROM cand")
 def chk_leakage_fields(spark, sf_dir):
-    """Which columns of the candidate table may not be features."""
-    cand = candidates(spark, sf_dir)
-    names = F.array(*[F.lit(c) for c in cand.columns])
-    some = cand.limit(1).select(F.explode(names).alias("field"))
-    return some.where(F.col("field").isin(*checks.POST_DECISION)).withColumn("leaked", F.lit(True))
+    """Which fields of the candidate table, in the feature table's names, may not be features, and how many rows fill them."""
+    names = {"capture": "is_capture", "check": "is_check", "castle": "is_castle", "trade": "is_queen_trade", "piece": "piece_moved", "pressure": "time_pressure"}
+    cand = candidates(spark, sf_dir).withColumnsRenamed(names)
+    leaked = checks.leaked_fields(cand.columns)
+    filled = cand.agg(*[F.count(c).alias(c) for c in leaked])
+    return filled.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("filled")) for c in leaked])).alias("x")).select("x.*")
 
 
 @query("chk_one_positive", LOG_SQL + "SELECT decision_id, count_if(chosen AND quantity > 20) AS positives FROM cand GROUP BY 1 HAVING positives <> 1")
@@ -89,12 +100,21 @@ def chk_candidate_set(spark, sf_dir):
     return checks.bad_candidate_sets(kept, 5, available=F.col("available"))
 
 
-@query("chk_join_consistency", LOG_SQL + """, a AS (SELECT decision_id, engine_rank, move, piece FROM cand), b AS (SELECT decision_id, engine_rank, CASE WHEN decision_id % 100 = 0 THEN 'x' ELSE move END AS move, piece FROM cand)
-  SELECT count_if(a.move IS DISTINCT FROM b.move) AS move, count_if(a.piece IS DISTINCT FROM b.piece) AS piece, count(*) AS joined FROM a JOIN b USING (decision_id, engine_rank)""")
+@query("chk_join_consistency", LOG_SQL + """, a AS (SELECT decision_id, engine_rank, move, piece FROM cand),
+  b AS (SELECT decision_id + CASE WHEN decision_id % 500 = 0 THEN 100000000 ELSE 0 END AS decision_id, engine_rank, CASE WHEN decision_id % 100 = 0 THEN 'x' ELSE move END AS move, piece FROM cand WHERE NOT (engine_rank = 1 AND decision_id % 77 = 0)
+    UNION ALL SELECT decision_id, engine_rank, move, piece FROM cand WHERE engine_rank = 2 AND decision_id % 91 = 0 AND decision_id % 500 <> 0),
+  o AS (SELECT decision_id, engine_rank, count(*) AS n, min(move) AS mn, max(move) AS mx, min(piece) AS pn, max(piece) AS px FROM b GROUP BY ALL)
+  SELECT count_if(a.decision_id IS NOT NULL AND n IS NOT NULL AND NOT (a.move = mn AND a.move = mx)) AS move, count_if(a.decision_id IS NOT NULL AND n IS NOT NULL AND NOT (piece = pn AND piece = px)) AS piece, count_if(a.decision_id IS NOT NULL AND n IS NOT NULL) AS joined,
+   count_if(n IS NULL) AS left_only, count_if(a.decision_id IS NULL) AS right_only, count_if(n > 1) AS repeated_ranks, (SELECT count(*) FROM (SELECT decision_id FROM b GROUP BY 1 HAVING count_if(engine_rank = 1) = 0)) AS without_first
+  FROM a FULL JOIN o ON a.decision_id = o.decision_id AND a.engine_rank = o.engine_rank""")
 def chk_join_consistency(spark, sf_dir):
-    cand = candidates(spark, sf_dir)
-    other = cand.withColumn("move", F.when(F.col("decision_id") % 100 == 0, F.lit("x")).otherwise(F.col("move")))
-    return checks.join_mismatches(cand, other, ["decision_id", "engine_rank"], ["move", "piece"])
+    """The other side has altered moves, decisions without a partner, first ranks left out and ranks twice."""
+    cand = candidates(spark, sf_dir).select("decision_id", "engine_rank", "move", "piece")
+    k = F.col("decision_id")
+    other = cand.where(~((F.col("engine_rank") == 1) & (k % 77 == 0))).withColumn("move", F.when(k % 100 == 0, F.lit("x")).otherwise(F.col("move")))
+    other = other.withColumn("decision_id", k + F.when(k % 500 == 0, 100_000_000).otherwise(0))
+    again = cand.where((F.col("engine_rank") == 2) & (k % 91 == 0) & (k % 500 != 0))
+    return checks.join_mismatches(cand, other.unionByName(again), ["decision_id", "engine_rank"], ["move", "piece"])
 
 
 @query("chk_probabilities", LOG_SQL + """, p AS (SELECT decision_id, CASE WHEN decision_id % 50 = 0 AND engine_rank = 1 THEN 1.5 ELSE 1.0 / count(*) OVER (PARTITION BY decision_id) END AS p FROM cand)
@@ -105,18 +125,44 @@ def chk_probabilities(spark, sf_dir):
     return checks.bad_probabilities(p, "p").withColumn("total", F.round("total", 6))
 
 
-@query("chk_complete_games", LOG_SQL + """, t AS (SELECT game_id, ply, count(*) OVER (PARTITION BY game_id) AS total FROM dec), k AS (SELECT * FROM t WHERE NOT (ply = 2 AND total % 5 = 0))
-  SELECT game_id, max(total) - count(DISTINCT ply) AS missing FROM k GROUP BY 1 HAVING count(DISTINCT ply) <> max(total) OR min(ply) <> 1 OR max(ply) <> max(total)""")
+@query("chk_complete_games", LOG_SQL + """, d AS (SELECT *, CASE WHEN month(played_at) % 2 = 0 THEN 'white' ELSE 'black' END AS color, count(*) OVER (PARTITION BY game_id) AS n FROM dec),
+  g AS (SELECT game_id, max(color) AS color, max(CASE WHEN n = 1 AND color = 'black' THEN 1 WHEN color = 'white' THEN 2 * n - 1 ELSE 2 * n END) AS total FROM d GROUP BY 1),
+  k AS (SELECT game_id, CASE WHEN ply = 3 AND n % 7 = 0 THEN 1000 WHEN color = 'white' THEN 2 * ply - 1 ELSE 2 * ply END AS ply, CASE WHEN decision_id % 400 = 0 THEN 'other' ELSE color END AS color, time_control FROM d WHERE NOT (ply = 2 AND n % 5 = 0)),
+  j AS (SELECT g.game_id, g.total, CASE WHEN g.color = 'white' THEN 1 ELSE 2 END AS s, k.ply, k.game_id IS NOT NULL AND (k.color <> g.color OR k.time_control NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW')) AS odd FROM g LEFT JOIN k USING (game_id)),
+  a AS (SELECT game_id, max(greatest(0, (total - s + 2) // 2)) AS wanted, count(DISTINCT CASE WHEN ply >= s AND ply <= total AND (ply - s) % 2 = 0 THEN ply END) AS there, count(DISTINCT CASE WHEN NOT (ply >= s AND ply <= total AND (ply - s) % 2 = 0) THEN ply END) AS extra, count_if(odd) AS disagreeing FROM j GROUP BY 1)
+  SELECT game_id, (wanted - there)::bigint AS missing, extra, disagreeing, wanted = 0 AS "empty" FROM a WHERE wanted > there OR extra > 0 OR disagreeing > 0 OR wanted = 0""")
 def chk_complete_games(spark, sf_dir):
-    dec = decisions(spark, sf_dir).withColumn("total", F.count("*").over(Window.partitionBy("game_id")))
-    return checks.incomplete_games(dec.where(~((F.col("ply") == 2) & (F.col("total") % 5 == 0))), game="game_id", ply="ply", total="total")
+    """Games of even months are played as white; some decisions are left out, misplaced or of the other colour."""
+    w = Window.partitionBy("game_id")
+    color = F.when(F.month("played_at") % 2 == 0, "white").otherwise("black")
+    own = decisions(spark, sf_dir).withColumns({"color": color, "n": F.count("*").over(w)})
+    white = F.col("color") == "white"
+    total = F.when((F.col("n") == 1) & ~white, 1).when(white, 2 * F.col("n") - 1).otherwise(2 * F.col("n"))
+    whole = own.groupBy("game_id").agg(F.max("color").alias("color"), F.max(total).alias("total_plies"))
+    ply = F.when((F.col("ply") == 3) & (F.col("n") % 7 == 0), 1000).when(white, 2 * F.col("ply") - 1).otherwise(2 * F.col("ply"))
+    kept = own.where(~((F.col("ply") == 2) & (F.col("n") % 5 == 0))).select(
+        "game_id", ply.alias("ply"), F.when(F.col("decision_id") % 400 == 0, "other").otherwise(F.col("color")).alias("color"), "time_control"
+    )
+    return checks.incomplete_games(whole, kept, controls=("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"))
+
+
+_SELECTION_SQL = GAMES_SQL + """, r AS (SELECT player, game_id, row_number() OVER (PARTITION BY player ORDER BY played_at DESC, game_id DESC) AS i, substr(player, 7)::int AS num FROM games),
+  sel AS (SELECT player, CASE WHEN num % 5 = 0 THEN 'evaluation' ELSE 'development' END AS role, split_part(game_id, '-', 2) || '-' || (num % 2) AS game, CASE WHEN i <= 5 THEN 'evaluation' WHEN i <= 10 + num % 3 THEN 'validation' ELSE 'history' END AS split FROM r WHERE i <= 30)"""
 
 
-@query("chk_split_overlap", LOG_SQL + """, s AS (SELECT game_id, CASE WHEN decision_id % 20 = 0 THEN 'test' ELSE 'train' END AS split FROM dec)
-  SELECT game_id, count(DISTINCT split) AS splits FROM s GROUP BY 1 HAVING splits > 1""")
+@query("chk_split_overlap", _SELECTION_SQL + """, ov AS (SELECT game FROM sel GROUP BY 1 HAVING count_if(split = 'history') > 0 AND count_if(split <> 'history') > 0), rv AS (SELECT DISTINCT game FROM sel WHERE role = 'evaluation' AND split <> 'history')
+  SELECT 'error' AS kind, NULL::varchar AS player, game FROM ov UNION ALL SELECT DISTINCT 'quarantine', player, game FROM sel WHERE role = 'development' AND split = 'validation' AND game IN (SELECT game FROM rv)""")
 def chk_split_overlap(spark, sf_dir):
-    split = F.when(F.col("decision_id") % 20 == 0, "test").otherwise("train")
-    return checks.split_overlap(decisions(spark, sf_dir).withColumn("split", split), "game_id", "split")
+    """Games are months that players of the same parity share: those that cross history and held-out
+    splits are errors, and development games that evaluation players hold out are quarantined."""
+    number = F.substring("player", 7, 9).cast("int")
+    w = Window.partitionBy("player").orderBy(F.desc("played_at"), F.desc("game_id"))
+    taken = games(spark, sf_dir).withColumns({"i": F.row_number().over(w), "num": number}).where("i <= 30")
+    split = F.when(F.col("i") <= 5, "evaluation").when(F.col("i") <= 10 + F.col("num") % 3, "validation").otherwise("history")
+    game = F.concat_ws("-", F.split_part("game_id", F.lit("-"), F.lit(2)), (F.col("num") % 2).cast("string"))
+    selection = taken.select("player", F.when(F.col("num") % 5 == 0, "evaluation").otherwise("development").alias("role"), game.alias("game"), split.alias("split"))
+    errors = checks.history_overlap(selection).select(F.lit("error").alias("kind"), F.lit(None).cast("string").alias("player"), "game")
+    return errors.unionByName(checks.quarantined(selection).select(F.lit("quarantine").alias("kind"), "player", "game"))
 
 
 @query("chk_opening_leakage", LOG_SQL + """, f AS (SELECT player, CASE WHEN phase <> 'P' THEN opening END AS tag FROM dec WHERE ply = 1), c AS (SELECT player, tag, count(*) AS n FROM f WHERE tag IS NOT NULL GROUP BY ALL),

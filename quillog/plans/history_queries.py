@@ -85,13 +85,17 @@ _OVERALL = f"(({_rank_case('w')} + 10 * 0.2) / (w_n + 10))"
 _COND = {n: f"(({_rank_case(n)} + 10 * {_OVERALL}) / ({n}_n + 10))" for n in ("ph", "pr", "op")}
 
 
-@query("win_history_encoder", LOG_SQL + f""", st AS (SELECT decision_id, {', '.join(_within(n) for n in ('w', 'ph', 'pr', 'op'))} FROM cand WHERE chosen
+_HIST = ", ".join([f"coalesce(sum((piece = '{v}')::int) OVER w, 0) AS pc_{i}" for i, v in enumerate(PIECES)] + [f'coalesce(sum("{f}"::int) OVER w, 0) AS h_{f}' for f in FLAGS])
+
+
+@query("win_history_encoder", LOG_SQL + f""", st AS (SELECT decision_id, {', '.join(_within(n) for n in ('w', 'ph', 'pr', 'op'))}, {_HIST} FROM cand WHERE chosen
    WINDOW w AS (PARTITION BY player {SEQ} {PRE}), ph AS (PARTITION BY player, phase {SEQ} {PRE}), pr AS (PARTITION BY player, pressure {SEQ} {PRE}), op AS (PARTITION BY player, opening {SEQ} {PRE}))
-  SELECT c.decision_id, c.engine_rank, w_n AS observations, round({_OVERALL}, 9) AS rank_probability, round({_COND['ph']}, 9) AS phase_probability, round({_COND['pr']}, 9) AS pressure_probability,
-   round(CASE WHEN op_n >= 30 THEN {_COND['op']} ELSE {_OVERALL} END, 9) AS opening_probability FROM cand c JOIN st USING (decision_id)""")
+  SELECT c.decision_id, c.engine_rank, w_n AS observations, ph_n AS phase_observations, pr_n AS pressure_observations, op_n AS opening_observations, round({_OVERALL}, 9) AS rank_probability, round({_COND['ph']}, 9) AS phase_probability, round({_COND['pr']}, 9) AS pressure_probability,
+   round(CASE WHEN op_n >= 30 THEN {_COND['op']} ELSE {_OVERALL} END, 9) AS opening_probability, round(({_case('c.piece', PIECES, 'pc')} + 10.0 / 6) / (w_n + 10), 9) AS piece_probability, {', '.join(_match(f, 10, 'w_n') for f in FLAGS)} FROM cand c JOIN st USING (decision_id)""")
 def win_history_encoder(spark, sf_dir):
-    e = h.rank_history(candidates(spark, sf_dir), ranks=5)
-    return e.select("decision_id", "engine_rank", "observations", *[F.round(c, 9).alias(c) for c in ("rank_probability", "phase_probability", "pressure_probability", "opening_probability")])
+    e = h.rank_history(candidates(spark, sf_dir), ranks=5, pieces=PIECES, flags=FLAGS)
+    rates = ("rank_probability", "phase_probability", "pressure_probability", "opening_probability", "piece_probability", *[f"{f}_match" for f in FLAGS])
+    return e.select("decision_id", "engine_rank", "observations", "phase_observations", "pressure_observations", "opening_observations", *[F.round(c, 9).alias(c) for c in rates])
 
 
 OPP_SQL = """, opp AS (SELECT decision_id, player, played_at, max(CASE WHEN chosen THEN capture::int END) AS taken FROM cand GROUP BY ALL HAVING min(capture::int) <> max(capture::int))"""
@@ -258,14 +262,22 @@ def join_excluded_anti(spark, sf_dir):
     return dec.select("game_id").distinct().join(dec.where("phase = 'P'").select("game_id"), "game_id", "left_anti")
 
 
-@query("join_pred_positions", LOG_SQL + """, pred AS (SELECT decision_id + (CASE WHEN decision_id % 500 = 0 THEN 10000000 ELSE 0 END) AS decision_id, game_id, CASE WHEN decision_id % 300 = 1 THEN 'x' ELSE move END AS move FROM cand WHERE chosen)
-  SELECT count_if(c.decision_id IS NULL) AS missing, count_if(c.move <> p.move) AS mismatched, count_if(c.move = p.move) AS matched FROM pred p LEFT JOIN (SELECT * FROM cand WHERE chosen) c USING (decision_id)""")
+@query("join_pred_positions", LOG_SQL + """, own AS (SELECT decision_id, game_id, player, move FROM cand WHERE chosen),
+   pred AS (SELECT decision_id + (CASE WHEN decision_id % 500 = 0 THEN 10000000 ELSE 0 END) AS decision_id, CASE WHEN decision_id % 700 = 3 THEN 'none' ELSE game_id END AS game_id, CASE WHEN decision_id % 900 = 5 THEN 'nobody' ELSE player END AS player, CASE WHEN decision_id % 300 = 1 THEN 'x' ELSE move END AS move FROM own)
+  SELECT count_if(c.decision_id IS NULL) AS missing, count_if(c.move <> p.move) AS other_move, count_if(c.game_id <> p.game_id) AS other_game, count_if(c.player <> p.player) AS other_player, count_if(c.move = p.move AND c.game_id = p.game_id AND c.player = p.player) AS matched FROM pred p LEFT JOIN own c USING (decision_id)""")
 def join_pred_positions(spark, sf_dir):
-    own = candidates(spark, sf_dir).where("chosen").select("decision_id", "game_id", "move")
+    """Predictions beside their positions: a position must exist and be of the same game, player and move."""
+    own = candidates(spark, sf_dir).where("chosen").select("decision_id", "game_id", "player", "move")
     k = F.col("decision_id")
-    pred = own.select((k + F.when(k % 500 == 0, 10000000).otherwise(0)).alias("decision_id"), F.when(k % 300 == 1, F.lit("x")).otherwise(F.col("move")).alias("predicted_for"))
+    pred = own.select(
+        (k + F.when(k % 500 == 0, 10000000).otherwise(0)).alias("decision_id"), F.when(k % 700 == 3, F.lit("none")).otherwise(F.col("game_id")).alias("p_game"),
+        F.when(k % 900 == 5, F.lit("nobody")).otherwise(F.col("player")).alias("p_player"), F.when(k % 300 == 1, F.lit("x")).otherwise(F.col("move")).alias("p_move"),
+    )
     joined = pred.join(own, "decision_id", "left")
-    return joined.agg(F.count_if(F.col("move").isNull()).alias("missing"), F.count_if(F.col("move") != F.col("predicted_for")).alias("mismatched"), F.count_if(F.col("move") == F.col("predicted_for")).alias("matched"))
+    same = {c: F.col(f"p_{c}") == F.col(name) for c, name in (("move", "move"), ("game", "game_id"), ("player", "player"))}
+    return joined.agg(
+        F.count_if(F.col("move").isNull()).alias("missing"), *[F.count_if(~same[c]).alias(f"other_{c}") for c in same], F.count_if(same["move"] & same["game"] & same["player"]).alias("matched")
+    )
 
 
 @query("join_history_lookup", TRAIN_SQL + """, h AS (SELECT opening, piece, count(*) AS n FROM cs WHERE split = 'train' AND chosen GROUP BY ALL)
