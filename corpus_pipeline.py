@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillog.llm import decontam, lang_crf, line_dedup, minhash_icws, piece_codec
+from quillog.llm.names import free_prefix
 from quillog.session import durable, table
 
 #: A document is rejected where its likeliest language has less than this share of its words.
@@ -28,34 +29,55 @@ def _like(docs: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a learned language; those without a letter or of no one language go."""
-    tagged = lang_crf.predict(docs, lang_crf.learn(docs))
-    return tagged.where((F.col("_lang_pred") != lang_crf.UNKNOWN) & (F.col("_score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    """Keeps documents in a learned language; those without a letter or of no one language go.
+
+    Null and empty texts go; repeated rows, null ids and further columns pass as they are; an empty
+    table gives an empty one.
+    """
+    own = free_prefix(docs)
+    tagged = lang_crf.predict(docs, lang_crf.learn(docs), prefix=own)
+    return tagged.where((F.col(f"{own}lang_pred") != lang_crf.UNKNOWN) & (F.col(f"{own}score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines stay only in the smallest document; documents left without text go."""
-    left = line_dedup.dedup_lines(docs)
-    return _like(left.where(F.col("_n_dropped").eqNullSafe(0) | F.col("text").rlike(r"\S")), docs.columns)
+    """Repeated lines stay only in the smallest document; documents left without text go.
+
+    Null and empty texts stay, as empty ones; repeated rows are treated equally; rows with a null id
+    lose nothing; further columns pass as they are; an empty table gives an empty one.
+    """
+    own = free_prefix(docs)
+    left = line_dedup.dedup_lines(docs, prefix=own)
+    return _like(left.where(F.col(f"{own}n_dropped").eqNullSafe(0) | F.col("text").rlike(r"\S")), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that of the smallest id."""
+    """One document of each group of near-duplicates stays, that of the smallest id.
+
+    All rows of the id that stays are kept, whatever else they hold. Texts without words (null and
+    empty ones too) are groups of their own; rows with a null id stay; an empty table gives an empty one.
+    """
     groups = minhash_icws.near_duplicates(docs.select("doc_id", "text"))
     gone = groups.where(F.col("doc_id") != F.col("group_id")).select("doc_id")
-    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        docs = docs.dropDuplicates(["doc_id", "text"])
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, re-parameterised or not, go."""
-    flagged = decontam.flag(docs, table(spark, sf_dir, "benchmark"))
-    return flagged.where(~F.col("_contaminated")).select(*docs.columns)
+    """Documents that hold a benchmark item, re-parameterised or not, go.
+
+    Null and empty texts, and all where the benchmark is empty, stay; repeated rows are treated
+    equally; null ids and further columns pass as they are; an empty table gives an empty one.
+    """
+    own = free_prefix(docs)
+    flagged = decontam.flag(docs, table(spark, sf_dir, "benchmark"), prefix=own)
+    return flagged.where(~F.col(f"{own}contaminated")).select(*docs.columns)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each remaining text, and whether they decode to it."""
+    """Piece ids of each remaining text, and whether they decode to it.
+
+    Null texts have null ids; repeated rows and null ids are rows like others; further columns go; an
+    empty table gives an empty result.
+    """
     return piece_codec.encode_table(docs)
 
 
