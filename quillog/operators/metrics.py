@@ -19,6 +19,7 @@ def predictions(cand: DataFrame, p: str, flags: tuple[str, ...], *, ties: tuple[
     d = own.groupBy("decision_id").agg(
         *[F.max(c).alias(c) for c in context],
         actual("move").alias("actual_move"), top("move").alias("predicted_move"), actual("_i").alias("actual_rank"), F.count("*").alias("candidates"),
+        actual("engine_rank").alias("actual_engine_rank"), F.sum(p).alias("p_sum"),
         actual(p).alias("actual_p"), top(p).alias("top_p"), F.sum(F.pow(F.col(p) - F.col("chosen").cast("int"), F.lit(2))).alias("brier"),
         (actual("piece") == top("piece")).alias("piece_match"), (actual("wing") == top("wing")).alias("wing_match"),
         *[actual(f).alias(f"actual_{f}") for f in flags], *[top(f).alias(f"predicted_{f}") for f in flags],
@@ -54,6 +55,28 @@ def panel(pred: DataFrame, dimensions: list[str]) -> DataFrame:
     return grouped.select(name.alias("dimension"), value.alias("value"), *[c for c in grouped.columns if c not in dimensions and not c.startswith("_g_")])
 
 
+def by_dimension(rows: DataFrame, dimensions: list[str], columns: list[Column], keys: list[str] = ()) -> DataFrame:
+    """``columns`` for all rows and by each dimension, in one pass of grouping sets: (keys, dimension, value, ...)."""
+    ks = [F.col(k) for k in keys]
+    grouped = rows.groupingSets([*[[*ks, F.col(d)] for d in dimensions], ks], *ks, *[F.col(d) for d in dimensions]).agg(*columns, *[F.grouping(d).alias(f"_g_{d}") for d in dimensions])
+    name, value = F.lit("all"), F.lit("all")
+    for d in dimensions:
+        own = F.col(f"_g_{d}") == 0
+        name, value = F.when(own, F.lit(d)).otherwise(name), F.when(own, F.coalesce(F.col(d).cast("string"), F.lit("unknown"))).otherwise(value)
+    return grouped.select(*keys, name.alias("dimension"), value.alias("value"), *[c for c in grouped.columns if c not in (*dimensions, *keys) and not c.startswith("_g_")])
+
+
+def ranking_columns() -> list[Column]:
+    """Rates of the choice among the first, NLL, the worst sum of probabilities, and the choices that
+    weren't the engine's first by themselves."""
+    rank, other = F.col("actual_rank"), F.col("actual_engine_rank") > 1
+    rate = lambda c: F.avg(c.cast("double"))
+    return [
+        F.count("*").alias("decisions"), rate(rank == 1).alias("accuracy"), rate(rank <= 2).alias("top_2"), rate(rank <= 3).alias("top_3"), F.avg(1 / rank).alias("mrr"), F.avg("nll").alias("nll"),
+        F.max(F.abs(1 - F.col("p_sum"))).alias("max_sum_error"), F.count_if(other).alias("non_first_decisions"), F.avg(F.when(other, (rank == 1).cast("double"))).alias("non_first_accuracy"), F.avg(F.when(other, 1 / rank)).alias("non_first_mrr"),
+    ]
+
+
 def macro(pred: DataFrame, metrics: tuple[str, ...] = MEANS, per: str = "player") -> DataFrame:
     """Means of the metrics over players, each player counting the same."""
     mine = pred.groupBy(per).agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in metrics])
@@ -73,8 +96,12 @@ def ece(pred: DataFrame, bins: int = 10, confidence: str = "top_p", correct: str
 
 
 def calibration(cand: DataFrame, p: str, bins: int = 10) -> DataFrame:
+    """Bins of equal width with their bounds: rows, mean probability, rate of choices and Brier score."""
     b = F.least(F.floor(F.col(p) * bins), F.lit(bins - 1)).cast("int")
-    return cand.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.avg(p).alias("mean_p"), F.avg(F.col("chosen").cast("double")).alias("chosen_rate"))
+    per = cand.groupBy(b.alias("bin")).agg(
+        F.count("*").alias("n"), F.avg(p).alias("mean_p"), F.avg(F.col("chosen").cast("double")).alias("chosen_rate"), F.avg(F.pow(F.col(p) - F.col("chosen").cast("int"), F.lit(2))).alias("brier")
+    )
+    return per.select("bin", (F.col("bin") / bins).alias("low"), ((F.col("bin") + 1) / bins).alias("high"), "n", "mean_p", "chosen_rate", "brier")
 
 
 def confusion(pred: DataFrame, actual: str, predicted: str) -> DataFrame:
@@ -146,18 +173,38 @@ def style_macro(cells: DataFrame) -> DataFrame:
     return mine.agg(F.count("*").alias("players"), F.avg("policy_tv").alias("macro_policy_tv"), F.avg("argmax_tv").alias("macro_argmax_tv"))
 
 
-def style_vector(chosen: DataFrame, unit: list[str], flags: tuple[str, ...]) -> DataFrame:
-    """Long (unit, family, field, value): rates of flags, pieces, wings and phases among a unit's moves."""
-    total = chosen.groupBy(*unit).agg(F.count("*").alias("_n"), *[F.avg(F.col(f).cast("double")).alias(f) for f in flags])
-    rates = total.select(*unit, F.explode(F.array(*[F.struct(F.lit("behaviour").alias("family"), F.lit(f).alias("field"), F.col(f).alias("value")) for f in flags])).alias("x")).select(*unit, "x.*")
+def style_vector(chosen: DataFrame, unit: list[str], flags: tuple[str, ...], *, structure: tuple[str, ...] = (), openings: dict[str, list[str]] | None = None) -> DataFrame:
+    """Long (unit, family, field, value) of a unit's moves, in up to seven families.
+
+    Rates of flags; shares of pieces, wings and phases; ``sequence``, how often a move repeats the piece
+    or wing of the one before it in its game, or captures after a capture; ``pawn_structure``, means of
+    the ``structure`` columns after a game's last move; and ``opening_choice``, the first moves of a
+    game among the known ``openings`` of each colour. A rate without any support is zero.
+    """
+    game = Window.partitionBy(*unit, "game_id").orderBy("ply")
+    prior = {f"_p_{c}": F.lag(c).over(game) for c in ("piece", "wing", "capture")}
+    own = chosen.withColumns({**prior, "_last": F.lead("ply").over(game).isNull(), "_first": F.lag("ply").over(game).isNull()})
+    number, paired = lambda c: c.cast("double"), F.col("_p_piece").isNotNull()
+    cells: list[tuple[str, str, Column]] = [("behaviour", f, F.avg(number(F.col(f)))) for f in flags]
+    steps = {"repeat_piece": F.col("piece") == F.col("_p_piece"), "repeat_wing": F.col("wing") == F.col("_p_wing"), "capture_after_capture": F.col("capture") & F.col("_p_capture")}
+    cells += [("sequence", name, F.avg(F.when(paired, number(c)))) for name, c in steps.items()]
+    cells += [("pawn_structure", c, F.avg(F.when(F.col("_last"), F.col(c)))) for c in structure]
+    for color, known in (openings or {}).items():
+        start = F.col("_first") & (F.col("color") == color)
+        named = [(f"{color}_{o}", F.col("opening") == o) for o in known] + [(f"{color}_other", ~F.col("opening").isin(*known))]
+        cells += [("opening_choice", name, F.avg(F.when(start, number(c)))) for name, c in named]
+    total = own.groupBy(*unit).agg(F.count("*").alias("_n"), *[F.coalesce(c, F.lit(0.0)).alias(f"_{i}") for i, (_, _, c) in enumerate(cells)])
+    parts = [F.struct(F.lit(family).alias("family"), F.lit(name).alias("field"), F.col(f"_{i}").alias("value")) for i, (family, name, _) in enumerate(cells)]
+    rates = total.select(*unit, F.explode(F.array(*parts)).alias("x")).select(*unit, "x.*")
     kinds = chosen.select(*unit, F.explode(F.array(*[F.struct(F.lit(k).alias("family"), F.col(k).alias("field")) for k in ("piece", "wing", "phase")])).alias("x")).select(*unit, "x.*")
     shares = kinds.groupBy(*unit, "family", "field").agg(F.count("*").alias("n")).join(total.select(*unit, "_n"), unit).select(*unit, "family", "field", (F.col("n") / F.col("_n")).alias("value"))
     return rates.unionByName(shares)
 
 
-def style_reference(vectors: DataFrame, *, floor: float = 0.05) -> tuple[DataFrame, DataFrame]:
-    """(scale per field over all blocks, centroid per player)."""
-    scale = vectors.groupBy("family", "field").agg(F.greatest(F.lit(floor), F.stddev_pop("value")).alias("scale"))
+def style_reference(vectors: DataFrame, *, floor: float = 0.05, structure_floor: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(scale per field over all blocks, centroid per player); structure counts have a floor of their own."""
+    least = F.when(F.col("family") == "pawn_structure", structure_floor).otherwise(floor)
+    scale = vectors.groupBy("family", "field").agg(F.stddev_pop("value").alias("_s")).select("family", "field", F.greatest(least, F.col("_s")).alias("scale"))
     return scale, vectors.groupBy("player", "family", "field").agg(F.avg("value").alias("centre"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillog.operators import compare as c
 from quillog.operators import metrics as m
@@ -14,9 +15,9 @@ from .metric_queries import POLICY_SQL, PRED_SQL, rounded, test_predictions
 from .registry import query
 
 Q_SQL = LOG_SQL + """, two AS (SELECT *, count(*) OVER (PARTITION BY decision_id) AS n FROM cand),
-  base AS (SELECT decision_id, max(player) AS player, max(game_id) AS game_id, max(phase) AS phase, max(rating) AS rating, max(n) AS n, max(score_cp) FILTER (chosen) AS a, max(score_cp) FILTER (engine_rank = least(2, n)) AS p2, max(score_cp) FILTER (engine_rank = n) AS p9, max(score_cp) FILTER (engine_rank = 1) AS r,
+  base AS (SELECT decision_id, max(player) AS player, max(game_id) AS game_id, max(phase) AS phase, CASE WHEN month(max(played_at)) % 2 = 0 THEN 'white' ELSE 'black' END AS color, (floor(max(rating) / 1000) * 1000)::bigint::varchar AS band, max(time_control) AS time_control, max(n) AS n, max(score_cp) FILTER (chosen) AS a, max(score_cp) FILTER (engine_rank = least(2, n)) AS p2, max(score_cp) FILTER (engine_rank = n) AS p9, max(score_cp) FILTER (engine_rank = 1) AS r,
     max(move) FILTER (chosen) AS am, max(move) FILTER (engine_rank = least(2, n)) AS m2, max(move) FILTER (engine_rank = n) AS m9 FROM two GROUP BY 1),
-  ql AS (SELECT decision_id, player, game_id, phase, method, CASE WHEN decision_id % 19 = 0 THEN NULL ELSE a END AS actual_cp, CASE WHEN decision_id % 23 = 0 THEN NULL WHEN method = 'second' THEN p2 ELSE p9 END AS predicted_cp, r AS reference_cp,
+  ql AS (SELECT decision_id, player, game_id, phase, color, band, time_control, method, CASE WHEN decision_id % 19 = 0 THEN NULL ELSE a END AS actual_cp, CASE WHEN decision_id % 23 = 0 THEN NULL WHEN method = 'second' THEN p2 ELSE p9 END AS predicted_cp, r AS reference_cp,
     CASE WHEN decision_id % 19 = 0 THEN 'winning_mate' ELSE 'finite' END AS actual_outcome, CASE WHEN decision_id % 23 = 0 THEN CASE WHEN decision_id % 2 = 0 THEN 'missing' ELSE 'winning_mate' END ELSE 'finite' END AS predicted_outcome,
     am = CASE WHEN method = 'second' THEN m2 ELSE m9 END AS exact FROM base CROSS JOIN (VALUES ('second'), ('last')) t(method)),
   qc AS (SELECT *, predicted_cp - actual_cp AS delta, abs(predicted_cp - actual_cp) AS gap, CASE WHEN predicted_cp IS NOT NULL THEN greatest(reference_cp - predicted_cp, 0) END AS predicted_regret, CASE WHEN actual_cp IS NOT NULL THEN greatest(reference_cp - actual_cp, 0) END AS actual_regret, predicted_cp > reference_cp AS exceeds FROM ql),
@@ -28,14 +29,14 @@ def quality(spark, sf_dir):
     """One row per decision and method: the second candidate and the last one as predictions."""
     rank, chosen = F.col("engine_rank"), F.col("chosen")
     base = candidates(spark, sf_dir).groupBy("decision_id").agg(
-        F.max("player").alias("player"), F.max("game_id").alias("game_id"), F.max("phase").alias("phase"), F.max(F.when(chosen, F.col("score_cp"))).alias("a"), F.max(F.when(chosen, F.col("move"))).alias("am"),
+        F.max("player").alias("player"), F.max("game_id").alias("game_id"), F.max("phase").alias("phase"), F.when(F.month(F.max("played_at")) % 2 == 0, "white").otherwise("black").alias("color"), (F.floor(F.max("rating") / 1000) * 1000).cast("bigint").cast("string").alias("band"), F.max("time_control").alias("time_control"), F.max(F.when(chosen, F.col("score_cp"))).alias("a"), F.max(F.when(chosen, F.col("move"))).alias("am"),
         F.max(F.when(rank == 1, F.col("score_cp"))).alias("reference_cp"), F.max(F.when(rank <= 2, F.struct("engine_rank", "score_cp", "move"))).alias("second"), F.max(F.struct("engine_rank", "score_cp", "move")).alias("last"),
     )
     k = F.col("decision_id")
     long = base.select("*", F.explode(F.array(*[F.struct(F.lit(n).alias("method"), F.col(n).alias("pick")) for n in ("second", "last")])).alias("x"))
     gone, lost = k % 19 == 0, k % 23 == 0
     return long.select(
-        "decision_id", "player", "game_id", "phase", "x.method", F.when(~gone, F.col("a")).alias("actual_cp"), F.when(~lost, F.col("x.pick.score_cp")).alias("predicted_cp"), "reference_cp",
+        "decision_id", "player", "game_id", "phase", "color", "band", "time_control", "x.method", F.when(~gone, F.col("a")).alias("actual_cp"), F.when(~lost, F.col("x.pick.score_cp")).alias("predicted_cp"), "reference_cp",
         F.when(gone, "winning_mate").otherwise("finite").alias("actual_outcome"), F.when(lost, F.when(k % 2 == 0, "missing").otherwise("winning_mate")).otherwise("finite").alias("predicted_outcome"), (F.col("am") == F.col("x.pick.move")).alias("exact"),
     )
 
@@ -51,13 +52,19 @@ _QS = "count(*) AS decisions, count(gap) AS finite_pairs, count_if(gap IS NULL)
   count_if({_MATE}) AS mate_pairs, round(avg((actual_outcome = predicted_outcome)::int) FILTER ({_MATE}), 9) AS mate_agreement, count_if(predicted_outcome = 'missing') AS missing_pairs, count_if(exceeds) AS exceeds_count"""
 
 
-@query("qual_summary", Q_SQL + f"SELECT method, CASE WHEN grouping(player) = 0 THEN 'player' WHEN grouping(phase) = 0 THEN 'phase' ELSE 'all' END AS dimension, coalesce(player, phase, 'all') AS value, {_QS} FROM qc GROUP BY GROUPING SETS ((method, player), (method, phase), (method))")
+_DIMENSIONS = ("player", "phase", "color", "band", "time_control")
+_MACRO = ("exact_accuracy", "mean_gap", "mean_predicted_regret", "within_50")
+
+
+@query("qual_summary", Q_SQL + f""", sm AS (SELECT method, CASE {' '.join(f"WHEN grouping({d}) = 0 THEN '{d}'" for d in _DIMENSIONS)} ELSE 'all' END AS dimension, coalesce({', '.join(_DIMENSIONS)}, 'all') AS value, {_QS} FROM qc GROUP BY GROUPING SETS ({', '.join(f'(method, {d})' for d in _DIMENSIONS)}, (method))),
+  ma AS (SELECT method, {', '.join(f'round(avg({c}), 7) AS macro_{c}' for c in _MACRO)} FROM sm WHERE dimension = 'player' GROUP BY 1) SELECT sm.*, {', '.join(f"CASE WHEN dimension = 'all' THEN macro_{c} END AS macro_{c}" for c in _MACRO)} FROM sm JOIN ma USING (method)""")
 def qual_summary(spark, sf_dir):
+    """Per method for all decisions and by five dimensions; the row of all also has means over players."""
     rows = c.compare_scores(quality(spark, sf_dir))
-    method, player, phase = F.col("method"), F.col("player"), F.col("phase")
-    grouped = rows.groupingSets([[method, player], [method, phase], [method]], method, player, phase).agg(*c.quality_columns(), F.grouping("player").alias("_a"), F.grouping("phase").alias("_b"))
-    name = F.when(F.col("_a") == 0, "player").when(F.col("_b") == 0, "phase").otherwise("all")
-    return rounded(grouped.select("method", name.alias("dimension"), F.coalesce("player", "phase", F.lit("all")).alias("value"), *[x for x in grouped.columns if x not in ("method", "player", "phase", "_a", "_b")]))
+    each = rounded(m.by_dimension(rows, list(_DIMENSIONS), c.quality_columns(), keys=["method"]))
+    over = F.col("dimension") == "player"
+    everyone = Window.partitionBy("method")  # over the few rows of the summary
+    return each.select("*", *[F.when(F.col("dimension") == "all", F.round(F.avg(F.when(over, F.col(x))).over(everyone), 7)).alias(f"macro_{x}") for x in _MACRO])
 
 
 @query("qual_convert_pp", Q_SQL + "SELECT decision_id, method, " + ", ".join(f"round({x}, 7) AS {x}" for x in ("human_gap", "signed_gap", "predicted_loss", "actual_loss")) + " FROM pp")

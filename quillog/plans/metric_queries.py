@@ -7,7 +7,8 @@ from pyspark.sql.window import Window
 
 from quillog.operators import metrics as m
 from quillog.operators import policy as pol
-from quillog.session import table
+from quillog.functions import scalars as s
+from quillog.session import durable
 from quillog.sources.bindings import ATTRIBUTES, CLOCK_SQL, FLAGS, LOG_SQL, candidates, clock_log
 
 from .history_queries import TRAIN_SQL, with_split
@@ -69,11 +70,20 @@ def rank_panel_macro(spark, sf_dir):
     return rounded(m.macro(test_predictions(spark, sf_dir)))
 
 
-@query("rank_metrics_topk", POLICY_SQL + prediction_sql("engine_rank, move") + """SELECT count(*) AS decisions, round(avg(exact::int), 9) AS accuracy, round(avg((actual_rank <= 2)::int), 9) AS top_2, round(avg(top_3::int), 9) AS top_3, round(avg(1.0 / actual_rank), 9) AS mrr, round(avg(nll), 9) AS nll FROM pred""")
+_REPORT = """count(*) AS decisions, round(avg((actual_rank = 1)::int), 9) AS accuracy, round(avg((actual_rank <= 2)::int), 9) AS top_2, round(avg((actual_rank <= 3)::int), 9) AS top_3, round(avg(1.0 / actual_rank), 9) AS mrr, round(avg(nll), 9) AS nll,
+  round(max(abs(1 - p_sum)), 9) AS max_sum_error, count_if(actual_engine_rank > 1) AS non_first_decisions, round(avg((actual_rank = 1)::int) FILTER (actual_engine_rank > 1), 9) AS non_first_accuracy, round(avg(1.0 / actual_rank) FILTER (actual_engine_rank > 1), 9) AS non_first_mrr"""
+_SLICES = ("actual_engine_rank", "phase", "pressure", "color", "time_control")
+
+
+@query("rank_metrics_topk", POLICY_SQL + prediction_sql("engine_rank, move") + f""", ex AS (SELECT p.*, x.* EXCLUDE (decision_id) FROM pred p JOIN (SELECT decision_id, max(engine_rank) FILTER (chosen) AS actual_engine_rank, sum(p) AS p_sum, bool_or(pressure) FILTER (chosen) AS pressure, CASE WHEN month(max(played_at)) % 2 = 0 THEN 'white' ELSE 'black' END AS color FROM rk GROUP BY 1) x USING (decision_id))
+  SELECT CASE {' '.join(f"WHEN grouping({d}) = 0 THEN '{d}'" for d in _SLICES)} ELSE 'all' END AS dimension, coalesce({', '.join(f'{d}::varchar' for d in _SLICES)}, 'all') AS value, {_REPORT} FROM ex GROUP BY GROUPING SETS ({', '.join(f'({d})' for d in _SLICES)}, ())""")
 def rank_metrics_topk(spark, sf_dir):
-    pred = m.predictions(test_policy(spark, sf_dir), "p", FLAGS, ties=("engine_rank", "move"))
-    rate = lambda c: F.round(F.avg(c.cast("double")), 9)
-    return pred.agg(F.count("*").alias("decisions"), rate(F.col("exact")).alias("accuracy"), rate(F.col("actual_rank") <= 2).alias("top_2"), rate(F.col("top_3")).alias("top_3"), F.round(F.avg(1 / F.col("actual_rank")), 9).alias("mrr"), F.round(F.avg("nll"), 9).alias("nll"))
+    """The ranking report: all decisions, and by the engine's rank of the choice, phase, pressure, colour and control."""
+    color = F.when(F.month("played_at") % 2 == 0, "white").otherwise("black")
+    seen = F.max(F.when(F.col("chosen"), F.col("pressure"))).over(Window.partitionBy("decision_id"))
+    own = test_policy(spark, sf_dir).withColumns({"color": color, "pressure": seen})
+    pred = m.predictions(own, "p", FLAGS, ties=("engine_rank", "move"), context=("phase", "pressure", "color", "time_control"))
+    return rounded(m.by_dimension(pred, list(_SLICES), m.ranking_columns()))
 
 
 @query("rank_confusion", POLICY_SQL + prediction_sql() + ", rr AS (SELECT decision_id, max(engine_rank) FILTER (chosen) AS actual, max(engine_rank) FILTER (i = 1) AS predicted FROM rk GROUP BY 1) SELECT actual, predicted, count(*) AS n FROM rr GROUP BY ALL")
@@ -104,7 +114,7 @@ def cal_ece_top1(spark, sf_dir):
     return rounded(m.ece(test_predictions(spark, sf_dir)))
 
 
-@query("cal_report", POLICY_SQL + "SELECT least(floor(p * 10), 9)::int AS bin, count(*) AS n, round(avg(p), 9) AS mean_p, round(avg(chosen::int), 9) AS chosen_rate FROM pl GROUP BY 1")
+@query("cal_report", POLICY_SQL + "SELECT least(floor(p * 10), 9)::int AS bin, round(least(floor(p * 10), 9) / 10, 9) AS low, round((least(floor(p * 10), 9) + 1) / 10, 9) AS high, count(*) AS n, round(avg(p), 9) AS mean_p, round(avg(chosen::int), 9) AS chosen_rate, round(avg((p - chosen::int) ** 2), 9) AS brier FROM pl GROUP BY ALL")
 def cal_report(spark, sf_dir):
     return rounded(m.calibration(test_policy(spark, sf_dir), "p"))
 
@@ -131,16 +141,38 @@ def flagship_policy_panel(spark, sf_dir):
 # --- plain aggregates ------------------------------------------------------------------------
 
 
-@query("agg_behavior_summary", LOG_SQL + """, d AS (SELECT decision_id, max(phase) AS phase, greatest(max(score_cp) FILTER (engine_rank = 1) - max(score_cp) FILTER (chosen), 0) AS loss, max(engine_rank) FILTER (chosen) AS r, bool_or(capture) FILTER (chosen) AS cap, bool_or("check") FILTER (chosen) AS chk, bool_or(castle) FILTER (chosen) AS cas, bool_or(pressure) FILTER (chosen) AS pres FROM cand GROUP BY 1)
-  SELECT phase, count(*) AS decisions, round(avg(loss), 9) AS mean_loss, median(loss)::double AS median_loss, round(avg((r <= 1)::int) * 100, 9) AS top_1, round(avg((r <= 3)::int) * 100, 9) AS top_3, round(avg((r <= 5)::int) * 100, 9) AS top_5,
-   round(avg(cap::int) * 100, 9) AS capture, round(avg(chk::int) * 100, 9) AS "check", round(avg(cas::int) * 100, 9) AS castle, round(avg(pres::int) * 100, 9) AS pressure FROM d GROUP BY 1""")
-def agg_behavior_summary(spark, sf_dir):
+_BEHAVIOR_SETS = ("phase", "piece", "opening")
+MOVED_SQL = LOG_SQL + """, tm AS (SELECT decision_id, datediff('day', lag(moved_at) OVER (PARTITION BY game_id ORDER BY ply), moved_at) AS days FROM dec),
+  d AS (SELECT decision_id, max(player) AS player, max(game_id) AS game_id, max(phase) AS phase, max(opening) AS opening, max(rating) AS rating, max(score_cp) FILTER (engine_rank = 1) AS best, greatest(max(score_cp) FILTER (engine_rank = 1) - max(score_cp) FILTER (chosen), 0) AS loss, max(engine_rank) FILTER (chosen) AS r, max(piece) FILTER (chosen) AS piece,
+    bool_or(capture) FILTER (chosen) AS capture, bool_or("check") FILTER (chosen) AS "check", bool_or(castle) FILTER (chosen) AS castle, bool_or(trade) FILTER (chosen) AS trade, bool_or(trade) AS offers, bool_or(pressure) FILTER (chosen) AS pressure, max(quantity) FILTER (chosen) AS material FROM cand GROUP BY 1),
+  mv AS (SELECT d.*, days FROM d JOIN tm USING (decision_id))"""
+
+
+def moves_made(spark, sf_dir):
+    """One row per decision: its context, the move made, what it cost and the days since the one before."""
+    from quillog.sources.bindings import decisions
+
     own = lambda c: F.max(F.when(F.col("chosen"), F.col(c)))
-    d = candidates(spark, sf_dir).groupBy("decision_id").agg(F.max("phase").alias("phase"), F.greatest(F.max(F.when(F.col("engine_rank") == 1, F.col("score_cp"))) - own("score_cp"), F.lit(0)).alias("loss"), own("engine_rank").alias("r"), *[own(c).alias(c) for c in ("capture", "check", "castle", "pressure")])
-    percent = lambda c: F.round(F.avg(c.cast("double")) * 100, 9)
-    return d.groupBy("phase").agg(
-        F.count("*").alias("decisions"), F.round(F.avg("loss"), 9).alias("mean_loss"), F.median("loss").alias("median_loss"), *[percent(F.col("r") <= k).alias(f"top_{k}") for k in (1, 3, 5)], *[percent(F.col(c)).alias(c) for c in ("capture", "check", "castle", "pressure")]
+    best = F.max(F.when(F.col("engine_rank") == 1, F.col("score_cp")))
+    d = candidates(spark, sf_dir).groupBy("decision_id").agg(
+        *[F.max(c).alias(c) for c in ("player", "game_id", "phase", "opening", "rating")], best.alias("best"), F.greatest(best - own("score_cp"), F.lit(0)).alias("loss"), own("engine_rank").alias("r"), own("quantity").alias("material"),
+        F.bool_or("trade").alias("offers"), *[own(c).alias(c) for c in ("piece", "capture", "check", "castle", "trade", "pressure")],
     )
+    before = F.lag("moved_at").over(Window.partitionBy("game_id").orderBy("ply"))
+    return d.join(decisions(spark, sf_dir).select("decision_id", F.datediff("moved_at", before).alias("days")), "decision_id")
+
+
+@query("agg_behavior_summary", MOVED_SQL + f"""SELECT CASE {' '.join(f"WHEN grouping({d}) = 0 THEN '{d}'" for d in _BEHAVIOR_SETS)} ELSE 'all' END AS dimension, coalesce({', '.join(_BEHAVIOR_SETS)}, 'all') AS value, count(*) AS decisions, round(avg(loss), 9) AS mean_loss, median(loss)::double AS median_loss,
+   round(avg((r <= 1)::int) * 100, 9) AS top_1, round(avg((r <= 3)::int) * 100, 9) AS top_3, round(avg((r <= 5)::int) * 100, 9) AS top_5, round(avg(days), 9) AS mean_days, round(avg(material), 9) AS mean_material, round(avg(1 / (1 + exp(-0.00368208 * (best - 300)))), 9) AS mean_chance,
+   {', '.join(f'round(avg("{c}"::int) * 100, 9) AS "{c}"' for c in ("capture", "check", "castle", "trade", "pressure"))} FROM mv GROUP BY GROUPING SETS ({', '.join(f'({d})' for d in _BEHAVIOR_SETS)}, ())""")
+def agg_behavior_summary(spark, sf_dir):
+    """Everything at once and by phase, piece moved and opening: counts, losses, ranks, time, material, chances and flags."""
+    percent = lambda c: F.avg(c.cast("double")) * 100
+    columns = [
+        F.count("*").alias("decisions"), F.avg("loss").alias("mean_loss"), F.median("loss").alias("median_loss"), *[percent(F.col("r") <= k).alias(f"top_{k}") for k in (1, 3, 5)],
+        F.avg("days").alias("mean_days"), F.avg("material").alias("mean_material"), F.avg(s.win_chance(F.col("best") - 300)).alias("mean_chance"), *[percent(F.col(c)).alias(c) for c in ("capture", "check", "castle", "trade", "pressure")],
+    ]
+    return rounded(m.by_dimension(moves_made(spark, sf_dir), list(_BEHAVIOR_SETS), columns))
 
 
 COV_SQL = LOG_SQL + ", cv AS (SELECT player, k::int AS k, avg((engine_rank <= k)::int) AS coverage FROM (SELECT player, engine_rank FROM cand WHERE chosen) CROSS JOIN range(1, 21) t(k) GROUP BY ALL)"
@@ -200,28 +232,37 @@ def agg_stratified_quality(spark, sf_dir):
     return F.broadcast(expected).join(per, "stratum", "left").withColumn("decisions", F.coalesce("decisions", F.lit(0)))
 
 
-@query("agg_strength_profile", LOG_SQL + """, d AS (SELECT decision_id, max(player) AS player, max(rating) AS rating, greatest(max(score_cp) FILTER (engine_rank = 1) - max(score_cp) FILTER (chosen), 0) AS loss FROM cand GROUP BY 1)
-  SELECT player, round(avg(rating), 6) AS mean_rating, round(median(rating), 6) AS median_rating, round(avg(loss), 9) AS mean_loss, count_if(loss < 50) AS under_50, count_if(loss >= 50 AND loss < 100) AS under_100, count_if(loss >= 100 AND loss < 300) AS under_300, count_if(loss >= 300) AS from_300, count_if(loss > 1000) AS over_1000 FROM d GROUP BY 1""")
+@query("agg_strength_profile", MOVED_SQL + """SELECT player, CASE WHEN grouping(phase) = 0 THEN 'phase' WHEN grouping(pressure) = 0 THEN 'pressure' ELSE 'all' END AS dimension, coalesce(phase, pressure::varchar, 'all') AS value, count(*) AS decisions, round(avg(rating), 6) AS mean_rating, round(median(rating), 6) AS median_rating,
+   round(avg(loss), 9) AS mean_loss, median(loss)::double AS median_loss, round(avg((r <= 5)::int), 9) AS top_5, count_if(loss < 50) AS under_50, count_if(loss >= 50 AND loss < 100) AS under_100, count_if(loss >= 100 AND loss < 300) AS under_300, count_if(loss >= 300) AS from_300, count_if(loss > 1000) AS over_1000 FROM mv GROUP BY GROUPING SETS ((player, phase), (player, pressure), (player))""")
 def agg_strength_profile(spark, sf_dir):
-    own = lambda c: F.max(F.when(F.col("chosen"), F.col(c)))
-    d = candidates(spark, sf_dir).groupBy("decision_id").agg(F.max("player").alias("player"), F.max("rating").alias("rating"), F.greatest(F.max(F.when(F.col("engine_rank") == 1, F.col("score_cp"))) - own("score_cp"), F.lit(0)).alias("loss"))
     x = F.col("loss")
-    return d.groupBy("player").agg(
-        F.round(F.avg("rating"), 6).alias("mean_rating"), F.round(F.median("rating"), 6).alias("median_rating"), F.round(F.avg("loss"), 9).alias("mean_loss"), F.count_if(x < 50).alias("under_50"), F.count_if((x >= 50) & (x < 100)).alias("under_100"),
-        F.count_if((x >= 100) & (x < 300)).alias("under_300"), F.count_if(x >= 300).alias("from_300"), F.count_if(x > 1000).alias("over_1000"))
+    columns = [
+        F.count("*").alias("decisions"), F.round(F.avg("rating"), 6).alias("mean_rating"), F.round(F.median("rating"), 6).alias("median_rating"), F.avg("loss").alias("mean_loss"), F.median("loss").alias("median_loss"), F.avg((F.col("r") <= 5).cast("double")).alias("top_5"),
+        F.count_if(x < 50).alias("under_50"), F.count_if((x >= 50) & (x < 100)).alias("under_100"), F.count_if((x >= 100) & (x < 300)).alias("under_300"), F.count_if(x >= 300).alias("from_300"), F.count_if(x > 1000).alias("over_1000"),
+    ]
+    return rounded(m.by_dimension(moves_made(spark, sf_dir), ["phase", "pressure"], columns, keys=["player"]))
+
+
+_SHARES = {"openings": "opening", "pieces": "piece", "phases": "phase"}
+_PRESSED = ", ".join(f"round(avg({v}) FILTER (pressure) - avg({v}) FILTER (NOT pressure), 9) AS pressure_{n}" for n, v in (("capture", "capture::int"), ("top_5", "(r <= 5)::int"), ("loss", "loss")))
 
 
-@query("agg_style_profile", LOG_SQL + """, c AS (SELECT *, bool_or(trade) OVER (PARTITION BY decision_id) AS offers FROM cand)
-  SELECT player, count(*) AS decisions, round(avg(capture::int), 9) AS capture, round(avg("check"::int), 9) AS "check", round(avg(CASE WHEN offers THEN trade::int END), 9) AS trade_when_offered, round(count(DISTINCT CASE WHEN castle THEN game_id END) / count(DISTINCT game_id), 9) AS games_castled,
-   round(avg(CASE WHEN pressure THEN capture::int END) - avg(CASE WHEN NOT pressure THEN capture::int END), 9) AS pressure_capture FROM c WHERE chosen GROUP BY 1""")
+@query("agg_style_profile", MOVED_SQL + ", ".join(["", *[f"{n} AS (SELECT player, string_agg(k || '=' || n, ',' ORDER BY k) AS {n} FROM (SELECT player, {c} AS k, count(*) AS n FROM mv GROUP BY ALL) GROUP BY 1)" for n, c in _SHARES.items()]]) + f""",
+  one AS (SELECT player, count(*) AS decisions, round(avg(capture::int), 9) AS capture, round(avg("check"::int), 9) AS "check", count_if(trade) AS trades, count_if(offers) AS trade_offers, round(avg(CASE WHEN offers THEN trade::int END), 9) AS trade_when_offered, count(DISTINCT game_id) AS games,
+    round(count(DISTINCT CASE WHEN castle THEN game_id END) / count(DISTINCT game_id), 9) AS games_castled, round(avg(days), 9) AS mean_days, count(days) AS timed, round(avg(pressure::int), 9) AS pressure, {_PRESSED} FROM mv GROUP BY 1)
+  SELECT * FROM one JOIN openings USING (player) JOIN pieces USING (player) JOIN phases USING (player)""")
 def agg_style_profile(spark, sf_dir):
-    offers = F.bool_or("trade").over(Window.partitionBy("decision_id"))
-    own = candidates(spark, sf_dir).withColumn("offers", offers).where("chosen")
+    own = durable(moves_made(spark, sf_dir))
     num = lambda c: F.col(c).cast("double")
-    return rounded(own.groupBy("player").agg(
-        F.count("*").alias("decisions"), F.avg(num("capture")).alias("capture"), F.avg(num("check")).alias("check"), F.avg(F.when(F.col("offers"), num("trade"))).alias("trade_when_offered"),
-        (F.count_distinct(F.when(F.col("castle"), F.col("game_id"))) / F.count_distinct("game_id")).alias("games_castled"),
-        (F.avg(F.when(F.col("pressure"), num("capture"))) - F.avg(F.when(~F.col("pressure"), num("capture")))).alias("pressure_capture")))
+    gap = lambda c: F.avg(F.when(F.col("pressure"), c)) - F.avg(F.when(~F.col("pressure"), c))
+    one = own.groupBy("player").agg(
+        F.count("*").alias("decisions"), F.avg(num("capture")).alias("capture"), F.avg(num("check")).alias("check"), F.count_if("trade").alias("trades"), F.count_if("offers").alias("trade_offers"), F.avg(F.when(F.col("offers"), num("trade"))).alias("trade_when_offered"),
+        F.count_distinct("game_id").alias("games"), (F.count_distinct(F.when(F.col("castle"), F.col("game_id"))) / F.count_distinct("game_id")).alias("games_castled"), F.avg("days").alias("mean_days"), F.count("days").alias("timed"), F.avg(num("pressure")).alias("pressure"),
+        gap(num("capture")).alias("pressure_capture"), gap((F.col("r") <= 5).cast("double")).alias("pressure_top_5"), gap(F.col("loss")).alias("pressure_loss"),
+    )
+    kinds = own.select("player", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.col(c).alias("k")) for n, c in _SHARES.items()])).alias("x")).groupBy("player", "x.n", "x.k").count()
+    listed = lambda n: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("n") == n, F.struct("k", "count")))), lambda x: F.concat_ws("=", x["k"], x["count"])), ",").alias(n)
+    return rounded(one.join(kinds.groupBy("player").agg(*[listed(n) for n in _SHARES]), "player"))
 
 
 @query("agg_player_metadata", LOG_SQL + "SELECT player, count(DISTINCT game_id) AS games, min(played_at) AS first_at, max(played_at) AS last_at, round(avg(rating), 6) AS mean_rating, min(rating) AS min_rating, max(rating) AS max_rating, count(DISTINCT time_control) AS controls, count_if(phase = 'F') AS finished FROM dec GROUP BY 1")
@@ -263,19 +304,28 @@ def style_macro(spark, sf_dir):
     return rounded(m.style_macro(cells(spark, sf_dir)), digits=7)
 
 
-_RATES = " UNION ALL ".join([f"SELECT player, block, 'behaviour' AS family, '{f}' AS field, avg(\"{f}\"::int) AS value FROM mv GROUP BY ALL" for f in FLAGS] + [f"SELECT player, block, '{k}', {k}, count(*) / max(n) FROM mv GROUP BY player, block, {k}" for k in ("piece", "wing", "phase")])
+STRUCTURE, OPENINGS = ("quantity", "score_cp"), {"white": ["A0", "A1", "A2"], "black": ["A3", "A4"]}
+_CELLS = [("behaviour", f, f'avg("{f}"::int)') for f in FLAGS]
+_CELLS += [("sequence", "repeat_piece", "avg((piece = pp)::int)"), ("sequence", "repeat_wing", "avg((wing = pw)::int)"), ("sequence", "capture_after_capture", "avg(CASE WHEN pp IS NOT NULL THEN (capture AND pc)::int END)")]
+_CELLS += [("pawn_structure", c, f"avg({c}) FILTER (last)") for c in STRUCTURE]
+_CELLS += [("opening_choice", f"{color}_{o}", f"avg((opening = '{o}')::int) FILTER (first AND color = '{color}')") for color, known in OPENINGS.items() for o in known]
+_CELLS += [("opening_choice", f"{color}_other", f"avg((opening NOT IN {tuple(known)})::int) FILTER (first AND color = '{color}')") for color, known in OPENINGS.items()]
+_RATES = " UNION ALL ".join([f"SELECT player, block, '{family}' AS family, '{name}' AS field, coalesce({value}, 0)::double AS value FROM sq GROUP BY ALL" for family, name, value in _CELLS] + [f"SELECT player, block, '{k}', {k}, count(*) / max(n) FROM mv GROUP BY player, block, {k}" for k in ("piece", "wing", "phase")])
 VEC_SQL = LOG_SQL + f""", gb AS (SELECT game_id, ((row_number() OVER (PARTITION BY player ORDER BY sha256('9:' || game_id), game_id) - 1) // 25)::int AS block FROM (SELECT DISTINCT player, game_id FROM dec)),
-  mv AS (SELECT c.*, block, count(*) OVER (PARTITION BY player, block) AS n FROM cand c JOIN gb USING (game_id) WHERE chosen), vec AS ({_RATES}),
-  sc AS (SELECT family, field, greatest(0.05, stddev_pop(value)) AS scale FROM vec GROUP BY ALL), ce AS (SELECT player, family, field, avg(value) AS centre FROM vec GROUP BY ALL)"""
+  mv AS (SELECT c.*, block, CASE WHEN month(played_at) % 2 = 0 THEN 'white' ELSE 'black' END AS color, count(*) OVER (PARTITION BY player, block) AS n FROM cand c JOIN gb USING (game_id) WHERE chosen),
+  sq AS (SELECT *, lag(piece) OVER w AS pp, lag(wing) OVER w AS pw, lag(capture) OVER w AS pc, lag(ply) OVER w IS NULL AS first, lead(ply) OVER w IS NULL AS last FROM mv WINDOW w AS (PARTITION BY game_id ORDER BY ply)), vec AS ({_RATES}),
+  sc AS (SELECT family, field, greatest(CASE WHEN family = 'pawn_structure' THEN 0.5 ELSE 0.05 END, sd) AS scale FROM (SELECT family, field, stddev_pop(value) AS sd FROM vec GROUP BY ALL)), ce AS (SELECT player, family, field, avg(value) AS centre FROM vec GROUP BY ALL)"""
 
 
 def vectors(spark, sf_dir):
+    """The style vectors of blocks of 25 games; written once, as what is made of them reads them several times."""
     from quillog.operators import splits
-    from quillog.sources.bindings import decisions
 
-    games = decisions(spark, sf_dir).select("player", "game_id").distinct()
+    cand = candidates(spark, sf_dir).where("chosen").withColumn("color", F.when(F.month("played_at") % 2 == 0, "white").otherwise("black"))
+    chosen = durable(cand.select("player", "game_id", "ply", *FLAGS, "piece", "wing", "phase", "color", "opening", *STRUCTURE))
+    games = chosen.select("player", "game_id").distinct()
     blocks = splits.blocks_of(games, 25, [splits.seeded_order(9, "game_id"), F.col("game_id")], per="player").select("game_id", "block")
-    return m.style_vector(candidates(spark, sf_dir).where("chosen").join(blocks, "game_id"), ["player", "block"], FLAGS)
+    return durable(m.style_vector(chosen.join(blocks, "game_id"), ["player", "block"], FLAGS, structure=STRUCTURE, openings=OPENINGS))
 
 
 @query("style_vector", VEC_SQL + "SELECT player, block, family, field, round(value, 9) AS value FROM vec")
@@ -317,22 +367,55 @@ def style_distance(spark, sf_dir):
     return rounded(m.style_distance(vec.where("block = 0").drop("block"), vec.where("block = 1").drop("block"), scale, ["player"]))
 
 
-@query("traj_summary", CLOCK_SQL + """, g AS (SELECT game_id, count(*) AS plies, max(event_type) FILTER (ply = n) AS ending FROM (SELECT *, count(*) OVER (PARTITION BY game_id) AS n FROM clk) GROUP BY 1)
-  SELECT count(*) AS games, sum(plies)::bigint AS moves, round(avg((ending = 'purchase')::int), 9) AS terminal_rate, round(avg((plies >= 4)::int), 9) AS truncated_rate, round(avg(plies), 9) AS mean_plies, count_if(ending = 'error') AS errors FROM g""")
+_TRAITS = ("purchase", "error")
+_KINDS_SQL = "SELECT DISTINCT event_type FROM clk"
+
+
+@query("traj_summary", CLOCK_SQL + """, sq AS (SELECT *, lag(event_type) OVER w AS prior, count(*) OVER (PARTITION BY game_id) AS n FROM clk WINDOW w AS (PARTITION BY game_id ORDER BY ply)),
+  g AS (SELECT game_id, max(n) AS plies, max(event_type) FILTER (ply = n) AS ending, max(clock) FILTER (ply = n) AS last_clock FROM sq GROUP BY 1), k AS (SELECT string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS kinds FROM (SELECT event_type, count(*) AS n FROM clk GROUP BY 1)),
+  e AS (SELECT string_agg(ending || '=' || n, ',' ORDER BY ending) AS endings FROM (SELECT ending, count(*) AS n FROM g GROUP BY 1))
+  SELECT count(*) AS games, sum(plies)::bigint AS moves, round(avg((ending = 'purchase')::int), 9) AS terminal_rate, round(avg((plies >= 4)::int), 9) AS truncated_rate, round(avg(plies), 9) AS mean_plies, round(avg(last_clock), 7) AS mean_last_clock,
+   (SELECT round(avg((event_type = 'purchase')::int), 9) FROM clk) AS purchase, (SELECT round(avg((event_type = 'error')::int), 9) FROM clk) AS error, (SELECT round(avg((event_type = prior)::int), 9) FROM sq) AS repeat_rate, (SELECT kinds FROM k) AS kinds, (SELECT endings FROM e) AS endings FROM g""")
 def traj_summary(spark, sf_dir):
-    g = clock_log(spark, sf_dir).groupBy("game_id").agg(F.count("*").alias("plies"), F.max_by("event_type", "ply").alias("ending"))
-    return rounded(g.agg(
-        F.count("*").alias("games"), F.sum("plies").alias("moves"), F.avg((F.col("ending") == "purchase").cast("double")).alias("terminal_rate"), F.avg((F.col("plies") >= 4).cast("double")).alias("truncated_rate"),
-        F.avg("plies").alias("mean_plies"), F.count_if(F.col("ending") == "error").alias("errors")))
+    """Games and moves of trajectories: endings, lengths, rates of two traits, kinds of moves, repeats, and the clock at the end."""
+    w = Window.partitionBy("game_id").orderBy("ply")
+    own = clock_log(spark, sf_dir).withColumn("prior", F.lag("event_type").over(w))
+    num = lambda c: c.cast("double")
+    per = own.groupBy("game_id", "event_type").agg(F.count("*").alias("n"), F.count_if(F.col("prior").isNotNull()).alias("steps"), F.count_if(F.col("event_type") == F.col("prior")).alias("again"), F.max(F.struct("ply", "clock")).alias("last"))
+    g = per.groupBy("game_id").agg(F.sum("n").alias("plies"), F.max_by("event_type", "last.ply").alias("ending"), F.max("last").alias("last"), F.sum("steps").alias("steps"), F.sum("again").alias("again"), *[F.coalesce(F.sum(F.when(F.col("event_type") == t, F.col("n"))), F.lit(0)).alias(t) for t in _TRAITS])
+    one = g.agg(
+        F.count("*").alias("games"), F.sum("plies").alias("moves"), F.avg(num(F.col("ending") == "purchase")).alias("terminal_rate"), F.avg(num(F.col("plies") >= 4)).alias("truncated_rate"), F.avg("plies").alias("mean_plies"), F.round(F.avg("last.clock"), 7).alias("mean_last_clock"),
+        *[(F.sum(t) / F.sum("plies")).alias(t) for t in _TRAITS], (F.sum("again") / F.sum("steps")).alias("repeat_rate"),
+    )
+    listed = lambda df, k, name: df.groupBy(k).agg(F.sum("c").alias("c")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k, "c"))), lambda x: F.concat_ws("=", x[k], x["c"])), ",").alias(name))
+    kinds = listed(per.withColumn("c", F.col("n")), "event_type", "kinds")
+    endings = listed(g.withColumn("c", F.lit(1)), "ending", "endings")
+    return rounded(one.crossJoin(kinds).crossJoin(endings))  # three single rows
+
+
+_TV = ", ".join(f"(SELECT player, sum(abs(a - b)) / 2 AS {k}_tv FROM (SELECT player, {k}, count(*) FILTER (chosen) / sum(count(*) FILTER (chosen)) OVER (PARTITION BY player) AS a, count(*) FILTER (i = 1) / sum(count(*) FILTER (i = 1)) OVER (PARTITION BY player) AS b FROM rk GROUP BY player, {k}) GROUP BY 1) {k}s" for k in ("piece", "wing"))
 
 
-@query("traj_compare", POLICY_SQL + prediction_sql() + """, a AS (SELECT player, piece AS k, count(*) / sum(count(*)) OVER (PARTITION BY player) AS s FROM rk WHERE chosen GROUP BY player, piece), b AS (SELECT player, piece AS k, count(*) / sum(count(*)) OVER (PARTITION BY player) AS s FROM rk WHERE i = 1 GROUP BY player, piece)
-  SELECT player, round(sum(abs(coalesce(a.s, 0) - coalesce(b.s, 0))) / 2, 9) AS piece_tv FROM a FULL JOIN b USING (player, k) GROUP BY 1""")
+@query("traj_compare", POLICY_SQL + prediction_sql() + f""", sq AS (SELECT *, lag(hp) OVER w AS hprior, lag(tp) OVER w AS tprior FROM (SELECT decision_id, max(player) AS player, max(game_id) AS game_id, max(ply) AS ply, max(piece) FILTER (chosen) AS hp, max(piece) FILTER (i = 1) AS tp, max(quantity) FILTER (chosen) AS hq, max(quantity) FILTER (i = 1) AS tq,
+    {', '.join(f'bool_or("{f}") FILTER (chosen) AS h_{f}, bool_or("{f}") FILTER (i = 1) AS t_{f}' for f in FLAGS)} FROM rk GROUP BY 1) WINDOW w AS (PARTITION BY game_id ORDER BY ply)),
+  o AS (SELECT player, ({' + '.join(f'abs(avg(h_{f}::int) - avg(t_{f}::int))' for f in FLAGS)}) / {len(FLAGS)} AS rate_error, abs(avg((hp = hprior)::int) - avg((tp = tprior)::int)) AS sequence_error, abs(avg(hq) - avg(tq)) AS structure_error FROM sq GROUP BY 1)
+  SELECT o.player, round(piece_tv, 9) AS piece_tv, round(wing_tv, 9) AS wing_tv, round(rate_error, 9) AS rate_error, round(sequence_error, 9) AS sequence_error, round(structure_error, 9) AS structure_error FROM o, {_TV} WHERE o.player = pieces.player AND o.player = wings.player""")
 def traj_compare(spark, sf_dir):
-    """Total variation between the pieces that were moved and those of the policy's first choices."""
+    """Per player how the policy's first choices differ from the moves that were made: flags, pieces, wings,
+    repeats within a game, and structure."""
     w = Window.partitionBy("decision_id").orderBy(F.desc("p"), "move")
     own = test_policy(spark, sf_dir).withColumn("i", F.row_number().over(w))
-    n = own.groupBy("player", "piece").agg(F.count_if("chosen").alias("a"), F.count_if(F.col("i") == 1).alias("b"))
-    total = Window.partitionBy("player")
+    human, top = (lambda c: F.max(F.when(F.col("chosen"), F.col(c)))), (lambda c: F.max(F.when(F.col("i") == 1, F.col(c))))
+    fields = ("piece", "wing", "quantity", *FLAGS)
+    d = durable(own.groupBy("decision_id").agg(*[F.max(c).alias(c) for c in ("player", "game_id", "ply")], *[human(c).alias(f"h_{c}") for c in fields], *[top(c).alias(f"t_{c}") for c in fields]))
+    game = Window.partitionBy("game_id").orderBy("ply")
+    sq = d.withColumns({f"{s_}_prior": F.lag(f"{s_}_piece").over(game) for s_ in "ht"})
+    gap = lambda a, b: F.abs(F.avg(a.cast("double")) - F.avg(b.cast("double")))
+    rates = sum((gap(F.col(f"h_{f}"), F.col(f"t_{f}")) for f in FLAGS), F.lit(0.0)) / len(FLAGS)
+    out = sq.groupBy("player").agg(rates.alias("rate_error"), gap(F.col("h_piece") == F.col("h_prior"), F.col("t_piece") == F.col("t_prior")).alias("sequence_error"), gap(F.col("h_quantity"), F.col("t_quantity")).alias("structure_error"))
+    sides = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(s_).alias("s"), F.col(f"{s_}_{k}").alias("v")) for k in ("piece", "wing") for s_ in "ht"])
+    n = d.select("player", F.explode(sides).alias("x")).groupBy("player", "x.k", "x.v").agg(F.count_if(F.col("x.s") == "h").alias("a"), F.count_if(F.col("x.s") == "t").alias("b"))
+    total = Window.partitionBy("player", "k")
     shares = n.withColumn("gap", F.abs(F.col("a") / F.sum("a").over(total) - F.col("b") / F.sum("b").over(total)))
-    return shares.groupBy("player").agg(F.round(F.sum("gap") / 2, 9).alias("piece_tv"))
+    tv = shares.groupBy("player").agg(*[(F.sum(F.when(F.col("k") == k, F.col("gap"))) / 2).alias(f"{k}_tv") for k in ("piece", "wing")])
+    return rounded(out.join(tv, "player"))
