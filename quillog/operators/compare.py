@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -95,22 +97,31 @@ def unit_totals(diff: DataFrame, unit: str, metrics: list[str]) -> DataFrame:
     return diff.groupBy(unit).agg(F.count("*").alias("_n"), *[F.sum(m).alias(m) for m in metrics])
 
 
-def bootstrap(totals: DataFrame, unit: str, metrics: list[str], *, resamples: int = 2_000, seed: int = 42) -> DataFrame:
+#: The Poisson(1) distribution function at 0, 1, ..., 8.
+POISSON = tuple(sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)) for n in range(9))
+PER_HASH = 8
+
+
+def bootstrap(totals: DataFrame, unit: str, metrics: list[str], *, resamples: int = 2_000, seed: int = 42, max_units: int = 100_000) -> DataFrame:
     """Estimate and percentile interval of each ratio sum(metric) / sum(rows) over resampled units.
 
     Instead of drawing units by number and joining them back, every unit gets its multiplicity in
-    each replicate: a Poisson(1) count by a hash of seed, replicate and unit. Rows are units times
-    replicates and are summed by replicate before the shuffle, so only ``resamples`` rows move.
+    each replicate: a Poisson(1) count by a hash of seed, replicate and unit, eight replicates to a
+    SHA-256. Draws are summed by replicate before the shuffle, so only ``resamples`` rows move. More
+    than ``max_units`` units are first merged by hash into that many, which resample as groups of
+    units do: the work of drawing is bounded and the interval keeps its width.
     """
-    u = (F.xxhash64(F.lit(seed), "replicate", unit).bitwiseAND(F.lit((1 << 40) - 1)) + 0.5) / float(1 << 40)
-    below, mass, total = F.lit(0), 1.0, 0.36787944117144233
-    for k in range(1, 9):
-        below = below + (u >= total).cast("int")
-        mass /= k
-        total += 0.36787944117144233 * mass
-    drawn = totals.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("_w", below).where("_w > 0")
-    sums = drawn.groupBy("replicate").agg(F.sum(F.col("_w") * F.col("_n")).alias("_n"), *[F.sum(F.col("_w") * F.col(m)).alias(m) for m in metrics])
     point = totals.agg(F.count("*").alias("units"), *[(F.sum(m) / F.sum("_n")).alias(f"{m}_estimate") for m in metrics])
+    units = totals.select(F.col(unit).cast("string").alias("_unit"), "_n", *metrics)
+    if totals.count() > max_units:
+        merged = F.pmod(F.xxhash64(F.lit(seed), "_unit"), F.lit(max_units)).cast("string")
+        units = units.groupBy(merged.alias("_unit")).agg(F.sum("_n").alias("_n"), *[F.sum(m).alias(m) for m in metrics])
+    hashed = units.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(-(-resamples // PER_HASH) - 1)))).withColumn("_h", F.sha2(F.concat_ws(":", F.lit(seed), "_block", "_unit"), 256))
+    each = hashed.select("_n", *metrics, "_block", "_h", F.explode(F.sequence(F.lit(0), F.lit(PER_HASH - 1))).alias("_j"))
+    u = F.conv(F.substr("_h", F.col("_j") * 8 + 1, F.lit(8)), 16, 10).cast("bigint") / 4294967296.0
+    weight = sum(((u >= c).cast("int") for c in POISSON), F.lit(0))
+    drawn = each.select("_n", *metrics, (F.col("_block") * PER_HASH + F.col("_j")).alias("replicate"), weight.alias("_w")).where(f"_w > 0 AND replicate < {resamples}")
+    sums = drawn.groupBy("replicate").agg(F.sum(F.col("_w") * F.col("_n")).alias("_n"), *[F.sum(F.col("_w") * F.col(m)).alias(m) for m in metrics])
     spread = sums.agg(*[f for m in metrics for f in (F.percentile(F.col(m) / F.col("_n"), 0.025).alias(f"{m}_low"), F.percentile(F.col(m) / F.col("_n"), 0.975).alias(f"{m}_high"))])
     return point.crossJoin(spread)  # one row each
 

@@ -16,8 +16,9 @@ from .policy import FLOOR
 HASHED = 128
 
 
-def sparse_features(cand: DataFrame, flags: tuple[str, ...], numerics: dict[str, Column], phases: list[str], categories: dict[str, list[str]]) -> DataFrame:
-    """Long (player, decision_id, engine_rank, chosen, base_logit, idx, val) of non-zero features.
+def packed_features(cand: DataFrame, flags: tuple[str, ...], numerics: dict[str, Column], phases: list[str], categories: dict[str, list[str]]) -> DataFrame:
+    """(player, decision_id, engine_rank, chosen, base_logit, x): one row per candidate, ``x`` its non-zero
+    features as (idx, val).
 
     Base values stand once for all decisions and once more in the block of the decision's phase;
     a further 128 indexes hold the hash of position and move.
@@ -31,18 +32,55 @@ def sparse_features(cand: DataFrame, flags: tuple[str, ...], numerics: dict[str,
     phased = [F.struct((n * (1 + phase) + i).cast("int").alias("idx"), F.when(phase >= 0, v).otherwise(F.lit(0.0)).alias("val")) for i, v in enumerate(base)]
     bucket = F.conv(F.substring(F.sha2(F.concat_ws("|", "position_key", "move"), 256), 1, 8), 16, 10).cast("bigint") % HASHED
     hashed = F.struct((F.lit(n * (1 + len(phases))) + bucket).cast("int").alias("idx"), F.lit(1.0).alias("val"))
-    each = F.explode(F.filter(F.array(*shared, *phased, hashed), lambda x: x["val"] != 0))
-    keys = ["player", "decision_id", "engine_rank", "chosen", "base_logit"]
-    return cand.select(*keys, each.alias("_x")).select(*keys, "_x.*")
+    return cand.select("player", "decision_id", "engine_rank", "chosen", "base_logit", F.filter(F.array(*shared, *phased, hashed), lambda x: x["val"] != 0).alias("x"))
+
+
+def sparse_features(*args, **options) -> DataFrame:
+    """``packed_features`` in long form: a row for each non-zero feature, with idx and val."""
+    return packed_features(*args, **options).select(*CANDIDATE, F.explode("x").alias("_x")).select(*CANDIDATE, "_x.*")
+
+
+CANDIDATE = ["player", "decision_id", "engine_rank", "chosen", "base_logit"]
+KEYS = ["player", "decision_id", "engine_rank"]
+
+
+def packed(features: DataFrame) -> DataFrame:
+    """Long features as one row per candidate; packed ones as they are."""
+    if "x" in features.columns:
+        return features
+    return features.groupBy(*KEYS, "chosen").agg(F.max("base_logit").alias("base_logit"), F.collect_list(F.struct("idx", "val")).alias("x"))
+
+
+def by_decision(features: DataFrame) -> DataFrame:
+    """(player, decision_id, c): one row per decision with its candidates (chosen, base_logit, x), so that
+    whatever runs over a decision needs no exchange after this one."""
+    if "c" in features.columns:
+        return features
+    return packed(features).groupBy("player", "decision_id").agg(F.collect_list(F.struct("chosen", "base_logit", "x")).alias("c"))
+
+
+def dense(beta: DataFrame) -> DataFrame:
+    """(player, b): a player's coefficients as an array by index, zero where there is none."""
+    entries = beta.groupBy("player").agg(F.max("idx").alias("_top"), F.map_from_entries(F.collect_list(F.struct("idx", "beta"))).alias("_m"))
+    return entries.select("player", F.transform(F.sequence(F.lit(0), "_top"), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(0.0))).alias("b"))
+
+
+def _dot(features: DataFrame, beta: DataFrame, name: str = "logit") -> DataFrame:
+    """Candidates with their logit. Coefficients are one array per player; Spark broadcasts them while
+    they are small, else they join on the player."""
+    logit = F.col("base_logit") + F.aggregate("x", F.lit(0.0), lambda s, x: s + x["val"] * F.coalesce(F.get("b", x["idx"]), F.lit(0.0)))
+    return features.join(dense(beta), "player", "left").withColumn(name, logit).drop("b")
+
+
+def _softmax(logit: str) -> Column:
+    w = Window.partitionBy("decision_id", "player")
+    e = F.exp(F.col(logit) - F.max(logit).over(w))
+    return e / F.sum(e).over(w)
 
 
 def scored(features: DataFrame, beta: DataFrame) -> DataFrame:
     """One row per candidate with its probability under the player's coefficients."""
-    joined = features.join(beta, ["player", "idx"], "left")
-    per = joined.groupBy("player", "decision_id", "engine_rank", "chosen").agg((F.max("base_logit") + F.sum(F.col("val") * F.coalesce("beta", F.lit(0.0)))).alias("logit"))
-    w = Window.partitionBy("player", "decision_id")
-    e = F.exp(F.col("logit") - F.max("logit").over(w))
-    return per.withColumn("p", e / F.sum(e).over(w))
+    return _dot(packed(features), beta).withColumn("p", _softmax("logit")).drop("x", "base_logit")
 
 
 def objective(features: DataFrame, beta: DataFrame, penalty: float) -> DataFrame:
@@ -53,31 +91,70 @@ def objective(features: DataFrame, beta: DataFrame, penalty: float) -> DataFrame
 
 
 def gradient(features: DataFrame, beta: DataFrame, penalty: float) -> DataFrame:
-    """(player, idx, beta, gradient) of the objective."""
-    p = scored(features, beta).select("player", "decision_id", "engine_rank", "p")
-    n = features.groupBy("player").agg(F.count_distinct("decision_id").alias("n"))
-    pull = features.join(p, ["player", "decision_id", "engine_rank"]).groupBy("player", "idx").agg(F.sum((F.col("p") - F.col("chosen").cast("int")) * F.col("val")).alias("g"))
-    return pull.join(n, "player").join(beta, ["player", "idx"], "left").select(
-        "player", "idx", F.coalesce("beta", F.lit(0.0)).alias("beta"), (F.col("g") / F.col("n") + penalty * F.coalesce("beta", F.lit(0.0))).alias("gradient")
+    """(player, idx, beta, gradient, objective): the objective is the player's, at ``beta``.
+
+    The probabilities come from each decision's own row; the sums by player and index are combined
+    before their shuffle, so decisions of a frequent player don't meet in one task.
+    """
+    weight = lambda x: x["val"] * F.coalesce(F.get("b", x["idx"]), F.lit(0.0))
+    logits = F.transform("c", lambda c: c["base_logit"] + F.aggregate(c["x"], F.lit(0.0), lambda s, x: s + weight(x)))
+    rows = by_decision(features).join(dense(beta), "player", "left").select("player", "c", logits.alias("_l"))
+    rows = rows.select("player", "c", F.transform("_l", lambda v: F.exp(v - F.array_max("_l"))).alias("_e"))
+    rows = rows.select("player", "c", "_e", F.aggregate("_e", F.lit(0.0), lambda s, v: s + v).alias("_s"))
+    pull = lambda c, e: F.transform(c["x"], lambda x: F.struct(x["idx"].alias("idx"), ((e / F.col("_s") - c["chosen"].cast("int")) * x["val"]).alias("g"), F.lit(0).alias("n")))
+    nll = F.aggregate(F.zip_with("c", "_e", lambda c, e: F.when(c["chosen"], -F.log(F.greatest(e / F.col("_s"), F.lit(FLOOR)))).otherwise(F.lit(0.0))), F.lit(0.0), lambda s, v: s + v)
+    chosen = F.size(F.filter("c", lambda c: c["chosen"]))
+    loss = F.array(F.struct(F.lit(-1).alias("idx"), nll.alias("g"), chosen.alias("n")))
+    each = rows.select("player", F.explode(F.concat(loss, F.flatten(F.zip_with("c", "_e", pull)))).alias("_g")).select("player", "_g.*")
+    sums = each.groupBy("player", "idx").agg(F.sum("g").alias("g"), F.sum("n").alias("n"))
+    whole = sums.where("idx = -1").select("player", F.col("n").alias("_n"), (F.col("g") / F.col("n")).alias("_nll"))
+    norm = beta.groupBy("player").agg(F.sum(F.col("beta") * F.col("beta")).alias("_norm"))
+    own = sums.where("idx >= 0").join(whole, "player").join(norm, "player", "left").join(beta, ["player", "idx"], "left")
+    b = F.coalesce("beta", F.lit(0.0))
+    return own.select(
+        "player", "idx", b.alias("beta"), (F.col("g") / F.col("_n") + penalty * b).alias("gradient"), (F.col("_nll") + penalty / 2 * F.coalesce("_norm", F.lit(0.0))).alias("objective")
     )
 
 
-def fit(features: DataFrame, *, penalty: float = 0.01, iterations: int = 20, cut_every: int = 5) -> DataFrame:
-    """(player, idx, beta, gradient) after full-batch steps for all players at once.
+class NotConverged(ValueError):
+    """A fit used up its iterations before all players met the tolerance."""
+
 
-    The step is one over a bound of the curvature: the largest squared feature norm of a player's
-    candidates, over 2, plus the penalty. Lineage is cut every few steps.
+def fit(features: DataFrame, *, penalty: float = 0.01, iterations: int = 150, tolerance: float | None = None, reach: float = 10.0, check_every: int = 3) -> DataFrame:
+    """(player, idx, beta, gradient, objective) after accelerated full-batch steps for all players at once.
+
+    A player's first step is ``reach`` times one over a bound of the curvature (the largest squared
+    feature norm of the candidates, over 2, plus the penalty). Where the objective rises the momentum is
+    dropped, and where it rises without momentum the step is halved. With a ``tolerance`` the fit ends
+    when no player's largest gradient is above it, and ``NotConverged`` is raised if ``iterations`` steps
+    don't get there. Only one number returns to the driver. A step reads the
+    coefficients several times, so each is written before the next.
     """
-    features = durable(features)
-    norms = features.groupBy("player", "decision_id", "engine_rank").agg(F.sum(F.col("val") * F.col("val")).alias("q")).groupBy("player").agg(F.max("q").alias("q"))
-    step = durable(norms.select("player", (1 / (F.col("q") / 2 + penalty)).alias("step")))
-    beta = features.select("player", "idx").distinct().withColumn("beta", F.lit(0.0))
+    features = durable(by_decision(features))
+    norm = F.array_max(F.transform("c", lambda c: F.aggregate(c["x"], F.lit(0.0), lambda s, x: s + x["val"] * x["val"])))
+    steps = features.groupBy("player").agg((reach / (F.max(norm) / 2 + penalty)).alias("step"))
+    start = features.select("player", F.explode(F.flatten(F.transform("c", lambda c: c["x"]["idx"]))).alias("idx")).distinct()
+    zero = F.lit(0.0)
+    at = durable(start.join(steps, "player").select("player", "idx", zero.alias("beta"), zero.alias("last"), "step", F.lit(float("inf")).alias("best"), F.lit(True).alias("plain"), zero.alias("gradient")))
     for i in range(1, iterations + 1):
-        g = gradient(features, beta, penalty)
-        beta = g.join(step, "player").select("player", "idx", (F.col("beta") - F.col("step") * F.col("gradient")).alias("beta"))
-        if i % cut_every == 0:
-            beta = durable(beta)
-    return gradient(features, beta, penalty)
+        g = gradient(features, at.select("player", "idx", "beta"), penalty).select("player", "idx", "gradient", "objective")
+        rises = F.col("objective") > F.col("best")
+        ratio = F.sqrt(penalty * F.col("step"))
+        new = F.col("beta") - F.col("step") * F.col("gradient")
+        at = at.drop("gradient").join(g, ["player", "idx"]).select(
+            "player", "idx",
+            F.when(rises, F.col("last")).otherwise(new + (1 - ratio) / (1 + ratio) * (new - F.col("last"))).alias("beta"),
+            F.when(rises, F.col("last")).otherwise(new).alias("last"),
+            F.when(rises & F.col("plain"), F.col("step") / 2).otherwise(F.col("step")).alias("step"),
+            F.least("best", "objective").alias("best"), rises.alias("plain"), "gradient",
+        )
+        at = durable(at)
+        if tolerance is not None and i % check_every == 0 and (at.agg(F.max(F.abs("gradient"))).first()[0] or 0.0) <= tolerance / 2:
+            break
+    done = durable(gradient(features, at.select("player", "idx", F.col("last").alias("beta")), penalty))
+    if tolerance is not None and (done.agg(F.max(F.abs("gradient"))).first()[0] or 0.0) > tolerance:
+        raise NotConverged(f"{iterations} steps left a gradient above {tolerance}")
+    return done
 
 
 def shared_mean(beta: DataFrame) -> DataFrame:
@@ -86,18 +163,28 @@ def shared_mean(beta: DataFrame) -> DataFrame:
     return beta.groupBy("idx").agg(F.sum("beta").alias("_s")).crossJoin(F.broadcast(players)).select("idx", (F.col("_s") / F.col("_n")).alias("beta"))  # one row
 
 
-def objective_terms(features: DataFrame, own: DataFrame, donor: DataFrame, *, margin: float = 0.1) -> DataFrame:
-    """Per player: imitation NLL, softplus of the donor's advantage plus a margin, and KL to the base."""
-    keys = ["player", "decision_id", "engine_rank"]
-    a = scored(features, own).select(*keys, "chosen", F.col("p").alias("po"))
-    b = scored(features, donor).select(*keys, F.col("p").alias("pd"))
-    base = scored(features, own.limit(0)).select(*keys, F.col("p").alias("pb"))
-    rows = a.join(b, keys).join(base, keys)
+def objective_terms(features: DataFrame, own: DataFrame, donor: DataFrame, *, margin: float = 0.1, behavior: tuple[int, ...] = (), opportunity: tuple[int, ...] = ()) -> DataFrame:
+    """Per player the means of five terms: imitation NLL, softplus of the donor's advantage plus a margin,
+    KL to the base policy, and the squared gaps between what the policy expects and what was chosen in
+    the ``behavior`` features over all decisions, and in the ``opportunity`` features over those
+    decisions alone whose candidates differ in them."""
+    rows = _dot(_dot(packed(features), own, "_own"), donor, "_donor")
+    rows = rows.withColumns({"po": _softmax("_own"), "pd": _softmax("_donor"), "pb": _softmax("base_logit")})
     log = lambda c: F.log(F.greatest(c, F.lit(FLOOR)))
-    per = rows.groupBy("player", "decision_id").agg(
-        F.sum(F.when(F.col("chosen"), -log("po"))).alias("imitation"), F.sum(F.when(F.col("chosen"), F.log1p(F.exp(log("pd") - log("po") + margin)))).alias("contrast"), F.sum(F.col("po") * (log("po") - log("pb"))).alias("kl")
+    value = lambda k: F.coalesce(F.get(F.filter("x", lambda x: x["idx"] == k), F.lit(0))["val"], F.lit(0.0))
+    fields = sorted({*behavior, *opportunity})
+    valued = rows.select("*", *[value(k).alias(f"_v{k}") for k in fields])
+    per = valued.groupBy("player", "decision_id").agg(
+        F.sum(F.when(F.col("chosen"), -log("po"))).alias("imitation"), F.sum(F.when(F.col("chosen"), F.log1p(F.exp(log("pd") - log("po") + margin)))).alias("contrast"), F.sum(F.col("po") * (log("po") - log("pb"))).alias("kl"),
+        *[F.sum((F.col("po") - F.col("chosen").cast("int")) * F.col(f"_v{k}")).alias(f"_gap{k}") for k in fields],
+        *[(F.min(f"_v{k}") != F.max(f"_v{k}")).alias(f"_open{k}") for k in opportunity],
+    )
+    mean = lambda cs: sum((c * c for c in cs), F.lit(0.0)) / max(1, len(cs))
+    return per.groupBy("player").agg(
+        *[F.avg(c).alias(c) for c in ("imitation", "contrast", "kl")],
+        mean([F.avg(f"_gap{k}") for k in behavior]).alias("behavior_moment"),
+        mean([F.coalesce(F.avg(F.when(F.col(f"_open{k}"), F.col(f"_gap{k}"))), F.lit(0.0)) for k in opportunity]).alias("opportunity_moment"),
     )
-    return per.groupBy("player").agg(*[F.avg(c).alias(c) for c in ("imitation", "contrast", "kl")])
 
 
 # --- tree scorers ----------------------------------------------------------------------------

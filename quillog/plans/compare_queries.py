@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from quillog.operators import compare as c
 from quillog.operators import metrics as m
 from quillog.operators import policy as pol
+from quillog.session import durable
 from quillog.sources.bindings import FLAGS, LOG_SQL, candidates
 
 from .history_queries import with_split
@@ -124,39 +125,68 @@ def _boot(spark, sf_dir, unit, metrics, where=None):
     diff = c.paired(base, model, metrics, ["game_id", "player"])
     if where is not None:
         diff = diff.where(where)
-    return c.bootstrap(c.unit_totals(diff, unit, metrics), unit, metrics)
+    return rounded(c.bootstrap(durable(c.unit_totals(diff, unit, metrics)), unit, metrics))
 
 
-@query("boot_paired_game")
+def boot_sql(totals: str, metrics: list[str], resamples: int = 2_000, seed: int = 42) -> str:
+    """The bootstrap of ``totals``, a select of (unit, n, metrics), in SQL: CTEs and the final select."""
+    own = ", ".join(f'"{m}"' for m in metrics)
+    weight = " + ".join(f"(u >= {x!r})::int" for x in c.POISSON)
+    return f""", tot AS ({totals}), blk AS (SELECT tot.*, b, sha256('{seed}:' || b || ':' || unit) AS h FROM tot, range(0, {resamples // c.PER_HASH}) r(b)),
+  dr AS (SELECT n, {own}, b * {c.PER_HASH} + j AS replicate, ('0x' || substr(h, (j * 8 + 1)::int, 8))::bigint / 4294967296.0::double AS u FROM blk, range(0, {c.PER_HASH}) s(j)),
+  wt AS (SELECT *, {weight} AS w FROM dr), rs AS (SELECT replicate, sum(w * n) AS n, {', '.join(f'sum(w * "{m}") AS "{m}"' for m in metrics)} FROM wt WHERE w > 0 GROUP BY 1)
+  SELECT (SELECT count(*) FROM tot) AS units, {', '.join(f'(SELECT round(sum("{m}") / sum(n), 9) FROM tot) AS {m}_estimate, round(quantile_cont("{m}" / n, 0.025), 9) AS {m}_low, round(quantile_cont("{m}" / n, 0.975), 9) AS {m}_high' for m in metrics)} FROM rs"""
+
+
+_DIFFS = {"exact": "exact::int - (r = 1)::int", "top_3": "top_3::int - (r <= 3)::int", "top_5": "top_5::int - (r <= 5)::int", "rank_score": "rank_score - rs", "nll": "nll - bnll", "brier": "brier - bbrier", "similarity": "similarity - bsim"}
+_FULL_SQL = PRED_SQL + f""", bc AS (SELECT *, row_number() OVER (PARTITION BY decision_id ORDER BY bp DESC, move) AS bi, count(*) OVER (PARTITION BY decision_id) AS bn FROM (SELECT *, (engine_rank = 1)::int::double AS bp FROM cs WHERE split = 'test')),
+  bl AS (SELECT decision_id, (max(bi) FILTER (chosen))::int AS r, sum((bp - chosen::int) ** 2) AS bbrier, -ln(greatest(max(bp) FILTER (chosen), 1e-15)) AS bnll, CASE WHEN max(bn) = 1 THEN 1.0 ELSE 1 - (max(bi) FILTER (chosen) - 1) / (max(bn) - 1) END AS rs,
+    ({' + '.join(f'(bool_or("{f}") FILTER (chosen) = bool_or("{f}") FILTER (bi = 1))::int' for f in FLAGS)}) / {len(FLAGS)} AS bsim FROM bc GROUP BY 1), dd AS (SELECT pred.*, bl.* EXCLUDE (decision_id) FROM pred JOIN bl USING (decision_id))"""
+
+
+def _totals(unit: str, metrics: list[str], source: str = "dd") -> str:
+    return f"SELECT {unit} AS unit, count(*) AS n, " + ", ".join(f'sum(({_DIFFS[m]})::double) AS "{m}"' for m in metrics) + f" FROM {source} GROUP BY 1"
+
+
+@query("boot_paired_game", _FULL_SQL + boot_sql(_totals("game_id", ["exact", "brier"]), ["exact", "brier"]))
 def boot_paired_game(spark, sf_dir):
     return _boot(spark, sf_dir, "game_id", ["exact", "brier"])
 
 
-@query("boot_paired_unit")
+_ALL = ["exact", "top_3", "top_5", "rank_score", "nll", "brier", "similarity"]
+
+
+@query("boot_paired_unit", _FULL_SQL + boot_sql(_totals("player", _ALL), _ALL))
 def boot_paired_unit(spark, sf_dir):
-    return _boot(spark, sf_dir, "player", ["exact", "top_3", "top_5", "rank_score", "nll", "brier", "similarity"])
+    return _boot(spark, sf_dir, "player", _ALL)
 
 
-@query("boot_paired_masked")
+@query("boot_paired_masked", Q_SQL + """, mk AS (SELECT a.game_id, b.human_gap - a.human_gap AS human_gap, (b.human_gap <= 3.0)::int - (a.human_gap <= 3.0)::int AS ok FROM pp a JOIN pp b USING (decision_id) WHERE a.method = 'last' AND b.method = 'second' AND a.human_gap IS NOT NULL AND b.human_gap IS NOT NULL)"""
+       + boot_sql("SELECT game_id AS unit, count(*) AS n, sum(human_gap) AS human_gap, sum(ok::double) AS ok FROM mk GROUP BY 1", ["human_gap", "ok"]))
 def boot_paired_masked(spark, sf_dir):
     """Both-finite decisions only, over winning-chance gaps of two predictions."""
-    q = c.to_points(quality(spark, sf_dir)).withColumn("ok", (F.col("human_gap") <= 3.0).cast("double"))
+    q = durable(c.to_points(quality(spark, sf_dir)).withColumn("ok", (F.col("human_gap") <= 3.0).cast("double")))
     diff = c.paired(q.where("method = 'last'"), q.where("method = 'second'"), ["human_gap", "ok"], ["game_id"]).where("human_gap IS NOT NULL")
-    return c.bootstrap(c.unit_totals(diff, "game_id", ["human_gap", "ok"]), "game_id", ["human_gap", "ok"])
+    return rounded(c.bootstrap(durable(c.unit_totals(diff, "game_id", ["human_gap", "ok"])), "game_id", ["human_gap", "ok"]))
 
 
-@query("boot_player_mean")
+@query("boot_player_mean", _FULL_SQL + boot_sql("SELECT player AS unit, 1 AS n, avg(exact::int - (r = 1)::int) AS exact FROM dd GROUP BY 1", ["exact"]))
 def boot_player_mean(spark, sf_dir):
     """Every player counts once: the mean of players' mean differences."""
     base, model = two_methods(spark, sf_dir)
     diff = c.paired(base, model, ["exact"], ["player"]).groupBy("player").agg(F.avg("exact").alias("exact"))
-    return c.bootstrap(diff.withColumn("_n", F.lit(1)), "player", ["exact"])
+    return rounded(c.bootstrap(durable(diff.withColumn("_n", F.lit(1))), "player", ["exact"]))
 
 
-@query("cmp_coverage_transition", LOG_SQL + ", d AS (SELECT decision_id, min(engine_rank) FILTER (chosen) AS r FROM cand GROUP BY 1) SELECT count_if(r <= 5 AND r > 2) AS newly_covered, 0 AS lost, count_if(r <= 2) AS both, 0 AS newly_covered_correct, 0 AS net_correct FROM d")
+@query("cmp_coverage_transition", LOG_SQL + """, d AS (SELECT decision_id, min(engine_rank) FILTER (chosen) AS r, max(place) FILTER (chosen) AS q FROM (SELECT *, row_number() OVER (PARTITION BY decision_id ORDER BY quantity, engine_rank DESC) AS place FROM cand) GROUP BY 1),
+  f AS (SELECT r <= 2 AS lc, r = 1 AS lk, q <= 4 AS rc, q = 1 AS rk FROM d) SELECT count_if(rc AND NOT lc) AS newly_covered, count_if(lc AND NOT rc) AS lost, count_if(lc AND rc) AS "both", count_if(rc AND NOT lc AND rk) AS newly_covered_correct, count_if(rk) - count_if(lk) AS net_correct FROM f""")
 def cmp_coverage_transition(spark, sf_dir):
-    d = candidates(spark, sf_dir).where("chosen").select("decision_id", (F.col("engine_rank") <= 2).alias("c2"), (F.col("engine_rank") <= 5).alias("c5"), (F.col("engine_rank") == 1).alias("hit"))
-    return c.transitions(d.withColumnsRenamed({"c2": "c"}), d.withColumnsRenamed({"c5": "c"}), "c", "hit")
+    """From the engine's first two to the four of the smallest quantity: some choices are lost on the way."""
+    w = Window.partitionBy("decision_id").orderBy("quantity", F.desc("engine_rank"))
+    d = candidates(spark, sf_dir).withColumn("q", F.row_number().over(w)).where("chosen").select("decision_id", "engine_rank", "q")
+    left = d.select("decision_id", (F.col("engine_rank") <= 2).alias("c"), (F.col("engine_rank") == 1).alias("hit"))
+    right = d.select("decision_id", (F.col("q") <= 4).alias("c"), (F.col("q") == 1).alias("hit"))
+    return c.transitions(left, right, "c", "hit")
 
 
 @query("cmp_identity_preference", POLICY_SQL + """, t AS (SELECT decision_id, chosen, p, exp(base_logit + 0.5 * capture::int) / sum(exp(base_logit + 0.5 * capture::int)) OVER (PARTITION BY decision_id) AS own, exp(base_logit - 0.5 * capture::int) / sum(exp(base_logit - 0.5 * capture::int)) OVER (PARTITION BY decision_id) AS wrong FROM pl)
@@ -199,14 +229,22 @@ def gate_noninferiority(spark, sf_dir):
     return c.noninferior(mine, [F.col("b") <= 0, F.col("n") >= 80], [F.col("e") > 0]).select("player", "selected")
 
 
-@query("gate_width_sequential", LOG_SQL + """, cv AS (SELECT k, avg((engine_rank <= k)::int) AS c FROM (SELECT engine_rank FROM cand WHERE chosen) CROSS JOIN (VALUES (1), (2), (3), (5)) t(k) GROUP BY 1), pr AS (SELECT a.k AS low, b.k AS high, b.c - a.c AS gain, (b.k - a.k) * 4.0 AS ms FROM cv a JOIN cv b ON a.k < b.k),
-   ok AS (SELECT low, high FROM pr WHERE gain > 0.01 AND ms <= 10 * gain * 100), s2 AS (SELECT CASE WHEN EXISTS (SELECT 1 FROM ok WHERE low = 1 AND high = 2) THEN 2 ELSE 1 END AS w), s3 AS (SELECT CASE WHEN EXISTS (SELECT 1 FROM ok WHERE low = w AND high = 3) THEN 3 ELSE w END AS w FROM s2)
+_WIDTHS = [1, 2, 3, 5]
+_STEPS = [(a, b) for a in _WIDTHS for b in _WIDTHS if a < b]
+_GAINS = [f"g{a}_{b}" for a, b in _STEPS]
+_GAIN_SQL = boot_sql("SELECT game_id AS unit, count(*) AS n, " + ", ".join(f"sum((engine_rank <= {b})::int - (engine_rank <= {a})::int)::double AS g{a}_{b}" for a, b in _STEPS) + " FROM cand WHERE chosen GROUP BY 1", _GAINS, 200)
+
+
+@query("gate_width_sequential", LOG_SQL + _GAIN_SQL.replace("SELECT (SELECT count(*) FROM tot) AS units", ", bt AS (SELECT (SELECT count(*) FROM tot) AS units", 1) + "), pr AS (" + " UNION ALL ".join(f"SELECT {a} AS low, {b} AS high, g{a}_{b}_estimate AS gain, g{a}_{b}_low AS lower, {(b - a) * 4.0} AS ms FROM bt" for a, b in _STEPS) + """),
+   ok AS (SELECT low, high FROM pr WHERE gain > 0.01 AND lower > 0 AND ms <= 10 * gain * 100), s2 AS (SELECT CASE WHEN EXISTS (SELECT 1 FROM ok WHERE low = 1 AND high = 2) THEN 2 ELSE 1 END AS w), s3 AS (SELECT CASE WHEN EXISTS (SELECT 1 FROM ok WHERE low = w AND high = 3) THEN 3 ELSE w END AS w FROM s2)
   SELECT CASE WHEN EXISTS (SELECT 1 FROM ok WHERE low = w AND high = 5) THEN 5 ELSE w END AS width FROM s3""")
 def gate_width_sequential(spark, sf_dir):
-    widths = [1, 2, 3, 5]
-    cover = candidates(spark, sf_dir).where("chosen").agg(*[F.avg((F.col("engine_rank") <= k).cast("double")).alias(f"c{k}") for k in widths])
-    pairs = [F.struct(F.lit(a).alias("low"), F.lit(b).alias("high"), (F.col(f"c{b}") - F.col(f"c{a}")).alias("gain"), (F.col(f"c{b}") - F.col(f"c{a}")).alias("lower"), F.lit((b - a) * 4.0).alias("ms")) for a in widths for b in widths if a < b]
-    return c.sequential_width(cover.select(F.explode(F.array(*pairs)).alias("x")).select("x.*"), widths)
+    """Gains of coverage between widths with bootstrapped bounds over games, folded from the smallest width."""
+    gain = lambda a, b: (F.col("engine_rank") <= b).cast("double") - (F.col("engine_rank") <= a).cast("double")
+    chosen = candidates(spark, sf_dir).where("chosen").select("game_id", *[gain(a, b).alias(f"g{a}_{b}") for a, b in _STEPS])
+    bounds = c.bootstrap(durable(c.unit_totals(chosen, "game_id", _GAINS)), "game_id", _GAINS, resamples=200)
+    pairs = [F.struct(F.lit(a).alias("low"), F.lit(b).alias("high"), F.col(f"g{a}_{b}_estimate").alias("gain"), F.col(f"g{a}_{b}_low").alias("lower"), F.lit((b - a) * 4.0).alias("ms")) for a, b in _STEPS]
+    return c.sequential_width(bounds.select(F.explode(F.array(*pairs)).alias("x")).select("x.*"), _WIDTHS)
 
 
 @query("gate_history_k", LOG_SQL + ", cv AS (SELECT k::int AS k, avg((engine_rank <= k)::int) AS c FROM (SELECT engine_rank FROM cand WHERE chosen AND year(played_at) < 2000) CROSS JOIN range(1, 21) t(k) GROUP BY 1) SELECT 0.7::double AS threshold, coalesce((min(k) FILTER (c >= 0.7))::varchar, 'unresolved') AS k FROM cv")

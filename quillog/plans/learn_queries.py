@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillog.operators import learn
 from quillog.operators import policy as pol
+from quillog.session import durable
 from quillog.sources.bindings import FLAGS, LOG_SQL, candidates
 
 from .history_queries import PIECES, TRAIN_SQL, WINGS, with_split
@@ -19,7 +20,7 @@ N = len(FLAGS) + 1 + len(PIECES) + len(WINGS)
 def features(spark, sf_dir, split="train"):
     cs = with_split(spark, sf_dir).where(F.col("split") == split)
     numeric = {"behind": F.least(F.lit(1.0), F.col("engine_rank") / 10)}
-    return learn.sparse_features(cs, FLAGS, numeric, PHASES, {"piece": PIECES, "wing": WINGS})
+    return learn.packed_features(cs, FLAGS, numeric, PHASES, {"piece": PIECES, "wing": WINGS})
 
 
 _BASE = [*[f'"{f}"::int::double' for f in FLAGS], "least(1.0, engine_rank / 10)", *[f"(piece = '{p}')::int::double" for p in PIECES], *[f"(wing = '{w}')::int::double" for w in WINGS]]
@@ -32,12 +33,13 @@ FEAT_SQL = TRAIN_SQL + f""", fv AS (SELECT player, decision_id, engine_rank, cho
 
 @query("feat_residual_sparse", FEAT_SQL + "SELECT idx, count(*) AS n, round(sum(val), 6) AS total FROM ft GROUP BY 1")
 def feat_residual_sparse(spark, sf_dir):
-    return features(spark, sf_dir).groupBy("idx").agg(F.count("*").alias("n"), F.round(F.sum("val"), 6).alias("total"))
+    long = features(spark, sf_dir).select(F.explode("x").alias("x")).select("x.*")
+    return long.groupBy("idx").agg(F.count("*").alias("n"), F.round(F.sum("val"), 6).alias("total"))
 
 
 def some_beta(feats):
     """Coefficients made from their index, to evaluate the objective at a given point."""
-    return feats.select("player", "idx").distinct().withColumn("beta", (F.col("idx") % 7 - 3) / 20.0)
+    return feats.select("player", F.explode("x.idx").alias("idx")).distinct().withColumn("beta", (F.col("idx") % 7 - 3) / 20.0)
 
 
 BETA_SQL = FEAT_SQL + """, bt AS (SELECT DISTINCT player, idx, (idx % 7 - 3) / 20.0 AS beta FROM ft),
@@ -46,26 +48,32 @@ BETA_SQL = FEAT_SQL + """, bt AS (SELECT DISTINCT player, idx, (idx % 7 - 3) / 2
 
 @query("prob_residual", BETA_SQL + "SELECT decision_id, engine_rank, round(p, 9) AS p FROM ps")
 def prob_residual(spark, sf_dir):
-    feats = features(spark, sf_dir)
+    feats = durable(features(spark, sf_dir))
     return learn.scored(feats, some_beta(feats)).select("decision_id", "engine_rank", F.round("p", 9).alias("p"))
 
 
 @query("ml_listwise_objective", BETA_SQL + ", nl AS (SELECT player, count(*) AS decisions, avg(-ln(p)) AS nll FROM ps WHERE chosen GROUP BY 1), nm AS (SELECT player, sum(beta * beta) AS norm FROM bt GROUP BY 1) SELECT player, decisions, round(nll, 9) AS nll, round(nll + 0.005 * norm, 9) AS objective FROM nl JOIN nm USING (player)")
 def ml_listwise_objective(spark, sf_dir):
-    feats = features(spark, sf_dir)
+    feats = durable(features(spark, sf_dir))
     return rounded(learn.objective(feats, some_beta(feats), 0.01))
 
 
 @query("ml_listwise_gradient", BETA_SQL + ", n AS (SELECT player, count(DISTINCT decision_id) AS n FROM ft GROUP BY 1) SELECT f.player, f.idx, round(sum((p - f.chosen::int) * val) / max(n) + 0.01 * max(beta), 9) AS gradient FROM ft f JOIN ps USING (player, decision_id, engine_rank) JOIN n USING (player) JOIN bt USING (player, idx) GROUP BY ALL")
 def ml_listwise_gradient(spark, sf_dir):
-    feats = features(spark, sf_dir)
+    feats = durable(features(spark, sf_dir))
     return learn.gradient(feats, some_beta(feats), 0.01).select("player", "idx", F.round("gradient", 9).alias("gradient"))
 
 
-@query("ml_listwise_fit")
+@query("ml_listwise_fit", FEAT_SQL + """, few AS (SELECT DISTINCT player, idx FROM ft) SELECT player, idx, true AS flat, true AS lower FROM few""")
 def ml_listwise_fit(spark, sf_dir):
-    """Coefficients of all players after ten steps, with the gradient that is left."""
-    return learn.fit(features(spark, sf_dir), iterations=10)
+    """Every coefficient of the converged fits: the gradient is flat there and the objective below that of zero.
+
+    The objective is strictly convex, so a flat gradient marks the only fit; SQL has the same rows.
+    """
+    feats = durable(features(spark, sf_dir))
+    fitted = learn.fit(feats, tolerance=0.02)
+    zero = learn.objective(feats, some_beta(feats).withColumn("beta", F.lit(0.0)), 0.01).select("player", F.col("objective").alias("_zero"))
+    return fitted.join(zero, "player").select("player", "idx", (F.abs("gradient") <= 0.02).alias("flat"), (F.col("objective") < F.col("_zero")).alias("lower"))
 
 
 @query("ml_shared_mean", BETA_SQL + "SELECT idx, round(sum(beta) / (SELECT count(DISTINCT player) FROM bt), 9) AS beta FROM bt GROUP BY 1")
@@ -73,14 +81,19 @@ def ml_shared_mean(spark, sf_dir):
     return rounded(learn.shared_mean(some_beta(features(spark, sf_dir))), keep=())
 
 
-@query("ml_objective_terms", BETA_SQL + """, l0 AS (SELECT player, decision_id, engine_rank, chosen, max(base_logit) AS b, max(base_logit) + sum(val * beta) AS o, max(base_logit) + sum(val * -beta) AS d FROM ft JOIN bt USING (player, idx) GROUP BY ALL),
+BEHAVIOR, OPPORTUNITY = (0, 1, 2, 3), (0, 2)
+_GAPS = ", ".join(f"sum((po - chosen::int) * v{k}) AS g{k}, min(v{k}) <> max(v{k}) AS o{k}" for k in BEHAVIOR)
+
+
+@query("ml_objective_terms", BETA_SQL + f""", l0 AS (SELECT player, decision_id, engine_rank, chosen, max(base_logit) AS b, max(base_logit) + sum(val * beta) AS o, max(base_logit) + sum(val * -beta) AS d, {', '.join(f'coalesce(sum(val) FILTER (idx = {k}), 0) AS v{k}' for k in BEHAVIOR)} FROM ft JOIN bt USING (player, idx) GROUP BY ALL),
   p3 AS (SELECT *, exp(b) / sum(exp(b)) OVER w AS pb, exp(o) / sum(exp(o)) OVER w AS po, exp(d) / sum(exp(d)) OVER w AS pd FROM l0 WINDOW w AS (PARTITION BY player, decision_id)),
-  pr AS (SELECT player, decision_id, sum(CASE WHEN chosen THEN -ln(po) END) AS i, sum(CASE WHEN chosen THEN ln(1 + exp(ln(pd) - ln(po) + 0.1)) END) AS c, sum(po * (ln(po) - ln(pb))) AS k FROM p3 GROUP BY ALL)
-  SELECT player, round(avg(i), 9) AS imitation, round(avg(c), 9) AS contrast, round(avg(k), 9) AS kl FROM pr GROUP BY 1""")
+  pr AS (SELECT player, decision_id, sum(CASE WHEN chosen THEN -ln(po) END) AS i, sum(CASE WHEN chosen THEN ln(1 + exp(ln(pd) - ln(po) + 0.1)) END) AS c, sum(po * (ln(po) - ln(pb))) AS k, {_GAPS} FROM p3 GROUP BY ALL)
+  SELECT player, round(avg(i), 9) AS imitation, round(avg(c), 9) AS contrast, round(avg(k), 9) AS kl, round(({' + '.join(f'avg(g{k}) ** 2' for k in BEHAVIOR)}) / {len(BEHAVIOR)}, 9) AS behavior_moment,
+   round(({' + '.join(f'coalesce(avg(CASE WHEN o{k} THEN g{k} END), 0) ** 2' for k in OPPORTUNITY)}) / {len(OPPORTUNITY)}, 9) AS opportunity_moment FROM pr GROUP BY 1""")
 def ml_objective_terms(spark, sf_dir):
-    feats = features(spark, sf_dir)
+    feats = durable(features(spark, sf_dir))
     own = some_beta(feats)
-    return rounded(learn.objective_terms(feats, own, own.withColumn("beta", -F.col("beta"))))
+    return rounded(learn.objective_terms(feats, own, own.withColumn("beta", -F.col("beta")), behavior=BEHAVIOR, opportunity=OPPORTUNITY))
 
 
 NUMBERS, CATEGORIES = ["rating_known", "score_cp", "engine_rank"], ["piece", "wing", "phase"]
@@ -91,11 +104,15 @@ def labelled(spark, sf_dir):
     return with_split(spark, sf_dir).withColumns({"rating_known": known, "engine_rank": F.col("engine_rank").cast("double"), "score_cp": F.col("score_cp").cast("double")})
 
 
-@query("ml_preprocess", TRAIN_SQL + "SELECT count(*) AS n, median(CASE WHEN decision_id % 6 <> 0 THEN rating END) AS median_rating, count(DISTINCT piece) AS pieces FROM cs WHERE split = 'train'")
+@query("ml_preprocess", TRAIN_SQL + """, m AS (SELECT median(CASE WHEN decision_id % 6 <> 0 THEN rating END) AS med FROM cs WHERE split = 'train'), w AS (SELECT piece, row_number() OVER (ORDER BY piece) - 1 AS i FROM (SELECT DISTINCT piece FROM cs WHERE split = 'train'))
+  SELECT split, count(*) AS n, count_if(decision_id % 6 = 0 OR rating IS NULL) AS filled, round(avg(CASE WHEN decision_id % 6 <> 0 THEN rating ELSE med END), 6) AS mean_rating, sum(i)::bigint AS piece_indexes FROM cs CROSS JOIN m JOIN w USING (piece) GROUP BY 1""")
 def ml_preprocess(spark, sf_dir):
-    """What the fitted preprocessing holds of the training split."""
-    train = labelled(spark, sf_dir).where("split = 'train'")
-    return train.agg(F.count("*").alias("n"), F.median("rating_known").alias("median_rating"), F.count_distinct("piece").alias("pieces"))
+    """All splits through the preprocessing fitted on the training split alone."""
+    rows = durable(labelled(spark, sf_dir))
+    ready = learn.preprocessing(NUMBERS, CATEGORIES).fit(rows.where("split = 'train'")).transform(rows)
+    return ready.groupBy("split").agg(
+        F.count("*").alias("n"), F.count_if(F.col("rating_known").isNull()).alias("filled"), F.round(F.avg("rating_known_filled"), 6).alias("mean_rating"), F.sum(F.col("piece_index").cast("bigint")).alias("piece_indexes")
+    )
 
 
 def _scored(spark, sf_dir, classifier, columns=(NUMBERS, CATEGORIES)):

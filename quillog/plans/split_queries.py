@@ -102,27 +102,42 @@ def sel_discover_players(spark, sf_dir):
     return own.groupBy("name").agg(F.count_distinct("game_id").alias("appearances")).orderBy(F.desc("appearances"), F.sha2("name", 256)).limit(12)
 
 
+CASES = [("strict", 8), ("medium", 5), ("open", 1)]
+
+
 @query("sel_capacity_audit", GAMES_SQL + """, sc AS (SELECT player, s.scenario, s.i, count_if(s.minimum <= n_decisions) AS games, coalesce(sum(n_decisions) FILTER (s.minimum <= n_decisions), 0)::bigint AS decisions
-    FROM games CROSS JOIN (VALUES ('strict', 1, 8), ('medium', 2, 5), ('open', 3, 1)) s(scenario, i, minimum) GROUP BY ALL)
-  SELECT scenario, t.threshold, count_if(games >= t.threshold) AS supported, sum(decisions)::bigint AS decisions, count_if(games >= t.threshold) >= 20 AS meets FROM sc CROSS JOIN (VALUES (20), (40), (60)) t(threshold) GROUP BY ALL""")
+    FROM games CROSS JOIN (VALUES ('strict', 1, 8), ('medium', 2, 5), ('open', 3, 1)) s(scenario, i, minimum) GROUP BY ALL),
+  pl AS (SELECT sc.*, t.threshold, games >= t.threshold AS ok, row_number() OVER (PARTITION BY scenario, t.threshold ORDER BY games < t.threshold, sha256(player)) AS place FROM sc CROSS JOIN (VALUES (20), (40), (60)) t(threshold)),
+  ag AS (SELECT scenario, i, threshold, count_if(ok) AS supported, sum(decisions)::bigint AS decisions, count_if(ok) >= 20 AS meets, string_agg(player, ',' ORDER BY place) FILTER (ok AND place <= 8) AS development, string_agg(player, ',' ORDER BY place) FILTER (ok AND place BETWEEN 9 AND 16) AS evaluation FROM pl GROUP BY ALL)
+  SELECT scenario, threshold, supported, decisions, meets, meets AND i = min(CASE WHEN meets THEN i END) OVER (PARTITION BY threshold) AS first, coalesce(development, '') AS development, coalesce(evaluation, '') AS evaluation FROM ag""")
 def sel_capacity_audit(spark, sf_dir):
-    """Games and decisions that each player has under each scenario, and how many players reach each threshold."""
-    cases = [("strict", 8), ("medium", 5), ("open", 1)]
+    """Per scenario and threshold: the players with enough games, whether they are enough, whether this is the
+    first scenario that meets the threshold, and the roles of the supported players in hash order."""
     eligible = lambda m: F.col("n_decisions") >= m
-    aggs = [f for name, m in cases for f in (F.count_if(eligible(m)).alias(f"g_{name}"), F.coalesce(F.sum(F.when(eligible(m), F.col("n_decisions"))), F.lit(0)).alias(f"d_{name}"))]
+    aggs = [f for name, m in CASES for f in (F.count_if(eligible(m)).alias(f"g_{name}"), F.coalesce(F.sum(F.when(eligible(m), F.col("n_decisions"))), F.lit(0)).alias(f"d_{name}"))]
     wide = games(spark, sf_dir).groupBy("player").agg(*aggs)
-    long = wide.select("player", F.explode(F.array(*[F.struct(F.lit(n).alias("scenario"), F.col(f"g_{n}").alias("games"), F.col(f"d_{n}").alias("decisions")) for n, _ in cases])).alias("x"))
-    long = long.select("x.*", F.explode(F.array(*[F.lit(t) for t in (20, 40, 60)])).alias("threshold"))
-    supported = F.count_if(F.col("games") >= F.col("threshold"))
-    return long.groupBy("scenario", "threshold").agg(supported.alias("supported"), F.sum("decisions").alias("decisions"), (supported >= 20).alias("meets"))
-
-
-@query("sel_sequential_acceptance")
+    long = wide.select("player", F.explode(F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(i).alias("i"), F.col(f"g_{n}").alias("games"), F.col(f"d_{n}").alias("decisions")) for i, (n, _) in enumerate(CASES)])).alias("x"))
+    long = long.select("player", "x.*", F.explode(F.array(*[F.lit(t) for t in (20, 40, 60)])).alias("threshold")).withColumn("ok", F.col("games") >= F.col("threshold"))
+    w = Window.partitionBy("scenario", "threshold").orderBy(~F.col("ok"), F.sha2("player", 256))
+    placed = long.withColumn("place", F.row_number().over(w))
+    role = lambda low, high, name: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("ok") & F.col("place").between(low, high), F.struct("place", "player")))), lambda x: x["player"]), ",").alias(name)
+    audit = placed.groupBy("scenario", "i", "threshold").agg(F.count_if("ok").alias("supported"), F.sum("decisions").alias("decisions"), (F.count_if("ok") >= 20).alias("meets"), role(1, 8, "development"), role(9, 16, "evaluation"))
+    earliest = F.min(F.when(F.col("meets"), F.col("i"))).over(Window.partitionBy("threshold"))  # over the audit's few rows
+    return audit.select("scenario", "threshold", "supported", "decisions", "meets", (F.col("meets") & (F.col("i") == earliest)).alias("first"), "development", "evaluation")
+
+
+@query("sel_sequential_acceptance", GAMES_SQL.replace("WITH dec AS", "WITH RECURSIVE dec AS") + """, op AS (SELECT game_id, player, split_part(game_id, '-', 2) || '-' || max(opening) FILTER (ply = 1) AS shared FROM dec GROUP BY 1, 2),
+  pl AS (SELECT player, row_number() OVER (ORDER BY sha256(player)) AS i, list(DISTINCT shared) AS ks FROM op GROUP BY 1),
+  walk AS (SELECT 0::bigint AS i, []::varchar[] AS taken, NULL::varchar AS player, false AS ok UNION ALL
+    SELECT p.i, CASE WHEN len(list_filter(p.ks, lambda x: NOT list_contains(w.taken, x))) >= 50 THEN list_concat(w.taken, p.ks) ELSE w.taken END, p.player, len(list_filter(p.ks, lambda x: NOT list_contains(w.taken, x))) >= 50 FROM walk w JOIN pl p ON p.i = w.i + 1),
+  ac AS (SELECT player, row_number() OVER (ORDER BY i) AS n FROM walk WHERE ok) SELECT player, sha256(player) AS place, CASE WHEN n <= 5 THEN 'development' ELSE 'evaluation' END AS role FROM ac WHERE n <= 10""")
 def sel_sequential_acceptance(spark, sf_dir):
-    """Players in hash order; a shared month belongs to the first player accepted who played in it."""
-    g = games(spark, sf_dir)
-    played = g.select("player", F.split_part("game_id", F.lit("-"), F.lit(2)).alias("game_id")).where(F.pmod(F.xxhash64("player", "game_id"), F.lit(3)) == 0)
-    players = g.select("player").distinct()
-    # One row per player: the order of a cohort, which is small beside its games.
-    place = players.withColumn("place", F.sha2("player", 256))
-    return splits.accept_in_order(place, played, minimum=5, target=10)
+    """Players in hash order need 50 games of their own: a game that several share (a month and the opening it
+    began with) belongs to the first player accepted. Of ten, the first five are for development."""
+    dec = decisions(spark, sf_dir)
+    first = F.max(F.when(F.col("ply") == 1, F.col("opening")))
+    played = dec.groupBy("player", "game_id").agg(first.alias("_o")).select("player", F.concat_ws("-", F.split_part("game_id", F.lit("-"), F.lit(2)), "_o").alias("game_id"))
+    place = dec.select("player").distinct().withColumn("place", F.sha2("player", 256))
+    accepted = splits.accept_in_order(place, played, minimum=50, target=10)
+    number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("place"))  # ten rows
+    return accepted.withColumn("role", F.when(number <= 5, "development").otherwise("evaluation"))
