@@ -142,12 +142,12 @@ def opportunity_profile(cand: DataFrame, flag: str, *, strength: float = 20.0) -
     State is frozen before each timestamp: all rows that share one see the same counts. The
     population's counts are reduced to one row per timestamp first and joined back.
     """
-    chances = opportunity_counts(cand, flag)
-    mine = chances.groupBy("player", "played_at").agg(F.count("*").alias("n"), F.sum("taken").alias("k"))
-    times = cand.select("player", "played_at").distinct().join(mine, ["player", "played_at"], "left")
+    marked = cand.withColumn("_open", contested(flag))
+    chances = marked.where("chosen").select("player", "played_at", F.when(F.col("_open"), F.col(flag).cast("int")).alias("taken"))
+    mine = chances.groupBy("player", "played_at").agg(F.count("taken").alias("n"), F.sum("taken").alias("k"))
     own = Window.partitionBy("player").orderBy("played_at").rowsBetween(*BEFORE)
-    times = times.select("player", "played_at", F.coalesce(F.sum("n").over(own), F.lit(0)).alias("own_n"), F.coalesce(F.sum("k").over(own), F.lit(0)).alias("own_k"))
-    pool = cand.select("played_at").distinct().join(mine.groupBy("played_at").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "played_at", "left")
+    times = mine.select("player", "played_at", F.coalesce(F.sum("n").over(own), F.lit(0)).alias("own_n"), F.coalesce(F.sum("k").over(own), F.lit(0)).alias("own_k"))
+    pool = mine.groupBy("played_at").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     # One row per timestamp: a year's partial sums first, so that windows stay within a year.
     year = F.year("played_at")
     inside = Window.partitionBy("_y").orderBy("played_at").rowsBetween(*BEFORE)
@@ -159,9 +159,9 @@ def opportunity_profile(cand: DataFrame, flag: str, *, strength: float = 20.0) -
     )
     prior = (F.col("pool_k") + 1) / (F.col("pool_n") + 2)
     p = smoothed(F.col("own_k"), F.col("own_n"), prior, strength)
-    available = chances.select("decision_id").withColumn("available", F.lit(True))
-    joined = cand.join(times, ["player", "played_at"]).join(pool, "played_at").join(available, "decision_id", "left")
-    return joined.select(*cand.columns, F.col("own_n").alias("observations"), F.when(F.col(flag), p).otherwise(1 - p).alias("match_probability"), F.coalesce("available", F.lit(False)).alias("available"))
+    # The pool meets the players' timestamps, which are few, and only these meet the candidates.
+    joined = marked.join(times.join(pool, "played_at"), ["player", "played_at"])
+    return joined.select(*cand.columns, F.col("own_n").alias("observations"), F.when(F.col(flag), p).otherwise(1 - p).alias("match_probability"), F.col("_open").alias("available"))
 
 
 def adapted_profile(cand: DataFrame, flag: str, cutoff: Column, *, strength: float = 20.0) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillog.functions import scalars as s
+from quillog.operators import features
 from quillog.operators import history as h
 from quillog.operators import splits
-from quillog.session import table
+from quillog.session import durable, table
 from quillog.sources.bindings import CLOCK_SQL, FLAGS, LOG_SQL, candidates, clock_log, decisions
 
 from .check_queries import games
@@ -107,7 +108,8 @@ OPP_SQL = """, opp AS (SELECT decision_id, player, played_at, max(CASE WHEN chos
   r AS (SELECT c.decision_id, c.engine_rank, c.capture, n, (k + 20 * (pk + 1) / (pn + 2)) / (n + 20) AS p FROM cand c JOIN own USING (player, played_at) JOIN pool USING (played_at))
   SELECT r.decision_id, engine_rank, n AS observations, round(CASE WHEN capture THEN p ELSE 1 - p END, 9) AS match_probability, opp.decision_id IS NOT NULL AS available FROM r LEFT JOIN opp USING (decision_id)""")
 def win_opportunity_profile(spark, sf_dir):
-    p = h.opportunity_profile(candidates(spark, sf_dir), "capture")
+    cand = durable(candidates(spark, sf_dir).select("decision_id", "engine_rank", "player", "played_at", "chosen", "capture"))
+    p = h.opportunity_profile(cand, "capture")
     return p.select("decision_id", "engine_rank", "observations", F.round("match_probability", 9).alias("match_probability"), "available")
 
 
@@ -230,24 +232,44 @@ def join_best_line(spark, sf_dir):
     )
 
 
-@query("join_feature_table", LOG_SQL + """, a AS (SELECT decision_id, arg_min(move, engine_rank) AS best_move, max(score_cp) FILTER (engine_rank = 1) AS best_cp, min(engine_rank) FILTER (chosen) AS actual_rank, max(score_cp) FILTER (chosen) AS actual_cp,
-    max(piece) FILTER (chosen) AS piece, max(wing) FILTER (chosen) AS wing, bool_or(capture) FILTER (chosen) AS is_capture, bool_or(pressure) FILTER (chosen) AS pressure, count(*) AS lines FROM cand GROUP BY 1)
-  SELECT d.decision_id, d.player, d.game_id, d.played_at, d.ply, d.phase, d.opening, d.time_control, best_move, actual_rank, greatest(best_cp - actual_cp, 0) AS cp_loss, round(1 / (1 + exp(-0.00368208 * (actual_cp - 300))), 9) AS chance,
-    piece, wing, is_capture, pressure, lines, datediff('day', lag(moved_at) OVER (PARTITION BY game_id ORDER BY ply), moved_at)::int AS days_since, CASE WHEN actual_rank <= 3 THEN true WHEN lines >= 3 THEN false END AS in_top_3
-  FROM dec d JOIN a USING (decision_id)""")
+def _feature_sql() -> str:
+    from .scalar_queries import _BLACK, _CP, _MATE, _TO_CP, _WHITE, COUNT, FEN, POS_SQL
+
+    pos = POS_SQL.strip().removeprefix("WITH ").rstrip()
+    control = "((o_orderkey % 5) * 150 + 15)"
+    low = lambda seconds, fraction: f"CASE WHEN clock IS NOT NULL THEN clock < {seconds} OR clock / initial < {fraction} END"
+    value = lambda who: _TO_CP.replace("mate", f"{who}_mate").replace("ELSE cp", f"ELSE {who}_cp")
+    chance = lambda who: f"round(1 / (1 + exp(-0.00368208 * greatest(-100000, least(100000, {value(who)})))), 9)"
+    top = lambda k: f"CASE WHEN r <= {k} THEN true WHEN r IS NOT NULL THEN false WHEN lines >= {k} THEN false END AS actual_move_in_top_{k}"
+    return LOG_SQL + f""", {pos}, ev AS (SELECT *, {_CP} AS cp, ({_MATE})::bigint AS mate FROM cand),
+  ln AS (SELECT decision_id, max(move) FILTER (engine_rank = 1) AS best_move, max(move) FILTER (chosen) AS own_move, max(engine_rank) FILTER (chosen) AS r, count(*) AS lines, max(cp) FILTER (engine_rank = 1) AS b_cp, max(mate) FILTER (engine_rank = 1) AS b_mate, max(cp) FILTER (chosen) AS o_cp, max(mate) FILTER (chosen) AS o_mate, bool_or("check") FILTER (chosen) AS is_check FROM ev GROUP BY 1),
+  jn AS (SELECT *, {FEN} AS fen, CASE WHEN o_orderkey % 19 <> 0 THEN round(o_totalprice % 300, 2) END AS clock, {control} AS initial, o_orderkey % 4 AS increment, CASE WHEN mover = 'w' THEN 1 ELSE -1 END AS sign FROM dec JOIN men ON decision_id = o_orderkey JOIN ln USING (decision_id)),
+  ft AS (SELECT *, lag(clock) OVER (PARTITION BY game_id ORDER BY ply) + increment - clock AS spent, CASE WHEN decision_id % 9 <> 0 THEN floor(rating)::bigint END AS own_rating, floor(o_totalprice / 100)::bigint AS other_rating FROM jn)
+  SELECT game_id, player AS player_username, ply, ((ply + 1) // 2)::bigint AS move_number, CASE mover WHEN 'w' THEN 'white' ELSE 'black' END AS player_color, fen, src || dst || CASE WHEN promotion IS NOT NULL THEN 'q' ELSE '' END AS actual_move_uci, own_move AS actual_move_san,
+   lower(substr(time_control, 3)) AS speed, opening AS opening_eco, 'Opening ' || opening AS opening_name, own_rating AS player_rating, other_rating AS opponent_rating, own_rating - other_rating AS rating_difference,
+   clock AS player_clock_seconds_after_move, round(CASE WHEN spent >= 0 THEN spent END, 6) AS seconds_spent_on_move, initial::int AS initial_time_seconds, increment::int AS increment_seconds, round(clock / initial, 9) AS fraction_of_initial_time_remaining, {low('60.0', '0.20')} AS time_pressure, clock AS time_remaining_seconds, round(clock / initial, 9) AS time_remaining_fraction, {low('30.0', '0.10')} AS low_time,
+   CASE WHEN {COUNT.format('Qq')} = 0 OR 3*{COUNT.format('NnBb')}+5*{COUNT.format('Rr')}+9*{COUNT.format('Qq')} <= 20 THEN 'endgame' WHEN {COUNT.format('A-Za-z')} >= 28 THEN 'opening' ELSE 'middlegame' END AS game_phase, {COUNT.format('A-Za-z')} AS total_piece_count, (({_WHITE}) - ({_BLACK})) * sign AS material_balance,
+   contains(board, CASE mover WHEN 'w' THEN 'Q' ELSE 'q' END) AS player_queen_present, contains(board, CASE mover WHEN 'w' THEN 'q' ELSE 'Q' END) AS opponent_queen_present, lines AS legal_move_count, o_custkey % 9 = 0 AS player_in_check,
+   contains(castling, CASE mover WHEN 'w' THEN 'K' ELSE 'k' END) OR contains(castling, CASE mover WHEN 'w' THEN 'Q' ELSE 'q' END) AS castling_rights_available, piece AS piece_moved, captured IS NOT NULL AS is_capture, is_check, piece = 'K' AND abs(sf - df) = 2 AS is_castle, promotion IS NOT NULL AS is_promotion,
+   coalesce(piece = 'P' AND captured = 'P' AND target = '.', false) AS is_en_passant, coalesce(piece = 'Q' AND captured = 'Q', false) AS is_queen_trade, captured AS captured_piece_type, best_move AS engine_best_move, {value('b')} AS engine_eval_before, b_mate AS engine_mate_before, {value('o')} AS actual_move_eval, o_mate AS actual_move_mate_in,
+   greatest({value('b')} - ({value('o')}), 0) AS centipawn_loss, r AS actual_move_rank, {top(1)}, {top(3)}, {top(5)}, {chance('b')} AS approximate_winning_chance_before, {chance('o')} AS approximate_winning_chance_after_actual_move FROM ft"""
+
+
+@query("join_feature_table", _feature_sql())
 def join_feature_table(spark, sf_dir):
-    """One row per decision: context, time since the previous move, the move, and what the lines say of it."""
-    own = lambda c: F.max(F.when(F.col("chosen"), F.col(c)))
-    lines = candidates(spark, sf_dir).groupBy("decision_id").agg(
-        F.min_by("move", "engine_rank").alias("best_move"), F.max(F.when(F.col("engine_rank") == 1, F.col("score_cp"))).alias("best_cp"), own("score_cp").alias("actual_cp"), own("engine_rank").alias("actual_rank"),
-        own("piece").alias("piece"), own("wing").alias("wing"), own("capture").alias("is_capture"), own("pressure").alias("pressure"), F.count("*").alias("lines"),
-    )
-    before = F.lag("moved_at").over(Window.partitionBy("game_id").orderBy("ply"))
-    dec = decisions(spark, sf_dir).withColumn("days_since", F.datediff("moved_at", before))
-    return dec.join(lines, "decision_id").select(
-        "decision_id", "player", "game_id", "played_at", "ply", "phase", "opening", "time_control", "best_move", "actual_rank", s.cp_loss(F.col("best_cp"), F.col("actual_cp")).alias("cp_loss"),
-        F.round(s.win_chance(F.col("actual_cp") - 300), 9).alias("chance"), "piece", "wing", "is_capture", "pressure", "lines", "days_since", s.rank_flag(F.col("actual_rank"), 3, F.lit(20), F.col("lines")).alias("in_top_3"),
-    )
+    """All 51 columns of each decision, from its order, the position of its key, and its lines."""
+    from .scalar_queries import evaluated, positions
+
+    k = F.col("decision_id")
+    pos = positions(spark, sf_dir).select(F.col("o_orderkey").alias("decision_id"), "fen", "uci", "o_totalprice", "o_custkey")
+    rows = decisions(spark, sf_dir).join(pos, "decision_id").withColumns({
+        "control": F.concat(((k % 5) * 150 + 15).cast("string"), F.lit("+"), (k % 4).cast("string")), "clock": F.when(k % 19 != 0, F.round(F.col("o_totalprice") % 300, 2)),
+        "speed": F.lower(F.substring("time_control", 3, 99)), "opening_name": F.concat(F.lit("Opening "), "opening"),
+        "player_rating": F.when(k % 9 != 0, F.floor("rating")), "opponent_rating": F.floor(F.col("o_totalprice") / 100), "player_in_check": F.col("o_custkey") % 9 == 0,
+    })
+    out = features.feature_table(features.clock_columns(rows, control="control", clock="clock"), evaluated(spark, sf_dir))
+    digits = {"seconds_spent_on_move": 6, "fraction_of_initial_time_remaining": 9, "time_remaining_fraction": 9, "approximate_winning_chance_before": 9, "approximate_winning_chance_after_actual_move": 9}
+    return out.withColumns({c: F.round(c, n) for c, n in digits.items()})
 
 
 @query("join_games_semi", "SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillog.operators import policy as pol
+from quillog.session import durable
 from quillog.sources.bindings import LOG_SQL, candidates
 
 from .history_queries import FREQ_SQL, TRAIN_SQL, rank_frequency, with_split
@@ -72,9 +73,10 @@ def prob_baseline_rank1(spark, sf_dir):
     return candidates(spark, sf_dir).select("decision_id", "engine_rank", (F.col("engine_rank") == 1).cast("double").alias("p"))
 
 
-def frequencies(spark, sf_dir):
-    """Test candidates with the training share of their rank (a table of 15 rows)."""
-    cs = with_split(spark, sf_dir)
+def frequencies(spark, sf_dir, cs=None):
+    """Test candidates with the training share of their rank (a table of 15 rows). The log with its split
+    is read for both, so it is written once."""
+    cs = durable(with_split(spark, sf_dir)) if cs is None else cs
     freq = rank_frequency(cs.where("split = 'train'"), 15)
     return cs.where("split = 'test'").join(F.broadcast(freq), "engine_rank", "left").withColumn("frequency", F.coalesce("frequency", F.lit(0.0)))
 
@@ -95,9 +97,9 @@ _KEY = ["opening", "piece", "wing", "player"]
 
 
 def with_history(spark, sf_dir):
-    cs = with_split(spark, sf_dir)
+    cs = durable(with_split(spark, sf_dir))
     counts = cs.where("split = 'train' AND chosen").groupBy(*_KEY).agg(F.count("*").alias("n"))
-    test = frequencies(spark, sf_dir).withColumn("p", pol.normalized(F.col("frequency")))
+    test = frequencies(spark, sf_dir, cs).withColumn("p", pol.normalized(F.col("frequency")))
     return test.join(counts, _KEY, "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 

@@ -42,12 +42,32 @@ _SECONDS = "CASE WHEN o_orderkey % 7 <> 0 THEN (o_orderkey % 5) * 150 + 15 + 40
 _ID = "CASE WHEN o_orderkey % 4 <> 0 THEN 'x' || o_orderkey END"
 
 
-@query("src_pgn_headers", f"SELECT o_orderkey, 'Player' || o_custkey AS white_username, CASE WHEN o_orderkey % 8 <> 0 THEN 'Other' END AS black_username, CASE WHEN o_orderkey % 6 <> 0 THEN o_orderkey % 2000 + 500 END AS white_rating, CASE WHEN o_orderkey % 2 = 0 THEN '1-0' ELSE '0-1' END AS result, {_CONTROL} AS time_control FROM orders WHERE {_STD}")
+def _text_sql() -> str:
+    line = lambda name, value: f"'[{name} \"' || {value} || '\"]' || chr(10)"
+    k = "o_orderkey"
+    return " || ".join([
+        line("Event", f"CASE {k} % 3 WHEN 0 THEN 'Rated Blitz game' WHEN 1 THEN 'Casual game' ELSE 'Hourly Rapid Arena' END"), line("Site", f"CASE WHEN {k} % 4 = 0 THEN '?' ELSE 'https://games.example/x' || {k} || '#7' END"),
+        line("UTCDate", f"CASE WHEN {k} % 10 = 0 THEN '2020.??.??' ELSE strftime(o_orderdate, '%Y.%m.%d') END"), f"CASE WHEN {k} % 2 = 0 THEN {line('UTCTime', chr(39) + '12:34:56' + chr(39))} ELSE '' END",
+        line("White", "'Player' || o_custkey"), line("Black", f"CASE WHEN {k} % 8 = 0 THEN '?' ELSE 'Other' END"), line("WhiteElo", f"CASE WHEN {k} % 6 = 0 THEN '?' ELSE ({k} % 2000 + 500)::varchar END"),
+        f"CASE WHEN {k} % 5 = 0 THEN {line('WhiteRatingDiff', chr(39) + '+4' + chr(39))} ELSE '' END", line("Result", f"CASE WHEN {k} % 2 = 0 THEN '1-0' ELSE '0-1' END"),
+        line("TimeControl", f"CASE WHEN {k} % 7 = 0 THEN '-' ELSE (({k} % 5) * 150 + 15) || '+' || ({k} % 4) END"), f"CASE WHEN {k} % 9 = 0 THEN {line('Variant', chr(39) + 'Atomic' + chr(39))} ELSE '' END",
+        f"chr(10) || '1. e4 {{ [%clk 0:05:00] }} e5 {{ [%clk 0:04:' || lpad(({k} % 60)::varchar, 2, '0') || '] }} 2. Nf3 (2. d4 exd4) Nc6 3. O-O {{ quiet }} ' || CASE WHEN {k} % 2 = 0 THEN '1-0' ELSE '0-1' END",
+    ])
+
+
+_PLAYED = "CASE WHEN o_orderkey % 10 <> 0 THEN date_trunc('day', o_orderdate)::timestamp + CASE WHEN o_orderkey % 2 = 0 THEN INTERVAL '12:34:56' ELSE INTERVAL 0 SECOND END END"
+_SPEED = f"CASE o_orderkey % 3 WHEN 0 THEN 'blitz' WHEN 2 THEN 'rapid' ELSE CASE WHEN {_SECONDS} <= 29 THEN 'ultrabullet' WHEN {_SECONDS} <= 179 THEN 'bullet' WHEN {_SECONDS} <= 479 THEN 'blitz' WHEN {_SECONDS} <= 1499 THEN 'rapid' WHEN {_SECONDS} IS NOT NULL THEN 'classical' END END"
+_ANY_ID = f"CASE WHEN o_orderkey % 4 <> 0 THEN 'x' || o_orderkey ELSE substr(sha256({_text_sql()}), 1, 16) END"
+
+
+@query("src_pgn_headers", f"""SELECT o_orderkey, {_ANY_ID} AS game_id, 'files' AS provider, CASE WHEN o_orderkey % 4 <> 0 THEN 'https://games.example/x' || o_orderkey || '#7' END AS game_url, {_PLAYED} AS played_at, 'Player' || o_custkey AS white_username, 'Other' AS black_username,
+   CASE WHEN o_orderkey % 6 <> 0 THEN o_orderkey % 2000 + 500 END AS white_rating, NULL::bigint AS black_rating, CASE WHEN o_orderkey % 2 = 0 THEN '1-0' ELSE '0-1' END AS result, o_orderkey % 5 = 0 OR o_orderkey % 3 = 0 AS rated, 'Standard' AS variant, {_SPEED} AS speed, {_CONTROL} AS time_control,
+   NULL::varchar AS eco, NULL::varchar AS opening_name, NULL::varchar AS opening_variation, NULL::varchar AS termination, 5 AS total_plies, (SELECT count_if(NOT ({_STD} AND o_orderkey % 8 <> 0)) FROM orders) AS skipped FROM orders WHERE {_STD} AND o_orderkey % 8 <> 0""")
 def src_pgn_headers(spark, sf_dir):
+    """Typed headers of the standard games of one player, in whatever case, and how many games were skipped."""
     own = texts(spark, sf_dir)
-    standard = F.coalesce(F.lower(ingest.tag(F.col("pgn"), "Variant")), F.lit("standard")) == "standard"
-    p = F.col("pgn")
-    return own.where(standard).select(_K, ingest.tag(p, "White").alias("white_username"), ingest.tag(p, "Black").alias("black_username"), ingest.tag(p, "WhiteElo").try_cast("bigint").alias("white_rating"), ingest.tag(p, "Result").alias("result"), ingest.tag(p, "TimeControl").alias("time_control"))
+    left = own.agg(F.count_if(ingest.skipped(F.col("pgn"), "oTHER")).alias("skipped"))
+    return ingest.headers(own, target="oTHER", provider="files", keep=(_K,)).crossJoin(left)  # one row
 
 
 @query("src_games_table", f"SELECT count(*) AS games, count(DISTINCT white_rating) AS ratings, count_if(rated) AS rated FROM (SELECT CASE WHEN o_orderkey % 6 <> 0 THEN o_orderkey % 2000 + 500 END AS white_rating, o_orderkey % 5 = 0 OR o_orderkey % 3 = 0 AS rated FROM orders WHERE {_STD})")
@@ -71,11 +91,20 @@ def src_rated_flag(spark, sf_dir):
     return texts(spark, sf_dir).select(_K, ingest.is_rated(F.col("pgn")).alias("rated"))
 
 
-@query("src_game_id", f"SELECT o_orderkey, {_ID} AS game_id, CASE WHEN o_orderkey % 4 = 0 THEN 16 ELSE length('x' || o_orderkey) END AS n FROM orders")
+@query("src_game_id", f"SELECT o_orderkey, {_ANY_ID} AS game_id FROM orders")
 def src_game_id(spark, sf_dir):
-    """Ids from the site, or 16 hex digits where there is none."""
-    own = texts(spark, sf_dir).select(_K, ingest.game_id(F.col("pgn")).alias("id"))
-    return own.select(_K, F.when(F.col(_K) % 4 != 0, F.col("id")).alias("game_id"), F.length("id").cast("bigint").alias("n"))
+    """Ids from the site, or 16 hex digits of the text's hash where there is none."""
+    return texts(spark, sf_dir).select(_K, ingest.game_id(F.col("pgn")).alias("game_id"))
+
+
+@query("src_game_files", "SELECT 'Player' || o_custkey AS white, CASE WHEN o_orderkey % 2 = 0 THEN '1-0' ELSE '0-1' END AS result, 5 AS plies, count(*) AS games FROM orders GROUP BY ALL")
+def src_game_files(spark, sf_dir):
+    """Games written to text files, many to a file, and split again while they are read."""
+    back, path = _round_trip(spark, texts(spark, sf_dir).select(F.concat("pgn", F.lit("\n"))), lambda df, p: df.write.text(p), lambda p: ingest.read_games(spark, p))
+    p = F.col("pgn")
+    key = F.regexp_extract(p, r"%clk 0:04:\d\d", 0)
+    games = back.where(key != "").select(ingest.tag(p, "White").alias("white"), ingest.tag(p, "Result").alias("result"), F.size(ingest.mainline(p)).alias("plies"))
+    return games.groupBy("white", "result", "plies").agg(F.count("*").alias("games"))
 
 
 @query("src_epoch_millis", "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_orderkey * 1000 WHEN 1 THEN epoch_ms(o_orderdate) WHEN 2 THEN epoch_ms(date_trunc('day', o_orderdate)::timestamp) END AS millis FROM orders")
@@ -112,12 +141,17 @@ def src_snapshot_union(spark, sf_dir):
     return nation.unionByName(region).groupBy("player_file").agg(F.count("*").alias("n"))
 
 
-@query("sink_sharded_by_player", LOG_SQL + ", s AS (SELECT *, ((row_number() OVER (PARTITION BY player ORDER BY played_at, game_id, ply) - 1) // 128)::int AS shard FROM dec) SELECT player, shard, count(*) AS decisions, count(DISTINCT game_id) AS games FROM s GROUP BY ALL")
+@query("sink_sharded_by_player", LOG_SQL + """, n AS (SELECT decision_id, count(*) AS n FROM cand GROUP BY 1), s AS (SELECT dec.*, (coalesce(sum(n) OVER (PARTITION BY player ORDER BY played_at, game_id, ply ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 512)::int AS shard FROM dec JOIN n USING (decision_id))
+  SELECT player, shard, count(*) AS decisions, count(DISTINCT game_id) AS games FROM s GROUP BY ALL""")
 def sink_sharded_by_player(spark, sf_dir):
-    return ingest.manifest(ingest.shards(decisions(spark, sf_dir), 128))
+    """Shards of about 512 candidate rows, written by player and shard and read back for their manifest."""
+    per = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("decision_id")).agg(F.count("*").alias("n"))
+    sharded = ingest.shards(decisions(spark, sf_dir).join(per, "decision_id"), 512, rows="n")
+    back, _ = _round_trip(spark, sharded, ingest.write_shards)
+    return ingest.manifest(back).withColumn("shard", F.col("shard").cast("int"))
 
 
-def _round_trip(spark, df, write):
+def _round_trip(spark, df, write, read=None):
     """Write below the shared checkpoint folder and read back."""
     import tempfile
     import uuid
@@ -129,7 +163,7 @@ def _round_trip(spark, df, write):
         base = tempfile.mkdtemp(prefix="quillog-sink-")
     path = f"{base}/sink-{uuid.uuid4().hex}"
     write(df, path)
-    return spark.read.parquet(path), path
+    return (read or spark.read.parquet)(path), path
 
 
 @query("sink_tables", LOG_SQL + "SELECT player, count(*) AS n, sum(ply)::bigint AS plies FROM dec GROUP BY 1")

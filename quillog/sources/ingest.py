@@ -55,24 +55,39 @@ def game_id(pgn: Column) -> Column:
     return F.coalesce(tag(pgn, "GameId"), segment, F.substring(F.sha2(pgn, 256), 1, 16))
 
 
-def headers(games: DataFrame, pgn: str = "pgn") -> DataFrame:
-    """Typed headers of standard games; ratings that aren't numbers are null."""
+def skipped(pgn: Column, target: str | None = None) -> Column:
+    """True for games of another variant, and for those in which ``target`` (whatever its case) doesn't play."""
+    other = F.coalesce(F.lower(tag(pgn, "Variant")), F.lit("standard")) != "standard"
+    if target is None:
+        return other
+    names = F.array(*[F.coalesce(F.lower(tag(pgn, side)), F.lit("")) for side in ("White", "Black")])
+    return other | ~F.array_contains(names, target.lower())
+
+
+def headers(games: DataFrame, pgn: str = "pgn", *, target: str | None = None, provider: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Eighteen typed columns of the games that aren't skipped; ratings that aren't numbers are null, and a
+    missing result is ``*``. ``games.where(skipped(...))`` has the rest."""
     p = F.col(pgn)
     rating = lambda side: tag(p, f"{side}Elo").try_cast("bigint")
-    standard = F.coalesce(F.lower(tag(p, "Variant")), F.lit("standard")) == "standard"
-    return games.where(standard).select(
-        game_id(p).alias("game_id"), played_at(p).alias("played_at"), tag(p, "White").alias("white_username"), tag(p, "Black").alias("black_username"), rating("White").alias("white_rating"), rating("Black").alias("black_rating"),
-        tag(p, "Result").alias("result"), is_rated(p).alias("rated"), speed_class(p).alias("speed"), tag(p, "TimeControl").alias("time_control"), tag(p, "ECO").alias("eco"), tag(p, "Termination").alias("termination"),
+    return games.where(~skipped(p, target)).select(
+        *keep, game_id(p).alias("game_id"), F.lit(provider).alias("provider"), tag(p, "Site").alias("game_url"), played_at(p).alias("played_at"), tag(p, "White").alias("white_username"), tag(p, "Black").alias("black_username"),
+        rating("White").alias("white_rating"), rating("Black").alias("black_rating"), F.coalesce(tag(p, "Result"), F.lit("*")).alias("result"), is_rated(p).alias("rated"), F.coalesce(tag(p, "Variant"), F.lit("Standard")).alias("variant"),
+        speed_class(p).alias("speed"), tag(p, "TimeControl").alias("time_control"), tag(p, "ECO").alias("eco"), tag(p, "Opening").alias("opening_name"), tag(p, "Variation").alias("opening_variation"), tag(p, "Termination").alias("termination"),
+        F.size(mainline(p)).alias("total_plies"),
     )
 
 
+def mainline(pgn: Column) -> Column:
+    """The moves of the game with the comment after each; variations drop."""
+    body = F.regexp_replace(F.regexp_replace(pgn, r"(?m)^\[[^\n]*\]\s*$", ""), r"\([^()]*\)", " ")
+    pair = r"(?:^|\s)((?:O-O(?:-O)?|[KQRBN]?[a-h]?[1-8]?x?[a-h][1-8](?:=[QRBN])?)[+#]?)[!?]*(?:\s*\{[^}]*\})?"
+    return F.regexp_extract_all(body, F.lit(pair), F.lit(0))
+
+
 def plies(games: DataFrame, pgn: str = "pgn") -> DataFrame:
     """(game_id, ply, colour, san, clock) of the mainline: comments give clocks, variations drop."""
     p = F.col(pgn)
-    body = F.regexp_replace(F.regexp_replace(p, r"(?m)^\[[^\n]*\]\s*$", ""), r"\([^()]*\)", " ")
-    pair = r"(?:^|\s)((?:O-O(?:-O)?|[KQRBN]?[a-h]?[1-8]?x?[a-h][1-8](?:=[QRBN])?)[+#]?)[!?]*(?:\s*\{[^}]*\})?"
-    moves = F.regexp_extract_all(body, F.lit(pair), F.lit(0))
-    own = games.select(game_id(p).alias("game_id"), F.posexplode(moves).alias("_i", "_m"))
+    own = games.select(game_id(p).alias("game_id"), F.posexplode(mainline(p)).alias("_i", "_m"))
     clock = F.regexp_extract("_m", r"%clk (\d+):(\d+):([\d.]+)", 0)
     part = lambda i: F.regexp_extract("_m", r"%clk (\d+):(\d+):([\d.]+)", i).try_cast("double")
     return own.select(
@@ -94,10 +109,17 @@ def read_snapshots(spark: SparkSession, pattern: str, name: str) -> DataFrame:
     return own.select("*", F.regexp_extract(F.col("_metadata.file_name"), name, 1).alias("player_file"))
 
 
-def shards(dec: DataFrame, size: int = 512, player: str = "player", order: tuple[str, ...] = ("played_at", "game_id", "ply"), rows: str = "n") -> DataFrame:
-    """Player-pure shards of whole decisions with at most ``size`` rows each (unless one decision has more)."""
-    w = Window.partitionBy(player).orderBy(*order)
-    return dec.withColumn("shard", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
+def shards(dec: DataFrame, size: int = 512, player: str = "player", order: tuple[str, ...] = ("played_at", "game_id", "ply"), rows: str | None = None) -> DataFrame:
+    """Player-pure shards of whole decisions, in order, of about ``size`` rows each: a decision goes to the
+    shard in which its first row falls. ``rows`` is a decision's number of rows (else one)."""
+    w = Window.partitionBy(player).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.col(rows) if rows else F.lit(1)).over(w), F.lit(0))
+    return dec.withColumn("shard", F.floor(before / size).cast("int"))
+
+
+def write_shards(sharded: DataFrame, path: str, player: str = "player") -> None:
+    """One folder for each player and shard, each written by one task."""
+    publish(sharded.repartition(player, "shard"), path, partition_by=(player, "shard"))
 
 
 def manifest(sharded: DataFrame, player: str = "player") -> DataFrame:

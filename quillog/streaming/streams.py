@@ -17,12 +17,17 @@ def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_tr
 
 
 def ingest(stream: DataFrame, key: str, at: str, delay: str, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """New files append; rows whose key came within the watermark are dropped, later ones counted by Spark
-    as dropped by watermark. The sink gets each micro-batch with its number, so it can be idempotent."""
+    """New files append; rows whose key came within the watermark are dropped, and rows behind the watermark
+    too: ``late_rows`` counts these. The sink gets each micro-batch with its number, so it can be idempotent."""
     deduped = stream.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
     return deduped.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """How many rows of the batches so far came behind the watermark and were dropped."""
+    return sum(op.numRowsDroppedByWatermark for batch in query.recentProgress for op in batch.stateOperators)
+
+
 def behavior_rates(stream: DataFrame, at: str, player: str, flags: dict, *, window: str = "1 day", slide: str | None = None, session_gap: str | None = None, delay: str = "1 hour") -> DataFrame:
     """Rates per player and window (tumbling, sliding or session), for append mode."""
     span = F.session_window(at, session_gap) if session_gap else F.window(at, window, slide or window)
