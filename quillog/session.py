@@ -16,6 +16,7 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "quill
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # tables of durable() go when nothing refers to them
         .config("spark.driver.memory", "8g")
         .config("spark.driver.host", "127.0.0.1")
         .getOrCreate()

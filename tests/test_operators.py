@@ -81,6 +81,14 @@ def test_bootstrap_of_a_constant(spark):
 def test_fit_lowers_the_objective(spark):
     rows = [("p", d, k, k == 1, 0.0, int(k == 1), 1.0) for d in range(20) for k in (1, 2)]
     feats = spark.createDataFrame(rows, "player string, decision_id int, engine_rank int, chosen boolean, base_logit double, idx int, val double")
-    beta = learn.fit(feats, iterations=6, cut_every=3).select("player", "idx", "beta")
+    beta = learn.fit(feats, iterations=6).select("player", "idx", "beta")
     zero = beta.withColumn("beta", F.lit(0.0))
     assert learn.objective(feats, beta, 0.01).first().objective < learn.objective(feats, zero, 0.01).first().objective
+
+
+def test_fit_converges_or_fails(spark):
+    rows = [(p, d, k, k == 1 + d % 3 // 2, 0.0, int(k == 1), 1.0) for p in ("p", "q") for d in range(20) for k in (1, 2)]
+    feats = spark.createDataFrame(rows, "player string, decision_id int, engine_rank int, chosen boolean, base_logit double, idx int, val double")
+    assert max(abs(r.gradient) for r in learn.fit(feats, tolerance=1e-3).collect()) <= 1e-3
+    with pytest.raises(learn.NotConverged):
+        learn.fit(feats, tolerance=1e-9, iterations=2)
