@@ -50,9 +50,9 @@ def rating_band(rating: Column, width: int = 200) -> Column:
 
 
 def hash_uniform(*parts: Column) -> Column:
-    """Uniform in [0, 1) from the first eight hex digits of a SHA-256 over the parts."""
+    """Uniform in [0, 1] from the first eight bytes of a SHA-256 over the parts."""
     digest = F.sha2(F.concat_ws(":", *parts), 256)
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 4294967296.0
+    return F.conv(F.substring(digest, 1, 16), 16, 10).cast("decimal(20,0)").cast("double") / 18446744073709551616.0
 
 
 # --- evaluations -----------------------------------------------------------------------------

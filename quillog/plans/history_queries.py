@@ -159,7 +159,7 @@ def hist_repeated_topk(spark, sf_dir):
     return h.repeated_positions(chosen_by_opening(spark, sf_dir), 4, "opening")
 
 
-_U = "(('0x' || substr(sha256('11:' || key), 1, 8))::bigint / 4294967296.0)"
+_U = "(('0x' || substr(sha256('11:' || key), 1, 16))::ubigint::double / 18446744073709551616.0::double)"
 
 
 @query("hist_sample_move", DIST_SQL + f""", r AS (SELECT key, piece, sum(p) OVER (PARTITION BY key ORDER BY piece) AS c, {_U} AS u FROM dist) SELECT key AS opening, coalesce(min(piece) FILTER (u < c), max(piece)) AS sampled FROM r GROUP BY 1""")

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from quillog.operators import metrics as m
 from quillog.operators import policy as pol
 from quillog.functions import scalars as s
-from quillog.session import durable
+from quillog.session import durable, table
 from quillog.sources.bindings import ATTRIBUTES, CLOCK_SQL, FLAGS, LOG_SQL, candidates, clock_log
 
 from .history_queries import TRAIN_SQL, with_split
@@ -265,20 +265,26 @@ def agg_style_profile(spark, sf_dir):
     return rounded(one.join(kinds.groupBy("player").agg(*[listed(n) for n in _SHARES]), "player"))
 
 
-@query("agg_player_metadata", LOG_SQL + "SELECT player, count(DISTINCT game_id) AS games, min(played_at) AS first_at, max(played_at) AS last_at, round(avg(rating), 6) AS mean_rating, min(rating) AS min_rating, max(rating) AS max_rating, count(DISTINCT time_control) AS controls, count_if(phase = 'F') AS finished FROM dec GROUP BY 1")
+@query("agg_player_metadata", LOG_SQL + """SELECT player, count(DISTINCT game_id) AS games, count(DISTINCT CASE WHEN month(played_at) % 2 = 0 THEN game_id END) AS white_games, min(played_at) AS first_at, max(played_at) AS last_at, count(played_at) AS dated, count(rating) AS rated, round(avg(rating), 6) AS mean_rating,
+  min(rating) AS min_rating, max(rating) AS max_rating, count(DISTINCT time_control) AS controls, count_if(phase = 'F') AS finished FROM dec GROUP BY 1""")
 def agg_player_metadata(spark, sf_dir):
     from quillog.sources.bindings import decisions
 
     return decisions(spark, sf_dir).groupBy("player").agg(
-        F.count_distinct("game_id").alias("games"), F.min("played_at").alias("first_at"), F.max("played_at").alias("last_at"), F.round(F.avg("rating"), 6).alias("mean_rating"), F.min("rating").alias("min_rating"), F.max("rating").alias("max_rating"),
-        F.count_distinct("time_control").alias("controls"), F.count_if(F.col("phase") == "F").alias("finished"))
+        F.count_distinct("game_id").alias("games"), F.count_distinct(F.when(F.month("played_at") % 2 == 0, F.col("game_id"))).alias("white_games"), F.min("played_at").alias("first_at"), F.max("played_at").alias("last_at"),
+        F.count("played_at").alias("dated"), F.count("rating").alias("rated"), F.round(F.avg("rating"), 6).alias("mean_rating"), F.min("rating").alias("min_rating"), F.max("rating").alias("max_rating"),
+        F.count_distinct("time_control").alias("controls"), F.count_if(F.col("phase") == "F").alias("finished"),
+    )
 
 
-@query("agg_player_context", LOG_SQL + "SELECT player, round_even(median(rating), 0)::bigint AS own_rating FROM dec GROUP BY 1")
+@query("agg_player_context", LOG_SQL + "SELECT player, round_even(median(rating), 0)::bigint AS own_rating, round_even(median(floor(o_totalprice / 100)), 0)::bigint AS opponent_rating FROM dec JOIN orders ON o_orderkey = decision_id GROUP BY 1")
 def agg_player_context(spark, sf_dir):
+    """Rounded medians of the player's own rating and of the opponents'."""
     from quillog.sources.bindings import decisions
 
-    return decisions(spark, sf_dir).groupBy("player").agg(F.bround(F.median("rating"), 0).cast("bigint").alias("own_rating"))
+    other = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("decision_id"), F.floor(F.col("o_totalprice") / 100).alias("opponent"))
+    middle = lambda c: F.bround(F.median(c), 0).cast("bigint")
+    return decisions(spark, sf_dir).join(other, "decision_id").groupBy("player").agg(middle("rating").alias("own_rating"), middle("opponent").alias("opponent_rating"))
 
 
 # --- style -----------------------------------------------------------------------------------

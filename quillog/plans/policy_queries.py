@@ -128,7 +128,7 @@ def prob_hybrid(spark, sf_dir):
     return own.select("decision_id", "engine_rank", R9(pol.history_or(F.col("n"), F.col("model"))).alias("p"))
 
 
-@query("prob_inverse_cdf", SOFT + """, c AS (SELECT decision_id, move, sum(p) OVER (PARTITION BY decision_id ORDER BY move) AS cum, ('0x' || substr(sha256('42:' || decision_id || ':0'), 1, 8))::bigint / 4294967296.0 AS u FROM pr)
+@query("prob_inverse_cdf", SOFT + """, c AS (SELECT decision_id, move, sum(p) OVER (PARTITION BY decision_id ORDER BY move) AS cum, ('0x' || substr(sha256('42:' || decision_id || ':0'), 1, 16))::ubigint::double / 18446744073709551616.0::double AS u FROM pr)
   SELECT decision_id, coalesce(min(move) FILTER (u < cum), max(move)) AS drawn FROM c GROUP BY 1""")
 def prob_inverse_cdf(spark, sf_dir):
     return pol.draw(candidates(spark, sf_dir).withColumn("p", pol.softmax(F.col("base_logit"), 0.7)), "p", 42)
