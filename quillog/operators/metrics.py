@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillog.session import durable
+
 from .policy import FLOOR
 
 
@@ -208,14 +210,32 @@ def style_reference(vectors: DataFrame, *, floor: float = 0.05, structure_floor:
     return scale, vectors.groupBy("player", "family", "field").agg(F.avg("value").alias("centre"))
 
 
-def style_identity(vectors: DataFrame, scale: DataFrame, centroids: DataFrame, unit: str) -> DataFrame:
+def style_identity(vectors: DataFrame, scale: DataFrame, centroids: DataFrame, unit: str, *, broadcast_players: int = 100_000) -> DataFrame:
     """Distance of each unit to each player's centroid: the mean over families of the mean squared
-    standardised difference; ``place`` orders a unit's players by it, ties by name."""
-    refs = centroids.join(scale, ["family", "field"])
-    joined = vectors.withColumnRenamed("player", "true_player").join(refs, ["family", "field"])
-    per = joined.groupBy(unit, "true_player", "player", "family").agg(F.avg(F.pow((F.col("value") - F.col("centre")) / F.col("scale"), F.lit(2))).alias("d"))
-    total = per.groupBy(unit, "true_player", "player").agg(F.round(F.avg("d"), 9).alias("distance"))
-    return total.withColumn("place", F.row_number().over(Window.partitionBy(unit).orderBy("distance", "player")))
+    standardised difference; ``place`` orders a unit's players by it, ties by name.
+
+    A unit's standardised values are one array, and so are a centroid's, in the order of the fields (a
+    few dozen, which the driver holds), so a comparison is one row. The centroids are counted first and
+    broadcast up to ``broadcast_players``. Fields that one side lacks don't count.
+    """
+    fields = [(r["family"], r["field"]) for r in scale.select("family", "field").orderBy("family", "field").collect()]
+    if not fields:
+        return vectors.select(unit, F.col("player").alias("true_player"), "player", F.lit(0.0).alias("distance"), F.lit(1).alias("place")).limit(0)
+    scaled = lambda df, value: df.join(F.broadcast(scale), ["family", "field"]).withColumn("_z", F.col(value) / F.col("scale"))
+    cell = lambda family, field: F.max(F.when((F.col("family") == family) & (F.col("field") == field), F.col("_z")))
+    array = F.array(*[cell(*f) for f in fields])
+    units = scaled(vectors, "value").groupBy(unit, F.col("player").alias("true_player")).agg(array.alias("_u"))
+    players = durable(scaled(centroids, "centre").groupBy("player").agg(array.alias("_c")))
+    pairs = units.join(F.broadcast(players) if players.count() <= broadcast_players else players, F.lit(True))
+    gaps = F.zip_with("_u", "_c", lambda a, b: (a - b) * (a - b))
+    total, known = F.lit(0.0), F.lit(0)
+    for family in dict.fromkeys(f for f, _ in fields):
+        at = [i for i, (f, _) in enumerate(fields) if f == family]
+        own = F.filter(F.slice("_g", at[0] + 1, len(at)), lambda x: x.isNotNull())
+        mean = F.aggregate(own, F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size(own), F.lit(0))
+        total, known = total + F.coalesce(mean, F.lit(0.0)), known + mean.isNotNull().cast("int")
+    far = pairs.select(unit, "true_player", "player", gaps.alias("_g")).select(unit, "true_player", "player", F.round(total / F.nullif(known, F.lit(0)), 9).alias("distance"))
+    return far.withColumn("place", F.row_number().over(Window.partitionBy(unit).orderBy("distance", "player")))
 
 
 def style_distance(left: DataFrame, right: DataFrame, scale: DataFrame, keys: list[str]) -> DataFrame:
