@@ -16,6 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillog.session import durable
+
+from .names import free_prefix
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\x0c\r"
 BITS = 63
@@ -58,8 +62,8 @@ def drop_bitmaps(
 
     Repeated ids are one document. Rows with a null id are left out: they neither count nor lose lines.
     """
-    lines = line_hashes(docs, id_col, text_col, min_chars)
-    total = docs.agg(F.coalesce(F.sum(F.size(lines_of(F.col(text_col))).cast("bigint")), F.lit(0))).first()[0]
+    lines = durable(line_hashes(docs, id_col, text_col, min_chars))  # read three times; texts only once
+    total = lines.count()
     hot = (
         lines.groupBy("_h1", "_h2")
         .agg(F.count("*").alias("_n"), F.min("_id").alias("_hot_first"))
@@ -79,28 +83,33 @@ def drop_bitmaps(
     return words.groupBy("_id", "_th").agg(F.map_from_entries(F.collect_list(F.struct("_word", "_mask"))).alias("_bits"))
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Every row of ``docs`` with its remaining text in ``text_col`` and ``_n_lines``, ``_n_dropped``.
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", prefix: str = "_", **options) -> DataFrame:
+    """Every row of ``docs`` with its remaining text in ``text_col``, and n_lines and n_dropped, their
+    names after ``prefix``.
 
     Null and empty texts have one empty line and stay as an empty text; a document all of whose
-    lines go keeps an empty text. Equal rows are treated equally. Other columns pass unchanged.
+    lines go keeps an empty text. Equal rows are treated equally; an empty table gives an empty result.
+    Other columns pass unchanged, but columns of ``docs`` that have a result's name are replaced by it;
+    ``free_prefix`` gives a prefix that meets none.
     """
-    marks = drop_bitmaps(docs, id_col=id_col, text_col=text_col, **options)
-    rows = docs.withColumn("_th", F.xxhash64(text_col)).join(
-        marks.withColumnRenamed("_id", id_col), [id_col, "_th"], "left"
-    )
+    results = [f"{prefix}n_lines", f"{prefix}n_dropped"]
+    docs = docs.drop(*[c for c in results if c not in (id_col, text_col)])
+    own = free_prefix(docs)
+    hashed, bits, kept_text = f"{own}th", f"{own}bits", f"{own}kept"
+    marks = drop_bitmaps(docs.select(id_col, text_col), id_col=id_col, text_col=text_col, **options)
+    marks = marks.select(F.col("_id").alias(id_col), F.col("_th").alias(hashed), F.col("_bits").alias(bits))
+    rows = docs.withColumn(hashed, F.xxhash64(text_col)).join(marks, [id_col, hashed], "left")
     lines = lines_of(F.col(text_col))
 
     def gone(i: Column) -> Column:
-        mask = F.element_at(F.col("_bits"), F.floor(i / BITS).cast("int"))
+        mask = F.element_at(F.col(bits), F.floor(i / BITS).cast("int"))
         return F.coalesce(F.call_function("shiftright", mask, (i % BITS).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
 
-    kept = F.when(F.col("_bits").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(
+    kept = F.when(F.col(bits).isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(
         F.array_join(F.filter(lines, lambda _, i: ~gone(i)), "\n")
     )
-    n_dropped = F.when(F.col("_bits").isNull(), F.lit(0)).otherwise(
-        F.aggregate(F.map_values("_bits"), F.lit(0), lambda n, mask: n + F.bit_count(mask))
+    n_dropped = F.when(F.col(bits).isNull(), F.lit(0)).otherwise(
+        F.aggregate(F.map_values(bits), F.lit(0), lambda n, mask: n + F.bit_count(mask))
     )
-    return rows.withColumns({"_n_lines": F.size(lines).cast("bigint"), "_n_dropped": n_dropped.cast("bigint"), "_kept": kept}).drop(
-        text_col, "_bits", "_th"
-    ).withColumnRenamed("_kept", text_col)
+    counted = rows.withColumns({results[0]: F.size(lines).cast("bigint"), results[1]: n_dropped.cast("bigint"), kept_text: kept})
+    return counted.drop(text_col, bits, hashed).withColumnRenamed(kept_text, text_col)
