@@ -3,7 +3,9 @@
 A page becomes a light tree of its block elements. Paragraphs give points for their length and
 commas to their parent and, halved, to their grandparent; an element's points are discounted by the
 share of its text that stands in links. The best container is kept with those siblings that score
-well enough or read like text. Boilerplate elements never enter the tree's text.
+well enough or read like text. Navigation, footers, scripts and controls never enter the tree's text.
+Forms, asides, headers and elements whose class, id or role names boilerplate are doubted: they go,
+unless the page has hardly any text outside them.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 
 # Element names of HTML by what they mean here.
 DROPPED = frozenset("nav header footer aside form script style noscript template iframe object embed svg math canvas select option button input textarea dialog menu head title".split())
+DOUBTED = frozenset("form aside header dialog".split())
 RAW = frozenset("script style noscript template iframe textarea title xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -36,12 +39,22 @@ IMPLIED_END = {
     "td": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
     "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
 }
-BAD_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adbox|advert\w*|adsense|sponsor\w*|promo\w*|banner|popup|modal|overlay|cookie\w*|consent|notice\w*|alert|newsletter|subscri\w*|"
-    r"nav|navbar|navigation|menu\w*|breadcrumb\w*|pagination|pager|sidebar\w*|side-bar|header|masthead|footer\w*|copyright|"
-    r"comment|comments|commentlist|comment-\w+|disqus\w*|respond|replies|share|sharing|social\w*|related|recommend\w*|widget\w*|login|signup|search\w*|form|skip\w*|hidden)(?=$|[\s_-])",
-    re.I,
+#: Words in a class or id that name boilerplate. Those of SURE leave no doubt.
+SURE = frozenset(
+    "ad ads adbox advert advertisement advertising adsense sponsor sponsored sponsors cookie cookies consent nav navbar navigation menu breadcrumb breadcrumbs pagination pager "
+    "footer copyright newsletter subscribe subscription comment comments commentlist disqus respond replies hidden".split()
 )
+COMMENTS = frozenset("comment comments commentlist disqus respond replies hidden".split())
+LIKELY = frozenset(
+    "promo promotion banner popup modal overlay notice notices alert sidebar header masthead share sharing social related recommended recommendations "
+    "widget widgets login signup search form skip".split()
+)
+#: Words that stand beside those without changing what is named, or turn it round.
+BESIDE = frozenset(
+    "list box bar wrap wrapper container section area block inner outer content body item items link links button buttons icon icons text unit slot left right top bottom main primary "
+    "secondary group panel row col form title message site page global thread author reply site".split()
+)
+TURNED = frozenset("has no not with without is post entry article story headline".split())
 BAD_ROLE = frozenset("navigation banner contentinfo complementary search form menu menubar alert alertdialog dialog".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -53,6 +66,7 @@ class Node:
     name: str
     parent: Node | None
     dropped: bool = False
+    doubt: int = 0  # 1: rather not of the article; 2: surely not; 3: whatever else the page has
     parts: list = field(default_factory=list)  # texts, and child nodes in page order
     own: list[str] = field(default_factory=list)
     score: float = 0.0
@@ -60,16 +74,31 @@ class Node:
     linked: int = 0
 
 
-def _is_bad(name: str, attributes: str) -> bool:
+def _doubt_of_name(value: str) -> int:
+    """How surely a class or id names boilerplate: a bad word by itself, or one with words beside it
+    that don't matter. ``has-sidebar``, ``post-header`` and ``share-price`` name something else."""
+    worst = 0
+    for token in value.lower().split():
+        words = [w for w in re.split(r"[-_]+", re.sub(r"\d+", "", token)) if w]
+        bad = [w for w in words if w in SURE or w in LIKELY]
+        if not bad or words[0] in TURNED or any(w not in SURE and w not in LIKELY and w not in BESIDE for w in words):
+            if not (bad and words and words[-1] in bad and words[0] not in TURNED):
+                continue
+        worst = max(worst, 3 if any(w in COMMENTS for w in bad) else 2 if any(w in SURE for w in bad) else 1)
+    return worst
+
+
+def _doubt(attributes: str) -> int:
+    worst = 0
     for key, a, b, c in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), a or b or c
-        if key in ("class", "id") and BAD_NAME.search(value):
-            return True
-        if key == "role" and value.lower() in BAD_ROLE:
-            return True
-        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and HIDDEN_STYLE.search(value):
-            return True
-    return False
+        if key in ("class", "id"):
+            worst = max(worst, _doubt_of_name(value))
+        elif key == "role" and value.lower() in BAD_ROLE:
+            worst = max(worst, 1)
+        elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and HIDDEN_STYLE.search(value):
+            worst = 3
+    return worst
 
 
 def parse(html: str) -> Node:
@@ -121,8 +150,8 @@ def parse(html: str) -> Node:
                     continue
                 links = 0 if name != "li" else links
                 in_article = name == "header" and _within(node, ("article", "main"))
-                bad = node.dropped or (name in DROPPED and not in_article) or (name not in ("html", "body", "article", "main") and _is_bad(name, m[2] or ""))
-                child = Node(name, node, bad)
+                doubt = 0 if name in ("html", "body", "article", "main") else max(_doubt(m[2] or ""), int(name in DOUBTED and not in_article))
+                child = Node(name, node, node.dropped or name in DROPPED - DOUBTED, doubt)
                 node.parts.append(child)
                 if not (m[2] or "").rstrip().endswith("/") or name in BLOCKS:
                     node = child
@@ -137,6 +166,47 @@ def parse(html: str) -> Node:
     return root
 
 
+def settle(root: Node) -> None:
+    """Drops doubted elements, unless the rest of the page has hardly any text: less than a quarter of an
+    element that is rather boilerplate, or a few words beside one that is named as such."""
+
+    def outside() -> int:
+        """Characters of text, links aside, outside of all dropped and doubted elements."""
+        total, stack = 0, [root]
+        while stack:
+            for part in stack.pop().parts:
+                if not isinstance(part, Node):
+                    total += 0 if part[1] else len(part[0].strip())
+                elif not part.dropped and not part.doubt:
+                    stack.append(part)
+        return total
+
+    def inside(node: Node) -> int:
+        total, stack = 0, [node]
+        while stack:
+            for part in stack.pop().parts:
+                if not isinstance(part, Node):
+                    total += 0 if part[1] else len(part[0].strip())
+                elif not part.dropped and part.doubt < 2:
+                    stack.append(part)
+        return total
+
+    stack, rest = [root], None
+    while stack:
+        for part in stack.pop().parts:
+            if not isinstance(part, Node) or part.dropped:
+                continue
+            if part.doubt:
+                rest = outside() if rest is None else rest
+                if part.doubt == 1 and rest * 4 < inside(part) or part.doubt == 2 and rest < 25 <= inside(part) and part.name not in ("nav", "footer"):
+                    part.doubt, rest = 0, None
+                    stack.append(part)
+                else:
+                    part.dropped = True
+            else:
+                stack.append(part)
+
+
 def _within(node: Node | None, names: tuple[str, ...]) -> bool:
     while node is not None:
         if node.name in names:
@@ -155,6 +225,8 @@ def blocks(node: Node) -> list[str]:
         for i in range(i, len(here.parts)):
             part = here.parts[i]
             if isinstance(part, Node):
+                if part.dropped and part.name not in BLOCKS:
+                    continue
                 out.append("".join(run))
                 run = []
                 if not part.dropped:
@@ -213,6 +285,7 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     root = parse(html)
+    settle(root)
     order = _measure(root)
     held = [n for n in order if n.size and n.name not in PARAGRAPHS - {"td", "blockquote"}]
     if not held:
@@ -236,7 +309,8 @@ def main_text(html: str | None) -> str:
 
 def extract(html: Column) -> Column:
     """Main text of each page. Null and empty pages, and pages without text, give an empty string;
-    broken and cut-off markup is read as far as it goes; pages of any length are read whole."""
+    broken and cut-off markup is read as far as it goes; pages of any length are read whole. A page's
+    text depends on its html alone, so repeated rows get equal texts and an empty table an empty result."""
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
