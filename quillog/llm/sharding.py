@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillog.session import durable
+
 OVERFULL = 2  # times the wanted bytes of a range
 
 
@@ -61,6 +63,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         F.crc32(text).alias("_crc"),
         F.xxhash64(text).alias("_h"),
         F.xxhash64(F.col(id_col), F.xxhash64(text)).alias("_g"),
+        F.monotonically_increasing_id().alias("_d"),  # tells equal rows apart
     )
 
 
@@ -87,20 +90,21 @@ def shard_by_size(
     text_col: str = "text",
     ranges_per_shard: int = 32,
     sample_per_range: int = 16,
-    range_bytes: int = 512 << 20,
+    range_bytes: int = 8 << 30,
     seed: int = 1,
 ) -> DataFrame:
     """Shard and slot of every row of ``docs`` under the law ``bytes``.
 
     Returns ``id_col``, size, text_crc32, law, shard, slot. The number of ranges is
-    ``ranges_per_shard`` for each shard, or more where a range would exceed ``range_bytes``.
+    ``ranges_per_shard`` for each shard, or more where a range would exceed ``range_bytes`` of text, which
+    are some 100 MB of the narrow rows that a range holds; these rows are written once and read from there.
 
     Null text counts as an empty one, null ids are ordinary keys, repeated rows each get a slot of
     their own (which of them gets which is immaterial, as they are equal), an empty table gives an
     empty result, and further columns of ``docs`` are ignored. With fewer rows than shards some
     shards stay empty.
     """
-    keys = keyed(docs, id_col, text_col)
+    keys = durable(keyed(docs, id_col, text_col))
     total, rows = keys.agg(F.coalesce(F.sum("_size"), F.lit(0)), F.count("*")).first()
     ranges = max(1, min(max(n_shards * ranges_per_shard, -(-total // range_bytes)), rows))
     placed = keys.withColumn("_r", sample_splitters(keys, ranges, sample_per_range, total, seed).range_of(F.col("_h"), F.col("_g")))
@@ -110,7 +114,7 @@ def shard_by_size(
     sums = {r["_r"]: (r["b"], r["n"]) for r in placed.groupBy("_r").agg(F.sum("_size").alias("b"), F.count("*").alias("n")).collect()}
     strips = [-(-sums.get(r, (0, 0))[0] // wanted) if sums.get(r, (0, 0))[0] > OVERFULL * wanted else 1 for r in range(ranges)]
     base = [0, *accumulate(strips)]
-    strip = F.pmod(F.xxhash64("_g", F.lit(seed)), _at(strips, F.col("_r")))
+    strip = F.pmod(F.xxhash64("_g", "_d", F.lit(seed)), _at(strips, F.col("_r")))
     placed = placed.withColumn("_u", (_at(base, F.col("_r")) + strip).cast("int"))
     units = [(0, 0)] * base[-1]
     for r, both in sums.items():
@@ -119,13 +123,13 @@ def shard_by_size(
     if split:
         for r in split:
             units[base[r]] = (0, 0)
-        again = placed.where(F.array_contains(_numbers(split), F.col("_r").cast("bigint")))
+        again = placed.where(_at(strips, F.col("_r")) > 1)
         for u in again.groupBy("_u").agg(F.sum("_size").alias("b"), F.count("*").alias("n")).collect():
             units[u["_u"]] = (u["b"], u["n"])
     byte_start = [0, *accumulate(b for b, _ in units)]
     row_start = [0, *accumulate(n for _, n in units)]
 
-    order = Window.partitionBy("_u").orderBy("_h", "_g", "_id")
+    order = Window.partitionBy("_u").orderBy("_h", "_g", "_id", "_d")
     before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offset = _at(byte_start, F.col("_u")) + F.sum("_size").over(before) - F.col("_size")
 
@@ -136,7 +140,10 @@ def shard_by_size(
     # A shard begins inside the unit that holds its first byte; only those units are counted again.
     begins = [-(-s * total // n_shards) for s in range(n_shards)]
     inside = [max((u for u in range(len(units)) if byte_start[u] <= b), default=0) for b in begins]
-    counted = sharded(placed.where(F.array_contains(_numbers(sorted(set(inside))), F.col("_u").cast("bigint"))))
+    holds = [0] * len(units)
+    for u in inside:
+        holds[u] = 1
+    counted = sharded(placed.where(_at(holds, F.col("_u")) == 1))
     cut: dict[int, list[tuple[int, int]]] = {}
     for r in counted.groupBy("_u", "_shard").count().collect():
         cut.setdefault(r["_u"], []).append((r["_shard"], r["count"]))
