@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillog.session import durable
+from quillog.session import durable, written
 
 from .policy import FLOOR
 
@@ -135,20 +135,20 @@ def fit(features: DataFrame, *, penalty: float = 0.01, iterations: int = 150, to
     steps = features.groupBy("player").agg((reach / (F.max(norm) / 2 + penalty)).alias("step"))
     start = features.select("player", F.explode(F.flatten(F.transform("c", lambda c: c["x"]["idx"]))).alias("idx")).distinct()
     zero = F.lit(0.0)
-    at = durable(start.join(steps, "player").select("player", "idx", zero.alias("beta"), zero.alias("last"), "step", F.lit(float("inf")).alias("best"), F.lit(True).alias("plain"), zero.alias("gradient")))
+    at = written(start.join(steps, "player").select("player", "idx", zero.alias("beta"), zero.alias("last"), "step", F.lit(float("inf")).alias("best"), F.lit(True).alias("plain"), zero.alias("gradient")))
     for i in range(1, iterations + 1):
         g = gradient(features, at.select("player", "idx", "beta"), penalty).select("player", "idx", "gradient", "objective")
         rises = F.col("objective") > F.col("best")
         ratio = F.sqrt(penalty * F.col("step"))
         new = F.col("beta") - F.col("step") * F.col("gradient")
-        at = at.drop("gradient").join(g, ["player", "idx"]).select(
+        step = at.drop("gradient").join(g, ["player", "idx"]).select(
             "player", "idx",
             F.when(rises, F.col("last")).otherwise(new + (1 - ratio) / (1 + ratio) * (new - F.col("last"))).alias("beta"),
             F.when(rises, F.col("last")).otherwise(new).alias("last"),
             F.when(rises & F.col("plain"), F.col("step") / 2).otherwise(F.col("step")).alias("step"),
             F.least("best", "objective").alias("best"), rises.alias("plain"), "gradient",
         )
-        at = durable(at)
+        at = written(step, at)
         if tolerance is not None and i % check_every == 0 and (at.agg(F.max(F.abs("gradient"))).first()[0] or 0.0) <= tolerance / 2:
             break
     done = durable(gradient(features, at.select("player", "idx", F.col("last").alias("beta")), penalty))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,13 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read back, which cuts its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``, or this application's part of it.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Where that is unset a
-    temporary folder is used, but only by a local master: no executor of a cluster could read it.
+    Where that is unset a temporary folder is used, but only by a local master: no executor of a
+    cluster could read it.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -45,4 +45,26 @@ def durable(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="quillog-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back, which cuts its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+    """``df`` as a Parquet table of the shared folder; the one that ``instead_of`` reads is deleted.
+
+    For loops: a checkpoint keeps the constraints and size estimates of its plan, which grow with every
+    step that is made from the one before, and a table has its own.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if instead_of is not None and instead_of.inputFiles():
+        old = spark._jvm.org.apache.hadoop.fs.Path(instead_of.inputFiles()[0]).getParent()
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    return out
