@@ -163,8 +163,9 @@ def near_duplicates(
     ``n_links`` counts other rows at cosine ``threshold`` or more that the index finds;
     ``component_id`` is the smallest id reachable. Vectors that are null, zero or hold a null or
     non-finite component link with nothing, nor do vectors of different lengths with each other.
-    Rows that repeat an id count as rows of their own among links but share a component; rows with a
-    null id are counted in no link and have a null component. Other columns are ignored.
+    Rows that repeat an id count as rows of their own among the links of others; their own links and
+    component are those of the id. Rows with a null id are counted in no link and have a null
+    component. Other columns are ignored; an empty table gives an empty result.
     """
     spark = vectors.sparkSession
     kind = vectors.schema[id_col].dataType.simpleString()
