@@ -120,41 +120,48 @@ class NotConverged(ValueError):
     """A fit used up its iterations before all players met the tolerance."""
 
 
-def fit(features: DataFrame, *, penalty: float = 0.01, iterations: int = 150, tolerance: float | None = None, reach: float = 10.0, check_every: int = 3) -> DataFrame:
+def fit(features: DataFrame, *, penalty: float = 0.01, iterations: int = 150, tolerance: float | None = None, reach: float = 10.0) -> DataFrame:
     """(player, idx, beta, gradient, objective) after accelerated full-batch steps for all players at once.
 
     A player's first step is ``reach`` times one over a bound of the curvature (the largest squared
-    feature norm of the candidates, over 2, plus the penalty). Where the objective rises the momentum is
-    dropped, and where it rises without momentum the step is halved. With a ``tolerance`` the fit ends
-    when no player's largest gradient is above it, and ``NotConverged`` is raised if ``iterations`` steps
-    don't get there. Only one number returns to the driver. A step reads the
-    coefficients several times, so each is written before the next.
+    feature norm of the candidates, over 2, plus the penalty). Where the objective rises a player goes
+    back to the best point so far without momentum, and halves the step if that was the first from
+    such a point. With a ``tolerance`` the fit ends when no player's largest gradient is above it, and
+    ``NotConverged`` is raised if ``iterations`` steps don't get there. Only one number returns to the
+    driver. A step reads the coefficients several times, so each is written before the next.
     """
     features = durable(by_decision(features))
     norm = F.array_max(F.transform("c", lambda c: F.aggregate(c["x"], F.lit(0.0), lambda s, x: s + x["val"] * x["val"])))
     steps = features.groupBy("player").agg((reach / (F.max(norm) / 2 + penalty)).alias("step"))
     start = features.select("player", F.explode(F.flatten(F.transform("c", lambda c: c["x"]["idx"]))).alias("idx")).distinct()
     zero = F.lit(0.0)
-    at = written(start.join(steps, "player").select("player", "idx", zero.alias("beta"), zero.alias("last"), "step", F.lit(float("inf")).alias("best"), F.lit(True).alias("plain"), zero.alias("gradient")))
-    for i in range(1, iterations + 1):
+    # beta: the point to look at; last: the step before it; good, best, slope: the best point so far, its
+    # objective and its gradient; age: looks since the player went back.
+    at = written(start.join(steps, "player").select(
+        "player", "idx", zero.alias("beta"), zero.alias("last"), "step", zero.alias("good"), F.lit(float("inf")).alias("best"), zero.alias("slope"), F.lit(0).alias("age")
+    ))
+    for _ in range(iterations):
         g = gradient(features, at.select("player", "idx", "beta"), penalty).select("player", "idx", "gradient", "objective")
         rises = F.col("objective") > F.col("best")
-        ratio = F.sqrt(penalty * F.col("step"))
+        ratio = F.sqrt(F.least(F.lit(1.0), penalty * F.col("step")))
         new = F.col("beta") - F.col("step") * F.col("gradient")
-        step = at.drop("gradient").join(g, ["player", "idx"]).select(
+        step = at.join(g, ["player", "idx"]).select(
             "player", "idx",
-            F.when(rises, F.col("last")).otherwise(new + (1 - ratio) / (1 + ratio) * (new - F.col("last"))).alias("beta"),
-            F.when(rises, F.col("last")).otherwise(new).alias("last"),
-            F.when(rises & F.col("plain"), F.col("step") / 2).otherwise(F.col("step")).alias("step"),
-            F.least("best", "objective").alias("best"), rises.alias("plain"), "gradient",
+            F.when(rises, F.col("good")).otherwise(new + (1 - ratio) / (1 + ratio) * (new - F.col("last"))).alias("beta"),
+            F.when(rises, F.col("good")).otherwise(new).alias("last"),
+            F.when(rises & (F.col("age") <= 1), F.col("step") / 2).otherwise(F.col("step")).alias("step"),
+            F.when(rises, F.col("good")).otherwise(F.col("beta")).alias("good"),
+            F.least("best", "objective").alias("best"),
+            F.when(rises, F.col("slope")).otherwise(F.col("gradient")).alias("slope"),
+            F.when(rises, F.lit(0)).otherwise(F.col("age") + 1).alias("age"),
         )
         at = written(step, at)
-        if tolerance is not None and i % check_every == 0 and (at.agg(F.max(F.abs("gradient"))).first()[0] or 0.0) <= tolerance / 2:
+        if tolerance is not None and (at.agg(F.max(F.abs("slope"))).first()[0] or 0.0) <= tolerance:
             break
-    done = durable(gradient(features, at.select("player", "idx", F.col("last").alias("beta")), penalty))
-    if tolerance is not None and (done.agg(F.max(F.abs("gradient"))).first()[0] or 0.0) > tolerance:
-        raise NotConverged(f"{iterations} steps left a gradient above {tolerance}")
-    return done
+    else:
+        if tolerance is not None:
+            raise NotConverged(f"{iterations} steps left a gradient above {tolerance}")
+    return durable(gradient(features, at.select("player", "idx", F.col("good").alias("beta")), penalty))
 
 
 def shared_mean(beta: DataFrame) -> DataFrame:
