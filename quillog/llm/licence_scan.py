@@ -1,7 +1,8 @@
 """Licence scan: exact containment join of text blocks with licence templates.
 
-A block is a sentence of a line. A template is found in a block that holds at least ``threshold``
-of its distinct words. Words are ordered by their frequency in the whole corpus, rarest first; a
+A block is a sentence, which may run over wrapped lines: a line break ends it only after a line of
+fewer than ``WRAPPED`` characters. A template is found in a block that holds at least ``threshold`` of
+its distinct words. Words are ordered by their frequency in the whole corpus, rarest first; a
 block that reaches the threshold must share a word of a template's prefix (its rarest words, one
 more than it may miss), so only blocks with such a word are looked at. Length and positional
 filters remove most of the rest before the overlap is counted.
@@ -19,6 +20,8 @@ from .line_dedup import ascii_lower
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+WRAPPED = 40
+
 # Phrases of the contract and the label that each gives.
 PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 
@@ -50,6 +53,12 @@ def _words(text: str) -> list[str]:
     return re.findall(WORD, lowered)
 
 
+def blocks_of(text: Column) -> Column:
+    """The sentences of a text as an array; marks of comments and blank lines hold no words."""
+    marked = F.regexp_replace(text, F.lit(rf"(?dm)^([^\n]{{0,{WRAPPED - 1}}})\n"), F.lit("$1\x01"))
+    return F.split(marked, r"\x01|(?<=[.!?])\s+")
+
+
 def phrase_starts(words: Column, phrase: str) -> Column:
     """Places at which the words of ``phrase`` stand one after another."""
     want = phrase.split()
@@ -91,7 +100,7 @@ def matches(docs: DataFrame, *, keys: list[str], text_col: str, rank: dict[str,
 
     blocks = (
         docs.where(F.exists(words_of(F.col(text_col)), lambda w: w.isin(prefix)))
-        .select(*keys, F.posexplode(F.split(F.col(text_col), r"\n|(?<=[.!?])\s+")).alias("_block", "_text"))
+        .select(*keys, F.posexplode(blocks_of(F.col(text_col))).alias("_block", "_text"))
         .withColumn("_set", F.array_distinct(F.filter(words_of(F.col("_text")), lambda w: w.isin(by_rank))))
         .where(F.exists("_set", lambda w: w.isin(prefix)))
         # words by global frequency: the constant array is in that order already

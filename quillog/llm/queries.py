@@ -116,7 +116,7 @@ WITH d AS (SELECT doc_id, {_LOWER} AS t FROM documents),
 w AS (SELECT doc_id, {_WORDS.format("t")} AS ws FROM d),
 s AS (SELECT doc_id, len(ws) AS n_words, {starts} FROM w),
 b AS (SELECT doc_id, n_words, flatten([{every}]) AS places, [x FOR x IN [{base}] IF x IS NOT NULL] AS base FROM s),
-blocks AS (SELECT doc_id, list_distinct({_WORDS.format("unnest(string_split(regexp_replace(t, '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(10), 'g'), chr(10)))")}) AS ws FROM d),
+blocks AS (SELECT doc_id, list_distinct({_WORDS.format("unnest(string_split(regexp_replace(regexp_replace(t, '(?m)^([^\\n]{0,39})\\n', '\\1' || chr(1), 'g'), '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(1), 'g'), chr(1)))")}) AS ws FROM d),
 tpl(label, own, n, need) AS (VALUES {", ".join(rows)}),
 met AS (SELECT doc_id, label, len(list_intersect(ws, own)) / n AS c FROM blocks JOIN tpl ON len(list_intersect(ws, own)) >= need),
 more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(c) AS best FROM met GROUP BY 1)
