@@ -64,7 +64,14 @@ def written(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    if instead_of is not None and instead_of.inputFiles():
-        old = spark._jvm.org.apache.hadoop.fs.Path(instead_of.inputFiles()[0]).getParent()
-        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    if instead_of is not None:
+        discard(instead_of)
     return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table that ``df``, a result of ``written``, reads; nothing may read it afterwards."""
+    files, spark = df.inputFiles(), df.sparkSession
+    if files:
+        old = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
