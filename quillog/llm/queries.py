@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillog.session import table
 
-from . import decontam, html_extract, lang_crf, licence_scan, line_dedup, minhash_icws, piece_codec, sharding, url_filter, vector_dedup
+from . import decontam, html_extract, lang_crf, licence_scan, line_dedup, minhash_icws, periodic_runs, piece_codec, sharding, source_audit, url_filter, vector_dedup
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +77,25 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.withColumn("kept", F.col("doc_id") == F.col("group_id"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    begin = lambda n: g % n
+    period = lambda n: 1 + F.floor((n - begin(n)) / (3 + g % 8))
+    text = F.when(h % 10 == 0, periodic_runs.repeat_tail(F.col("text"), begin, period)).otherwise(F.col("text"))
+    found = periodic_runs.find(table(spark, sf_dir, "documents").select("doc_id", text.alias("text")))
+    best = periodic_runs.strongest(F.col("_runs"))
+    lines = F.transform("_runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select("doc_id", F.size("_runs").cast("bigint").alias("n_runs"), best.alias("_best"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", *[F.col(f"_best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * _best.length div _best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256",
+    )
+
+
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -128,6 +147,25 @@ FROM b LEFT JOIN more USING (doc_id)
 """
 
 
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+t AS (SELECT r, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY 1, 2 HAVING count(DISTINCT r) >= 30),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY 1),
+c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+g AS (SELECT lang, source, coalesce(v, 0) AS v, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN v USING (lang) LEFT JOIN c USING (lang, source) GROUP BY 1, 2, 3),
+p AS (SELECT g.lang, g.source, term, coalesce(n, 0) AS n, 1 + (1000000000::hugeint * (coalesce(n, 0) + 5)) // (total + 5 * v) AS p FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+l AS (SELECT lang, term, 1 + (1000000000::hugeint * (sum(n) + 5)) // (sum(sum(n)) OVER (PARTITION BY lang) + 5 * max(v)) AS q FROM c JOIN v USING (lang) GROUP BY 1, 2),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::bigint AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::bigint FROM p JOIN l USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, rank::int AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts) WHERE part = 'pair' OR rank <= 50
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_html_extraction": op2_html_extraction,
@@ -139,6 +177,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_licence_scan": op9_licence_scan,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_source_audit": op12_source_audit,
 }
 
-ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL, "op9_licence_scan": _op9_sql()}
+ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL, "op9_licence_scan": _op9_sql(), "op12_source_audit": OP12_SQL}
