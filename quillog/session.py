@@ -57,12 +57,16 @@ def durable(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
     """``df`` as a Parquet table of the shared folder; the one that ``instead_of`` reads is deleted.
 
+    What nobody discards goes when the application ends.
+
     For loops: a checkpoint keeps the constraints and size estimates of its plan, which grow with every
     step that is made from the one before, and a table has its own.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
     out = spark.read.schema(df.schema).parquet(path)
     if instead_of is not None:
         discard(instead_of)
