@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillog.session import table
 
-from . import decontam, html_extract, lang_crf, licence_scan, line_dedup, minhash_icws, periodic_runs, piece_codec, sharding, source_audit, url_filter, vector_dedup
+from . import decontam, html_extract, lang_crf, licence_scan, line_dedup, minhash_icws, periodic_runs, piece_codec, sharding, source_audit, span_dedup, url_filter, vector_dedup
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +96,11 @@ def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = span_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 OP8_SQL = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -166,6 +171,19 @@ FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY valu
 """
 
 
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest([md5(array_to_string(ws[i + 1:i + 50], ' ')) FOR i IN range(0, len(ws) - 49)]) AS h, unnest(range(0, len(ws) - 49)) AS i FROM d),
+f AS (SELECT h, min(doc_id) AS first FROM w GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM w JOIN f USING (h) WHERE doc_id > first),
+lost AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY 1),
+each AS (SELECT doc_id, unnest(ws) AS word, unnest(range(0, len(ws))) AS i FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+SELECT doc_id, len(ws)::bigint AS n_words, coalesce(len(gone), 0)::bigint AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_html_extraction": op2_html_extraction,
@@ -179,6 +197,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_source_audit": op12_source_audit,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
-ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL, "op9_licence_scan": _op9_sql(), "op12_source_audit": OP12_SQL}
+ORACLES: dict[str, str] = {"op8_line_dedup": OP8_SQL, "op9_licence_scan": _op9_sql(), "op12_source_audit": OP12_SQL, "op13_substring_dedup": OP13_SQL}

@@ -26,6 +26,7 @@ from pyspark.sql.window import Window
 
 from quillog.session import discard, durable, written
 
+from .lookup import beside
 from .piece_codec import slabs
 
 #: Of each byte what it is in a term: letters (A-Z as a-z) and all beyond ASCII themselves, else a space.
@@ -77,30 +78,10 @@ def term_rows(docs: DataFrame, *, lang_col: str = "lang", source_col: str = "sou
     return docs.select(*named, F.col(text_col).cast("string").alias("text")).mapInArrow(run, "lang string, source string, term binary, n bigint, shared int")
 
 
-def among(rows: DataFrame, kept: DataFrame, key: Column, *, broadcast_bytes: int = 64_000_000, salts: int = 16) -> DataFrame:
-    """Rows whose language and ``key`` stand in ``kept`` (lang, prefix).
-
-    ``kept`` is measured first: it is broadcast up to ``broadcast_bytes``, and beyond that it is repeated
-    ``salts`` times and joined by a shuffle in which the rows of one frequent prefix go to that many tasks.
-    """
-    size = kept.agg(F.sum(F.octet_length("prefix") + 40)).first()[0] or 0
-    keyed = rows.withColumn("_prefix", key)
-    same = ["lang", "_prefix"]
-    kept = kept.select("lang", F.col("prefix").alias("_prefix"))
-    if size <= broadcast_bytes:
-        return keyed.join(F.broadcast(kept), same, "left_semi").drop("_prefix")
-    dealt = keyed.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
-    each = kept.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return dealt.join(each, [*same, "_salt"], "left_semi").drop("_prefix", "_salt")
-
-
-def beside(rows: DataFrame, langs: DataFrame, *, broadcast_bytes: int = 64_000_000, salts: int = 16) -> DataFrame:
-    """Rows with what ``langs`` has of their language, broadcast or salted as in ``among``."""
-    size = langs.agg(F.sum(100 + 40 * F.size("sources"))).first()[0] or 0
-    if size <= broadcast_bytes:
-        return rows.join(F.broadcast(langs), "lang")
-    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64("term"), F.lit(salts)).cast("int"))
-    return dealt.join(langs.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["lang", "_salt"]).drop("_salt")
+def among(rows: DataFrame, kept: DataFrame, key: Column, **options) -> DataFrame:
+    """Rows whose language and ``key`` stand in ``kept`` (lang, prefix); options as for ``beside``."""
+    own = kept.select("lang", F.col("prefix").alias("_prefix"))
+    return beside(rows.withColumn("_prefix", key), own, ["lang", "_prefix"], "left_semi", size=F.octet_length("_prefix") + 40, **{"salts": 16, **options}).drop("_prefix")
 
 
 def frequent_terms(rows: DataFrame, least: int, *, first: int = FIRST, **options) -> DataFrame:
@@ -177,7 +158,7 @@ def audit(docs: DataFrame, *, least: int = 30, top: int = 50, lang_col: str = "l
     discard(rows)
     langs = durable(groups.groupBy("lang").agg(F.max("V").alias("V"), F.max("L").alias("L"), F.sort_array(F.collect_list(F.struct("source", "N"))).alias("sources")))
 
-    shared = beside(by_term, langs, **options)
+    shared = beside(by_term, langs, ["lang"], size=100 + 40 * F.size("sources"), **{"salts": 16, **options})
     p = F.transform("sources", lambda s: rate(F.coalesce(F.try_element_at("by_source", s["source"]), F.lit(0)), s["N"], F.col("V")))
     sums = pair_sums(shared.select("lang", p.alias("p")))
     place = lambda i: F.element_at("sources", F.col(i) + 1)["source"]
