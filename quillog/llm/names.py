@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def free_prefix(*frames: DataFrame) -> str:
@@ -11,3 +12,8 @@ def free_prefix(*frames: DataFrame) -> str:
     while any(c.startswith(prefix) for df in frames for c in df.columns):
         prefix += "_"
     return prefix
+
+
+def named(name: str) -> Column:
+    """The column of just this name, dots and blanks included."""
+    return F.col("`" + name.replace("`", "``") + "`")

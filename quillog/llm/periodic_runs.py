@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .names import free_prefix
+from .names import free_prefix, named
 from .piece_codec import slabs
 
 RUN = "struct<start: bigint, length: bigint, period: bigint>"
@@ -180,8 +180,8 @@ def find(docs: DataFrame, *, text_col: str = "text", min_length: int = 24, min_e
                 columns = [pa.array(left, pa.string()), pa.array([len(w) for w in split], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), cells, type=runs_type)]
                 yield pa.RecordBatch.from_arrays([*columns, batch.column(1).slice(begin, end - begin)], ["text", "n", "runs", "rest"])
 
-    rest = F.struct(*kept) if kept else F.lit(0)
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), rest.alias("rest"))
+    rest = F.struct(*map(named, kept)) if kept else F.lit(0)
+    rows = docs.select(named(text_col).cast("string").alias("text"), rest.alias("rest"))
     schema = StructType.fromDDL(f"text string, n bigint, runs array<{RUN}>").add(rows.schema["rest"])
     done = rows.mapInArrow(run, schema).toDF(f"{own}text", *results, f"{own}rest")
     return done.select(*[F.col(f"{own}text").alias(c) if c == text_col else F.col(f"{own}rest").getField(c).alias(c) for c in docs.columns], *results)

@@ -27,6 +27,7 @@ from pyspark.sql.window import Window
 from quillog.session import discard, durable, written
 
 from .lookup import beside
+from .names import named
 from .piece_codec import slabs
 
 #: Of each byte what it is in a term: letters (A-Z as a-z) and all beyond ASCII themselves, else a space.
@@ -74,8 +75,8 @@ def term_rows(docs: DataFrame, *, lang_col: str = "lang", source_col: str = "sou
                     ["lang", "source", "term", "n", "shared"],
                 )
 
-    named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name) for c, name in ((lang_col, "lang"), (source_col, "source"))]
-    return docs.select(*named, F.col(text_col).cast("string").alias("text")).mapInArrow(run, "lang string, source string, term binary, n bigint, shared int")
+    columns = [F.coalesce(named(c).cast("string"), F.lit("")).alias(name) for c, name in ((lang_col, "lang"), (source_col, "source"))]
+    return docs.select(*columns, named(text_col).cast("string").alias("text")).mapInArrow(run, "lang string, source string, term binary, n bigint, shared int")
 
 
 def among(rows: DataFrame, kept: DataFrame, key: Column, **options) -> DataFrame:
@@ -146,14 +147,14 @@ def audit(docs: DataFrame, *, least: int = 30, top: int = 50, lang_col: str = "l
     gives an empty result; further columns are ignored, whatever their names. Texts are tokenised
     whole, once. The result itself has a row for each pair of sources of a language.
     """
-    named = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(name) for c, name in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
-    rows = written(term_rows(named, first=first))
+    own = docs.select(*[F.coalesce(named(c).cast("string"), F.lit("")).alias(name) for c, name in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
+    rows = written(term_rows(own, first=first))
     kept = durable(frequent_terms(rows, least, first=first, **options))
     counts = among(rows, kept, F.col("term"), **options).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
     by_term = durable(counts.groupBy("lang", "term").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("by_source")))
     held = by_term.select("lang", F.explode("by_source").alias("source", "n")).groupBy("lang", "source").agg(F.sum("n").alias("N"))
     vocabulary = by_term.groupBy("lang").agg(F.count("*").alias("V"), F.sum("all").alias("L"))
-    groups = named.groupBy("lang", "source").agg(F.count("*").alias("_rows")).join(held, ["lang", "source"], "left").join(vocabulary, "lang", "left")
+    groups = own.groupBy("lang", "source").agg(F.count("*").alias("_rows")).join(held, ["lang", "source"], "left").join(vocabulary, "lang", "left")
     groups = groups.select("lang", "source", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("N", "V", "L")])
     discard(rows)
     langs = durable(groups.groupBy("lang").agg(F.max("V").alias("V"), F.max("L").alias("L"), F.sort_array(F.collect_list(F.struct("source", "N"))).alias("sources")))

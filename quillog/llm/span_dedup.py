@@ -30,7 +30,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from quillog.session import discard, durable, written
 
 from .lookup import beside
-from .names import free_prefix
+from .names import free_prefix, named
 from .periodic_runs import words_of
 from .piece_codec import slabs
 
@@ -182,10 +182,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         raise ValueError("an anchor is shorter than a window")
     results = [f"{prefix}{c}" for c in ("n_words", "n_removed", "spans")]
     docs = docs.drop(*[c for c in results if c not in (id_col, text_col)])
-    parts = repeated_parts(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), window=window, anchor=anchor, slab=slab, **options)
+    parts = repeated_parts(docs.select(named(id_col).alias("id"), named(text_col).cast("string").alias("text")), window=window, anchor=anchor, slab=slab, **options)
     marks = parts.groupBy("id").agg(F.collect_list(F.struct("start", "edges", "digest", "source", "source_start")).alias("parts"))
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), (F.struct(*rest) if rest else F.lit(0)).alias("rest")).join(marks, "id", "left")
+    rows = docs.select(named(id_col).alias("id"), named(text_col).cast("string").alias("text"), (F.struct(*map(named, rest)) if rest else F.lit(0)).alias("rest")).join(marks, "id", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
