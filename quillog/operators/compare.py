@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillog.functions.scalars import win_percent
+from quillog.session import durable
+
+from .metrics import by_dimension
+from .order_stats import dimensioned, with_quantiles
 
 GRID = (0.5, 1.0, 2.0, 3.0, 5.0, 10.0)
 WITHIN = (25, 50, 100)
+REGRETS = ("gap", "delta", "predicted_regret", "actual_regret")
 
 
 def compare_scores(rows: DataFrame, actual: str = "actual_cp", predicted: str = "predicted_cp", reference: str = "reference_cp") -> DataFrame:
@@ -25,11 +30,18 @@ def compare_scores(rows: DataFrame, actual: str = "actual_cp", predicted: str =
     return out.withColumns({f"within_{t}": F.when(both, F.col("gap") <= t) for t in WITHIN})
 
 
+def quality_summary(rows: DataFrame, dimensions: list[str], keys: list[str]) -> DataFrame:
+    """Quality of compared rows for all and by each dimension: (keys, dimension, value, counts, rates, means, medians)."""
+    rows = durable(rows)  # read once for the rates and once a round for the medians
+    medians = {f"median_{c}": (c, 0.5) for c in REGRETS}
+    return with_quantiles(by_dimension(rows, dimensions, quality_columns(), keys=keys), dimensioned(rows.select(*keys, *dimensions, *REGRETS), dimensions), [*keys, "dimension", "value"], medians)
+
+
 def quality_columns() -> list[Column]:
     finite, different = F.col("gap").isNotNull(), F.col("gap").isNotNull() & ~F.col("exact")
     mate = F.col("actual_outcome").contains("mate") | F.col("predicted_outcome").contains("mate")
     rate = lambda c, where=F.lit(True): F.avg(F.when(where, c.cast("double")))
-    stats = [f(c).alias(f"{n}_{c}") for c in ("gap", "delta", "predicted_regret", "actual_regret") for n, f in (("mean", F.avg), ("median", lambda c: F.median(F.col(c))))]
+    stats = [F.avg(c).alias(f"mean_{c}") for c in REGRETS]
     return [
         F.count("*").alias("decisions"), F.count_if(finite).alias("finite_pairs"), F.count_if(~finite).alias("excluded_pairs"), F.count_if(different).alias("different_finite"), rate(F.col("exact")).alias("exact_accuracy"), *stats,
         *[rate(F.col(f"within_{t}")).alias(f"within_{t}") for t in WITHIN], *[rate(F.col(f"within_{t}"), different).alias(f"different_within_{t}") for t in WITHIN],
@@ -137,7 +149,9 @@ def transitions(left: DataFrame, right: DataFrame, covered: str, correct: str, k
 
 def timing(rows: DataFrame, column: str) -> DataFrame:
     c = F.col(column).cast("double")
-    return rows.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.percentile(c, 0.5).alias("p50"), F.percentile(c, 0.95).alias("p95"), F.sum(c).alias("total"))
+    """Count, mean, exact median and 95th percentile, and total of a column."""
+    own = durable(rows.select(c.alias("t")))
+    return with_quantiles(own.agg(F.count("t").alias("n"), F.avg("t").alias("mean"), F.sum("t").alias("total")), own, [], {"p50": ("t", 0.5), "p95": ("t", 0.95)})
 
 
 # --- gates -----------------------------------------------------------------------------------

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
-from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillog.session import durable, written
 
+from .order_stats import quantiles
 from .policy import FLOOR
 
 HASHED = 128
@@ -197,18 +197,44 @@ def objective_terms(features: DataFrame, own: DataFrame, donor: DataFrame, *, ma
 # --- tree scorers ----------------------------------------------------------------------------
 
 
-def preprocessing(numerics: list[str], categories: list[str]) -> Pipeline:
-    """Training medians for missing numbers, one-hot categories with a place for unseen ones."""
-    imputed = [f"{c}_filled" for c in numerics]
-    indexed, hot = [f"{c}_index" for c in categories], [f"{c}_hot" for c in categories]
-    return Pipeline(
-        stages=[
-            Imputer(strategy="median", inputCols=numerics, outputCols=imputed),
-            StringIndexer(inputCols=categories, outputCols=indexed, handleInvalid="keep", stringOrderType="alphabetAsc"),
-            OneHotEncoder(inputCols=indexed, outputCols=hot, dropLast=False),
-            VectorAssembler(inputCols=[*imputed, *hot], outputCol="features"),
-        ]
-    )
+MISSING = "__MISSING__"
+
+
+class Preprocessor:
+    """Training medians for missing numbers (zero where there is none), one-hot training categories.
+
+    A missing category is one like others; categories that the training rows don't have, a missing one
+    among them, share a last place. ``fit`` brings one number for each numeric column and the distinct
+    categories to the driver, as Spark's own indexers do.
+    """
+
+    def __init__(self, numerics: list[str], categories: list[str]):
+        self.numerics, self.categories = numerics, categories
+
+    def fit(self, train: DataFrame) -> Preprocessor:
+        if train.limit(1).count() == 0:
+            raise ValueError("no training rows to fit the preprocessing on")
+        found = quantiles(train, [], {c: (c, 0.5) for c in self.numerics}).first() if self.numerics else None
+        self.medians = {c: 0.0 if found is None or found[c] is None else float(found[c]) for c in self.numerics}
+        sets = train.agg(*[F.sort_array(F.collect_set(self._category(c))).alias(c) for c in self.categories]).first() if self.categories else {}
+        self.levels = {c: list(sets[c]) for c in self.categories}
+        return self
+
+    @staticmethod
+    def _category(c: str) -> Column:
+        return F.coalesce(F.col(c).cast("string"), F.lit(MISSING))
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with filled numbers (c_filled), category places (c_index, c_hot) and all as ``features``."""
+        filled = {f"{c}_filled": F.coalesce(F.col(c).cast("double"), F.lit(self.medians[c])) for c in self.numerics}
+        out = rows.withColumns({**filled, **{f"{c}_category": self._category(c) for c in self.categories}})
+        indexed, hot = [f"{c}_index" for c in self.categories], [f"{c}_hot" for c in self.categories]
+        if self.categories:
+            for c, place in zip(self.categories, indexed, strict=True):
+                out = StringIndexerModel.from_labels(self.levels[c], f"{c}_category", place, handleInvalid="keep").transform(out)
+            out = OneHotEncoder(inputCols=indexed, outputCols=hot, dropLast=False).fit(out).transform(out)
+        ready = VectorAssembler(inputCols=[*filled, *hot], outputCol="features").transform(out)
+        return ready.drop(*[f"{c}_category" for c in self.categories])
 
 
 def balanced(cand: DataFrame) -> DataFrame:

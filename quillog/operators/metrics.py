@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from quillog.session import durable
 
+from .order_stats import Wanted, dimensioned, with_quantiles
 from .policy import FLOOR
 
 
@@ -68,6 +69,14 @@ def by_dimension(rows: DataFrame, dimensions: list[str], columns: list[Column],
     return grouped.select(*keys, name.alias("dimension"), value.alias("value"), *[c for c in grouped.columns if c not in (*dimensions, *keys) and not c.startswith("_g_")])
 
 
+def summary(rows: DataFrame, dimensions: list[str], columns: list[Column], wanted: Wanted, keys: list[str] = ()) -> DataFrame:
+    """``by_dimension`` with exact quantiles beside the columns."""
+    rows = durable(rows)  # read once for the columns and once a round for the quantiles
+    values = dict.fromkeys(c for c, _ in wanted.values())
+    long = dimensioned(rows.select(*dict.fromkeys([*keys, *dimensions, *values])), dimensions)
+    return with_quantiles(by_dimension(rows, dimensions, columns, keys), long, [*keys, "dimension", "value"], wanted)
+
+
 def ranking_columns() -> list[Column]:
     """Rates of the choice among the first, NLL, the worst sum of probabilities, and the choices that
     weren't the engine's first by themselves."""

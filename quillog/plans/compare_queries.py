@@ -62,7 +62,7 @@ _MACRO = ("exact_accuracy", "mean_gap", "mean_predicted_regret", "within_50")
 def qual_summary(spark, sf_dir):
     """Per method for all decisions and by five dimensions; the row of all also has means over players."""
     rows = c.compare_scores(quality(spark, sf_dir))
-    each = rounded(m.by_dimension(rows, list(_DIMENSIONS), c.quality_columns(), keys=["method"]))
+    each = rounded(c.quality_summary(rows, list(_DIMENSIONS), ["method"]))
     over = F.col("dimension") == "player"
     everyone = Window.partitionBy("method")  # over the few rows of the summary
     return each.select("*", *[F.when(F.col("dimension") == "all", F.round(F.avg(F.when(over, F.col(x))).over(everyone), 7)).alias(f"macro_{x}") for x in _MACRO])

@@ -104,20 +104,30 @@ def labelled(spark, sf_dir):
     return with_split(spark, sf_dir).withColumns({"rating_known": known, "engine_rank": F.col("engine_rank").cast("double"), "score_cp": F.col("score_cp").cast("double")})
 
 
-@query("ml_preprocess", TRAIN_SQL + """, m AS (SELECT median(CASE WHEN decision_id % 6 <> 0 THEN rating END) AS med FROM cs WHERE split = 'train'), w AS (SELECT piece, row_number() OVER (ORDER BY piece) - 1 AS i FROM (SELECT DISTINCT piece FROM cs WHERE split = 'train'))
-  SELECT split, count(*) AS n, count_if(decision_id % 6 = 0 OR rating IS NULL) AS filled, round(avg(CASE WHEN decision_id % 6 <> 0 THEN rating ELSE med END), 6) AS mean_rating, sum(i)::bigint AS piece_indexes FROM cs CROSS JOIN m JOIN w USING (piece) GROUP BY 1""")
+@query("ml_preprocess", TRAIN_SQL + """, kc AS (SELECT *, CASE WHEN decision_id % 6 <> 0 THEN rating END AS known, CASE WHEN split = 'test' AND decision_id % 13 = 0 THEN 'late' WHEN decision_id % 11 <> 0 THEN time_control END AS control, CASE WHEN split <> 'train' THEN score_cp END AS later FROM cs),
+  m AS (SELECT median(known) AS med FROM kc WHERE split = 'train'), w AS (SELECT control, row_number() OVER (ORDER BY control) - 1 AS i FROM (SELECT DISTINCT coalesce(control, '__MISSING__') AS control FROM kc WHERE split = 'train'))
+  SELECT split, count(*) AS n, count_if(known IS NULL) AS filled, round(avg(coalesce(known, med)), 6) AS mean_rating, round(avg(coalesce(later, 0)), 6) AS mean_later, count_if(kc.control IS NULL) AS missing, count_if(i IS NULL) AS unknown, sum(coalesce(i, (SELECT count(*) FROM w)))::bigint AS control_indexes
+  FROM kc CROSS JOIN m LEFT JOIN w ON w.control = coalesce(kc.control, '__MISSING__') GROUP BY 1""")
 def ml_preprocess(spark, sf_dir):
-    """All splits through the preprocessing fitted on the training split alone."""
-    rows = durable(labelled(spark, sf_dir))
-    ready = learn.preprocessing(NUMBERS, CATEGORIES).fit(rows.where("split = 'train'")).transform(rows)
-    return ready.groupBy("split").agg(
-        F.count("*").alias("n"), F.count_if(F.col("rating_known").isNull()).alias("filled"), F.round(F.avg("rating_known_filled"), 6).alias("mean_rating"), F.sum(F.col("piece_index").cast("bigint")).alias("piece_indexes")
+    """All splits through the preprocessing fitted on the training split alone.
+
+    Ratings lack values everywhere, ``later`` has none in training, ``control`` lacks values and has one
+    category that training doesn't know.
+    """
+    k, split = F.col("decision_id"), F.col("split")
+    control = F.when((split == "test") & (k % 13 == 0), "late").otherwise(F.when(k % 11 != 0, F.col("time_control")))
+    rows = durable(labelled(spark, sf_dir).withColumns({"control": control, "later": F.when(split != "train", F.col("score_cp"))}).select("split", "rating_known", "later", "control"))
+    fitted = learn.Preprocessor(["rating_known", "later"], ["control"]).fit(rows.where("split = 'train'"))
+    unknown = len(fitted.levels["control"])
+    return fitted.transform(rows).groupBy("split").agg(
+        F.count("*").alias("n"), F.count_if(F.col("rating_known").isNull()).alias("filled"), F.round(F.avg("rating_known_filled"), 6).alias("mean_rating"), F.round(F.avg("later_filled"), 6).alias("mean_later"),
+        F.count_if(F.col("control").isNull()).alias("missing"), F.count_if(F.col("control_index") == unknown).alias("unknown"), F.sum(F.col("control_index").cast("bigint")).alias("control_indexes"),
     )
 
 
 def _scored(spark, sf_dir, classifier, columns=(NUMBERS, CATEGORIES)):
     rows = learn.balanced(labelled(spark, sf_dir)).withColumn("is_validation", F.col("split") == "validation")
-    prep = learn.preprocessing(*columns).fit(rows.where("split = 'train'"))
+    prep = learn.Preprocessor(*columns).fit(rows.where("split = 'train'"))
     train = prep.transform(rows.where("split <> 'test'" if isinstance(classifier, learn.GBTClassifier) else "split = 'train'"))
     model = classifier.fit(train)
     from pyspark.ml.functions import vector_to_array

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from quillog.operators import metrics as m
 from quillog.operators import policy as pol
+from quillog.operators.order_stats import quantiles, with_quantiles
 from quillog.functions import scalars as s
 from quillog.session import durable, table
 from quillog.sources.bindings import ATTRIBUTES, CLOCK_SQL, FLAGS, LOG_SQL, candidates, clock_log
@@ -169,10 +170,10 @@ def agg_behavior_summary(spark, sf_dir):
     """Everything at once and by phase, piece moved and opening: counts, losses, ranks, time, material, chances and flags."""
     percent = lambda c: F.avg(c.cast("double")) * 100
     columns = [
-        F.count("*").alias("decisions"), F.avg("loss").alias("mean_loss"), F.median("loss").alias("median_loss"), *[percent(F.col("r") <= k).alias(f"top_{k}") for k in (1, 3, 5)],
+        F.count("*").alias("decisions"), F.avg("loss").alias("mean_loss"), *[percent(F.col("r") <= k).alias(f"top_{k}") for k in (1, 3, 5)],
         F.avg("days").alias("mean_days"), F.avg("material").alias("mean_material"), F.avg(s.win_chance(F.col("best") - 300)).alias("mean_chance"), *[percent(F.col(c)).alias(c) for c in ("capture", "check", "castle", "trade", "pressure")],
     ]
-    return rounded(m.by_dimension(moves_made(spark, sf_dir), list(_BEHAVIOR_SETS), columns))
+    return rounded(m.summary(moves_made(spark, sf_dir), list(_BEHAVIOR_SETS), columns, {"median_loss": ("loss", 0.5)}))
 
 
 COV_SQL = LOG_SQL + ", cv AS (SELECT player, k::int AS k, avg((engine_rank <= k)::int) AS coverage FROM (SELECT player, engine_rank FROM cand WHERE chosen) CROSS JOIN range(1, 21) t(k) GROUP BY ALL)"
@@ -196,15 +197,17 @@ PL_SQL = LOG_SQL + ", pl AS (SELECT player, median(rating)::double AS med, avg(r
 
 
 def players(spark, sf_dir):
-    own = candidates(spark, sf_dir).where("chosen").groupBy("player")
-    return own.agg(F.median("rating").alias("med"), F.avg("rating").alias("mean_rating"), *[F.avg((F.col("engine_rank") <= k).cast("double")).alias(f"top{k}") for k in (3, 5)], F.count("*").alias("n"))
+    own = durable(candidates(spark, sf_dir).where("chosen").select("player", "rating", "engine_rank"))
+    means = own.groupBy("player").agg(F.avg("rating").alias("mean_rating"), *[F.avg((F.col("engine_rank") <= k).cast("double")).alias(f"top{k}") for k in (3, 5)], F.count("*").alias("n"))
+    return with_quantiles(means, own, ["player"], {"med": ("rating", 0.5)})
 
 
 @query("agg_rating_bands", PL_SQL + "SELECT (floor(med / 500) * 500)::bigint AS band, count(*) AS players, round(avg(top3), 9) AS mean_top3, round(stddev_samp(top3), 9) AS sd_top3, round(max(top3) - min(top3), 9) AS range_top3, round(median(med), 6) AS median_rating, sum(n)::bigint AS decisions FROM pl GROUP BY 1")
 def agg_rating_bands(spark, sf_dir):
-    per = players(spark, sf_dir).groupBy((F.floor(F.col("med") / 500) * 500).cast("bigint").alias("band")).agg(
-        F.count("*").alias("players"), F.round(F.avg("top3"), 9).alias("mean_top3"), F.round(F.stddev_samp("top3"), 9).alias("sd_top3"), F.round(F.max("top3") - F.min("top3"), 9).alias("range_top3"), F.round(F.median("med"), 6).alias("median_rating"), F.sum("n").alias("decisions"))
-    return per
+    own = durable(players(spark, sf_dir).withColumn("band", (F.floor(F.col("med") / 500) * 500).cast("bigint")))
+    per = own.groupBy("band").agg(
+        F.count("*").alias("players"), F.round(F.avg("top3"), 9).alias("mean_top3"), F.round(F.stddev_samp("top3"), 9).alias("sd_top3"), F.round(F.max("top3") - F.min("top3"), 9).alias("range_top3"), F.sum("n").alias("decisions"))
+    return with_quantiles(per, own, ["band"], {"median_rating": ("med", 0.5)}).withColumn("median_rating", F.round("median_rating", 6))
 
 
 @query("agg_correlations", PL_SQL + """, r AS (SELECT med AS x, top3 AS y, rank() OVER (ORDER BY med) + (count(*) OVER (PARTITION BY med) - 1) / 2 AS rx, rank() OVER (ORDER BY top3) + (count(*) OVER (PARTITION BY top3) - 1) / 2 AS ry FROM pl)
@@ -226,8 +229,9 @@ def agg_distribution(spark, sf_dir):
 def agg_stratified_quality(spark, sf_dir):
     """Expected strata appear with zero decisions when nothing falls into them."""
     own = lambda c: F.max(F.when(F.col("chosen"), F.col(c)))
-    d = candidates(spark, sf_dir).groupBy("decision_id").agg(F.max("phase").alias("stratum"), F.greatest(F.max(F.when(F.col("engine_rank") == 1, F.col("score_cp"))) - own("score_cp"), F.lit(0)).alias("loss"), own("engine_rank").alias("r"))
-    per = d.groupBy("stratum").agg(F.count("*").alias("decisions"), F.round(F.avg((F.col("r") <= 5).cast("double")), 9).alias("top_5"), F.round(F.avg("loss"), 9).alias("mean_loss"), F.median("loss").alias("median_loss"))
+    d = durable(candidates(spark, sf_dir).groupBy("decision_id").agg(F.max("phase").alias("stratum"), F.greatest(F.max(F.when(F.col("engine_rank") == 1, F.col("score_cp"))) - own("score_cp"), F.lit(0)).alias("loss"), own("engine_rank").alias("r")))
+    per = d.groupBy("stratum").agg(F.count("*").alias("decisions"), F.round(F.avg((F.col("r") <= 5).cast("double")), 9).alias("top_5"), F.round(F.avg("loss"), 9).alias("mean_loss"))
+    per = with_quantiles(per, d, ["stratum"], {"median_loss": ("loss", 0.5)})
     expected = spark.createDataFrame([(x,) for x in "FOPX"], "stratum string")
     return F.broadcast(expected).join(per, "stratum", "left").withColumn("decisions", F.coalesce("decisions", F.lit(0)))
 
@@ -237,10 +241,11 @@ def agg_stratified_quality(spark, sf_dir):
 def agg_strength_profile(spark, sf_dir):
     x = F.col("loss")
     columns = [
-        F.count("*").alias("decisions"), F.round(F.avg("rating"), 6).alias("mean_rating"), F.round(F.median("rating"), 6).alias("median_rating"), F.avg("loss").alias("mean_loss"), F.median("loss").alias("median_loss"), F.avg((F.col("r") <= 5).cast("double")).alias("top_5"),
+        F.count("*").alias("decisions"), F.round(F.avg("rating"), 6).alias("mean_rating"), F.avg("loss").alias("mean_loss"), F.avg((F.col("r") <= 5).cast("double")).alias("top_5"),
         F.count_if(x < 50).alias("under_50"), F.count_if((x >= 50) & (x < 100)).alias("under_100"), F.count_if((x >= 100) & (x < 300)).alias("under_300"), F.count_if(x >= 300).alias("from_300"), F.count_if(x > 1000).alias("over_1000"),
     ]
-    return rounded(m.by_dimension(moves_made(spark, sf_dir), ["phase", "pressure"], columns, keys=["player"]))
+    out = m.summary(moves_made(spark, sf_dir), ["phase", "pressure"], columns, {"median_rating": ("rating", 0.5), "median_loss": ("loss", 0.5)}, keys=["player"])
+    return rounded(out.withColumn("median_rating", F.round("median_rating", 6)))
 
 
 _SHARES = {"openings": "opening", "pieces": "piece", "phases": "phase"}
@@ -283,8 +288,9 @@ def agg_player_context(spark, sf_dir):
     from quillog.sources.bindings import decisions
 
     other = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("decision_id"), F.floor(F.col("o_totalprice") / 100).alias("opponent"))
-    middle = lambda c: F.bround(F.median(c), 0).cast("bigint")
-    return decisions(spark, sf_dir).join(other, "decision_id").groupBy("player").agg(middle("rating").alias("own_rating"), middle("opponent").alias("opponent_rating"))
+    own = durable(decisions(spark, sf_dir).join(other, "decision_id").select("player", "rating", "opponent"))
+    middle = quantiles(own, ["player"], {"own_rating": ("rating", 0.5), "opponent_rating": ("opponent", 0.5)})
+    return middle.select("player", *[F.bround(c, 0).cast("bigint").alias(c) for c in ("own_rating", "opponent_rating")])
 
 
 # --- style -----------------------------------------------------------------------------------
