@@ -2,11 +2,12 @@
 
 The terms are found by iceberg prefix refinement. A document's terms are sorted as bytes, each with an
 end mark, and each term notes the longest prefix of the ladder 4, 8, 16, ... bytes that it shares with
-the term before it; so the rows that begin a prefix of some width in their document are those that note
-less. Level by level these rows are counted by language and prefix, and prefixes in fewer than
-``least`` documents go with all terms below them; terms whose end mark lies within a kept prefix are
-complete, the others are refined by the next width. No level counts a term whose prefix has gone, so the
-long tail of rare words never becomes a table of groups.
+the term before it; so those that begin a prefix of some width in their document are those that note
+less. A task adds up its documents by group, term and what it notes. Level by level the first terms are
+counted by language and prefix, and prefixes in fewer than ``least`` documents go with all terms below
+them; terms whose end mark lies within a kept prefix are complete, the others are refined by the next
+width. No level counts a term whose prefix has gone, so the long tail of rare words never becomes a
+table of groups.
 
 Rates are exact integers: a billionth part with a prior of five in each term. The differences of
 sources are summed in each task over its terms, by pair of sources, before a shuffle.
@@ -16,7 +17,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,6 @@ from quillog.session import discard, durable, written
 
 from .lookup import beside
 from .names import named
-from .piece_codec import slabs
 
 #: Of each byte what it is in a term: letters (A-Z as a-z) and all beyond ASCII themselves, else a space.
 FOLDED = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
@@ -49,34 +48,70 @@ def shared_width(a: bytes, b: bytes, first: int = FIRST) -> int:
     return 0 if width == first else width // 2
 
 
-def term_rows(docs: DataFrame, *, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", first: int = FIRST, slab: int = 2_000_000) -> DataFrame:
-    """(lang, source, term, n, shared): a row for each document and term, ``term`` in bytes with its end
-    mark, ``n`` its occurrences, ``shared`` the width of the prefix that an earlier term of the document has.
+class Held:
+    """Counts of a task's documents by group, shared width and term, until they are handed on.
+
+    A term's entry is its documents, times ``ONE``, plus its occurrences.
+    """
+
+    ONE = 1 << 40
+
+    def __init__(self, first: int):
+        self.first = first
+        self.clear()
+
+    def clear(self) -> None:
+        self.groups: dict[tuple[str, str], dict[int, dict[bytes, int]]] = {}
+        self.bytes = 0
+
+    def add(self, lang: str, source: str, text: str | None) -> None:
+        first, own = self.first, Counter(terms_of(text))
+        widths = self.groups.setdefault((lang, source), {0: {}})
+        fresh, before, taken = widths[0], b"", 0
+        for term in sorted(own):
+            count = own[term] + self.ONE
+            term += END
+            if term[:first] != before[:first]:
+                held = fresh
+            else:
+                held = widths.setdefault(shared_width(before, term, first), {})
+            known = held.get(term)
+            if known is None:
+                held[term] = count
+                taken += len(term) + 220
+            else:
+                held[term] = known + count
+            before = term
+        self.bytes += taken
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for (lang, source), widths in self.groups.items():
+            for width, held in widths.items():
+                packed = np.fromiter(held.values(), dtype=np.int64, count=len(held))
+                same = [pa.array([x], pa.string()).take(pa.array(np.zeros(len(held), dtype=np.int32))) for x in (lang, source)]
+                counts = [pa.array(packed // self.ONE), pa.array(packed % self.ONE), pa.array(np.full(len(held), width, dtype=np.int32))]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(list(held), pa.binary()), *counts], ["lang", "source", "term", "docs", "n", "shared"])
+        self.clear()
+
+
+def term_rows(docs: DataFrame, *, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", first: int = FIRST, held_bytes: int = 90_000_000, rows_at_once: int = 256) -> DataFrame:
+    """(lang, source, term, docs, n, shared): ``term`` in bytes with its end mark, ``n`` its occurrences in
+    ``docs`` documents of the group, in each of which an earlier term has its prefix of width ``shared``
+    and no wider one. A task combines its documents in about ``held_bytes`` of memory; a term may have several rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Held(first)
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for begin, end in slabs(texts, slab):
-                sizes, terms, counts, shared = [], [], [], []
-                for text in texts[begin:end]:
-                    own = Counter(terms_of(text))
-                    ordered = [t + END for t in sorted(own)]
-                    sizes.append(len(ordered))
-                    terms += ordered
-                    counts += [own[t[:-1]] for t in ordered]
-                    before = b""
-                    for t in ordered:
-                        shared.append(0 if t[:first] != before[:first] else shared_width(before, t, first))
-                        before = t
-                rows = pa.array(np.repeat(np.arange(begin, end), sizes))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(terms, pa.binary()), pa.array(counts, pa.int64()), pa.array(shared, pa.int32())],
-                    ["lang", "source", "term", "n", "shared"],
-                )
+            for begin in range(0, len(batch), rows_at_once):
+                for lang, source, text in zip(*(c.to_pylist() for c in batch.slice(begin, rows_at_once).columns), strict=True):
+                    held.add(lang, source, text)
+                    if held.bytes > held_bytes:
+                        yield from held.rows()
+        yield from held.rows()
 
     columns = [F.coalesce(named(c).cast("string"), F.lit("")).alias(name) for c, name in ((lang_col, "lang"), (source_col, "source"))]
-    return docs.select(*columns, named(text_col).cast("string").alias("text")).mapInArrow(run, "lang string, source string, term binary, n bigint, shared int")
+    return docs.select(*columns, named(text_col).cast("string").alias("text")).mapInArrow(run, "lang string, source string, term binary, docs bigint, n bigint, shared int")
 
 
 def among(rows: DataFrame, kept: DataFrame, key: Column, **options) -> DataFrame:
@@ -93,7 +128,7 @@ def frequent_terms(rows: DataFrame, least: int, *, first: int = FIRST, **options
     width, pending, complete = first, None, None
     while True:
         at = rows if pending is None else among(rows.where(F.octet_length("term") > width // 2), pending, F.substring("term", 1, width // 2), **options)
-        counted = at.where(F.col("shared") < width).groupBy("lang", F.substring("term", 1, width).alias("prefix")).agg(F.count("*").alias("docs"))
+        counted = at.where(F.col("shared") < width).groupBy("lang", F.substring("term", 1, width).alias("prefix")).agg(F.sum("docs").alias("docs"))
         level = durable(counted.where(F.col("docs") >= least).select("lang", "prefix", (F.substring("prefix", -1, 1) == F.lit(END)).alias("_whole")))
         done = level.where("_whole").select("lang", "prefix")
         complete = done if complete is None else complete.unionByName(done)
