@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from quillog.functions.scalars import win_percent
 from quillog.session import durable
@@ -114,28 +118,55 @@ POISSON = tuple(sum(math.exp(-1) / math.factorial(k) for k in range(n + 1)) for
 PER_HASH = 8
 
 
-def bootstrap(totals: DataFrame, unit: str, metrics: list[str], *, resamples: int = 2_000, seed: int = 42, max_units: int = 100_000) -> DataFrame:
-    """Estimate and percentile interval of each ratio sum(metric) / sum(rows) over resampled units.
+def multiplicities(unit: str, resamples: int, seed: int) -> np.ndarray:
+    """How often a unit is drawn in each replicate: Poisson(1) counts from SHA-256, eight to a digest."""
+    digests = b"".join([hashlib.sha256(f"{seed}:{block}:{unit}".encode()).digest() for block in range(-(-resamples // PER_HASH))])
+    uniform = np.frombuffer(digests, dtype=">u4")[:resamples] / 4294967296.0
+    return np.searchsorted(np.array(POISSON), uniform, side="right")
+
+
+def bootstrap(totals: DataFrame, unit: str, metrics: list[str], *, resamples: int = 2_000, seed: int = 42, block: int = 256) -> DataFrame:
+    """Estimate and percentile interval of each ratio sum(metric) / sum(_n) over resampled units.
 
     Instead of drawing units by number and joining them back, every unit gets its multiplicity in
-    each replicate: a Poisson(1) count by a hash of seed, replicate and unit, eight replicates to a
-    SHA-256. Draws are summed by replicate before the shuffle, so only ``resamples`` rows move. More
-    than ``max_units`` units are first merged by hash into that many, which resample as groups of
-    units do: the work of drawing is bounded and the interval keeps its width.
+    each replicate by a hash of seed, replicate and unit. A task adds ``resamples`` sums of each metric over
+    its units, ``block`` of them at a time, and hands on one row with these vectors; the rows are added
+    up in one task, so what is shuffled and held is a row for each task, however many units there are.
+    Nulls add nothing, a null unit is one like others (as an empty name); without units the estimates are null.
     """
-    point = totals.agg(F.count("*").alias("units"), *[(F.sum(m) / F.sum("_n")).alias(f"{m}_estimate") for m in metrics])
-    units = totals.select(F.col(unit).cast("string").alias("_unit"), "_n", *metrics)
-    if totals.count() > max_units:
-        merged = F.pmod(F.xxhash64(F.lit(seed), "_unit"), F.lit(max_units)).cast("string")
-        units = units.groupBy(merged.alias("_unit")).agg(F.sum("_n").alias("_n"), *[F.sum(m).alias(m) for m in metrics])
-    hashed = units.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(-(-resamples // PER_HASH) - 1)))).withColumn("_h", F.sha2(F.concat_ws(":", F.lit(seed), "_block", "_unit"), 256))
-    each = hashed.select("_n", *metrics, "_block", "_h", F.explode(F.sequence(F.lit(0), F.lit(PER_HASH - 1))).alias("_j"))
-    u = F.conv(F.substr("_h", F.col("_j") * 8 + 1, F.lit(8)), 16, 10).cast("bigint") / 4294967296.0
-    weight = sum(((u >= c).cast("int") for c in POISSON), F.lit(0))
-    drawn = each.select("_n", *metrics, (F.col("_block") * PER_HASH + F.col("_j")).alias("replicate"), weight.alias("_w")).where(f"_w > 0 AND replicate < {resamples}")
-    sums = drawn.groupBy("replicate").agg(F.sum(F.col("_w") * F.col("_n")).alias("_n"), *[F.sum(F.col("_w") * F.col(m)).alias(m) for m in metrics])
-    spread = sums.agg(*[f for m in metrics for f in (F.percentile(F.col(m) / F.col("_n"), 0.025).alias(f"{m}_low"), F.percentile(F.col(m) / F.col("_n"), 0.975).alias(f"{m}_high"))])
-    return point.crossJoin(spread)  # one row each
+    own = totals.select(F.coalesce(F.col(unit).cast("string"), F.lit("")), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"m{i}") for i, c in enumerate(["_n", *metrics])])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, points, units = np.zeros((len(metrics) + 1, resamples)), np.zeros(len(metrics) + 1), 0
+        for batch in batches:
+            names, values = batch.column(0).to_pylist(), np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]])
+            units += len(names)
+            points += values.sum(axis=1)
+            for k in range(0, len(names), block):
+                drawn = np.stack([multiplicities(name, resamples, seed) for name in names[k : k + block]])
+                sums += values[:, k : k + block] @ drawn
+        if units:
+            yield pa.RecordBatch.from_arrays([pa.array([units]), pa.array([points.tolist()], pa.list_(pa.float64())), pa.array([sums.ravel().tolist()], pa.list_(pa.float64()))], ["units", "points", "sums"])
+
+    def end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, points, units = np.zeros((len(metrics) + 1, resamples)), np.zeros(len(metrics) + 1), 0
+        for batch in batches:
+            for row in range(len(batch)):
+                units += batch.column(0)[row].as_py()
+                points += batch.column(1).slice(row, 1).flatten().to_numpy()
+                sums += batch.column(2).slice(row, 1).flatten().to_numpy().reshape(sums.shape)
+        ratios = sums[1:, sums[0] != 0] / sums[0, sums[0] != 0]
+        cells = [[units]]
+        for i in range(len(metrics)):
+            low, high = np.quantile(ratios[i], (0.025, 0.975)).tolist() if ratios.shape[1] else (None, None)
+            cells += [[points[i + 1] / points[0] if points[0] else None], [low], [high]]
+        yield pa.RecordBatch.from_arrays([pa.array([units]), *[pa.array(c, pa.float64()) for c in cells[1:]]], names)
+
+    names = ["units", *[f"{m}_{end}" for m in metrics for end in ("estimate", "low", "high")]]
+    parts = own.mapInArrow(add, "units bigint, points array<double>, sums array<double>")
+    schema = StructType([StructField("units", LongType()), *[StructField(n, DoubleType()) for n in names[1:]]])
+    done = parts.repartition(1).mapInArrow(end, schema)  # one row for each task of the step before
+    return done.select("units", *[f"`{m}_estimate`" for m in metrics], *[f"`{m}_{side}`" for m in metrics for side in ("low", "high")])
 
 
 def transitions(left: DataFrame, right: DataFrame, covered: str, correct: str, key: str = "decision_id") -> DataFrame:

@@ -3,12 +3,16 @@ aggregate that table, and breakdowns come from one pass of grouping sets."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillog.session import durable
 
+from .ordering import average_ranks
 from .order_stats import Wanted, dimensioned, with_quantiles
 from .policy import FLOOR
 
@@ -130,18 +134,15 @@ def smallest_k(coverage: DataFrame, thresholds: list[float], by: list[str] | Non
     return each.groupBy(*(by or []), "threshold").agg(F.coalesce(F.min(F.when(F.col("coverage") >= F.col("threshold"), F.col("k"))).cast("string"), F.lit("unresolved")).alias("k"))
 
 
-def average_rank(value: str, within: list[str] | None = None) -> Column:
-    """Ranks from 1, ties sharing their mean."""
-    w = Window.partitionBy(*(within or [F.lit(0)]))
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*(within or []), value)) - 1) / 2
-
-
 def correlations(players: DataFrame, x: str, y: str) -> DataFrame:
-    """Pearson and Spearman over one row per player; null with fewer than three or a constant."""
-    ranked = players.select(F.col(x).alias("_x"), F.col(y).alias("_y")).where("_x IS NOT NULL AND _y IS NOT NULL")
-    ranked = ranked.withColumns({"_rx": average_rank("_x"), "_ry": average_rank("_y")})
-    ok = (F.count("*") >= 3) & (F.stddev_pop("_x") > 0) & (F.stddev_pop("_y") > 0)
-    return ranked.agg(F.count("*").alias("n"), F.when(ok, F.corr("_x", "_y")).alias("pearson"), F.when(ok, F.corr("_rx", "_ry")).alias("spearman"))
+    """Pearson and Spearman over one row per player; null with fewer than three or a constant.
+
+    Ranks share the mean of ties and come from counts of a range partition, so no task has all players.
+    """
+    known = durable(players.select(F.col(x).alias("_x"), F.col(y).alias("_y")).where("_x IS NOT NULL AND _y IS NOT NULL"))
+    ranked = average_ranks(known, {"_x": "_rx", "_y": "_ry"})
+    own = lambda a, b: F.when(F.count("*") >= 3, F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0)))
+    return ranked.agg(F.count("*").alias("n"), own("_x", "_y").alias("pearson"), own("_rx", "_ry").alias("spearman"))
 
 
 def distribution(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
@@ -219,32 +220,77 @@ def style_reference(vectors: DataFrame, *, floor: float = 0.05, structure_floor:
     return scale, vectors.groupBy("player", "family", "field").agg(F.avg("value").alias("centre"))
 
 
-def style_identity(vectors: DataFrame, scale: DataFrame, centroids: DataFrame, unit: str, *, broadcast_players: int = 100_000) -> DataFrame:
-    """Distance of each unit to each player's centroid: the mean over families of the mean squared
-    standardised difference; ``place`` orders a unit's players by it, ties by name.
+def _spread(fields: list[tuple[str, str]], gap: Callable[[Column, int], Column], held: Column) -> Column:
+    """The mean over families of the mean over fields of ``gap``, without the fields for which it is null.
 
-    A unit's standardised values are one array, and so are a centroid's, in the order of the fields (a
-    few dozen, which the driver holds), so a comparison is one row. The centroids are counted first and
-    broadcast up to ``broadcast_players``. Fields that one side lacks don't count.
+    ``held`` is an array by field; ``gap`` gets its element and the field's number.
     """
-    fields = [(r["family"], r["field"]) for r in scale.select("family", "field").orderBy("family", "field").collect()]
-    if not fields:
-        return vectors.select(unit, F.col("player").alias("true_player"), "player", F.lit(0.0).alias("distance"), F.lit(1).alias("place")).limit(0)
-    scaled = lambda df, value: df.join(F.broadcast(scale), ["family", "field"]).withColumn("_z", F.col(value) / F.col("scale"))
-    cell = lambda family, field: F.max(F.when((F.col("family") == family) & (F.col("field") == field), F.col("_z")))
-    array = F.array(*[cell(*f) for f in fields])
-    units = scaled(vectors, "value").groupBy(unit, F.col("player").alias("true_player")).agg(array.alias("_u"))
-    players = durable(scaled(centroids, "centre").groupBy("player").agg(array.alias("_c")))
-    pairs = units.join(F.broadcast(players) if players.count() <= broadcast_players else players, F.lit(True))
-    gaps = F.zip_with("_u", "_c", lambda a, b: (a - b) * (a - b))
+    gaps = F.transform(held, lambda x, i: gap(x, i))
     total, known = F.lit(0.0), F.lit(0)
     for family in dict.fromkeys(f for f, _ in fields):
         at = [i for i, (f, _) in enumerate(fields) if f == family]
-        own = F.filter(F.slice("_g", at[0] + 1, len(at)), lambda x: x.isNotNull())
+        own = F.filter(F.slice(gaps, at[0] + 1, len(at)), lambda x: x.isNotNull())
         mean = F.aggregate(own, F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size(own), F.lit(0))
         total, known = total + F.coalesce(mean, F.lit(0.0)), known + mean.isNotNull().cast("int")
-    far = pairs.select(unit, "true_player", "player", gaps.alias("_g")).select(unit, "true_player", "player", F.round(total / F.nullif(known, F.lit(0)), 9).alias("distance"))
-    return far.withColumn("place", F.row_number().over(Window.partitionBy(unit).orderBy("distance", "player")))
+    return total / F.nullif(known, F.lit(0))
+
+
+def style_identity(vectors: DataFrame, scale: DataFrame, centroids: DataFrame, unit: str, *, most_groups: int = 2_048, broadcast_players: int = 100_000) -> DataFrame:
+    """(unit, true_player, distance, true_place, best, best_distance): how far each unit is from its own player's
+    centroid, the place of that player among all by distance (rounded to 9 digits, ties by name), and
+    the player that is nearest. The distance is the mean over families of the mean squared standardised
+    difference; fields that one side lacks don't count, and pairs without a common field have no place.
+
+    The search is exact without comparing every unit with every player. Centroids are put in groups
+    of those nearest to the same pivot (about the root of their number, drawn by hash) that have the same
+    fields; a group's least and greatest value of each field bound the distances of its members. Groups that
+    are nearer than the true player for certain are counted as wholes, those that are farther for certain
+    only matter where they may hold the nearest, and just the rest is compared one by one. The bounds of all
+    groups are one broadcast row, of ``most_groups`` pivots at most.
+    """
+    fields = [(r["family"], r["field"]) for r in scale.select("family", "field").orderBy("family", "field").collect()]
+    if not fields:
+        nothing = F.lit(None)
+        return vectors.select(unit, F.col("player").alias("true_player"), nothing.cast("double").alias("distance"), nothing.cast("bigint").alias("true_place"), nothing.cast("string").alias("best"), nothing.cast("double").alias("best_distance")).limit(0)
+    scaled = lambda df, value: df.join(F.broadcast(scale), ["family", "field"]).withColumn("_z", F.col(value) / F.col("scale"))
+    array = F.array(*[F.max(F.when((F.col("family") == family) & (F.col("field") == field), F.col("_z"))) for family, field in fields])
+    units = durable(scaled(vectors, "value").groupBy(unit, F.col("player").alias("true_player")).agg(array.alias("_u")))
+    players = durable(scaled(centroids, "centre").groupBy("player").agg(array.alias("_c")))
+    n_players = players.count()
+
+    pivots = players.orderBy(F.xxhash64("player"), "player").limit(min(most_groups, max(1, math.isqrt(n_players)))).select("_c")
+    pivots = pivots.agg(F.collect_list("_c").alias("_pivots"))
+    square = lambda other: lambda x, i: (x - F.get(other, i)) * (x - F.get(other, i))
+    near = F.array_min(F.transform("_pivots", lambda p, k: F.struct(F.coalesce(_spread(fields, square(p), F.col("_c")), F.lit(float("inf"))).alias("d"), k.alias("k"))))["k"]
+    pattern = F.array_join(F.transform("_c", lambda x: F.when(x.isNull(), "0").otherwise("1")), "")
+    parts = 16  # a bounded row is there once for each part of the rows that it meets, which makes the meeting a hash join
+    each = lambda df: F.broadcast(durable(df.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_part"))))
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+    placed = players.withColumn("_part", part("player")).join(each(pivots), "_part").select("player", "_c", F.concat_ws(":", near, pattern).alias("_group"))
+    placed = durable(placed)
+    ends = [F.array(*[f(F.get("_c", F.lit(i))) for i in range(len(fields))]).alias(name) for name, f in (("lo", F.min), ("hi", F.max))]
+    groups = placed.groupBy("_group").agg(F.count("*").alias("n"), *ends)
+    groups = groups.agg(F.collect_list(F.struct("_group", "n", "lo", "hi")).alias("_groups"))
+
+    distance = F.round(_spread(fields, square(F.col("_c")), F.col("_u")), 9)
+    own = units.join(placed.select(F.col("player").alias("true_player"), "_c"), "true_player", "left").withColumn("distance", distance).drop("_c").withColumn("_part", part(unit))
+    low = lambda g: lambda x, i: F.pow(F.greatest(F.get(g["lo"], i) - x, x - F.get(g["hi"], i), F.lit(0.0)), F.lit(2)) + x * 0 + F.get(g["lo"], i) * 0
+    high = lambda g: lambda x, i: F.pow(F.greatest(F.abs(F.get(g["lo"], i) - x), F.abs(F.get(g["hi"], i) - x)), F.lit(2)) + x * 0 + F.get(g["lo"], i) * 0
+    slack = 2e-9  # of the rounding
+    bounds = F.transform("_groups", lambda g: F.struct(g["_group"].alias("g"), g["n"].alias("n"), (_spread(fields, low(g), F.col("_u")) - slack).alias("low"), (_spread(fields, high(g), F.col("_u")) + slack).alias("high")))
+    bounded = own.join(each(groups), "_part").select(unit, "true_player", "_u", "distance", F.filter(bounds, lambda b: b["low"].isNotNull()).alias("_b"))
+    reach = F.array_min(F.transform("_b", lambda b: b["high"]))
+    nearer = F.aggregate(F.filter("_b", lambda b: b["high"] < F.col("distance")), F.lit(0).cast("bigint"), lambda s, b: s + b["n"])
+    open_for_rank = lambda b: F.coalesce((b["low"] <= F.col("distance")) & (b["high"] >= F.col("distance")), F.lit(False))
+    bounded = bounded.select(unit, "true_player", "_u", "distance", nearer.alias("_nearer"), F.explode_outer(F.transform(F.filter("_b", lambda b: (b["low"] <= reach) | open_for_rank(b)), lambda b: F.struct(b["g"].alias("_group"), open_for_rank(b).alias("_open")))).alias("_x")).select("*", "_x.*").drop("_x")
+    held = F.broadcast(placed) if n_players <= broadcast_players else placed
+    met = bounded.join(held, "_group", "left").withColumn("_d", distance)
+    before = F.col("_open") & ((F.col("_d") < F.col("distance")) | ((F.col("_d") == F.col("distance")) & (F.col("player") < F.col("true_player"))))
+    found = met.groupBy(unit, "true_player").agg(
+        F.first("distance").alias("distance"), F.first("_nearer").alias("_nearer"), F.count_if(before).alias("_before"), F.min(F.when(F.col("_d").isNotNull(), F.struct("_d", "player"))).alias("_best")
+    )
+    place = F.when(F.col("distance").isNotNull(), F.col("_nearer") + F.col("_before") + 1)
+    return found.select(unit, "true_player", "distance", place.alias("true_place"), F.col("_best.player").alias("best"), F.col("_best._d").alias("best_distance"))
 
 
 def style_distance(left: DataFrame, right: DataFrame, scale: DataFrame, keys: list[str]) -> DataFrame:

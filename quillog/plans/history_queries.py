@@ -9,6 +9,7 @@ from quillog.functions import scalars as s
 from quillog.operators import features
 from quillog.operators import history as h
 from quillog.operators import splits
+from quillog.operators.ordering import next_below, next_cyclic
 from quillog.session import durable, table
 from quillog.sources.bindings import CLOCK_SQL, FLAGS, LOG_SQL, candidates, clock_log, decisions
 
@@ -331,17 +332,12 @@ def join_donor_asof(spark, sf_dir):
     first = decisions(spark, sf_dir).groupBy("player").agg(F.min("played_at").alias("t"))
     day = lambda n: F.make_interval(days=n)
     spans = first.select("player", (F.col("t") + day(25 * number)).alias("cutoff"), (F.col("t") + day(24 * ((number * 7) % 25))).alias("last_at"))
-    donors = spans.select(F.col("player").alias("donor"), "last_at")
-    joined = spans.drop("last_at").join(donors, (F.col("donor") != F.col("player")) & (F.col("last_at") < F.col("cutoff")), "left")
-    order = F.struct(F.col("donor") <= F.col("player"), F.col("donor"))
-    return joined.groupBy("player").agg(F.min_by("donor", order).alias("donor"))
+    return next_below(spans, "player", "cutoff", "last_at", "donor")
 
 
 @query("join_next_cyclic", LOG_SQL + "SELECT player, coalesce(lead(player) OVER (ORDER BY player), first_value(player) OVER (ORDER BY player)) AS other FROM (SELECT DISTINCT player FROM dec)")
 def join_next_cyclic(spark, sf_dir):
-    """Players are a small table, so one ordered window over them is bounded."""
-    w = Window.partitionBy(F.lit(0)).orderBy("player")
-    return decisions(spark, sf_dir).select("player").distinct().select("player", F.coalesce(F.lead("player").over(w), F.first("player").over(w)).alias("other"))
+    return next_cyclic(decisions(spark, sf_dir), "player")
 
 
 @query("join_predictions_context", LOG_SQL + "SELECT c.decision_id, c.move, d.phase, d.time_control, n_name FROM cand c JOIN dec d USING (decision_id) JOIN nation ON n_nationkey = substr(d.player, 7)::int WHERE c.engine_rank = 1")

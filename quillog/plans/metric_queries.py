@@ -363,12 +363,12 @@ def identities(spark, sf_dir):
 
 @query("style_identity", ID_SQL + "SELECT unit, place AS true_place FROM pl WHERE player = true_player")
 def style_identity(spark, sf_dir):
-    return identities(spark, sf_dir).where("player = true_player").select("unit", F.col("place").alias("true_place"))
+    return identities(spark, sf_dir).select("unit", F.col("true_place").cast("int").alias("true_place"))
 
 
 @query("style_confusion", ID_SQL + "SELECT true_player AS actual, player AS predicted, count(*) AS n FROM pl WHERE place = 1 GROUP BY ALL")
 def style_confusion(spark, sf_dir):
-    return m.confusion(identities(spark, sf_dir).where("place = 1"), "true_player", "player")
+    return m.confusion(identities(spark, sf_dir), "true_player", "best")
 
 
 @query("style_distance", VEC_SQL + """, k AS (SELECT player, family, field, coalesce(a.value, 0) AS a, coalesce(b.value, 0) AS b FROM (SELECT * FROM vec WHERE block = 0) a FULL JOIN (SELECT * FROM vec WHERE block = 1) b USING (player, family, field)),

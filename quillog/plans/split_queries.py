@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from quillog.functions.scalars import hash_uniform  # noqa: F401
 from quillog.operators import splits
+from quillog.session import durable
 from quillog.sources.bindings import candidates, decisions
 
 from .check_queries import GAMES_SQL, games
@@ -118,10 +119,13 @@ def sel_capacity_audit(spark, sf_dir):
     wide = games(spark, sf_dir).groupBy("player").agg(*aggs)
     long = wide.select("player", F.explode(F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(i).alias("i"), F.col(f"g_{n}").alias("games"), F.col(f"d_{n}").alias("decisions")) for i, (n, _) in enumerate(CASES)])).alias("x"))
     long = long.select("player", "x.*", F.explode(F.array(*[F.lit(t) for t in (20, 40, 60)])).alias("threshold")).withColumn("ok", F.col("games") >= F.col("threshold"))
-    w = Window.partitionBy("scenario", "threshold").orderBy(~F.col("ok"), F.sha2("player", 256))
-    placed = long.withColumn("place", F.row_number().over(w))
-    role = lambda low, high, name: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("ok") & F.col("place").between(low, high), F.struct("place", "player")))), lambda x: x["player"]), ",").alias(name)
-    audit = placed.groupBy("scenario", "i", "threshold").agg(F.count_if("ok").alias("supported"), F.sum("decisions").alias("decisions"), (F.count_if("ok") >= 20).alias("meets"), role(1, 8, "development"), role(9, 16, "evaluation"))
+    long = durable(long)
+    w = Window.partitionBy("scenario", "threshold").orderBy(F.sha2("player", 256))
+    first = long.where("ok").withColumn("place", F.row_number().over(w)).where("place <= 16")  # each task keeps sixteen before the shuffle
+    role = lambda low, high, name: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("place").between(low, high), F.struct("place", "player")))), lambda x: x["player"]), ",").alias(name)
+    roles = first.groupBy("scenario", "threshold").agg(role(1, 8, "development"), role(9, 16, "evaluation"))
+    audit = long.groupBy("scenario", "i", "threshold").agg(F.count_if("ok").alias("supported"), F.sum("decisions").alias("decisions"), (F.count_if("ok") >= 20).alias("meets")).join(roles, ["scenario", "threshold"], "left")
+    audit = audit.withColumns({c: F.coalesce(c, F.lit("")) for c in ("development", "evaluation")})
     earliest = F.min(F.when(F.col("meets"), F.col("i"))).over(Window.partitionBy("threshold"))  # over the audit's few rows
     return audit.select("scenario", "threshold", "supported", "decisions", "meets", (F.col("meets") & (F.col("i") == earliest)).alias("first"), "development", "evaluation")
 
