@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillog.session import durable
+
+from .ordering import segmented
+
 ORDER = ("played_at", "game_id", "ply")
 BEFORE = (Window.unboundedPreceding, -1)
 
@@ -40,9 +44,11 @@ def contested(flag: str, decision: str = "decision_id") -> Column:
     return F.min(F.col(flag).cast("int")).over(w) != F.max(F.col(flag).cast("int")).over(w)
 
 
-def _running(rows: DataFrame, keys: list[str], order: tuple[str, ...], counts: dict[str, Column]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*BEFORE)
-    return rows.withColumns({name: F.coalesce(F.sum(c).over(w), F.lit(0)) for name, c in counts.items()})
+def _dealt(rows: DataFrame, player: str, columns: list[str]) -> DataFrame:
+    """``columns`` of ``rows``, written once and dealt by player and day, so that a player of most of the
+    rows is spread over as many tasks as there are days."""
+    own = durable(rows.select(*dict.fromkeys([player, *ORDER, *columns])).withColumn("_bucket", F.date_trunc("day", "played_at")))
+    return own.repartition(player, "_bucket")
 
 
 def one_hot(name: str, values: list[str], column: str) -> dict[str, Column]:
@@ -73,7 +79,7 @@ def tendencies(cand: DataFrame, *, pieces: list[str], wings: list[str], flags: t
     """
     chosen = cand.where("chosen")
     counts = {"h_total": F.lit(1).cast("bigint"), **one_hot("h_piece", pieces, "piece"), **one_hot("h_wing", wings, "wing"), **{f"h_{f}": F.col(f).cast("bigint") for f in flags}}
-    state = _running(chosen, [player], ORDER, counts).select("decision_id", *counts)
+    state = segmented(_dealt(chosen, player, ["decision_id", "piece", "wing", *flags]), [player], list(ORDER), counts).select("decision_id", *counts)
     joined = cand.join(state, "decision_id")
     total = F.col("h_total")
     return joined.withColumns(
@@ -103,7 +109,7 @@ def rank_history(
     decision's phase, pressure and opening, each backed off to the overall one (openings only from
     ``opening_min`` observations on); and of its piece and flags, from the overall counts.
 
-    The chosen rows are dealt by player once; all four running states are windows over that deal.
+    The chosen rows are dealt by player and day once; all four running states are scans over that deal.
     """
     values = list(range(1, ranks + 1))
     contexts = ("phase", "pressure", "opening")
@@ -111,10 +117,10 @@ def rank_history(
     hot = one_hot("r", values, "rank_seen")
     one = F.lit(1).cast("bigint")
     counts = {"n": one, **hot, **one_hot("pc", list(pieces), "piece"), **{f"f_{f}": F.col(f).cast("bigint") for f in flags}}
-    state = _running(chosen.repartition(per).select("decision_id", per, *ORDER, "rank_seen", "piece", *flags, *contexts), [per], ORDER, counts)
+    state = segmented(_dealt(chosen, per, ["decision_id", "rank_seen", "piece", *flags, *contexts]), [per], list(ORDER), counts)
     for name in contexts:
         own = {f"{name}_n": one, **{f"{name}_{k}": c for k, c in hot.items()}}
-        state = _running(state, [per, name], ORDER, own)
+        state = segmented(state, [per, name], list(ORDER), own)
     kept = [*counts, *[f"{name}_{k}" for name in contexts for k in ("n", *hot)]]
     rows = cand.withColumn("rank_seen", F.least("engine_rank", F.lit(ranks))).join(state.select("decision_id", *kept), "decision_id")
     overall = smoothed(pick("r", values, "rank_seen"), F.col("n"), 1 / ranks, strength)

@@ -7,6 +7,7 @@ tree of blocks, each an array of the least values below it, so that every step i
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
@@ -36,6 +37,26 @@ def running(rows: DataFrame, order: list[str | Column], size: str | Column, name
     return summed.withColumn(name, F.col("_before") + F.col("_within")).drop("_range", "_size", "_within", "_before")
 
 
+def segmented(rows: DataFrame, keys: list[str], order: list[str | Column], counts: dict[str, Column], *, bucket: str = "_bucket", inclusive: bool = False, descending: bool = False) -> DataFrame:
+    """``rows`` with running sums of ``counts`` over the earlier rows of their ``keys`` in ``order`` (this one too, if ``inclusive``).
+
+    A scan on two levels: sums by keys and bucket, whose running totals are the buckets' offsets, and
+    windows within a bucket, so a key with most of the rows is spread over as many tasks as it has buckets.
+    ``bucket`` is a column that rises with the order (falls, if ``descending``), such as the day. Rows
+    that are dealt by keys and bucket before aren't dealt again. Null keys are keys; null counts add nothing.
+    """
+    own = rows.withColumns({f"_c_{n}": F.coalesce(c, F.lit(0)) for n, c in counts.items()})
+    by = F.desc(bucket) if descending else F.asc(bucket)
+    parts = own.groupBy(*keys, bucket).agg(*[F.sum(f"_c_{n}").alias(f"_s_{n}") for n in counts])
+    earlier = Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
+    offsets = parts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, bucket])], *[F.coalesce(F.sum(f"_s_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in counts])
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate([*keys, bucket])]
+    within = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    local = own.withColumns({f"_c_{n}": F.coalesce(F.sum(f"_c_{n}").over(within), F.lit(0)) for n in counts})
+    met = local.join(offsets, reduce(lambda a, b: a & b, same), "left")
+    return met.withColumns({n: F.col(f"_o_{n}") + F.col(f"_c_{n}") for n in counts}).drop(*[f"_{x}_{n}" for x in "oc" for n in counts], *[f"_k{i}" for i in range(len(keys) + 1)])
+
+
 def positions(rows: DataFrame, order: list[str | Column], name: str = "position", **options) -> DataFrame:
     """``rows`` numbered from 0 in ``order``, which must tell them apart."""
     return running(rows, order, F.lit(1).cast("bigint"), name, **options).withColumn(name, F.col(name) - 1)

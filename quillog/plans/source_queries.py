@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quillog.operators import checks
-from quillog.session import table
+from quillog.session import shared_folder, table
 from quillog.sources import ingest
 from quillog.sources.bindings import LOG_SQL, decisions
 
@@ -153,15 +155,7 @@ def sink_sharded_by_player(spark, sf_dir):
 
 def _round_trip(spark, df, write, read=None):
     """Write below the shared checkpoint folder and read back."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="quillog-sink-")
-    path = f"{base}/sink-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/sink-{uuid.uuid4().hex}"
     write(df, path)
     return (read or spark.read.parquet)(path), path
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from quillog.operators.ordering import segmented
+from quillog.session import durable
 
 GAME_START = "\n\n[Event "
 # Speed words in the order in which they are looked for, and limits of base + 40 increments.
@@ -111,10 +113,11 @@ def read_snapshots(spark: SparkSession, pattern: str, name: str) -> DataFrame:
 
 def shards(dec: DataFrame, size: int = 512, player: str = "player", order: tuple[str, ...] = ("played_at", "game_id", "ply"), rows: str | None = None) -> DataFrame:
     """Player-pure shards of whole decisions, in order, of about ``size`` rows each: a decision goes to the
-    shard in which its first row falls. ``rows`` is a decision's number of rows (else one)."""
-    w = Window.partitionBy(player).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.col(rows) if rows else F.lit(1)).over(w), F.lit(0))
-    return dec.withColumn("shard", F.floor(before / size).cast("int"))
+    shard in which its first row falls. ``rows`` is a decision's number of rows (else one). The running
+    number is a scan by player and day, so that one player's decisions are spread over tasks."""
+    own = durable(dec.withColumn("_bucket", F.date_trunc("day", order[0]))).repartition(player, "_bucket")
+    before = {"_before": (F.col(rows) if rows else F.lit(1)).cast("bigint")}
+    return segmented(own, [player], list(order), before).withColumn("shard", F.floor(F.col("_before") / size).cast("int")).drop("_before", "_bucket")
 
 
 def write_shards(sharded: DataFrame, path: str, player: str = "player") -> None:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 64) -> DataFrame:
@@ -56,3 +58,86 @@ def player_profile(stream: DataFrame, *, player: str, at: str, row_id: str, flag
     return stream.groupBy(player).applyInPandasWithState(
         step, f"{player} {kinds[player]}, {row_id} {kinds[row_id]}, observations bigint, rate double", "seen bigint, hits bigint", "append", GroupStateTimeout.NoTimeout
     )
+
+
+class Tendencies(StatefulProcessor):
+    """Running choices of one player, in the order of event time whatever the order of arrival.
+
+    Rows wait in a map by event time. A timer for each time fires once the watermark has passed it; the
+    rows of that time are then put in order, encoded one after another by the counts before them, and
+    forgotten. Counts are a map by attribute and value.
+    """
+
+    def __init__(self, names: dict, values: dict[str, list[str]], flags: tuple[str, ...], order: tuple[str, ...], strength: float):
+        self.names, self.values, self.flags, self.order, self.strength = names, values, flags, order, strength
+        self.held = [names["row_id"], *order, *values, *flags]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "at bigint", "rows string")
+        self.counts = handle.getMapState("counts", "what string", "n bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        fresh: dict[int, list] = defaultdict(list)
+        for frame in rows:
+            at = frame[self.names["at"]].dt.floor("ms").astype("datetime64[ms]").astype("int64")
+            kept = frame.loc[at > passed, self.held].astype(object)
+            for ms, row in zip(at[at > passed].tolist(), kept.itertuples(index=False), strict=True):
+                fresh[ms].append([x.item() if hasattr(x, "item") else x for x in row])
+        for ms, more in fresh.items():
+            known = json.loads(self.waiting.getValue((ms,))[0]) if self.waiting.containsKey((ms,)) else []
+            if not known:
+                self.handle.registerTimer(ms)
+            self.waiting.updateValue((ms,), (json.dumps(known + more),))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        upto = expiredTimerInfo.getExpiryTimeInMs()
+        due = sorted(k[0] for k in self.waiting.keys() if k[0] <= upto)
+        if not due:
+            return
+        counts = defaultdict(int, {k[0]: v[0] for k, v in self.counts.iterator()})
+        changed, out = set(), []
+        for ms in due:
+            rows = [dict(zip(self.held, row, strict=True)) for row in json.loads(self.waiting.getValue((ms,))[0])]
+            self.waiting.removeKey((ms,))
+            for row in sorted(rows, key=lambda r: [r[c] for c in self.order]):
+                out.append(self._encoded(key, row, counts, changed))
+        for what in changed:
+            self.counts.updateValue((what,), (counts[what],))
+        yield pd.DataFrame(out)
+
+    def _encoded(self, key, row: dict, counts: dict[str, int], changed: set[str]) -> dict:
+        total, strength = counts["all"], self.strength
+        out = {self.names["player"]: key[0], self.names["row_id"]: row[self.names["row_id"]], "observations": total}
+        for name, values in self.values.items():
+            out[f"{name}_probability"] = (counts[f"{name}:{row[name]}"] + strength / len(values)) / (total + strength)
+        for flag in self.flags:
+            p = (counts[flag] + strength * 0.5) / (total + strength)
+            out[f"{flag}_match"] = p if row[flag] else 1 - p
+        for what in ["all", *(f"{name}:{row[name]}" for name in self.values), *(f for f in self.flags if row[f])]:
+            counts[what] += 1
+            changed.add(what)
+        return out
+
+    def close(self) -> None:
+        pass
+
+
+def player_tendencies(
+    stream: DataFrame, *, player: str, at: str, row_id: str, order: tuple[str, ...], values: dict[str, list[str]], flags: tuple[str, ...], delay: str, strength: float = 20.0
+) -> DataFrame:
+    """Each chosen row with its player's smoothed rates over strictly earlier choices: ``tendencies`` of the batch
+    engine in all columns, if rows come no later than ``delay``.
+
+    A row comes out when the watermark passes its time; rows of one time are ordered by ``order``. Rows
+    behind the watermark are dropped, and ``late_rows`` counts them. State needs the RocksDB store. What a
+    task holds is the rows of one player and time, and a player's counts.
+    """
+    stream = stream.withWatermark(at, delay).select(player, at, row_id, *[c for c in order if c not in (player, at, row_id)], *values, *[F.col(f).cast(BooleanType()).alias(f) for f in flags])
+    kinds = {f.name: f.dataType for f in stream.schema}
+    rates = [f"{v}_probability" for v in values] + [f"{f}_match" for f in flags]
+    out = StructType([StructField(player, kinds[player]), StructField(row_id, kinds[row_id]), StructField("observations", LongType()), *[StructField(r, DoubleType()) for r in rates]])
+    processor = Tendencies({"player": player, "at": at, "row_id": row_id}, values, flags, order, strength)
+    return stream.groupBy(player).transformWithStateInPandas(statefulProcessor=processor, outputStructType=out, outputMode="Append", timeMode="EventTime")

@@ -15,7 +15,7 @@ NAMES = [
     "src_pgn_headers", "src_movetext_plies", "eval_cp_loss", "fen_pawn_structure", "uci_move_flags", "chk_candidate_set", "split_chrono_70_15_15", "smp_greedy_pack", "smp_whole_game_prefix",
     "win_tendency_encoder", "win_opportunity_profile", "join_donor_asof", "prob_baseline_history", "prob_inverse_cdf", "rank_panel", "style_cells", "qual_summary", "gate_width_sequential", "ml_listwise_gradient", "st_player_profile",
     "src_game_files", "chk_join_consistency", "chk_complete_games", "chk_split_overlap", "win_history_encoder", "join_feature_table", "sel_sequential_acceptance", "rank_metrics_topk", "agg_style_profile", "style_vector", "traj_compare",
-    "boot_paired_masked", "st_incremental_ingest", "ml_preprocess",
+    "boot_paired_masked", "st_incremental_ingest", "ml_preprocess", "st_player_tendencies", "style_identity", "join_next_cyclic", "agg_strength_profile", "sink_sharded_by_player",
 ]
 
 
