@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -120,48 +125,153 @@ class NotConverged(ValueError):
     """A fit used up its iterations before all players met the tolerance."""
 
 
-def fit(features: DataFrame, *, penalty: float = 0.01, iterations: int = 150, tolerance: float | None = None, reach: float = 10.0) -> DataFrame:
-    """(player, idx, beta, gradient, objective) after accelerated full-batch steps for all players at once.
-
-    A player's first step is ``reach`` times one over a bound of the curvature (the largest squared
-    feature norm of the candidates, over 2, plus the penalty). Where the objective rises a player goes
-    back to the best point so far without momentum, and halves the step if that was the first from
-    such a point. With a ``tolerance`` the fit ends when no player's largest gradient is above it, and
-    ``NotConverged`` is raised if ``iterations`` steps don't get there. Only one number returns to the
-    driver. A step reads the coefficients several times, so each is written before the next.
+def chunks(features: DataFrame, size: int = 512) -> DataFrame:
+    """(player, d): about ``size`` decisions of a player in a row, each its candidates (chosen, base_logit, x), so that
+    a frequent player is many rows and a player's vectors meet a row, not each decision."""
+    own = by_decision(features)
+    counts = own.groupBy("player").agg(F.ceil(F.count("*") / size).alias("_parts"))
+    part = F.pmod(F.xxhash64("decision_id"), F.col("_parts"))
+    return own.join(counts, "player").groupBy("player", part.alias("_part")).agg(F.collect_list("c").alias("d")).select("player", "d")
+
+
+def _chunk_losses(decisions: pa.Array, places: np.ndarray, beta: np.ndarray, direction: np.ndarray, steps: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """(decisions with a choice, losses by step, gradients by step) of one chunk at ``beta + step * direction``, without the penalty."""
+    sizes = decisions.value_lengths().to_numpy(zero_copy_only=False)
+    cand = decisions.flatten()
+    chosen, base, x = (cand.field(k) for k in ("chosen", "base_logit", "x"))
+    chosen, base = chosen.to_numpy(zero_copy_only=False).astype(float), base.to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(cand)), x.value_lengths().to_numpy(zero_copy_only=False))
+    pairs = x.flatten()
+    at, val = np.searchsorted(places, pairs.field("idx").to_numpy(zero_copy_only=False)), pairs.field("val").to_numpy(zero_copy_only=False)
+    along = lambda v: np.bincount(row, val * v[at], minlength=len(cand))
+    first = np.cumsum(sizes) - sizes
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    here, there = base + along(beta), along(direction)
+    losses, gradients = np.zeros(len(steps)), np.zeros((len(steps), len(places)))
+    for k, step in enumerate(steps):
+        logit = here + step * there
+        logit = logit - np.maximum.reduceat(logit, first)[group]
+        e = np.exp(logit)
+        total = np.add.reduceat(e, first)
+        losses[k] = float((chosen * (np.log(total)[group] - logit)).sum())
+        pull = e / total[group] * np.add.reduceat(chosen, first)[group] - chosen
+        gradients[k] = np.bincount(at, val * pull[row], minlength=len(places))
+    return int(chosen.sum()), losses, gradients
+
+
+#: Step lengths that one pass tries; where none is short enough, the next pass goes on from the last.
+STEPS = (1.0, 0.5, 0.25, 0.0625)
+STATE = "player {player}, idx array<int>, beta array<double>, loss double, slope array<double>, direction array<double>, scale double, moves array<array<double>>, turns array<array<double>>, looks int, done boolean"
+
+
+def _direction(slope: np.ndarray, moves: list[np.ndarray], turns: list[np.ndarray]) -> np.ndarray:
+    """The quasi-Newton direction by the two-loop recursion over a player's last moves and turns of slope."""
+    q, kept = slope.copy(), []
+    for s, y in zip(reversed(moves), reversed(turns), strict=True):
+        r = 1.0 / float(s @ y)
+        a = r * float(s @ q)
+        q -= a * y
+        kept.append((s, y, r, a))
+    if moves:
+        q *= float(moves[-1] @ turns[-1]) / float(turns[-1] @ turns[-1])
+    for s, y, r, a in reversed(kept):
+        q += (a - r * float(y @ q)) * s
+    return -q
+
+
+def _moved(state: dict, n: int, losses: np.ndarray, gradients: np.ndarray, penalty: float, memory: int) -> dict:
+    """A player's state after one pass: the longest step with enough descent, or a shorter scale to try."""
+    beta, direction = np.array(state["beta"]), np.array(state["direction"])
+    slope, moves, turns = np.array(state["slope"]), [np.array(v) for v in state["moves"]], [np.array(v) for v in state["turns"]]
+    points = [beta + state["scale"] * step * direction for step in STEPS]
+    values = [losses[k] / n + penalty / 2 * float(p @ p) for k, p in enumerate(points)]
+    slopes = [gradients[k] / n + penalty * p for k, p in enumerate(points)]
+    out = state | {"looks": state["looks"] + 1}
+    descent = float(slope @ direction)
+    first = state["loss"] is None
+    fits = [k for k, v in enumerate(values) if first or v <= state["loss"] + 1e-4 * state["scale"] * STEPS[k] * descent + 1e-15 * abs(state["loss"])]
+    if not fits:
+        return out | {"scale": state["scale"] * STEPS[-1] / 4}
+    k = fits[0]
+    s, y = points[k] - beta, slopes[k] - slope
+    if not first and float(s @ y) > 1e-14 * float(y @ y):
+        moves, turns = [*moves, s][-memory:], [*turns, y][-memory:]
+    new = _direction(slopes[k], moves, turns)
+    if float(new @ slopes[k]) >= 0:  # not a descent: start the memory afresh
+        moves, turns, new = [], [], -slopes[k]
+    scale = 1.0 if moves else 1.0 / max(1.0, float(np.linalg.norm(slopes[k])))
+    lists = {"moves": [v.tolist() for v in moves], "turns": [v.tolist() for v in turns]}
+    return out | lists | {"beta": points[k].tolist(), "loss": float(values[k]), "slope": slopes[k].tolist(), "direction": new.tolist(), "scale": scale}
+
+
+def fit_state(features: DataFrame, *, penalty: float = 0.01, iterations: int = 150, tolerance: float | None = None, memory: int = 10, broadcast_players: int = 5_000) -> DataFrame:
+    """One row per player with coefficients, loss and slope by ``idx`` and the passes looked at, after L-BFGS for all players at once.
+
+    A pass evaluates loss and slope of every player's pending fit at several steps along its direction: each
+    task adds them up by player and hands on one row for each, and these meet the player's state, whose
+    memory of moves is kept in columns. With a ``tolerance`` a player is done when no slope exceeds it, and
+    ``NotConverged`` is raised if some player isn't after ``iterations`` passes. Only one number a pass returns to the driver. Decisions
+    without a choice count nothing; a player without any has zeros; an empty table gives an empty result.
     """
-    features = durable(by_decision(features))
-    norm = F.array_max(F.transform("c", lambda c: F.aggregate(c["x"], F.lit(0.0), lambda s, x: s + x["val"] * x["val"])))
-    steps = features.groupBy("player").agg((reach / (F.max(norm) / 2 + penalty)).alias("step"))
-    start = features.select("player", F.explode(F.flatten(F.transform("c", lambda c: c["x"]["idx"]))).alias("idx")).distinct()
-    zero = F.lit(0.0)
-    # beta: the point to look at; last: the step before it; good, best, slope: the best point so far, its
-    # objective and its gradient; age: looks since the player went back.
-    at = written(start.join(steps, "player").select(
-        "player", "idx", zero.alias("beta"), zero.alias("last"), "step", zero.alias("good"), F.lit(float("inf")).alias("best"), zero.alias("slope"), F.lit(0).alias("age")
-    ))
-    for _ in range(iterations):
-        g = gradient(features, at.select("player", "idx", "beta"), penalty).select("player", "idx", "gradient", "objective")
-        rises = F.col("objective") > F.col("best")
-        ratio = F.sqrt(F.least(F.lit(1.0), penalty * F.col("step")))
-        new = F.col("beta") - F.col("step") * F.col("gradient")
-        step = at.join(g, ["player", "idx"]).select(
-            "player", "idx",
-            F.when(rises, F.col("good")).otherwise(new + (1 - ratio) / (1 + ratio) * (new - F.col("last"))).alias("beta"),
-            F.when(rises, F.col("good")).otherwise(new).alias("last"),
-            F.when(rises & (F.col("age") <= 1), F.col("step") / 2).otherwise(F.col("step")).alias("step"),
-            F.when(rises, F.col("good")).otherwise(F.col("beta")).alias("good"),
-            F.least("best", "objective").alias("best"),
-            F.when(rises, F.col("slope")).otherwise(F.col("gradient")).alias("slope"),
-            F.when(rises, F.lit(0)).otherwise(F.col("age") + 1).alias("age"),
-        )
-        at = written(step, at)
-        if tolerance is not None and (at.agg(F.max(F.abs("slope"))).first()[0] or 0.0) <= tolerance:
+    rows = durable(chunks(features))
+    kind = dict(rows.dtypes)["player"]
+    schema = STATE.format(player=kind)
+    places = rows.select("player", F.explode(F.array_distinct(F.flatten(F.flatten(F.transform("d", lambda c: F.transform(c, lambda x: x["x"]["idx"])))))).alias("idx"))
+    start = places.groupBy("player").agg(F.sort_array(F.collect_set("idx")).alias("idx"))
+    zeros, none = F.transform("idx", lambda _: F.lit(0.0)), F.lit(None)
+    vectors = F.array().cast("array<array<double>>")
+    at = written(start.select("player", F.col("idx").cast("array<int>"), zeros.alias("beta"), none.cast("double").alias("loss"), zeros.alias("slope"), zeros.alias("direction"), F.lit(1.0).alias("scale"), vectors.alias("moves"), vectors.alias("turns"), F.lit(0).alias("looks"), F.lit(False).alias("done")))
+    players = at.count()
+
+    def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            for i, name in enumerate(names):
+                at_, beta, direction = (batch.column(k).slice(i, 1).flatten().to_numpy(zero_copy_only=False) for k in (2, 3, 4))
+                steps = batch.column(5)[i].as_py() * np.array(STEPS)
+                n, losses, gradients = _chunk_losses(batch.column(1).slice(i, 1).flatten(), at_, beta, direction, steps)
+                if name in sums:
+                    n, losses, gradients = n + sums[name][0], losses + sums[name][1], gradients + sums[name][2]
+                sums[name] = (n, losses, gradients)
+        if sums:
+            values = list(sums.values())
+            flat = lambda xs: pa.array([x.ravel().tolist() for x in xs], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v[0] for v in values], pa.int64()), flat([v[1] for v in values]), flat([v[2] for v in values])], ["player", "n", "losses", "gradients"])
+
+    def update(key: tuple, parts: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        own = state.iloc[0].to_dict()
+        own["loss"] = None if own["loss"] is None or np.isnan(own["loss"]) else own["loss"]
+        n = int(parts["n"].sum()) if len(parts) else 0
+        if n == 0:
+            moved = own | {"loss": 0.0, "done": True}
+        else:
+            losses, gradients = (np.sum(np.stack(parts[c].to_list()), axis=0) for c in ("losses", "gradients"))
+            moved = _moved(own, n, losses, gradients.reshape(len(STEPS), -1), penalty, memory)
+            moved["done"] = tolerance is not None and bool(np.abs(moved["slope"]).max(initial=0.0) <= tolerance)
+        return pd.DataFrame([moved])[list(state.columns)]
+
+    for _ in range(iterations + 1):
+        pending = at.where("NOT done")
+        vectors_of = pending.select("player", "idx", "beta", "direction", "scale")
+        met = rows.join(F.broadcast(vectors_of) if players <= broadcast_players else vectors_of, "player").select("player", "d", "idx", "beta", "direction", "scale")
+        parts = met.mapInArrow(evaluate, f"player {kind}, n bigint, losses array<double>, gradients array<double>")
+        new = parts.groupBy("player").cogroup(pending.groupBy("player")).applyInPandas(update, schema)
+        at = written(at.where("done").unionByName(new), at)
+        if tolerance is not None and at.where("NOT done").limit(1).count() == 0:
             break
     else:
         if tolerance is not None:
-            raise NotConverged(f"{iterations} steps left a gradient above {tolerance}")
-    return durable(gradient(features, at.select("player", "idx", F.col("good").alias("beta")), penalty))
+            raise NotConverged(f"{iterations} passes left a slope above {tolerance}")
+    return at
+
+
+def fit(features: DataFrame, *, penalty: float = 0.01, iterations: int = 150, tolerance: float | None = None, **options) -> DataFrame:
+    """(player, idx, beta, gradient, objective) at the end of ``fit_state``: mean NLL of a player's choices plus
+    half the penalty times the squared norm of the coefficients, at its least within the tolerance."""
+    ended = fit_state(features, penalty=penalty, iterations=iterations, tolerance=tolerance, **options)
+    cells = F.arrays_zip("idx", "beta", F.col("slope").alias("gradient"))
+    return ended.select("player", F.explode(cells).alias("x"), F.col("loss").alias("objective")).select("player", "x.idx", "x.beta", "x.gradient", "objective")
 
 
 def shared_mean(beta: DataFrame) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillog.session import durable
+
 FLOOR = 1e-15
 
 
@@ -52,20 +56,49 @@ def grid_losses(cand: DataFrame, score: str, grid: list[float]) -> DataFrame:
     return means.select(F.explode(F.array(*[F.struct(F.lit(t).alias("temperature"), F.col(f"l{i}").alias("nll")) for i, t in enumerate(grid)])).alias("x")).select("x.*")
 
 
-def fit_temperature(cand: DataFrame, score: str, *, low: float = 0.05, high: float = 20.0, points: int = 9, rounds: int = 3) -> tuple[float, float]:
-    """(temperature, NLL) that minimise NLL: a log grid, refined around its best point.
+#: -log of the probability floor: no decision loses more.
+MOST_LOSS = 34.538776394910684
+
+
+def temperature_slopes(decisions: DataFrame, log_t: float) -> tuple[float, float, float]:
+    """(mean NLL, its first and its second derivative in log T) over ``decisions`` (s, c): scores less their
+    greatest, and the chosen one. Decisions at the loss floor are flat. One pass without a shuffle of rows."""
+    beta = math.exp(-log_t)
+    e = F.transform("s", lambda x: F.exp(x * beta))
+    total = lambda f: F.aggregate(F.zip_with("e", "s", f), F.lit(0.0), lambda a, x: a + x)
+    own = decisions.select("s", "c", e.alias("e")).select("c", total(lambda e, s: e).alias("z"), total(lambda e, s: e * s).alias("m"), total(lambda e, s: e * s * s).alias("q"))
+    own = own.select((F.log("z") - F.col("c") * beta).alias("loss"), (F.col("m") / F.col("z") - F.col("c")).alias("d1"), (F.col("q") / F.col("z") - F.pow(F.col("m") / F.col("z"), F.lit(2))).alias("d2"))
+    free = F.col("loss") < MOST_LOSS
+    loss, d1, d2 = own.agg(F.avg(F.least("loss", F.lit(MOST_LOSS))), F.avg(F.when(free, F.col("d1")).otherwise(0.0)), F.avg(F.when(free, F.col("d2")).otherwise(0.0))).first()
+    return (0.0, 0.0, 0.0) if loss is None else (loss, -beta * d1, beta * d1 + beta * beta * d2)
 
-    Only the grid's losses, ``points`` numbers a round, come to the driver.
+
+def fit_temperature(cand: DataFrame, score: str, *, low: float = 0.05, high: float = 20.0, tolerance: float = 1e-9, passes: int = 60) -> tuple[float, float]:
+    """(temperature, NLL) that minimise NLL between two bounds: safeguarded Newton on log T.
+
+    Decisions become one row each, once; a pass aggregates loss, slope and curvature, and three numbers come
+    to the driver. A step that leaves the bracket of slopes, or meets no upward curvature, halves the bracket
+    instead. It ends when a step is within ``tolerance`` or at a bound towards which the loss falls. Decisions
+    without a choice don't count; without any the temperature is 1, or the bound next to it.
     """
-    best = (1.0, float("inf"))
-    for _ in range(rounds):
-        grid = temperature_grid(low, high, points)
-        losses = {r["temperature"]: r["nll"] for r in grid_losses(cand, score, grid).collect()}
-        t = min(losses, key=lambda t: (losses[t], t))
-        best = min(best, (t, losses[t]), key=lambda x: x[1])
-        i = grid.index(t)
-        low, high = grid[max(0, i - 1)], grid[min(points - 1, i + 1)]
-    return best
+    top = F.max(score).over(by_decision())
+    shifted = cand.select("decision_id", "chosen", (F.col(score) - top).alias("_s"))
+    decisions = durable(shifted.groupBy("decision_id").agg(F.collect_list("_s").alias("s"), F.max(F.when(F.col("chosen"), F.col("_s"))).alias("c")).where("c IS NOT NULL").select("s", "c"))
+    a, b = math.log(low), math.log(high)
+    at = min(b, max(a, 0.0))
+    for bound, falls in ((a, lambda d: d >= 0), (b, lambda d: d <= 0)):
+        loss, d1, d2 = temperature_slopes(decisions, bound)
+        if falls(d1) and (d1 or d2):
+            return math.exp(bound), loss
+    for _ in range(passes):
+        loss, d1, d2 = temperature_slopes(decisions, at)
+        a, b = (a, at) if d1 > 0 else (at, b)
+        step = at - d1 / d2 if d2 > 0 else math.inf
+        new = step if a < step < b else (a + b) / 2
+        if d1 == 0 or abs(new - at) <= tolerance:
+            return math.exp(at if d1 == 0 else new), loss
+        at = new
+    return math.exp(at), loss
 
 
 def uniform(decision: str = "decision_id") -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -59,21 +62,29 @@ def whole_game_prefix(games: DataFrame, cap: int, size: str, order: list[Column]
 def greedy_pack(games: DataFrame, limit: Column, *, groups: list[str], size: str, at: str = "played_at", game: str = "game_id") -> DataFrame:
     """Newest first: the first game always, later ones only if they still fit (others are skipped).
 
-    A fold over the games of one player and split; that list is bounded by a player's games.
+    Whether a game fits depends on all before it, so a group is walked in one task: rows are sorted by group
+    and time and streamed, with only the running total carried from row to row and batch to batch. Null
+    groups are groups, null sizes take no room, games without a time come last; ties by game, then size.
     """
-    item = F.struct(F.unix_micros(at).alias("t"), F.col(game).alias("g"), F.col(size).cast("bigint").alias("s"))
-    listed = games.groupBy(*groups).agg(F.reverse(F.array_sort(F.collect_list(item))).alias("_games"))
-    start = F.struct(F.lit(0).cast("bigint").alias("total"), F.array().cast("array<string>").alias("kept"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = (F.size(acc["kept"]) == 0) | (acc["total"] + x["s"] <= limit)
-        return F.struct(
-            F.when(fits, acc["total"] + x["s"]).otherwise(acc["total"]).alias("total"),
-            F.when(fits, F.concat(acc["kept"], F.array(x["g"]))).otherwise(acc["kept"]).alias("kept"),
-        )
-
-    packed = listed.withColumn("_p", F.aggregate("_games", start, step))
-    return packed.select(*groups, F.explode("_p.kept").alias(game))
+    rows = games.select(*groups, game, F.unix_micros(at).alias("_t"), F.coalesce(F.col(size).cast("bigint"), F.lit(0)).alias("_s"), limit.cast("bigint").alias("_limit"))
+    dealt = rows.repartition(*groups).sortWithinPartitions(*groups, F.desc("_t"), F.desc(game), F.desc("_s"))
+    width = len(groups)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, 0
+        for batch in batches:
+            keys = zip(*(batch.column(i).to_pylist() for i in range(width)), strict=True)
+            kept = []
+            for key, taken, most in zip(keys, batch.column(width + 2).to_pylist(), batch.column(width + 3).to_pylist(), strict=True):
+                fresh = key != now
+                if fresh:
+                    now, total = key, 0
+                fits = fresh or (most is not None and total + taken <= most)
+                total += taken if fits else 0
+                kept.append(fits)
+            yield batch.select(range(width + 1)).filter(pa.array(kept, pa.bool_()))
+
+    return dealt.mapInArrow(walk, games.select(*groups, game).schema)
 
 
 def top_n(rows: DataFrame, n: int, order: list[Column], *, per: str) -> DataFrame:

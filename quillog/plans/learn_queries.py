@@ -71,9 +71,9 @@ def ml_listwise_fit(spark, sf_dir):
     The objective is strictly convex, so a flat gradient marks the only fit; SQL has the same rows.
     """
     feats = durable(features(spark, sf_dir))
-    fitted = learn.fit(feats, tolerance=0.02)
+    fitted = learn.fit(feats, tolerance=1e-6)
     zero = learn.objective(feats, some_beta(feats).withColumn("beta", F.lit(0.0)), 0.01).select("player", F.col("objective").alias("_zero"))
-    return fitted.join(zero, "player").select("player", "idx", (F.abs("gradient") <= 0.02).alias("flat"), (F.col("objective") < F.col("_zero")).alias("lower"))
+    return fitted.join(zero, "player").select("player", "idx", (F.abs("gradient") <= 1e-6).alias("flat"), (F.col("objective") < F.col("_zero")).alias("lower"))
 
 
 @query("ml_shared_mean", BETA_SQL + "SELECT idx, round(sum(beta) / (SELECT count(DISTINCT player) FROM bt), 9) AS beta FROM bt GROUP BY 1")

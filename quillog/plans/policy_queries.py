@@ -60,12 +60,24 @@ def prob_temperature_grid(spark, sf_dir):
     return g.select(R9("temperature").alias("temperature"), F.round("nll", 7).alias("nll"))
 
 
-@query("prob_temperature_fit")
+def _bisected(steps: int = 44) -> str:
+    """SQL that halves a bracket of log T by the sign of the slope; CTEs t0, t1, ... of (lo, hi)."""
+    out = [", t0 AS (SELECT ln(0.05) AS lo, ln(20.0) AS hi)"]
+    slope = "avg(CASE WHEN z - c * exp(-m) < 34.538776394910684 THEN -exp(-m) * (ms - c) ELSE 0 END)"
+    for k in range(steps):
+        out.append(f""", p{k} AS MATERIALIZED (SELECT any_value(lo) AS lo, any_value(hi) AS hi, any_value(m) AS m, max(CASE WHEN chosen THEN s END) AS c, ln(sum(exp(s * exp(-m)))) AS z, sum(s * exp(s * exp(-m))) / sum(exp(s * exp(-m))) AS ms FROM v, (SELECT lo, hi, (lo + hi) / 2 AS m FROM t{k}) GROUP BY decision_id),
+  t{k + 1} AS MATERIALIZED (SELECT CASE WHEN {slope} > 0 THEN any_value(lo) ELSE any_value(m) END AS lo, CASE WHEN {slope} > 0 THEN any_value(m) ELSE any_value(hi) END AS hi FROM p{k})""")
+    return "".join(out)
+
+
+@query("prob_temperature_fit", TRAIN_SQL + f""", w AS (SELECT decision_id, chosen, quantity / 16 + base_logit AS raw FROM cs WHERE split = 'validation'), v AS MATERIALIZED (SELECT decision_id, chosen, raw - max(raw) OVER {D} AS s FROM w){_bisected()},
+  b AS (SELECT exp((lo + hi) / 2) AS t FROM t44), per AS (SELECT decision_id, ln(sum(exp(s / t))) - max(CASE WHEN chosen THEN s END) / any_value(t) AS loss FROM v, b GROUP BY 1)
+  SELECT (SELECT count(*) FROM per) AS decisions, round(t, 6) AS temperature, (SELECT round(avg(least(loss, 34.538776394910684)), 7) FROM per) AS nll FROM b""")
 def prob_temperature_fit(spark, sf_dir):
-    """The temperature found by refining the grid; its NLL is no worse than the grid's best."""
-    valid = with_split(spark, sf_dir).where("split = 'validation'")
-    t, nll = pol.fit_temperature(valid, "base_logit")
-    return valid.agg(F.count_distinct("decision_id").alias("decisions")).select("decisions", F.lit(t).alias("temperature"), F.lit(nll).alias("nll"))
+    """The temperature of a score whose optimum lies inside the bounds, to six digits; SQL halves a bracket instead."""
+    valid = with_split(spark, sf_dir).where("split = 'validation'").withColumn("score", F.col("quantity") / 16 + F.col("base_logit"))
+    t, nll = pol.fit_temperature(valid, "score")
+    return valid.agg(F.count_distinct("decision_id").alias("decisions")).select("decisions", F.round(F.lit(t), 6).alias("temperature"), F.round(F.lit(nll), 7).alias("nll"))
 
 
 @query("prob_baseline_rank1", LOG_SQL + "SELECT decision_id, engine_rank, (engine_rank = 1)::int::double AS p FROM cand")

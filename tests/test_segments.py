@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import datetime
 import random
+import time
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillog.operators import history, ordering
+from quillog.operators import history, ordering, splits
 from quillog.sources import ingest
 
 
@@ -77,3 +78,42 @@ def test_shards_of_skewed_players(skewed):
     for r in in_order(rows):
         assert have[r[0]] == seen[r[1]] // 100
         seen[r[1]] += 1
+
+
+def packed(games, limit):
+    """Greedy packing of (player, game, size, time) in plain Python."""
+    out, groups = set(), {}
+    for r in games:
+        groups.setdefault(r[0], []).append(r)
+    for player, own in groups.items():
+        total = None
+        for _, game, size, at in sorted(own, key=lambda r: (r[3], r[1]), reverse=True):
+            if total is None or total + size <= limit:
+                total = (total or 0) + size
+                out.add((player, game))
+    return out
+
+
+def test_packing_matches_a_plain_walk(spark):
+    draw = random.Random(9)
+    games = [(draw.choice(["a", "b", None, "c"]), f"g{i:04}", draw.randrange(1, 30), draw.randrange(50)) for i in range(800)]
+    df = spark.createDataFrame(games, "player string, game_id string, n long, t long").repartition(6).withColumn("played_at", F.timestamp_seconds("t"))
+    got = splits.greedy_pack(df, F.lit(200), groups=["player"], size="n")
+    assert {(r.player, r.game_id) for r in got.collect()} == packed(games, 200)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # the walk goes on over batches
+    assert {(r.player, r.game_id) for r in got.collect()} == packed(games, 200)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert splits.greedy_pack(df.limit(0), F.lit(5), groups=["player"], size="n").count() == 0
+
+
+def test_packing_a_hundred_thousand_games_of_one_player(spark):
+    games = spark.range(100_000).select(F.lit("p").alias("player"), F.col("id").alias("game_id"), (F.col("id") % 5 + 1).alias("n"), F.timestamp_seconds("id").alias("played_at"))
+    began = time.perf_counter()
+    got = splits.greedy_pack(games, F.lit(250_000), groups=["player"], size="n").agg(F.count("*"), F.min("game_id")).first()
+    assert time.perf_counter() - began < 20
+    want, total = [], 0
+    for i in reversed(range(100_000)):
+        if total + i % 5 + 1 <= 250_000:
+            total += i % 5 + 1
+            want.append(i)
+    assert tuple(got) == (len(want), min(want))
