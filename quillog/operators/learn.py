@@ -347,9 +347,9 @@ class Preprocessor:
         return ready.drop(*[f"{c}_category" for c in self.categories])
 
 
-def balanced(cand: DataFrame) -> DataFrame:
-    """Weights that give both labels the same total."""
-    counts = {r["chosen"]: r["count"] for r in cand.groupBy("chosen").count().collect()}
+def balanced(cand: DataFrame, train: DataFrame | None = None) -> DataFrame:
+    """Weights that give both labels the same total among the training rows (all rows, if not given)."""
+    counts = {r["chosen"]: r["count"] for r in (cand if train is None else train).groupBy("chosen").count().collect()}
     total = sum(counts.values())
     w = F.lit(1.0)
     for label, n in counts.items():

@@ -11,7 +11,7 @@ from quillog.operators import history as h
 from quillog.operators import splits
 from quillog.operators.ordering import next_below, next_cyclic
 from quillog.session import durable, table
-from quillog.sources.bindings import CLOCK_SQL, FLAGS, LOG_SQL, candidates, clock_log, decisions
+from quillog.sources.bindings import CLOCK_SQL, FLAGS, LOG_SQL, TENDENCIES, candidates, clock_log, decisions
 
 from .check_queries import games
 from .registry import query
@@ -64,15 +64,15 @@ def _match(flag: str, strength: int = 20, total: str = "n") -> str:
     return f'round(CASE WHEN c."{flag}" THEN {p} ELSE 1 - {p} END, 9) AS {flag}_match'
 
 
-_HOT = ", ".join(f"coalesce(sum((piece = '{v}')::int) OVER w, 0) AS pc_{i}" for i, v in enumerate(PIECES)) + ", " + ", ".join(f"coalesce(sum((wing = '{v}')::int) OVER w, 0) AS wg_{i}" for i, v in enumerate(WINGS)) + ", " + ", ".join(f'coalesce(sum("{f}"::int) OVER w, 0) AS h_{f}' for f in FLAGS)
+_HOT = ", ".join(f"coalesce(sum((piece = '{v}')::int) OVER w, 0) AS pc_{i}" for i, v in enumerate(PIECES)) + ", " + ", ".join(f"coalesce(sum((wing = '{v}')::int) OVER w, 0) AS wg_{i}" for i, v in enumerate(WINGS)) + ", " + ", ".join(f'coalesce(sum("{f}"::int) OVER w, 0) AS h_{f}' for f in TENDENCIES)
 
 
 @query("win_tendency_encoder", LOG_SQL + f""", st AS (SELECT decision_id, count(*) OVER w AS n, {_HOT} FROM cand WHERE chosen WINDOW w AS (PARTITION BY player {SEQ} {PRE}))
   SELECT c.decision_id, c.engine_rank, n AS observations, round(({_case('c.piece', PIECES, 'pc')} + 20.0 / 6) / (n + 20), 9) AS piece_probability,
-   round(({_case('c.wing', WINGS, 'wg')} + 20.0 / 3) / (n + 20), 9) AS wing_probability, {', '.join(_match(f) for f in FLAGS)} FROM cand c JOIN st USING (decision_id)""")
+   round(({_case('c.wing', WINGS, 'wg')} + 20.0 / 3) / (n + 20), 9) AS wing_probability, {', '.join(_match(f) for f in TENDENCIES)} FROM cand c JOIN st USING (decision_id)""")
 def win_tendency_encoder(spark, sf_dir):
-    t = h.tendencies(candidates(spark, sf_dir), pieces=PIECES, wings=WINGS, flags=FLAGS)
-    return t.select("decision_id", "engine_rank", "observations", *[F.round(c, 9).alias(c) for c in ("piece_probability", "wing_probability", *[f"{f}_match" for f in FLAGS])])
+    t = h.tendencies(candidates(spark, sf_dir), pieces=PIECES, wings=WINGS, flags=TENDENCIES)
+    return t.select("decision_id", "engine_rank", "observations", *[F.round(c, 9).alias(c) for c in ("piece_probability", "wing_probability", *[f"{f}_match" for f in TENDENCIES])])
 
 
 def _within(name: str) -> str:

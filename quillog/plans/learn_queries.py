@@ -7,23 +7,28 @@ from pyspark.sql import functions as F
 from quillog.operators import learn
 from quillog.operators import policy as pol
 from quillog.session import durable
-from quillog.sources.bindings import FLAGS, LOG_SQL, candidates
+from quillog.sources.bindings import LOG_SQL, RESIDUALS, candidates
 
 from .history_queries import PIECES, TRAIN_SQL, WINGS, with_split
 from .metric_queries import rounded
 from .registry import query
 
 PHASES = ["F", "O", "P"]
-N = len(FLAGS) + 1 + len(PIECES) + len(WINGS)
+#: The five clipped numbers beside the flags, in words that both engines read alike.
+SCALED = {
+    "behind": "least(1.0, engine_rank / 10.0)", "price": "least(1.0, base_logit / 5.0)", "material": "quantity / 50.0",
+    "gain": "greatest(-1.0, least(1.0, (score_cp - 500) / 500.0))", "depth": "least(1.0, ply / 40.0)",
+}
+N = len(RESIDUALS) + len(SCALED) + len(PIECES) + len(WINGS)
 
 
 def features(spark, sf_dir, split="train"):
     cs = with_split(spark, sf_dir).where(F.col("split") == split)
-    numeric = {"behind": F.least(F.lit(1.0), F.col("engine_rank") / 10)}
-    return learn.packed_features(cs, FLAGS, numeric, PHASES, {"piece": PIECES, "wing": WINGS})
+    numeric = {name: F.expr(text).cast("double") for name, text in SCALED.items()}
+    return learn.packed_features(cs, RESIDUALS, numeric, PHASES, {"piece": PIECES, "wing": WINGS})
 
 
-_BASE = [*[f'"{f}"::int::double' for f in FLAGS], "least(1.0, engine_rank / 10)", *[f"(piece = '{p}')::int::double" for p in PIECES], *[f"(wing = '{w}')::int::double" for w in WINGS]]
+_BASE = [*[f'"{f}"::int::double' for f in RESIDUALS], *[f"({text})::double" for text in SCALED.values()], *[f"(piece = '{p}')::int::double" for p in PIECES], *[f"(wing = '{w}')::int::double" for w in WINGS]]
 _LIST = ", ".join(_BASE)
 FEAT_SQL = TRAIN_SQL + f""", fv AS (SELECT player, decision_id, engine_rank, chosen, base_logit, [{_LIST}] AS v, CASE phase WHEN 'F' THEN 0 WHEN 'O' THEN 1 WHEN 'P' THEN 2 END AS ph, ('0x' || substr(sha256(position_key || '|' || move), 1, 8))::bigint % 128 AS hb FROM cs WHERE split = 'train'),
   ft AS (SELECT player, decision_id, engine_rank, chosen, base_logit, (i - 1)::int AS idx, v[i] AS val FROM fv, range(1, {N + 1}) t(i) WHERE v[i] <> 0
@@ -58,10 +63,10 @@ def ml_listwise_objective(spark, sf_dir):
     return rounded(learn.objective(feats, some_beta(feats), 0.01))
 
 
-@query("ml_listwise_gradient", BETA_SQL + ", n AS (SELECT player, count(DISTINCT decision_id) AS n FROM ft GROUP BY 1) SELECT f.player, f.idx, round(sum((p - f.chosen::int) * val) / max(n) + 0.01 * max(beta), 9) AS gradient FROM ft f JOIN ps USING (player, decision_id, engine_rank) JOIN n USING (player) JOIN bt USING (player, idx) GROUP BY ALL")
+@query("ml_listwise_gradient", BETA_SQL + ", n AS (SELECT player, count(DISTINCT decision_id) AS n FROM ft GROUP BY 1) , gr AS (SELECT f.player, f.idx, sum((p - f.chosen::int) * val) / max(n) + 0.01 * max(beta) AS g FROM ft f JOIN ps USING (player, decision_id, engine_rank) JOIN n USING (player) JOIN bt USING (player, idx) GROUP BY ALL) SELECT player, idx, CASE WHEN abs(g) < 5e-10 THEN 0.0 ELSE round(g, 9) END AS gradient FROM gr")
 def ml_listwise_gradient(spark, sf_dir):
     feats = durable(features(spark, sf_dir))
-    return learn.gradient(feats, some_beta(feats), 0.01).select("player", "idx", F.round("gradient", 9).alias("gradient"))
+    return learn.gradient(feats, some_beta(feats), 0.01).select("player", "idx", F.when(F.abs("gradient") < 5e-10, 0.0).otherwise(F.round("gradient", 9)).alias("gradient"))
 
 
 @query("ml_listwise_fit", FEAT_SQL + """, few AS (SELECT DISTINCT player, idx FROM ft) SELECT player, idx, true AS flat, true AS lower FROM few""")
@@ -126,7 +131,8 @@ def ml_preprocess(spark, sf_dir):
 
 
 def _scored(spark, sf_dir, classifier, columns=(NUMBERS, CATEGORIES)):
-    rows = learn.balanced(labelled(spark, sf_dir)).withColumn("is_validation", F.col("split") == "validation")
+    rows = durable(labelled(spark, sf_dir).withColumn("is_validation", F.col("split") == "validation"))
+    rows = learn.balanced(rows, rows.where("split = 'train'"))
     prep = learn.Preprocessor(*columns).fit(rows.where("split = 'train'"))
     train = prep.transform(rows.where("split <> 'test'" if isinstance(classifier, learn.GBTClassifier) else "split = 'train'"))
     model = classifier.fit(train)
@@ -142,13 +148,13 @@ def _report(test):
 
 @query("ml_binary_forest")
 def ml_binary_forest(spark, sf_dir):
-    """A forest of 40 trees (160 is the operator's default) whose scores are normalised by decision."""
-    return _report(_scored(spark, sf_dir, learn.forest(trees=40, depth=6))[2])
+    """A forest of 160 trees of depth 10 whose scores are normalised by decision."""
+    return _report(_scored(spark, sf_dir, learn.forest())[2])
 
 
 @query("ml_binary_boosted")
 def ml_binary_boosted(spark, sf_dir):
-    return _report(_scored(spark, sf_dir, learn.boosted(rounds=10))[2])
+    return _report(_scored(spark, sf_dir, learn.boosted())[2])
 
 
 @query("ml_feature_ablation")
@@ -156,12 +162,12 @@ def ml_feature_ablation(spark, sf_dir):
     """The same trainer on nested feature sets."""
     out = None
     for name, columns in (("rank", (["engine_rank"], ["wing"])), ("rank_piece", (["engine_rank"], ["piece", "wing"])), ("all", (NUMBERS, CATEGORIES))):
-        row = _report(_scored(spark, sf_dir, learn.forest(trees=10, depth=5), columns)[2]).withColumn("features", F.lit(name))
+        row = _report(_scored(spark, sf_dir, learn.forest(), columns)[2]).withColumn("features", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return out
 
 
 @query("ml_importance")
 def ml_importance(spark, sf_dir):
-    model, train, _ = _scored(spark, sf_dir, learn.forest(trees=20, depth=5))
+    model, train, _ = _scored(spark, sf_dir, learn.forest())
     return learn.importance(model, train)

@@ -10,7 +10,7 @@ from quillog.operators import policy as pol
 from quillog.operators.order_stats import quantiles, with_quantiles
 from quillog.functions import scalars as s
 from quillog.session import durable, table
-from quillog.sources.bindings import ATTRIBUTES, CLOCK_SQL, FLAGS, LOG_SQL, candidates, clock_log
+from quillog.sources.bindings import ATTRIBUTES, BEHAVIORS, CLOCK_SQL, FLAGS, LOG_SQL, candidates, clock_log
 
 from .history_queries import TRAIN_SQL, with_split
 from .policy_queries import TEST_SQL, frequencies
@@ -21,18 +21,19 @@ FLAG_LIST = ", ".join(f'"{f}"' for f in FLAGS)
 POLICY_SQL = TRAIN_SQL + f""", sm AS (SELECT *, exp(base_logit) / sum(exp(base_logit)) OVER {D} AS raw FROM cs WHERE split = 'test'), pl AS (SELECT *, round(raw, 12) AS p FROM sm)"""
 
 
-def prediction_sql(order: str = "move") -> str:
+def prediction_sql(order: str = "move", flags: tuple[str, ...] = FLAGS) -> str:
     own = lambda c: f'max("{c}") FILTER (chosen)'
     top = lambda c: f'max("{c}") FILTER (i = 1)'
-    same = " + ".join(f"({own(f)} = {top(f)})::int" for f in FLAGS)
+    same = " + ".join(f"({own(f)} = {top(f)})::int" for f in flags)
     return f""", rk AS (SELECT *, row_number() OVER (PARTITION BY decision_id ORDER BY p DESC, {order}) AS i FROM pl),
   pd AS (SELECT decision_id, max(player) AS player, max(game_id) AS game_id, max(phase) AS phase, max(time_control) AS time_control, {own('move')} AS actual_move, {top('move')} AS predicted_move, ({own('i')})::int AS actual_rank, count(*) AS candidates,
-    {own('p')} AS actual_p, {top('p')} AS top_p, sum((p - chosen::int) ** 2) AS brier, {own('piece')} = {top('piece')} AS piece_match, {own('wing')} = {top('wing')} AS wing_match, ({same}) / {len(FLAGS)} AS similarity,
-    {', '.join(f'{own(f)} AS actual_{f}, {top(f)} AS predicted_{f}' for f in FLAGS)} FROM rk GROUP BY 1),
+    {own('p')} AS actual_p, {top('p')} AS top_p, sum((p - chosen::int) ** 2) AS brier, {own('piece')} = {top('piece')} AS piece_match, {own('wing')} = {top('wing')} AS wing_match, ({same}) / {len(flags)} AS similarity,
+    {', '.join(f'{own(f)} AS actual_{f}, {top(f)} AS predicted_{f}' for f in flags)} FROM rk GROUP BY 1),
   pred AS (SELECT *, actual_rank = 1 AS exact, actual_rank <= 3 AS top_3, actual_rank <= 5 AS top_5, CASE WHEN candidates = 1 THEN 1.0 ELSE 1 - (actual_rank - 1) / (candidates - 1) END AS rank_score, -ln(greatest(actual_p, 1e-15)) AS nll FROM pd)"""
 
 
 PRED_SQL = POLICY_SQL + prediction_sql()
+WIDE_SQL = POLICY_SQL + prediction_sql(flags=BEHAVIORS)
 _AVG = ", ".join(f"round(avg({c}::double), 9) AS {c}" for c in m.MEANS)
 PANEL_SQL = f"count(*) AS decisions, {_AVG}, round(avg(1.0 / actual_rank), 9) AS mrr, round(avg(actual_rank), 9) AS mean_rank, median(actual_rank) AS median_rank"
 
@@ -42,17 +43,17 @@ def test_policy(spark, sf_dir):
     return with_split(spark, sf_dir).where("split = 'test'").withColumn("p", F.round(pol.softmax(F.col("base_logit")), 12))
 
 
-def test_predictions(spark, sf_dir):
-    return m.predictions(test_policy(spark, sf_dir), "p", FLAGS)
+def test_predictions(spark, sf_dir, flags=FLAGS):
+    return m.predictions(test_policy(spark, sf_dir), "p", flags)
 
 
 def rounded(df, keep=("decisions", "dimension", "value", "player", "players", "median_rank"), digits=9):
     return df.select(*[F.col(c) if c in keep or dict(df.dtypes)[c] != "double" else F.round(c, digits).alias(c) for c in df.columns])
 
 
-@query("rank_metrics_policy", PRED_SQL + f"SELECT {PANEL_SQL} FROM pred")
+@query("rank_metrics_policy", WIDE_SQL + f"SELECT {PANEL_SQL} FROM pred")
 def rank_metrics_policy(spark, sf_dir):
-    return rounded(test_predictions(spark, sf_dir).agg(*m.panel_columns()))
+    return rounded(test_predictions(spark, sf_dir, BEHAVIORS).agg(*m.panel_columns()))
 
 
 @query("rank_predictions", PRED_SQL + "SELECT decision_id, actual_move, predicted_move, actual_rank, round(nll, 9) AS nll, round(brier, 9) AS brier, round(rank_score, 9) AS rank_score, similarity FROM pred")
@@ -127,9 +128,9 @@ def slice_temporal(spark, sf_dir):
     return rounded(per.where("decisions >= 100"))
 
 
-@query("agg_rate_errors", PRED_SQL + "SELECT " + ", ".join(f"round(abs(avg(predicted_{f}::int) - avg(actual_{f}::int)), 9) AS {f}" for f in FLAGS) + " FROM pred")
+@query("agg_rate_errors", WIDE_SQL + "SELECT " + ", ".join(f"round(abs(avg(predicted_{f}::int) - avg(actual_{f}::int)), 9) AS {f}" for f in BEHAVIORS) + " FROM pred")
 def agg_rate_errors(spark, sf_dir):
-    return rounded(m.rate_errors(test_predictions(spark, sf_dir), FLAGS))
+    return rounded(m.rate_errors(test_predictions(spark, sf_dir, BEHAVIORS), BEHAVIORS))
 
 
 @query("flagship_policy_panel", TEST_SQL.replace("p FROM te)", "raw FROM te), pl AS (SELECT *, round(raw, 12) AS p FROM rf)") + prediction_sql() + f"SELECT player, {PANEL_SQL} FROM pred GROUP BY 1")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from quillog.session import shared_folder, table
-from quillog.sources.bindings import FLAGS, LOG_SQL, candidates
+from quillog.sources.bindings import TENDENCIES, LOG_SQL, candidates
 from quillog.streaming import streams
 
 from .history_queries import _HOT, PIECES, PRE, SEQ, WINGS, _case, _match
@@ -78,13 +78,13 @@ _ARRIVED = "(decision_id % 97 <> 0 OR played_at >= (SELECT min(played_at) + INTE
 
 
 @query("st_player_tendencies", LOG_SQL + f""", st AS (SELECT decision_id, count(*) OVER w AS n, {_HOT} FROM cand WHERE chosen AND {_ARRIVED} WINDOW w AS (PARTITION BY player {SEQ} {PRE}))
-  SELECT c.decision_id, n AS observations, round(({_case('c.piece', PIECES, 'pc')} + 20.0 / 6) / (n + 20), 9) AS piece_probability, round(({_case('c.wing', WINGS, 'wg')} + 20.0 / 3) / (n + 20), 9) AS wing_probability, {', '.join(_match(f) for f in FLAGS)},
+  SELECT c.decision_id, n AS observations, round(({_case('c.piece', PIECES, 'pc')} + 20.0 / 6) / (n + 20), 9) AS piece_probability, round(({_case('c.wing', WINGS, 'wg')} + 20.0 / 3) / (n + 20), 9) AS wing_probability, {', '.join(_match(f) for f in TENDENCIES)},
    (SELECT count(*) FROM dec WHERE NOT {_ARRIVED}) AS late FROM cand c JOIN st USING (decision_id) WHERE chosen AND played_at < (SELECT max(played_at) - INTERVAL 100 DAY FROM dec)""")
 def st_player_tendencies(spark, sf_dir):
     """The log's choices arrive in six files, shuffled within three months; some of the first months come with
     the last file and are late. What the watermark has passed equals the batch encoder in all columns."""
     folder = _folder(spark)
-    chosen = candidates(spark, sf_dir).where("chosen").select("decision_id", "player", "played_at", "game_id", "ply", "piece", "wing", *FLAGS)
+    chosen = candidates(spark, sf_dir).where("chosen").select("decision_id", "player", "played_at", "game_id", "ply", "piece", "wing", *TENDENCIES)
     first, last = chosen.agg(F.min("played_at"), F.max("played_at")).first()
     month = F.floor(F.months_between("played_at", F.lit(first))).cast("int")
     span = (last.year - first.year) * 12 + last.month - first.month + 3
@@ -98,7 +98,7 @@ def st_player_tendencies(spark, sf_dir):
         for k in range(6):
             parts.where(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(f"{folder}/in")
             stream = streams.file_stream(spark, f"{folder}/in", chosen.schema)
-            rows = streams.player_tendencies(stream, player="player", at="played_at", row_id="decision_id", order=("game_id", "ply"), values={"piece": PIECES, "wing": WINGS}, flags=FLAGS, delay="100 days")
+            rows = streams.player_tendencies(stream, player="player", at="played_at", row_id="decision_id", order=("game_id", "ply"), values={"piece": PIECES, "wing": WINGS}, flags=TENDENCIES, delay="100 days")
             run = rows.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
             run.awaitTermination()
             dropped += streams.late_rows(run)
@@ -108,4 +108,4 @@ def st_player_tendencies(spark, sf_dir):
         else:
             spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     back = spark.read.schema(rows.schema).parquet(f"{folder}/rows")
-    return back.select("decision_id", "observations", *[F.round(c, 9).alias(c) for c in ("piece_probability", "wing_probability", *[f"{f}_match" for f in FLAGS])], F.lit(dropped).cast("bigint").alias("late"))
+    return back.select("decision_id", "observations", *[F.round(c, 9).alias(c) for c in ("piece_probability", "wing_probability", *[f"{f}_match" for f in TENDENCIES])], F.lit(dropped).cast("bigint").alias("late"))

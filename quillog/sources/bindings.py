@@ -15,7 +15,15 @@ from pyspark.sql.window import Window
 from quillog.session import table
 
 FLAGS = ("capture", "check", "trade", "castle")
-ATTRIBUTES = (*FLAGS, "piece", "wing")
+TENDENCIES = (*FLAGS, "pawn_push", "king_zone")
+BEHAVIORS = (*TENDENCIES, "promotion", "development", "hanging")
+RESIDUALS = (*BEHAVIORS, "toward", "queen_move", "enters_half")
+ATTRIBUTES = (*BEHAVIORS, "piece", "wing")
+#: What makes the flags beyond the first four, in words that both engines read alike.
+MORE_FLAGS = {
+    "pawn_push": "l_discount < 0.02", "king_zone": "l_tax >= 0.06", "promotion": "l_quantity >= 45", "development": "l_linenumber <= 2",
+    "hanging": "l_partkey % 5 = 0", "toward": "l_suppkey % 3 = 0", "queen_move": "l_extendedprice >= 60000", "enters_half": "l_quantity % 2 = 0",
+}
 RANK_ORDER = "l_extendedprice DESC, l_quantity DESC, l_partkey, l_suppkey, l_linenumber, l_discount, l_tax, l_shipdate"
 
 
@@ -67,6 +75,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_linestatus") == "O").alias("check"),
         (F.col("l_discount") >= 0.05).alias("trade"),
         (F.col("l_tax") >= 0.04).alias("castle"),
+        *[F.expr(text).alias(name) for name, text in MORE_FLAGS.items()],
         (F.col("l_shipdate").cast("timestamp") < F.col("moved_at") + F.expr("INTERVAL 60 DAYS")).alias("pressure"),
         F.round(F.col("l_extendedprice") / 100).cast("bigint").alias("score_cp"),
         (F.col("l_extendedprice") / 20000).alias("base_logit"),
@@ -94,6 +103,7 @@ cand AS (
          'p' || l_partkey || 'r' || engine_rank AS move, l_returnflag || l_linestatus AS piece,
          CASE WHEN l_quantity <= 17 THEN 'queenside' WHEN l_quantity <= 34 THEN 'center' ELSE 'kingside' END AS wing,
          l_returnflag = 'R' AS capture, l_linestatus = 'O' AS "check", l_discount >= 0.05 AS trade, l_tax >= 0.04 AS castle,
+         {", ".join(f"{text} AS {name}" for name, text in MORE_FLAGS.items())},
          l_shipdate < moved_at + INTERVAL 60 DAY AS pressure,
          round(l_extendedprice / 100)::bigint AS score_cp, l_extendedprice / 20000 AS base_logit, l_quantity AS quantity,
          piece || ':' || wing AS position_key
