@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -109,7 +111,9 @@ def side(fen: Column) -> Column:
 
 
 def count_of(board: Column, letters: str) -> Column:
-    return F.length(F.regexp_replace(board, f"[^{letters}]", ""))
+    """How many characters of ``board`` are among ``letters`` (ranges such as A-Z allowed)."""
+    every = re.sub(r"(.)-(.)", lambda m: "".join(map(chr, range(ord(m[1]), ord(m[2]) + 1))), letters)
+    return F.length(board) - F.length(F.translate(board, every, ""))
 
 
 def material(board: Column, white: bool) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillog.functions import scalars as s
+from quillog.session import durable
 
 from .history import move_time
 
@@ -37,9 +38,9 @@ def feature_table(rows: DataFrame, lines: DataFrame, *, decision: str = "decisio
 
     Decisions without lines drop; nothing is read from later in the game.
     """
-    board, mover = s.squares(F.col("fen")), s.side(F.col("fen"))
-    placed = rows.withColumns({"_board": board, "_mover": mover})
-    placed = placed.withColumn("_m", s.move_flags(F.col("fen"), F.col("_board"), F.col("uci")))
+    placed = rows.withColumns({"_board": s.squares(F.col("fen")), "_mover": s.side(F.col("fen"))})
+    # Written, so that texts, boards and moves are computed once and not copied into each of their uses.
+    placed = durable(placed.withColumn("_m", s.move_flags(F.col("fen"), F.col("_board"), F.col("uci"))))
     joined = placed.join(line_summary(lines), decision)
     b, white = F.col("_board"), F.col("_mover") == "w"
     queen = {True: b.contains("Q"), False: b.contains("q")}
