@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from quillog.operators import learn
@@ -135,3 +136,43 @@ def test_two_of_three_choose_the_better_one(spark):
     rows = [(1, True, 1.0), (1, False, 0.0), (2, True, 1.0), (2, False, 0.0), (3, False, 1.0), (3, True, 0.0)]
     t, _ = pol.fit_temperature(spark.createDataFrame(rows, "decision_id int, chosen boolean, z double"), "z")
     assert t == pytest.approx(1 / math.log(2), abs=1e-8)
+
+
+# --- tree scorers ----------------------------------------------------------------------------
+
+
+def test_trainers_have_full_size_by_default(spark):
+    forest, boosted = learn.forest(), learn.boosted()
+    assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getMinInstancesPerNode(), forest.getFeatureSubsetStrategy()) == (160, 10, 6, "sqrt")
+    assert (boosted.getMaxIter(), boosted.getMaxDepth(), boosted.getStepSize()) == (50, 6, 0.05)
+
+
+@pytest.fixture(scope="module")
+def planted(spark):
+    draw, rows = random.Random(6), []
+    for d in range(400):
+        signal = [draw.random() for _ in range(4)]
+        for k in range(4):
+            rows.append((d, k, signal[k] == max(signal), signal[k], draw.random(), draw.choice(["a", "b"]), d % 5 == 0))
+    return spark.createDataFrame(rows, "decision_id int, engine_rank int, chosen boolean, signal double, noise double, kind string, is_validation boolean")
+
+
+@pytest.mark.parametrize("trainer", [lambda: learn.forest(trees=12, depth=5), lambda: learn.boosted(rounds=8)])
+def test_a_planted_signal_is_found(planted, trainer):
+    rows = learn.balanced(planted)
+    prep = learn.Preprocessor(["signal", "noise"], ["kind"]).fit(rows)
+    frame = prep.transform(rows)
+    model = trainer().fit(frame)
+    share = {r.root: r.fraction for r in learn.importance(model, frame).collect()}
+    assert set(share) == {"signal", "noise", "kind"} and sum(share.values()) == pytest.approx(1) and share["signal"] > 0.6
+    scored = model.transform(frame).withColumn("score", vector_to_array("probability")[1]).withColumn("p", pol.normalized(F.col("score")))
+    sums = scored.groupBy("decision_id").agg(F.sum("p").alias("s"), F.max_by("chosen", "p").alias("hit"))
+    worst, hits = sums.agg(F.max(F.abs(1 - F.col("s"))), F.avg(F.col("hit").cast("int"))).first()
+    assert worst < 1e-9 and hits > 0.8
+
+
+def test_weights_balance_the_training_labels(planted):
+    train = planted.where("decision_id < 100")
+    rows = learn.balanced(planted, train).where("decision_id < 100")
+    totals = {r.chosen: r.w for r in rows.groupBy("chosen").agg(F.sum("weight").alias("w")).collect()}
+    assert totals[True] == pytest.approx(totals[False])
