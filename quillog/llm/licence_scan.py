@@ -1,8 +1,10 @@
 """Licence scan: exact containment join of text blocks with licence templates.
 
 A block is a sentence, which may run over wrapped lines: a line break ends it only after a line of
-fewer than ``WRAPPED`` characters. A template is found in a block that holds at least ``threshold`` of
-its distinct words. Words are ordered by their frequency in the whole corpus, rarest first; a
+fewer than ``WRAPPED`` characters. A template is met in a block that holds at least ``threshold`` of
+its distinct words, the same share of those that no template of another licence has, and each of its
+words that name the licence. Of several met in a block, one whose words found there are only a part of those
+found for another licence gives way to it, as the notice of a licence that builds on another does. Words are ordered by their frequency in the whole corpus, rarest first; a
 block that reaches the threshold must share a word of a template's prefix (its rarest words, one
 more than it may miss), so only blocks with such a word are looked at. Length and positional
 filters remove most of the rest before the overlap is counted.
@@ -34,7 +36,9 @@ TEMPLATES = [
     ("gpl", "This work is licensed under the GNU General Public License, version 3."),
     ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
     ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"),
+    ("lgpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
     ("agpl", "Licensed under the GNU Affero General Public License, version 3."),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
     ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
     ("cc-by-sa", "Licensed under CC BY-SA 4.0."),
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
@@ -44,6 +48,10 @@ TEMPLATES = [
 ]
 
 
+# Words that name a licence; of them those must be met that a template has.
+NAMES = {"mit": "mit", "apache": "apache", "gpl": "gnu general public", "lgpl": "gnu lesser general public", "agpl": "gnu affero general public", "cc-by-nc": "nc", "cc-by-sa": "sa sharealike", "cc0": "cc0", "mpl": "mozilla public"}
+
+
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(text), F.lit(WORD), F.lit(0))
 
@@ -73,6 +81,11 @@ def phrase_starts(words: Column, phrase: str) -> Column:
     return F.when(last >= 0, F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), here)).otherwise(F.array().cast("array<int>"))
 
 
+def own_words(templates: list[tuple[str, str]]) -> list[list[str]]:
+    """Of each template the words that no template of another label has."""
+    return [sorted(set(_words(text)) - {w for other, t in templates if other != label for w in _words(t)}) for label, text in templates]
+
+
 def template_index(docs: DataFrame, text_col: str, templates: list[tuple[str, str]], threshold: float) -> tuple[dict[str, int], list[dict]]:
     """Rank of every template word by corpus frequency, and per template its ordered words and prefix.
 
@@ -82,11 +95,11 @@ def template_index(docs: DataFrame, text_col: str, templates: list[tuple[str, st
     words = docs.select(F.explode(F.filter(words_of(F.coalesce(F.col(text_col), F.lit(""))), lambda w: w.isin(vocabulary))).alias("w"))
     counts = {r["w"]: r["count"] for r in words.groupBy("w").count().collect()}
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
-    index = []
+    index, alone = [], own_words(templates)
     for number, (label, text) in enumerate(templates):
         own = sorted(set(_words(text)), key=rank.get)
         need = math.ceil(threshold * len(own) - 1e-9)
-        index.append({"number": number, "label": label, "words": own, "need": need, "prefix": own[: len(own) - need + 1]})
+        index.append({"number": number, "label": label, "words": own, "need": need, "prefix": own[: len(own) - need + 1], "alone": alone[number], "alone_need": math.ceil(threshold * len(alone[number]) - 1e-9), "names": sorted(set(NAMES.get(label, "").split()) & set(own))})
     return rank, index
 
 
@@ -95,8 +108,8 @@ def matches(docs: DataFrame, *, keys: list[str], text_col: str, rank: dict[str,
     prefix = sorted({w for t in index for w in t["prefix"]})
     by_rank = sorted(rank, key=rank.get)
     spark = docs.sparkSession
-    rows = [(w, t["number"], t["label"], t["words"].index(w), len(t["words"]), t["need"], t["words"]) for t in index for w in t["prefix"]]
-    entries = spark.createDataFrame(rows, "_word string, _template int, _label string, _i int, _n int, _need int, _own array<string>")
+    rows = [(w, t["number"], t["label"], t["words"].index(w), len(t["words"]), t["need"], t["words"], t["alone"], t["alone_need"], t["names"]) for t in index for w in t["prefix"]]
+    entries = spark.createDataFrame(rows, "_word string, _template int, _label string, _i int, _n int, _need int, _own array<string>, _alone array<string>, _alone_need int, _names array<string>")
 
     blocks = (
         docs.where(F.exists(words_of(F.col(text_col)), lambda w: w.isin(prefix)))
@@ -114,10 +127,14 @@ def matches(docs: DataFrame, *, keys: list[str], text_col: str, rank: dict[str,
         .where(1 + F.least(F.col("_n") - F.col("_i") - 1, F.size("_set") - F.col("_j") - 1) >= F.col("_need"))
         # of several shared prefix words the first one in template order speaks for the pair
         .where(F.element_at(F.array_intersect("_own", "_set"), 1) == F.col("_word"))
-        .withColumn("_overlap", F.size(F.array_intersect("_own", "_set")))
-        .where(F.col("_overlap") >= F.col("_need"))
+        .withColumn("_found", F.array_intersect("_own", "_set"))
+        .where((F.size("_found") >= F.col("_need")) & (F.size(F.array_intersect("_alone", "_set")) >= F.col("_alone_need")) & (F.size(F.array_except("_names", "_set")) == 0))
     )
-    return met.select(*keys, "_block", "_label", (F.col("_overlap") / F.col("_n")).alias("_containment"))
+    each = F.struct(F.col("_label").alias("label"), F.col("_found").alias("found"), (F.size("_found") / F.col("_n")).alias("share"))
+    listed = met.groupBy(*keys, "_block").agg(F.collect_list(each).alias("_met"))  # a template is there once at most
+    part = lambda x, y: (x["label"] != y["label"]) & (F.size(x["found"]) < F.size(y["found"])) & (F.size(F.array_except(x["found"], y["found"])) == 0)
+    best = listed.select(*keys, "_block", F.explode(F.filter("_met", lambda x: ~F.exists("_met", lambda y: part(x, y)))).alias("_x"))
+    return best.select(*keys, "_block", F.col("_x.label").alias("_label"), F.col("_x.share").alias("_containment"))
 
 
 def scan(

@@ -131,7 +131,10 @@ def _op9_sql() -> str:
     rows = []
     for label, text in licence_scan.TEMPLATES:
         words = sorted(set(licence_scan._words(text)))
-        rows.append(f"('{label}', {words!r}, {len(words)}, {math.ceil(0.8 * len(words) - 1e-9)})")
+        others = {w for other, t in licence_scan.TEMPLATES if other != label for w in licence_scan._words(t)}
+        alone = [w for w in words if w not in others]
+        names = [w for w in words if w in licence_scan.NAMES.get(label, "").split()]
+        rows.append(f"({len(rows)}, '{label}', {words!r}, {len(words)}, {math.ceil(0.8 * len(words) - 1e-9)}, {alone!r}::varchar[], {math.ceil(0.8 * len(alone) - 1e-9)}, {names!r}::varchar[])")
     starts = ", ".join(f"{_starts(p)} AS s{k}" for k, (p, _) in enumerate(licence_scan.PHRASES))
     base = ", ".join(f"CASE WHEN len(s{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(licence_scan.PHRASES))
     every = ", ".join(f"s{k}" for k in range(len(licence_scan.PHRASES)))
@@ -140,9 +143,10 @@ WITH d AS (SELECT doc_id, {_LOWER} AS t FROM documents),
 w AS (SELECT doc_id, {_WORDS.format("t")} AS ws FROM d),
 s AS (SELECT doc_id, len(ws) AS n_words, {starts} FROM w),
 b AS (SELECT doc_id, n_words, flatten([{every}]) AS places, [x FOR x IN [{base}] IF x IS NOT NULL] AS base FROM s),
-blocks AS (SELECT doc_id, list_distinct({_WORDS.format("unnest(string_split(regexp_replace(regexp_replace(t, '(?m)^([^\\n]{0,39})\\n', '\\1' || chr(1), 'g'), '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(1), 'g'), chr(1)))")}) AS ws FROM d),
-tpl(label, own, n, need) AS (VALUES {", ".join(rows)}),
-met AS (SELECT doc_id, label, len(list_intersect(ws, own)) / n AS c FROM blocks JOIN tpl ON len(list_intersect(ws, own)) >= need),
+blocks AS (SELECT doc_id, row_number() OVER () AS b, list_distinct({_WORDS.format("unnest(string_split(regexp_replace(regexp_replace(t, '(?m)^([^\\n]{0,39})\\n', '\\1' || chr(1), 'g'), '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(1), 'g'), chr(1)))")}) AS ws FROM d),
+tpl(k, label, own, n, need, alone, alone_need, names) AS (VALUES {", ".join(rows)}),
+hits AS (SELECT doc_id, b, k, label, list_intersect(ws, own) AS found, n FROM blocks JOIN tpl ON len(list_intersect(ws, own)) >= need AND len(list_intersect(ws, alone)) >= alone_need AND list_has_all(ws, names)),
+met AS (SELECT doc_id, label, len(found) / n AS c FROM hits x WHERE NOT EXISTS (SELECT 1 FROM hits y WHERE y.b = x.b AND y.label <> x.label AND len(y.found) > len(x.found) AND list_has_all(y.found, x.found))),
 more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(c) AS best FROM met GROUP BY 1)
 SELECT b.doc_id, n_words, len(places)::bigint AS n_base, list_min(places)::bigint AS first_word, list_max(places)::bigint AS last_word,
        array_to_string(list_sort(list_distinct(base)), ',') AS base_labels,

@@ -512,6 +512,37 @@ def test_line_edges(edge, empty):
 # --- 9 licences ------------------------------------------------------------------------------
 
 
+def labels_of(block):
+    """The labels of one block: enough words and enough naming words of a template, whose found words aren't just some of another label's."""
+    words, met = set(licence_scan._words(block)), []
+    for label, text in licence_scan.TEMPLATES:
+        own = set(licence_scan._words(text))
+        names = own.difference(*[licence_scan._words(t) for other, t in licence_scan.TEMPLATES if other != label])
+        called = own & set(licence_scan.NAMES.get(label, "").split())
+        if len(words & own) >= 0.8 * len(own) - 1e-9 and len(words & names) >= 0.8 * len(names) - 1e-9 and called <= words:
+            met.append((label, words & own))
+    return {label for label, found in met if not any(found < more for other, more in met if other != label)}
+
+
+def test_each_notice_has_its_own_label_only(spark):
+    docs = [(i, text) for i, (_, text) in enumerate(licence_scan.TEMPLATES)]
+    got = {r.doc_id: (r.labels, r.base_labels) for r in licence_scan.scan(spark.createDataFrame(docs, "doc_id int, text string")).collect()}
+    for i, (label, _) in enumerate(licence_scan.TEMPLATES):
+        labels, base = got[i]
+        assert set(labels.split(",")) == {label} | ({base} - {""})
+
+
+def test_unlisted_licences_have_no_label(spark):
+    texts = {
+        "Released under the BSD license.": "", "The film was released under the studio license.": "", "Released under the Apache License.": "apache", "Licensed under CC BY-ND 4.0.": "", "Licensed under CC BY-NC 4.0.": "cc-by-nc",
+        "This work is licensed under the GNU General Public License, version 3.": "gpl", "This work is licensed under the Zope Public License, version 3.": "", "Licensed under the Artistic License, Version 2.0.": "",
+        "Licensed under the MIT License or the Apache License, Version 2.0.": "apache,mit", "Licensed under the GNU Affero General Public License, version 3.": "agpl,gpl",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: r.labels for r in licence_scan.scan(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+
+
 def test_licences_against_brute_force(spark):
     texts = [t for _, t in licence_scan.TEMPLATES]
     docs = [(i, f"Intro words. {t}\nMore " + " ".join(prose(i, 20))) for i, t in enumerate(texts)] + [(90, None), (91, ""), (92, "an MIT  License and mit-license; General Public\nLicense"), (93, "public license of general interest"), (94, " ".join(prose(1, 50)))]
@@ -519,8 +550,7 @@ def test_licences_against_brute_force(spark):
     for i, t in docs:
         own = set()
         for block in re.split(r"\x01|(?<=[.!?])\s+", re.sub(r"(?m)^([^\n]{0,39})\n", "\\1\x01", t or "")):
-            words = set(licence_scan._words(block))
-            own |= {label for label, x in licence_scan.TEMPLATES if len(words & set(licence_scan._words(x))) >= 0.8 * len(set(licence_scan._words(x))) - 1e-9}
+            own |= labels_of(block)
         base = {x for x in got[i].base_labels.split(",") if x}
         assert set(got[i].labels.split(",")) - {""} == own | base
     assert (got[92].n_base, got[92].first_word, got[92].last_word, got[92].base_labels) == (3, 1, 6, "gpl,mit")
