@@ -28,13 +28,18 @@ def dimensioned(rows: DataFrame, dimensions: list[str]) -> DataFrame:
     return rows.select("*", F.explode(F.array(*kinds)).alias("_kind")).select(*[c for c in rows.columns if c not in ("dimension", "value")], "_kind.*")
 
 
-def _cells(rows: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
-    """(_g, _m, _v): a row for each value there is; ``_g`` holds the keys, nulls among them."""
+def _wide(rows: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """(_g, _v0, _v1, ...): ``_g`` holds the keys, nulls among them, and the others a row's values, null for NaN."""
     group = F.struct(*keys) if keys else F.struct(F.lit(0).alias("_all"))
     big = 1.7976931348623157e308  # infinite values count as the greatest finite ones
-    cells = F.array(*[F.struct(F.lit(i).alias("_m"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(metrics)])
-    found = rows.select(group.alias("_g"), F.explode(cells).alias("_c")).select("_g", "_c.*").where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    return found.withColumn("_v", F.greatest(F.lit(-big), F.least(F.lit(big), F.col("_v"))))
+    own = lambda c: F.when(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")), F.greatest(F.lit(-big), F.least(F.lit(big), F.col(c).cast("double"))))
+    return rows.select(group.alias("_g"), *[own(c).alias(f"_v{i}") for i, c in enumerate(metrics)])
+
+
+def _cells(rows: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """(_g, _m, _v): a row for each value there is."""
+    cells = F.array(*[F.struct(F.lit(i).alias("_m"), F.col(f"_v{i}").alias("_v")) for i in range(len(metrics))])
+    return _wide(rows, keys, metrics).select("_g", F.explode(cells).alias("_c")).select("_g", "_c.*").where("_v IS NOT NULL")
 
 
 def _small(df: DataFrame, rows: int, most: int) -> DataFrame:
@@ -54,7 +59,9 @@ def quantiles(rows: DataFrame, keys: list[str], wanted: Wanted, *, buckets: int
     """
     metrics = list(dict.fromkeys(c for c, _ in wanted.values()))
     cells = _cells(rows, keys, metrics)
-    ends = durable(cells.groupBy("_g", "_m").agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
+    whole = _wide(rows, keys, metrics)
+    seen = [F.struct(F.lit(i).alias("_m"), F.count(f"_v{i}").alias("_n"), F.min(f"_v{i}").alias("_lo"), F.max(f"_v{i}").alias("_hi")) for i in range(len(metrics))]
+    ends = durable(whole.groupBy("_g").agg(F.array(*seen).alias("_e")).select("_g", F.explode("_e").alias("_x")).select("_g", "_x.*").where("_n > 0"))
     at = lambda p: (F.col("_n") - 1) * F.lit(float(p))
     mine = [F.when(F.col("_m") == metrics.index(c), F.array(*[F.struct(F.lit(name).alias("_t"), F.lit(k).alias("_side"), r.cast("bigint").alias("_r")) for k, r in enumerate((F.floor(at(p)), F.ceil(at(p))))])) for name, (c, p) in wanted.items()]
     targets = F.flatten(F.filter(F.array(*mine), lambda x: x.isNotNull()))
