@@ -39,18 +39,19 @@ NUMBER_WORDS = (
 
 NUMBER, NAME, UNIT, OPENER = "\x01", "\x02", "\x03", "\x04"
 LETTER = r"[\p{L}\p{M}]"
-WORD = rf"{LETTER}+(?:['’]{LETTER}+)*"
+# Repeated groups are possessive: Java's others recurse once a repetition, and long lists overflow its stack.
+WORD = rf"{LETTER}+(?:['’]{LETTER}+)*+"
 _SPELT, _UNIT, _SIGN = "|".join(NUMBER_WORDS), "|".join(UNITS), "[" + "".join(SIGNS) + "]"
-_TITLE = rf"\p{{Lu}}{LETTER}*(?:['’]{LETTER}+)*"
+_TITLE = rf"\p{{Lu}}{LETTER}*(?:['’]{LETTER}+)*+"
 _GAP, _MARK = rf"[^\p{{L}}\p{{M}}{NUMBER}{UNIT}]*", f"[{NUMBER}{UNIT}]"
 FIND = {
-    NUMBER: rf"\p{{N}}+(?:[.,]\p{{N}}+)*|(?<!{LETTER})(?i:{_SPELT})(?:[ -](?i:{_SPELT}))*(?!{LETTER})",
+    NUMBER: rf"\p{{N}}+(?:[.,]\p{{N}}+)*+|(?<!{LETTER})(?i:{_SPELT})(?!{LETTER})(?:[ -](?i:{_SPELT})(?!{LETTER}))*+",
     UNIT: rf"(?<={NUMBER} {{1,4}})(?:(?i:{_UNIT})(?!{LETTER})|{_SIGN})|{_SIGN}(?= {{1,4}}{NUMBER})",
     OPENER: rf"(^|[.!?\n])([^\p{{L}}\p{{N}}{NUMBER}{UNIT}.!?\n]{{0,6}})(\p{{Lu}})",
-    NAME: rf"(?<![{OPENER}'’\p{{L}}\p{{M}}]){_TITLE}(?:[ -]{_TITLE})*",
+    NAME: rf"(?<![{OPENER}'’\p{{L}}\p{{M}}]){_TITLE}(?:[ -]{_TITLE})*+",
 }
 TEMPLATE_WORD = rf"[{NUMBER}{NAME}{UNIT}]|{WORD}"
-LITERAL_WORD = rf"\p{{N}}+(?:[.,]\p{{N}}+)*|{WORD}|{_SIGN}"
+LITERAL_WORD = rf"\p{{N}}+(?:[.,]\p{{N}}+)*+|{WORD}|{_SIGN}"
 #: Three placeholders among four words; without it no eight words have five.
 DENSE = rf"{_MARK}{_GAP}(?:{_MARK}{_GAP}(?:{WORD}{_GAP})?|{WORD}{_GAP}{_MARK}{_GAP}){_MARK}"
 SLOTS = {0: (NUMBER, NAME, UNIT), 1: (NUMBER, UNIT), 2: ()}

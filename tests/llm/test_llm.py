@@ -702,3 +702,13 @@ def test_line_query_hashes_kept_text(spark, sf_dir):
     texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     want = {i: hashlib.sha256("\n".join(v).encode()).hexdigest() for i, v in plain_dedup(texts).items()}
     assert {r.doc_id: r.kept_sha256 for r in queries.op8_line_dedup(spark, sf_dir).collect()} == want
+
+
+def test_contamination_of_long_lists(spark):
+    """Lists of numbers, number words, names and apostrophes of any length are one match each."""
+    n = 60_000
+    item = "the quick brown fox jumps over the lazy dog near the old stone bridge"
+    lists = [",".join("7" * n), " ".join(["one"] * n), " ".join(["Anna"] * n), "'".join(["ab"] * n), "-".join(["Anna"] * n) + " five sixteen sixty-one threefold"]
+    docs = spark.createDataFrame([(k, f"{text}. {item}.") for k, text in enumerate(lists)] + [(9, ",".join("7" * n))], "doc_id long, text string")
+    found = {r["doc_id"]: r["_contaminated"] for r in decontam.flag(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert found == {0: True, 1: True, 2: True, 3: True, 4: True, 9: False}
