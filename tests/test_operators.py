@@ -92,3 +92,11 @@ def test_fit_converges_or_fails(spark):
     assert max(abs(r.gradient) for r in learn.fit(feats, tolerance=1e-3).collect()) <= 1e-3
     with pytest.raises(learn.NotConverged):
         learn.fit(feats, tolerance=1e-9, iterations=2)
+
+
+def test_pawn_structure_reads_the_board_without_lambdas(spark):
+    """Interpreted lambdas that named the board made it anew for every square, far beyond the time of the query."""
+    boards = {"P" + "." * 7 + "P.P....P" + "." * 40 + "...PP...": (6, 1, 3, 3), "P" * 64: (64, 56, 0, 1), "p" * 64: (0, 0, 0, 0), "": (0, 0, 0, 0), "." * 7 + "P": (1, 0, 1, 1), None: (None, 0, 0, 0)}
+    df = spark.createDataFrame([(b,) for b in boards], "b string").select("b", s.pawn_structure(F.col("b"), "P").alias("w"))
+    assert {r["b"]: tuple(r["w"]) for r in df.collect()} == boards
+    assert "lambda" not in df._jdf.queryExecution().toString()
