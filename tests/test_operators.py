@@ -100,3 +100,17 @@ def test_pawn_structure_reads_the_board_without_lambdas(spark):
     df = spark.createDataFrame([(b,) for b in boards], "b string").select("b", s.pawn_structure(F.col("b"), "P").alias("w"))
     assert {r["b"]: tuple(r["w"]) for r in df.collect()} == boards
     assert "lambda" not in df._jdf.queryExecution().toString()
+
+
+def test_packed_features_are_made_once(spark):
+    """Neither the filter that Spark infers for an explode nor the phase's copy makes the features again."""
+    rows = [("a", 1, 1, True, 0.5, "O", True, 2.0, "k", "m1"), ("a", 1, 2, False, 0.1, "X", False, 0.0, "k", "m2"), ("b", 2, 1, True, 0.2, None, None, None, "l", "m3"), ("b", 3, 1, True, 0.2, "F", True, float("nan"), "l", "m4")]
+    cand = spark.createDataFrame(rows, "player string, decision_id long, engine_rank int, chosen boolean, base_logit double, phase string, flag boolean, n double, position_key string, move string")
+    long = learn.sparse_features(cand, ("flag",), {"n": F.col("n")}, ["F", "O"], {"position_key": ["l"]})
+    got = {}
+    for r in long.collect():
+        got.setdefault((r["decision_id"], r["engine_rank"]), []).append((r["idx"], str(r["val"])))
+    own = {k: [x for x in v if x[0] < 9] for k, v in got.items()}
+    assert own == {(1, 1): [(0, "1.0"), (1, "2.0"), (6, "1.0"), (7, "2.0")], (1, 2): [], (2, 1): [(2, "1.0")], (3, 1): [(0, "1.0"), (1, "nan"), (2, "1.0"), (3, "1.0"), (4, "nan"), (5, "1.0")]}
+    assert all(sum(x[0] >= 9 for x in v) == 1 for v in got.values())
+    assert long._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 1
