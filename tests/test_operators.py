@@ -114,3 +114,12 @@ def test_packed_features_are_made_once(spark):
     assert own == {(1, 1): [(0, "1.0"), (1, "2.0"), (6, "1.0"), (7, "2.0")], (1, 2): [], (2, 1): [(2, "1.0")], (3, 1): [(0, "1.0"), (1, "nan"), (2, "1.0"), (3, "1.0"), (4, "nan"), (5, "1.0")]}
     assert all(sum(x[0] >= 9 for x in v) == 1 for v in got.values())
     assert long._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 1
+
+
+def test_coefficients_are_a_stored_table(spark):
+    """Of a stored table Spark knows the size, so it broadcasts them and leaves the features where they are."""
+    from quillog.plans.learn_queries import some_beta
+
+    feats = spark.createDataFrame([("a", [(0, 1.0), (3, 2.0)])], "player string, x array<struct<idx:int,val:double>>")
+    beta = some_beta(feats)
+    assert beta.inputFiles() and {(r["idx"], round(r["beta"], 3)) for r in beta.collect()} == {(0, -0.15), (3, 0.0)}
