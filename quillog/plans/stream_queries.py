@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from quillog.session import shared_folder, table
+from quillog.session import durable, shared_folder, table
 from quillog.sources.bindings import TENDENCIES, LOG_SQL, candidates
 from quillog.streaming import streams
 
@@ -73,6 +73,15 @@ def st_player_profile(spark, sf_dir):
     return _to_end(profile, _folder(spark), profile.schema).select("event_id", "observations", F.round("rate", 9).alias("rate"))
 
 
+#: Files of a part arrive at once, however many they are: a file read later would find the watermark moved on.
+WHOLE = 1_000_000
+
+
+def _deliver(parts, k: int, folder: str) -> None:
+    """Part ``k`` as files of a folder, written by as many tasks as hold rows of it."""
+    parts.where(F.col("_part") == k).drop("_part").write.mode("append").parquet(folder)
+
+
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _ARRIVED = "(decision_id % 97 <> 0 OR played_at >= (SELECT min(played_at) + INTERVAL 10 MONTH FROM dec))"
 
@@ -81,10 +90,10 @@ _ARRIVED = "(decision_id % 97 <> 0 OR played_at >= (SELECT min(played_at) + INTE
   SELECT c.decision_id, n AS observations, round(({_case('c.piece', PIECES, 'pc')} + 20.0 / 6) / (n + 20), 9) AS piece_probability, round(({_case('c.wing', WINGS, 'wg')} + 20.0 / 3) / (n + 20), 9) AS wing_probability, {', '.join(_match(f) for f in TENDENCIES)},
    (SELECT count(*) FROM dec WHERE NOT {_ARRIVED}) AS late FROM cand c JOIN st USING (decision_id) WHERE chosen AND played_at < (SELECT max(played_at) - INTERVAL 100 DAY FROM dec)""")
 def st_player_tendencies(spark, sf_dir):
-    """The log's choices arrive in six files, shuffled within three months; some of the first months come with
-    the last file and are late. What the watermark has passed equals the batch encoder in all columns."""
+    """The log's choices arrive in six parts, shuffled within three months; some of the first months come with
+    the last part and are late. What the watermark has passed equals the batch encoder in all columns."""
     folder = _folder(spark)
-    chosen = candidates(spark, sf_dir).where("chosen").select("decision_id", "player", "played_at", "game_id", "ply", "piece", "wing", *TENDENCIES)
+    chosen = durable(candidates(spark, sf_dir).where("chosen").select("decision_id", "player", "played_at", "game_id", "ply", "piece", "wing", *TENDENCIES))
     first, last = chosen.agg(F.min("played_at"), F.max("played_at")).first()
     month = F.floor(F.months_between("played_at", F.lit(first))).cast("int")
     span = (last.year - first.year) * 12 + last.month - first.month + 3
@@ -96,8 +105,8 @@ def st_player_tendencies(spark, sf_dir):
     dropped = 0
     try:
         for k in range(6):
-            parts.where(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(f"{folder}/in")
-            stream = streams.file_stream(spark, f"{folder}/in", chosen.schema)
+            _deliver(parts, k, f"{folder}/in")
+            stream = streams.file_stream(spark, f"{folder}/in", chosen.schema, files_per_trigger=WHOLE)
             rows = streams.player_tendencies(stream, player="player", at="played_at", row_id="decision_id", order=("game_id", "ply"), values={"piece": PIECES, "wing": WINGS}, flags=TENDENCIES, delay="100 days")
             run = rows.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
             run.awaitTermination()

@@ -63,50 +63,58 @@ def player_profile(stream: DataFrame, *, player: str, at: str, row_id: str, flag
 class Tendencies(StatefulProcessor):
     """Running choices of one player, in the order of event time whatever the order of arrival.
 
-    Rows wait in a map by event time. A timer for each time fires once the watermark has passed it; the
-    rows of that time are then put in order, encoded one after another by the counts before them, and
-    forgotten. Counts are a map by attribute and value.
+    Rows wait in a map by event time and by the batch of Arrow in which they came, so that neither what is read
+    nor what is written at once grows with a player's rows. A timer for each time fires once the watermark has
+    passed it; the rows of that time are then put in order, encoded one after another by the counts before
+    them, and forgotten. Counts are a map by attribute and value.
     """
 
+    AT_ONCE = 10_000
+
     def __init__(self, names: dict, values: dict[str, list[str]], flags: tuple[str, ...], order: tuple[str, ...], strength: float):
         self.names, self.values, self.flags, self.order, self.strength = names, values, flags, order, strength
         self.held = [names["row_id"], *order, *values, *flags]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "at bigint", "rows string")
+        self.batches = handle.getMapState("batches", "at bigint", "n int")
+        self.waiting = handle.getMapState("waiting", "at bigint, batch int", "rows string")
         self.counts = handle.getMapState("counts", "what string", "n bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        fresh: dict[int, list] = defaultdict(list)
         for frame in rows:
+            fresh: dict[int, list] = defaultdict(list)
             at = frame[self.names["at"]].dt.floor("ms").astype("datetime64[ms]").astype("int64")
             kept = frame.loc[at > passed, self.held].astype(object)
             for ms, row in zip(at[at > passed].tolist(), kept.itertuples(index=False), strict=True):
                 fresh[ms].append([x.item() if hasattr(x, "item") else x for x in row])
-        for ms, more in fresh.items():
-            known = json.loads(self.waiting.getValue((ms,))[0]) if self.waiting.containsKey((ms,)) else []
-            if not known:
-                self.handle.registerTimer(ms)
-            self.waiting.updateValue((ms,), (json.dumps(known + more),))
+            for ms, more in fresh.items():
+                batch = self.batches.getValue((ms,))[0] if self.batches.containsKey((ms,)) else 0
+                if batch == 0:
+                    self.handle.registerTimer(ms)
+                self.waiting.updateValue((ms, batch), (json.dumps(more),))
+                self.batches.updateValue((ms,), (batch + 1,))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         upto = expiredTimerInfo.getExpiryTimeInMs()
-        due = sorted(k[0] for k in self.waiting.keys() if k[0] <= upto)
+        due = sorted(k[0] for k in self.batches.keys() if k[0] <= upto)
         if not due:
             return
         counts = defaultdict(int, {k[0]: v[0] for k, v in self.counts.iterator()})
-        changed, out = set(), []
+        changed: set[str] = set()
         for ms in due:
-            rows = [dict(zip(self.held, row, strict=True)) for row in json.loads(self.waiting.getValue((ms,))[0])]
-            self.waiting.removeKey((ms,))
-            for row in sorted(rows, key=lambda r: [r[c] for c in self.order]):
-                out.append(self._encoded(key, row, counts, changed))
+            rows = []
+            for batch in range(self.batches.getValue((ms,))[0]):
+                rows += [dict(zip(self.held, row, strict=True)) for row in json.loads(self.waiting.getValue((ms, batch))[0])]
+                self.waiting.removeKey((ms, batch))
+            self.batches.removeKey((ms,))
+            rows.sort(key=lambda r: [r[c] for c in self.order])
+            for begin in range(0, len(rows), self.AT_ONCE):
+                yield pd.DataFrame([self._encoded(key, row, counts, changed) for row in rows[begin : begin + self.AT_ONCE]])
         for what in changed:
             self.counts.updateValue((what,), (counts[what],))
-        yield pd.DataFrame(out)
 
     def _encoded(self, key, row: dict, counts: dict[str, int], changed: set[str]) -> dict:
         total, strength = counts["all"], self.strength
