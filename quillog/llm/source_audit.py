@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,6 +34,8 @@ from .names import named
 FOLDED = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 END = b"\0"
 FIRST = 4
+#: What rows of the first prefixes have as ``shared``: they are counted already by the tasks that make the terms.
+START = -1
 PRIOR, UNIT = 5, 1_000_000_000
 
 
@@ -65,39 +68,48 @@ class Held:
         self.bytes = 0
 
     def add(self, lang: str, source: str, text: str | None) -> None:
-        first, own = self.first, Counter(terms_of(text))
+        first, one, own = self.first, self.ONE, Counter(terms_of(text))
         widths = self.groups.setdefault((lang, source), {0: {}})
-        fresh, before, taken = widths[0], b"", 0
+        fresh, before, head, taken = widths[0], b"", None, 0
         for term in sorted(own):
-            count = own[term] + self.ONE
-            term += END
-            if term[:first] != before[:first]:
-                held = fresh
+            start = term[:first]
+            if start != head:
+                held, head = fresh, start
             else:
                 held = widths.setdefault(shared_width(before, term, first), {})
             known = held.get(term)
             if known is None:
-                held[term] = count
-                taken += len(term) + 220
+                held[term] = own[term] + one
+                taken += len(term) + 150  # a bytes object's 33, an integer's 32 and the table's 50 to 100
             else:
-                held[term] = known + count
+                held[term] = known + own[term] + one
             before = term
         self.bytes += taken
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         for (lang, source), widths in self.groups.items():
+            starts: dict[bytes, int] = {}
+            for term, packed in widths[0].items():
+                start = (term + END)[: self.first]
+                starts[start] = starts.get(start, 0) + packed // self.ONE
+            yield self._batch(lang, source, pa.array(list(starts), pa.binary()), np.fromiter(starts.values(), dtype=np.int64, count=len(starts)), np.zeros(len(starts), dtype=np.int64), START)
             for width, held in widths.items():
                 packed = np.fromiter(held.values(), dtype=np.int64, count=len(held))
-                same = [pa.array([x], pa.string()).take(pa.array(np.zeros(len(held), dtype=np.int32))) for x in (lang, source)]
-                counts = [pa.array(packed // self.ONE), pa.array(packed % self.ONE), pa.array(np.full(len(held), width, dtype=np.int32))]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(list(held), pa.binary()), *counts], ["lang", "source", "term", "docs", "n", "shared"])
+                ended = pc.binary_join_element_wise(pa.array(list(held), pa.binary()), pa.scalar(END, pa.binary()), pa.scalar(b"", pa.binary()))
+                yield self._batch(lang, source, ended, packed // self.ONE, packed % self.ONE, width)
         self.clear()
 
+    @staticmethod
+    def _batch(lang: str, source: str, terms: pa.Array, docs: np.ndarray, n: np.ndarray, shared: int) -> pa.RecordBatch:
+        same = [pa.array([x], pa.string()).take(pa.array(np.zeros(len(terms), dtype=np.int32))) for x in (lang, source)]
+        return pa.RecordBatch.from_arrays([*same, terms, pa.array(docs), pa.array(n), pa.array(np.full(len(terms), shared, dtype=np.int32))], ["lang", "source", "term", "docs", "n", "shared"])
+
 
 def term_rows(docs: DataFrame, *, lang_col: str = "lang", source_col: str = "source", text_col: str = "text", first: int = FIRST, held_bytes: int = 90_000_000, rows_at_once: int = 256) -> DataFrame:
     """(lang, source, term, docs, n, shared): ``term`` in bytes with its end mark, ``n`` its occurrences in
     ``docs`` documents of the group, in each of which an earlier term has its prefix of width ``shared``
-    and no wider one. A task combines its documents in about ``held_bytes`` of memory; a term may have several rows.
+    and no wider one. Rows whose ``shared`` is ``START`` hold a prefix of width ``first`` instead, of ``docs``
+    documents. A task combines its documents in about ``held_bytes`` of memory; a term may have several rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +139,7 @@ def frequent_terms(rows: DataFrame, least: int, *, first: int = FIRST, **options
     """
     width, pending, complete = first, None, None
     while True:
-        at = rows if pending is None else among(rows.where(F.octet_length("term") > width // 2), pending, F.substring("term", 1, width // 2), **options)
+        at = rows.where(F.col("shared") == START) if pending is None else among(rows.where((F.col("shared") != START) & (F.octet_length("term") > width // 2)), pending, F.substring("term", 1, width // 2), **options)
         counted = at.where(F.col("shared") < width).groupBy("lang", F.substring("term", 1, width).alias("prefix")).agg(F.sum("docs").alias("docs"))
         level = durable(counted.where(F.col("docs") >= least).select("lang", "prefix", (F.substring("prefix", -1, 1) == F.lit(END)).alias("_whole")))
         done = level.where("_whole").select("lang", "prefix")
@@ -185,7 +197,7 @@ def audit(docs: DataFrame, *, least: int = 30, top: int = 50, lang_col: str = "l
     own = docs.select(*[F.coalesce(named(c).cast("string"), F.lit("")).alias(name) for c, name in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))])
     rows = written(term_rows(own, first=first))
     kept = durable(frequent_terms(rows, least, first=first, **options))
-    counts = among(rows, kept, F.col("term"), **options).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+    counts = among(rows.where(F.col("shared") != START), kept, F.col("term"), **options).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
     by_term = durable(counts.groupBy("lang", "term").agg(F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("source", "n"))).alias("by_source")))
     held = by_term.select("lang", F.explode("by_source").alias("source", "n")).groupBy("lang", "source").agg(F.sum("n").alias("N"))
     vocabulary = by_term.groupBy("lang").agg(F.count("*").alias("V"), F.sum("all").alias("L"))
