@@ -176,3 +176,48 @@ def test_weights_balance_the_training_labels(planted):
     rows = learn.balanced(planted, train).where("decision_id < 100")
     totals = {r.chosen: r.w for r in rows.groupBy("chosen").agg(F.sum("weight").alias("w")).collect()}
     assert totals[True] == pytest.approx(totals[False])
+
+
+# --- chunks ----------------------------------------------------------------------------------
+
+
+def unpacked(rows):
+    """(player, decision's candidates as (chosen, base_logit, entries)) of chunks."""
+    for row in rows:
+        sizes, chosen, base, widths, idx, val = (np.frombuffer(row[c], dtype=kind).tolist() for c, kind in learn.PACKED.items())
+        at, cands = 0, []
+        for c, b, w in zip(chosen, base, widths, strict=True):
+            cands.append((bool(c), b, tuple(sorted(zip(idx[at : at + w], val[at : at + w], strict=True)))))
+            at += w
+        assert at == len(idx) and sum(sizes) == len(cands)
+        at = 0
+        for n in sizes:
+            yield row["player"], tuple(sorted(cands[at : at + n]))
+            at += n
+
+
+@pytest.mark.parametrize("rows_at_once", [1, 7, 65_536])
+def test_chunks_made_from_values_hold_what_the_packed_features_hold(spark, rows_at_once):
+    draw, rows = random.Random(9), []
+    for d in range(120):
+        for k in range(draw.randrange(1, 6)):
+            rows.append((f"p{d % 5}", d, k + 1, k == 0, draw.random(), draw.choice(["F", "O", "X", None]), draw.random() < 0.5, draw.choice([None, 0.0, 0.5, -2.0]), draw.choice(["a", "b", None]), f"k{k}", f"m{d}"))
+    cand = spark.createDataFrame(rows, "player string, decision_id int, engine_rank int, chosen boolean, base_logit double, phase string, flag boolean, size double, kind string, position_key string, move string")
+    args = (("flag",), {"size": F.col("size")}, ["F", "O"], {"kind": ["a", "b"]})
+    want = sorted(unpacked(learn.chunks(learn.packed_features(cand, *args), size=10).collect()))
+    assert want == sorted(unpacked(learn.chunked_features(cand, *args, rows_at_once=rows_at_once).collect()))
+    assert len(want) == 120
+    dealt = learn.chunks(learn.packed_features(cand, *args), size=10, undealt_players=2).collect()
+    assert want == sorted(unpacked(dealt))
+
+
+def test_a_fit_of_given_chunks_and_its_start(spark):
+    rows = choices(5, 2, 80, 3)
+    feats = spark.createDataFrame(rows, SCHEMA)
+    stored = learn.written(learn.chunks(feats))
+    for player in ("p0", "p1"):
+        got = {r.idx: r.beta for r in learn.fit(stored, tolerance=1e-8).where(F.col("player") == player).collect()}
+        assert got == {i: pytest.approx(b, abs=1e-6) for i, b in newton([r for r in rows if r[0] == player], 0.01).items()}
+    zero = feats.select("player", "idx").distinct().withColumn("beta", F.lit(0.0))
+    want = {r.player: pytest.approx(r.objective, rel=1e-12) for r in learn.objective(feats, zero, 0.01).collect()}
+    assert {r.player: r.objective for r in learn.base_objective(stored).collect()} == want
