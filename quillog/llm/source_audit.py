@@ -57,7 +57,8 @@ class Held:
     A term's entry is its documents, times ``ONE``, plus its occurrences.
     """
 
-    ONE = 1 << 40
+    SHIFT = 40
+    ONE = 1 << SHIFT
 
     def __init__(self, first: int):
         self.first = first
@@ -68,35 +69,36 @@ class Held:
         self.bytes = 0
 
     def add(self, lang: str, source: str, text: str | None) -> None:
-        first, one, own = self.first, self.ONE, Counter(terms_of(text))
-        widths = self.groups.setdefault((lang, source), {0: {}})
-        fresh, before, head, taken = widths[0], b"", None, 0
+        first, twice, one, own = self.first, 2 * self.first, self.ONE, Counter(terms_of(text))
+        widths = self.groups.setdefault((lang, source), {0: {}, first: {}})
+        fresh, near, before, head, taken = widths[0], widths[first], b"", None, 0
         for term in sorted(own):
             start = term[:first]
             if start != head:
                 held, head = fresh, start
+            elif before[:twice] != term[:twice]:  # as most do that share any prefix
+                held = near
             else:
                 held = widths.setdefault(shared_width(before, term, first), {})
-            known = held.get(term)
-            if known is None:
+            if term in held:
+                held[term] += own[term] + one
+            else:
                 held[term] = own[term] + one
                 taken += len(term) + 150  # a bytes object's 33, an integer's 32 and the table's 50 to 100
-            else:
-                held[term] = known + own[term] + one
             before = term
         self.bytes += taken
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         for (lang, source), widths in self.groups.items():
-            starts: dict[bytes, int] = {}
-            for term, packed in widths[0].items():
-                start = (term + END)[: self.first]
-                starts[start] = starts.get(start, 0) + packed // self.ONE
-            yield self._batch(lang, source, pa.array(list(starts), pa.binary()), np.fromiter(starts.values(), dtype=np.int64, count=len(starts)), np.zeros(len(starts), dtype=np.int64), START)
             for width, held in widths.items():
                 packed = np.fromiter(held.values(), dtype=np.int64, count=len(held))
                 ended = pc.binary_join_element_wise(pa.array(list(held), pa.binary()), pa.scalar(END, pa.binary()), pa.scalar(b"", pa.binary()))
-                yield self._batch(lang, source, ended, packed // self.ONE, packed % self.ONE, width)
+                docs = packed >> self.SHIFT
+                if width == 0:
+                    starts = pa.table([pc.binary_slice(ended, 0, self.first), docs], ["start", "docs"]).group_by("start", use_threads=False).aggregate([("docs", "sum")]).combine_chunks()
+                    counts = starts["docs_sum"].to_numpy()
+                    yield self._batch(lang, source, pa.array(starts["start"].to_pylist(), pa.binary()), counts, np.zeros(len(counts), dtype=np.int64), START)
+                yield self._batch(lang, source, ended, docs, packed & (self.ONE - 1), width)
         self.clear()
 
     @staticmethod
