@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillog.functions import scalars as s
+from quillog.operators.ordering import segmented, segmented_all
 from quillog.plans import registry
 
 
@@ -25,3 +26,18 @@ def test_numbers_of_men_give_the_columns_of_the_board(spark):
     got = boards.withColumn("men", s.men_of(b)).select(s.men_balance(F.col("men"), mover), s.game_phase(b, count), s.count_of(b, "NnBb"), s.count_of(b, "A-Za-z"))
     want = boards.select(s.material_balance(b, mover), s.game_phase(b), F.length(F.regexp_replace(b, "[^NnBb]", "")), F.length(F.regexp_replace(b, "[^A-Za-z]", "")))
     assert [tuple(r) for r in got.collect()] == [tuple(r) for r in want.collect()] == [(0, "opening", 8, 32), (-5, "middlegame", 0, 3), (0, "endgame", 0, 0)]
+
+
+def test_the_history_encoder_makes_candidates_once(spark, sf_dir):
+    text = plan(registry.queries()["win_history_encoder"](spark, sf_dir))
+    assert "l_orderkey" not in text  # all that is left to do reads the written decisions and offsets
+
+
+def test_sets_of_running_sums_equal_one_after_another(spark):
+    one = F.lit(1).cast("bigint")
+    rows = spark.range(3_000).select("id", F.when(F.col("id") % 5 > 0, "hot").alias("k"), (F.col("id") % 3).alias("c"), F.floor(F.col("id") / 400).alias("_bucket"))
+    first, second = {"a": one, "s": F.col("id")}, {"b": F.when(F.col("id") % 7 > 0, one)}
+    want = segmented(segmented(rows, ["k"], ["id"], first), ["k", "c"], ["id"], second)
+    got = segmented_all(rows.repartition("k", "_bucket"), [(["k"], first), (["k", "c"], second)], ["id"])
+    columns = ["id", "k", "c", "a", "s", "b"]
+    assert sorted(got.select(columns).collect(), key=lambda r: r.id) == sorted(want.select(columns).collect(), key=lambda r: r.id)
