@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from quillog.functions.scalars import win_percent
-from quillog.session import durable
+from quillog.session import durable, written
 
 from .metrics import by_dimension
 from .order_stats import dimensioned, with_quantiles
@@ -36,9 +36,11 @@ def compare_scores(rows: DataFrame, actual: str = "actual_cp", predicted: str =
 
 def quality_summary(rows: DataFrame, dimensions: list[str], keys: list[str]) -> DataFrame:
     """Quality of compared rows for all and by each dimension: (keys, dimension, value, counts, rates, means, medians)."""
-    rows = durable(rows)  # read once for the rates and once a round for the medians
+    used = [*keys, *dimensions, *REGRETS, "exact", *[f"within_{t}" for t in WITHIN], "actual_outcome", "predicted_outcome", "exceeds_reference"]
+    rows = written(rows.select(*dict.fromkeys(used)))  # read for the rates and for the numbers of equal centipawns
     medians = {f"median_{c}": (c, 0.5) for c in REGRETS}
-    return with_quantiles(by_dimension(rows, dimensions, quality_columns(), keys=keys), dimensioned(rows.select(*keys, *dimensions, *REGRETS), dimensions), [*keys, "dimension", "value"], medians)
+    long = dimensioned(rows.select(*keys, *dimensions, *REGRETS), dimensions)
+    return with_quantiles(by_dimension(rows, dimensions, quality_columns(), keys=keys), long, [*keys, "dimension", "value"], medians, counted=True)
 
 
 def quality_columns() -> list[Column]:

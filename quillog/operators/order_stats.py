@@ -46,7 +46,7 @@ def _small(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
-def quantiles(rows: DataFrame, keys: list[str], wanted: Wanted, *, buckets: int = 1_024, few: int = 4_096, broadcast_rows: int = 100_000) -> DataFrame:
+def quantiles(rows: DataFrame, keys: list[str], wanted: Wanted, *, buckets: int = 1_024, few: int = 4_096, broadcast_rows: int = 100_000, counted: bool = False) -> DataFrame:
     """(keys, names of ``wanted``): for each group with any value the exact quantiles, between ranks
     interpolated linearly. ``wanted`` maps a result's name to (column, probability).
 
@@ -56,18 +56,26 @@ def quantiles(rows: DataFrame, keys: list[str], wanted: Wanted, *, buckets: int
     ``buckets`` between a group's rows and ``few``, and one to end. A round's shuffle has at most
     ``buckets`` rows for a task and interval. Intervals are broadcast up to ``broadcast_rows``, which are
     counted first; the driver gets two numbers a round.
+
+    With ``counted`` equal values of a group are first made one row with their number, which is written, so
+    that rounds don't read ``rows``: for values such as centipawns, of which there are far fewer than rows.
     """
     metrics = list(dict.fromkeys(c for c, _ in wanted.values()))
-    cells = _cells(rows, keys, metrics)
+    cells = _cells(rows, keys, metrics).withColumn("_c", F.lit(1).cast("bigint"))
     whole = _wide(rows, keys, metrics)
     seen = [F.struct(F.lit(i).alias("_m"), F.count(f"_v{i}").alias("_n"), F.min(f"_v{i}").alias("_lo"), F.max(f"_v{i}").alias("_hi")) for i in range(len(metrics))]
-    ends = durable(whole.groupBy("_g").agg(F.array(*seen).alias("_e")).select("_g", F.explode("_e").alias("_x")).select("_g", "_x.*").where("_n > 0"))
+    if counted:
+        cells = written(cells.groupBy("_g", "_m", "_v").agg(F.sum("_c").alias("_c")))
+        ends = durable(cells.groupBy("_g", "_m").agg(F.sum("_c").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")))
+    else:
+        ends = durable(whole.groupBy("_g").agg(F.array(*seen).alias("_e")).select("_g", F.explode("_e").alias("_x")).select("_g", "_x.*").where("_n > 0"))
     at = lambda p: (F.col("_n") - 1) * F.lit(float(p))
     mine = [F.when(F.col("_m") == metrics.index(c), F.array(*[F.struct(F.lit(name).alias("_t"), F.lit(k).alias("_side"), r.cast("bigint").alias("_r")) for k, r in enumerate((F.floor(at(p)), F.ceil(at(p))))])) for name, (c, p) in wanted.items()]
     targets = F.flatten(F.filter(F.array(*mine), lambda x: x.isNotNull()))
     held = ["_g", "_m", "_lo", "_hi", "_n", "_t", "_side", "_r"]  # _n: values in the interval, _r: the rank among them
     state = written(ends.select("_g", "_m", "_lo", "_hi", "_n", F.explode(targets).alias("_x")).select("_g", "_m", "_lo", "_hi", "_n", "_x.*"))
     same = ["_g", "_m", "_lo", "_hi"]
+    values = F.flatten(F.collect_list(F.array_repeat("_v", F.col("_c").cast("int")))) if counted else F.collect_list("_v")
     while True:
         pending = state.where("_lo < _hi")
         intervals = pending.select(*same, "_n").distinct()
@@ -76,11 +84,11 @@ def quantiles(rows: DataFrame, keys: list[str], wanted: Wanted, *, buckets: int
             break
         hits = cells.join(_small(intervals, n, broadcast_rows), ["_g", "_m"]).where("_v >= _lo AND _v <= _hi")
         if most <= few:
-            listed = hits.groupBy(*same).agg(F.sort_array(F.collect_list("_v")).alias("_l"))
+            listed = hits.groupBy(*same).agg(F.sort_array(values).alias("_l"))
             found = pending.join(listed, same).withColumn("_lo", F.get("_l", F.col("_r").cast("int"))).withColumn("_hi", F.col("_lo"))
         else:
             part = F.least(F.floor((F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2) * buckets), F.lit(buckets - 1))
-            counted = hits.groupBy(*same, part.alias("_b")).agg(F.count("*").alias("_k"), F.min("_v").alias("_a"), F.max("_v").alias("_z"))
+            counted = hits.groupBy(*same, part.alias("_b")).agg(F.sum("_c").alias("_k"), F.min("_v").alias("_a"), F.max("_v").alias("_z"))
             upto = F.sum("_k").over(Window.partitionBy(*same).orderBy("_b"))  # over at most ``buckets`` rows
             parts = counted.withColumn("_upto", upto).withColumn("_under", F.col("_upto") - F.col("_k"))
             found = pending.join(parts, same).where("_upto > _r AND _under <= _r")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillog.functions import scalars as s
+from quillog.operators import order_stats
 from quillog.operators.ordering import segmented, segmented_all
 from quillog.plans import registry
 
@@ -41,3 +42,19 @@ def test_sets_of_running_sums_equal_one_after_another(spark):
     got = segmented_all(rows.repartition("k", "_bucket"), [(["k"], first), (["k", "c"], second)], ["id"])
     columns = ["id", "k", "c", "a", "s", "b"]
     assert sorted(got.select(columns).collect(), key=lambda r: r.id) == sorted(want.select(columns).collect(), key=lambda r: r.id)
+
+
+def test_counted_quantiles_read_the_rows_once_and_are_the_same(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            reads.add(len(batch))
+            yield batch
+
+    rows = spark.range(30_000).select((F.col("id") % 3).alias("k"), (F.pmod(F.hash("id"), F.lit(5_000)) - 1_000).cast("double").alias("x")).mapInPandas(seen, "k bigint, x double")
+    wanted = {"low": ("x", 0.0), "mid": ("x", 0.5), "p95": ("x", 0.95)}
+    want = sorted(order_stats.quantiles(rows, ["k"], wanted, buckets=8, few=100).collect())
+    reads.value = 0
+    got = sorted(order_stats.quantiles(rows, ["k"], wanted, buckets=8, few=100, counted=True).collect())
+    assert got == want and len(got) == 3 and reads.value == 30_000
