@@ -14,6 +14,10 @@ from .history_queries import _HOT, PIECES, PRE, SEQ, WINGS, _case, _match
 from .registry import query
 
 
+#: Files of a part arrive at once, however many they are: a file read later would find the watermark moved on.
+WHOLE = 1_000_000
+
+
 def _folder(spark) -> str:
     return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
@@ -45,7 +49,7 @@ def st_incremental_ingest(spark, sf_dir):
     late = 0
     for step in (1, 2, 3):
         source.where(arrives == step).write.mode("append").parquet(f"{folder}/in")
-        stream = streams.file_stream(spark, f"{folder}/in", source.schema)
+        stream = streams.file_stream(spark, f"{folder}/in", source.schema, files_per_trigger=WHOLE)
         twice = stream.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("_copy")).drop("_copy")
         run = streams.ingest(twice, "event_id", "ts", "1 hour", sink, f"{folder}/state")
         run.awaitTermination()
@@ -73,10 +77,6 @@ def st_player_profile(spark, sf_dir):
     return _to_end(profile, _folder(spark), profile.schema).select("event_id", "observations", F.round("rate", 9).alias("rate"))
 
 
-#: Files of a part arrive at once, however many they are: a file read later would find the watermark moved on.
-WHOLE = 1_000_000
-
-
 def _deliver(parts, k: int, folder: str) -> None:
     """Part ``k`` as files of a folder, written by as many tasks as hold rows of it."""
     parts.where(F.col("_part") == k).drop("_part").write.mode("append").parquet(folder)

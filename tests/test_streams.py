@@ -38,3 +38,16 @@ def test_a_part_is_written_by_all_tasks_that_hold_it(spark, tmp_path):
     parts = spark.range(4000, numPartitions=4).withColumn("_part", F.lit(0))
     stream_queries._deliver(parts, 0, str(tmp_path / "in"))
     assert len(list(Path(tmp_path / "in").glob("*.parquet"))) == 4
+
+
+def test_a_part_of_more_files_than_a_batch_drops_nothing(spark, sf_dir, monkeypatch):
+    """Files of a part whose first ones hold its last rows: none of the others may be taken for late."""
+    own = stream_queries.table
+    want = sorted(stream_queries.st_incremental_ingest(spark, sf_dir).collect())
+    monkeypatch.setattr(stream_queries, "table", lambda *of: own(*of).repartitionByRange(240, F.desc("ts")))
+    with_files = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # which would merge the small files
+    try:
+        assert sorted(stream_queries.st_incremental_ingest(spark, sf_dir).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", with_files)
